@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The characters Python's str.split() treats as white space.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -136,7 +137,7 @@ def estimate_tokens(*texts: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(total / 4)).cast("long")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def answer_chunks(texts: pd.Series) -> pd.Series:
     """Words packed into pieces; a piece closes once its words plus one space each reach 128 characters."""
 

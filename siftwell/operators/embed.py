@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,7 +14,6 @@ from pyspark.sql import types as T
 Embedder = Callable[[pd.Series], list]
 
 
-@lru_cache(maxsize=200_000)
 def token_bucket(token: str, dim: int) -> int:
     """Bucket of a token: the first eight hex digits of its MD5, modulo the dimension."""
     return int(hashlib.md5(token.encode("utf-8"), usedforsecurity=False).hexdigest()[:8], 16) % dim
@@ -24,13 +22,23 @@ def token_bucket(token: str, dim: int) -> int:
 class HashedCounts:
     """Deterministic default embedder: counts of hashed lower-case tokens (scale-free under cosine)."""
 
-    def __init__(self, dim: int = 64):
+    def __init__(self, dim: int = 64, cache: int = 200_000):
         self.dim = dim
+        self.cache = cache
+        self.known: dict[str, int] = {}
+
+    def bucket(self, token: str) -> int:
+        found = self.known.get(token)
+        if found is None:
+            if len(self.known) >= self.cache:
+                self.known.clear()
+            found = self.known[token] = token_bucket(token, self.dim)
+        return found
 
     def __call__(self, texts: pd.Series) -> list:
         out = []
         for text in texts:
-            hits = [token_bucket(t, self.dim) for t in (text or "").lower().split()]
+            hits = [self.bucket(t) for t in (text or "").lower().split()]
             out.append(np.bincount(np.asarray(hits, dtype=np.int64), minlength=self.dim).astype(np.float32))
         return out
 

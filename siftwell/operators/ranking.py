@@ -75,26 +75,42 @@ def bm25(
     idf = ln((N - df + 0.5) / (df + 0.5)); negative values become ``epsilon`` times the mean idf of all terms
     of the candidate set. Query tokens count as often as they occur. Adds ``bm25`` (rounded to six digits).
     """
-    toks = cands.select("qid", cid, tx.tokens(F.col("text")).alias("__toks"))
-    tf = toks.select("qid", cid, F.explode("__toks").alias("term")).groupBy("qid", cid, "term").agg(F.count("*").alias("tf"))
-    sizes = toks.groupBy("qid").agg(F.count("*").alias("n"), F.avg(F.size("__toks")).alias("avgdl"))
-    terms = tf.groupBy("qid", "term").agg(F.count("*").alias("df")).join(sizes, "qid").withColumn(
-        "raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    # Everything below groups by qid, so one shuffle by qid serves all windows and counts.
+    per_query = Window.partitionBy("qid")
+    base = (
+        cands.select("qid", F.col(cid).alias("__cid"), "query", tx.tokens(F.col("text")).alias("__toks"))
+        .repartition("qid")
+        .withColumn("__dl", F.size("__toks"))
+        .withColumn("__n", F.count("*").over(per_query))
+        .withColumn("__avgdl", F.avg("__dl").over(per_query))
+        .withColumn("__first", F.row_number().over(per_query.orderBy("__cid")) == 1)
     )
-    # Sums follow term order inside a query's small set, so results do not depend on task order.
-    mean = terms.groupBy("qid").agg(F.avg("raw").alias("mean_idf"))
-    wanted = cands.select("qid", "query").dropDuplicates(["qid"]).select(
-        "qid", F.explode(tx.tokens(F.col("query"))).alias("term")
-    ).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    idf = wanted.join(terms, ["qid", "term"]).join(mean, "qid").withColumn(
-        "idf", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean_idf")).otherwise(F.col("raw"))
+
+    def tagged(tokens: Column, asked: bool) -> Column:
+        return F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(asked).alias("asked")))
+
+    # The first candidate's row also contributes its query's tokens, marked as asked.
+    asked = F.when(F.col("__first"), tagged(tx.tokens(F.col("query")), True)).otherwise(
+        F.array().cast("array<struct<term:string,asked:boolean>>")
+    )
+    terms = base.select("qid", "__cid", "__dl", "__n", "__avgdl", F.inline(F.concat(tagged(F.col("__toks"), False), asked)))
+    tf = terms.groupBy("qid", "__cid", "asked", "term", "__dl", "__n", "__avgdl").agg(F.count("*").alias("__tf"))
+    per_term = Window.partitionBy("qid", "term")
+    found = ~F.col("asked")
+    tf = (
+        tf.withColumn("__df", F.count_if(found).over(per_term))
+        .withColumn("__qtf", F.sum(F.when(F.col("asked"), F.col("__tf")).otherwise(0)).over(per_term))
+        .withColumn("__one", F.row_number().over(per_term.orderBy("asked", "__cid")) == 1)
+        .filter(found)
+        .withColumn("__raw", F.log((F.col("__n") - F.col("__df") + 0.5) / (F.col("__df") + 0.5)))
+        .withColumn("__mean", F.avg(F.when(F.col("__one"), F.col("__raw"))).over(per_query))
+        .filter(F.col("__qtf") > 0)
     )
-    dl = toks.select("qid", cid, F.size("__toks").alias("dl"))
-    parts = tf.join(idf, ["qid", "term"]).join(dl, ["qid", cid])
-    weight = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (
-        F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
+    idf = F.when(F.col("__raw") < 0, F.lit(epsilon) * F.col("__mean")).otherwise(F.col("__raw"))
+    weight = F.col("__qtf") * idf * F.col("__tf") * (k1 + 1) / (
+        F.col("__tf") + k1 * (1 - b + b * F.col("__dl") / F.col("__avgdl"))
     )
-    scores = parts.groupBy("qid", cid).agg(F.sum(weight).alias("__bm25"))
+    scores = tf.groupBy("qid", F.col("__cid").alias(cid)).agg(F.sum(weight).alias("__bm25"))
     out = cands.join(scores, ["qid", cid], "left").withColumn("bm25", F.round(F.coalesce("__bm25", F.lit(0.0)), 6)).drop("__bm25")
     return out if k is None else top(out, k, [F.col("bm25").desc(), F.col(cid)])
 
@@ -108,23 +124,44 @@ def blend(
     Chunks that share a page add up. ``weights`` is a dict, or a table with ``name`` and ``weight`` rows that
     overrides the defaults.
     """
-    d = minmax(dense, dense_score, "__s").select("qid", "source", "page", F.lit("dense").alias("side"), "__s")
-    x = minmax(lexical, lexical_score, "__s").select("qid", "source", "page", F.lit("bm25").alias("side"), "__s")
-    both = d.unionByName(x)
     if isinstance(weights, DataFrame):
-        # At most one override per side: the aggregate proves the joined table is two rows.
-        override = weights.filter(F.col("name").isin("dense", "bm25")).groupBy(F.col("name").alias("side")).agg(
-            F.max("weight").alias("__o")
+        # Two rows at most, read once: an override of a setting.
+        override = {r["name"]: r["weight"] for r in weights.filter(F.col("name").isin("dense", "bm25")).limit(2).collect()}
+    else:
+        override = weights or {}
+    w = {side: F.lit(float(override.get(side, default))) for side, default in WEIGHTS.items()}
+    if dense is lexical:
+        # Both scores on one candidate set: no union needed.
+        both = minmax(minmax(dense, dense_score, "__d"), lexical_score, "__x").select(
+            "qid", "source", "page", (w["dense"] * F.col("__d") + w["bm25"] * F.col("__x")).alias("__part")
         )
-        both = both.join(F.broadcast(override), "side", "left")
-        weight = F.coalesce("__o", F.when(F.col("side") == "dense", WEIGHTS["dense"]).otherwise(WEIGHTS["bm25"]))
     else:
-        w = {**WEIGHTS, **(weights or {})}
-        weight = F.when(F.col("side") == "dense", float(w["dense"])).otherwise(float(w["bm25"]))
-    summed = both.groupBy("qid", "source", "page").agg(F.round(F.sum(weight * F.col("__s")), 6).alias("blended"))
+        both = minmax(dense, dense_score, "__s").select("qid", "source", "page", (w["dense"] * F.col("__s")).alias("__part")).unionByName(
+            minmax(lexical, lexical_score, "__s").select("qid", "source", "page", (w["bm25"] * F.col("__s")).alias("__part"))
+        )
+    summed = both.groupBy("qid", "source", "page").agg(F.round(F.sum("__part"), 6).alias("blended"))
     return top(summed, k, [F.col("blended").desc(), "source", "page"])
 
 
+def blend_chunks(
+    scored: DataFrame, weights: dict[str, float] | None = None, k: int = K, rank: str = "rk", cid: str = "chunk_id",
+    dense_score: str = "v_sim", lexical_score: str = "bm25",
+) -> DataFrame:
+    """``blend`` and ``best_chunk_per_key`` in one pass over a set holding both scores; keeps all its columns.
+
+    Adds ``blended`` and ``blend_rank``; each page shows its last-ranked candidate.
+    """
+    w = {**WEIGHTS, **(weights or {})}
+    both = minmax(minmax(scored.repartition("qid"), dense_score, "__d"), lexical_score, "__x")
+    page = Window.partitionBy("qid", "source", "page")
+    part = F.lit(float(w["dense"])) * F.col("__d") + F.lit(float(w["bm25"])) * F.col("__x")
+    summed = both.withColumn("blended", F.round(F.sum(part).over(page), 6)).withColumn(
+        "__last", F.row_number().over(page.orderBy(F.col(rank).desc(), F.col(cid).desc()))
+    )
+    pages = summed.filter("__last = 1").drop("__last", "__d", "__x")
+    return top(pages, k, [F.col("blended").desc(), "source", "page"], out="blend_rank")
+
+
 def best_chunk_per_key(blended: DataFrame, cands: DataFrame, k: int = K, rank: str = "rk", cid: str = "chunk_id") -> DataFrame:
     """One chunk per blended page: the last-ranked candidate of that page, first ``k`` pages."""
     last = cands.groupBy("qid", "source", "page").agg(F.max_by(cid, F.struct(rank, cid)).alias(cid))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text as tx
 from siftwell.operators import ingest
+from siftwell.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +30,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = ingest.chunk_fixed(documents(spark, sf_dir), 1000, 200)
+    cut = ingest.chunk_fixed(spread(documents(spark, sf_dir), "doc_id"), 1000, 200)
     return cut.withColumnRenamed("ix", "page").withColumn("chunk_id", F.col("doc_id") * 1000 + F.col("page"))
 
 

@@ -54,3 +54,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = os.path.join(checkpoint_root(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan with fewer splits than cores, spread by ``key`` before CPU-heavy row work; larger scans stay as read.
+
+    Only for plain scans: counting their splits starts no job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
