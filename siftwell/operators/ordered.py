@@ -128,14 +128,10 @@ def rank_percentiles(
     ).withColumn(_BUCKET, F.floor(F.col("__x") / F.lit(float(width))).cast("long"))
     hist = base.groupBy(_KEY, _BUCKET).agg(F.count("*").alias("__c"))
     upto = Window.partitionBy(_KEY).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.select(
-        _KEY,
-        _BUCKET,
-        "__c",
-        F.sum("__c").over(upto).alias("__cum"),
-        F.sum("__c").over(Window.partitionBy(_KEY)).alias("n"),
-        F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"),
-    ).withColumn("__r", F.bround(F.col("p") * (F.col("n") - 1)).cast("long") + 1)
+    hist = hist.withColumn("__cum", F.sum("__c").over(upto)).withColumn("n", F.sum("__c").over(Window.partitionBy(_KEY)))
+    # Exploded only after the windows, which must see each bucket once.
+    hist = hist.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    hist = hist.withColumn("__r", F.bround(F.col("p") * (F.col("n") - 1)).cast("long") + 1)
     wanted = hist.filter((F.col("__r") <= F.col("__cum")) & (F.col("__r") > F.col("__cum") - F.col("__c"))).select(
         _KEY, _BUCKET, "p", "n", (F.col("__r") - (F.col("__cum") - F.col("__c"))).alias("__need")
     )

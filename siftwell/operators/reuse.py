@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -49,7 +51,7 @@ def seen_within_ttl(log: DataFrame, ttl: Column, keys: list[str], order: str = "
     """``hit``: an earlier row with the same keys lies less than ``ttl`` seconds back."""
     prev = od.previous(log, keys, ["ts", order], od.time_bucket("ts", BUCKET_SECONDS), "ts", "prev_ts")
     gap = F.unix_micros("ts") - F.unix_micros("prev_ts")
-    return prev.withColumn("hit", F.coalesce(gap < ttl * 1_000_000, F.lit(False)))
+    return prev.withColumn("hit", F.coalesce(gap < ttl.cast("long") * 1_000_000, F.lit(False)))
 
 
 def exact_reuse(log: DataFrame, ttl: Column | None = None) -> DataFrame:
@@ -66,7 +68,7 @@ def negative_reuse(log: DataFrame, empty: Column, ttl: int = NEGATIVE_TTL_SECOND
         maxes={"__last": F.col("__empty_ts")}, inclusive=False,
     )
     gap = F.unix_micros("ts") - F.unix_micros("__last")
-    return prev.withColumn("suppressed", F.coalesce(gap < F.lit(ttl * 1_000_000), F.lit(False))).drop("__empty_ts", "__last")
+    return prev.withColumn("suppressed", F.coalesce(gap < ttl * 1_000_000, F.lit(False))).drop("__empty_ts", "__last")
 
 
 def replay_reuse(log: DataFrame, keys: list[str], ttl: Column | None = None, order: str = "request_id") -> DataFrame:
@@ -89,19 +91,25 @@ def replay_reuse(log: DataFrame, keys: list[str], ttl: Column | None = None, ord
         {"__run": F.col("__fresh")},
     ).select(*keys, "__run", "__second", "__ttl")
     schema = runs.select(*keys, "__second").withColumn("__miss", F.lit(False)).schema
-
-    def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("__second")
-        at = frame["__second"].to_numpy()
-        life_of = frame["__ttl"].to_numpy()
-        miss = np.zeros(len(at), dtype=bool)
-        i = 0
-        while i < len(at):
-            miss[i] = True
-            i = int(np.searchsorted(at, at[i] + life_of[i], side="left"))
-        return frame[[*keys, "__second"]].assign(__miss=miss)
-
-    marks = runs.groupBy(*keys, "__run").applyInPandas(replay, schema)
+    names = [*keys, "__run"]
+
+    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows arrive sorted by key, run and second; the state is one key and the end of its entry's life.
+        current: tuple | None = None
+        until = 0
+        for frame in frames:
+            columns = [frame[c].where(frame[c].notna(), None).tolist() for c in names]
+            miss = []
+            for key, second, life_of in zip(zip(*columns), frame["__second"].tolist(), frame["__ttl"].tolist()):
+                if key != current or second >= until:
+                    current, until = key, second + life_of
+                    miss.append(True)
+                else:
+                    miss.append(False)
+            yield frame[[*keys, "__second"]].assign(__miss=miss)
+
+    # Every run is independent, so a hot key spreads over tasks; no run is held in memory.
+    marks = runs.repartition(*names).sortWithinPartitions(*names, "__second").mapInPandas(replay, schema)
     marks = marks.select(F.struct(*keys).alias("__k"), "__second", "__miss")
     first = rows.groupBy(*keys, "__second").agg(F.min(order).alias("__first")).select(
         F.struct(*keys).alias("__k"), "__second", "__first"
