@@ -11,15 +11,26 @@ from siftwell.functions import scalars as sc
 # Defaults for chunking and the index columns.
 CHUNK_SIZE, CHUNK_OVERLAP = 1000, 200
 MAX_TEXT = 65000
+BLOCK_PIECES = 64
 SEPARATORS = ["\n\n", "\n", " ", ""]
 
 
 def chunk_fixed(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, text: str = "text") -> DataFrame:
     """Fixed-stride pieces: piece ``ix`` starts at ``ix * (size - overlap)``; no piece lies wholly in its overlap."""
     stride = size - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.length(text) - overlap) / F.lit(stride)) - 1)
-    cut = df.withColumn("ix", F.explode(F.sequence(F.lit(0), last.cast("int"))))
-    return cut.withColumn(text, F.substring(F.col(text), F.col("ix") * stride + 1, F.lit(size)))
+
+    def pieces(length: Column, step: int, tail: int) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((length - tail) / F.lit(step)) - 1)
+        return F.explode(F.sequence(F.lit(0), last.cast("int")))
+
+    # Cut in two steps: finding a character position walks the text from its start, so cutting a very long text
+    # straight into small pieces would take quadratic time.
+    wide = stride * BLOCK_PIECES
+    blocks = df.withColumn("__block", pieces(F.length(text), wide, overlap))
+    blocks = blocks.withColumn(text, F.substring(F.col(text), F.col("__block") * wide + 1, F.lit(wide + overlap)))
+    cut = blocks.withColumn("__ix", pieces(F.length(text), stride, overlap))
+    cut = cut.withColumn(text, F.substring(F.col(text), F.col("__ix") * stride + 1, F.lit(size)))
+    return cut.withColumn("ix", F.col("__block") * BLOCK_PIECES + F.col("__ix")).drop("__block", "__ix")
 
 
 def _split_once(text: str, separators: list[str]) -> tuple[list[str], list[str]]:
@@ -160,9 +171,6 @@ def filter_catalog(index: DataFrame) -> DataFrame:
     def values(field: str) -> Column:
         return F.sort_array(F.collect_list(F.when(F.col("field") == field, F.col("value"))))
 
-    def day(agg: Column) -> Column:
-        return agg
-
     is_date = F.when(F.col("field") == "date", F.col("value"))
     return index.select("tenant").distinct().join(
         parts.groupBy("tenant").agg(

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwell.operators.embed import Embedder, embed
+
 # Bytes of query vectors that may be shipped to every task; larger sets take the grid.
 MAX_SHIPPED_BYTES = 64 << 20
 # Rows of one side of a grid cell.
@@ -118,7 +120,7 @@ def _emit(queries: _Queries, frame: pd.DataFrame, spec: Spec, payload: Sequence[
     return pd.DataFrame(out)
 
 
-def _sides(queries: DataFrame, index: DataFrame, spec: Spec, qvec: str, vvec: str, payload: Sequence[str]):
+def _sides(queries: DataFrame, index: DataFrame, spec: Spec, qvec: str, vvec: str, payload: Sequence[str], stored: bool):
     q = queries.select(
         F.col(spec.qid).alias("__qid"), F.col(qvec).alias("__qv"), *[F.col(m).alias(f"__q_{m}") for m in spec.match]
     ).filter(F.size("__qv") > 0)
@@ -127,7 +129,7 @@ def _sides(queries: DataFrame, index: DataFrame, spec: Spec, qvec: str, vvec: st
         F.col(vvec).alias("__vv"),
         *[F.col(m).alias(f"__v_{m}") for m in spec.match],
         *payload,
-    ).filter(F.size("__vv") > 0)
+    ).filter(F.size("__vv") > 0 if stored else F.col("__vv").isNotNull())
     return q, v
 
 
@@ -161,20 +163,24 @@ def knn(
     payload: Sequence[str] = (),
     exclude_self: bool = False,
     max_shipped_bytes: int = MAX_SHIPPED_BYTES,
+    embedder: Embedder | None = None,
 ) -> DataFrame:
     """Exact top ``k`` per query by cosine or inner product (``ip``), rounded to six digits, ties by ``vid``.
 
     ``match`` names columns both sides hold: a query only sees vectors equal on them, a NULL in the query means
-    no constraint. ``payload`` columns of the index are carried along. Filter the index before calling.
+    no constraint. ``payload`` columns of the index are carried along. Filter the index before calling. With an
+    ``embedder``, ``vvec`` names a text column that is embedded where it is scored, so vectors need not be stored.
     """
     spec = Spec(qid, vid, k, metric, tuple(match), exclude_self)
-    q, v = _sides(queries, index, spec, qvec, vvec, payload)
+    q, v = _sides(queries, index, spec, qvec, vvec, payload, embedder is None)
     size = q.agg(
         F.count("*").alias("n"),
         F.sum(F.size("__qv") * 8 + F.lit(64 * (1 + len(match)))).alias("bytes"),
     ).first()
     schema = _out_schema(queries, index, spec, payload)
     if (size["bytes"] or 0) > max_shipped_bytes:
+        if embedder is not None:
+            v = embed(v, embedder, "__vv", "__e").drop("__vv").withColumnRenamed("__e", "__vv")
         return knn_grid(q.withColumn("__cell", F.lit(0)), v.withColumn("__cell", F.lit(0)), spec, schema, payload)
     shipped = q.sparkSession.sparkContext.broadcast(q.toPandas())
 
@@ -182,6 +188,8 @@ def knn(
         ready = _Queries(shipped.value, spec)
         best: pd.DataFrame | None = None
         for frame in frames:
+            if embedder is not None:
+                frame["__vv"] = list(embedder(frame["__vv"]))
             found = _emit(ready, frame, spec, payload)
             if best is not None and len(best):
                 found = pd.concat([best, found], ignore_index=True)

@@ -40,7 +40,8 @@ def mmr(cands: DataFrame, k: int = 5, lam: float = 0.5, cid: str = "chunk_id") -
     ``cands`` holds qid, the candidate id, score (similarity to the query) and embedding: the fetch_k best of
     each query. More than MAX_CANDIDATES per query is refused, as the pick is one task per query.
     """
-    sized = cands.withColumn("__n", F.count("*").over(Window.partitionBy("qid"))).withColumn(
+    # One shuffle by query serves the size check and the selection.
+    sized = cands.select("qid", cid, "score", "embedding").repartition("qid").withColumn("__n", F.count("*").over(Window.partitionBy("qid"))).withColumn(
         "embedding",
         F.when(F.col("__n") <= MAX_CANDIDATES, F.col("embedding")).otherwise(
             F.raise_error("too many candidates for one query")

@@ -75,42 +75,39 @@ def bm25(
     idf = ln((N - df + 0.5) / (df + 0.5)); negative values become ``epsilon`` times the mean idf of all terms
     of the candidate set. Query tokens count as often as they occur. Adds ``bm25`` (rounded to six digits).
     """
-    # Everything below groups by qid, so one shuffle by qid serves all windows and counts.
     per_query = Window.partitionBy("qid")
     base = (
-        cands.select("qid", F.col(cid).alias("__cid"), "query", tx.tokens(F.col("text")).alias("__toks"))
+        cands.select("qid", F.col(cid).alias("__cid"), tx.tokens(F.col("text")).alias("__toks"), tx.tokens(F.col("query")).alias("__asked"))
         .repartition("qid")
-        .withColumn("__dl", F.size("__toks"))
         .withColumn("__n", F.count("*").over(per_query))
-        .withColumn("__avgdl", F.avg("__dl").over(per_query))
-        .withColumn("__first", F.row_number().over(per_query.orderBy("__cid")) == 1)
+        .withColumn("__avgdl", F.avg(F.size("__toks")).over(per_query))
     )
 
-    def tagged(tokens: Column, asked: bool) -> Column:
-        return F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(asked).alias("asked")))
+    def idf(df: Column) -> Column:
+        return F.log((F.col("__n") - df + 0.5) / (df + 0.5))
 
-    # The first candidate's row also contributes its query's tokens, marked as asked.
-    asked = F.when(F.col("__first"), tagged(tx.tokens(F.col("query")), True)).otherwise(
-        F.array().cast("array<struct<term:string,asked:boolean>>")
+    # Mean idf over every term of the candidate set: counts only, combined per query and term.
+    mean = (
+        base.select("qid", "__n", F.explode(F.array_distinct("__toks")).alias("term"))
+        .groupBy("qid", "term", "__n").agg(F.count("*").alias("__df"))
+        .groupBy("qid").agg(F.avg(idf(F.col("__df"))).alias("__mean"))
     )
-    terms = base.select("qid", "__cid", "__dl", "__n", "__avgdl", F.inline(F.concat(tagged(F.col("__toks"), False), asked)))
-    tf = terms.groupBy("qid", "__cid", "asked", "term", "__dl", "__n", "__avgdl").agg(F.count("*").alias("__tf"))
-    per_term = Window.partitionBy("qid", "term")
-    found = ~F.col("asked")
-    tf = (
-        tf.withColumn("__df", F.count_if(found).over(per_term))
-        .withColumn("__qtf", F.sum(F.when(F.col("asked"), F.col("__tf")).otherwise(0)).over(per_term))
-        .withColumn("__one", F.row_number().over(per_term.orderBy("asked", "__cid")) == 1)
-        .filter(found)
-        .withColumn("__raw", F.log((F.col("__n") - F.col("__df") + 0.5) / (F.col("__df") + 0.5)))
-        .withColumn("__mean", F.avg(F.when(F.col("__one"), F.col("__raw"))).over(per_query))
-        .filter(F.col("__qtf") > 0)
-    )
-    idf = F.when(F.col("__raw") < 0, F.lit(epsilon) * F.col("__mean")).otherwise(F.col("__raw"))
-    weight = F.col("__qtf") * idf * F.col("__tf") * (k1 + 1) / (
+
+    def times(tokens: Column, t: Column) -> Column:
+        return F.size(F.filter(tokens, lambda x: x == t))
+
+    # Scores need the asked terms only; a term's document frequency is its number of rows per query.
+    hits = base.select(
+        "qid", "__cid", "__n", "__avgdl", F.size("__toks").alias("__dl"),
+        F.inline(F.transform(
+            F.array_intersect("__toks", "__asked"),
+            lambda t: F.struct(t.alias("term"), times(F.col("__toks"), t).alias("__tf"), times(F.col("__asked"), t).alias("__qtf")),
+        )),
+    ).withColumn("__raw", idf(F.count("*").over(Window.partitionBy("qid", "term"))))
+    weight = F.col("__qtf") * F.when(F.col("__raw") < 0, F.lit(epsilon) * F.col("__mean")).otherwise(F.col("__raw")) * F.col("__tf") * (k1 + 1) / (
         F.col("__tf") + k1 * (1 - b + b * F.col("__dl") / F.col("__avgdl"))
     )
-    scores = tf.groupBy("qid", F.col("__cid").alias(cid)).agg(F.sum(weight).alias("__bm25"))
+    scores = hits.join(mean, "qid").groupBy("qid", F.col("__cid").alias(cid)).agg(F.sum(weight).alias("__bm25"))
     out = cands.join(scores, ["qid", cid], "left").withColumn("bm25", F.round(F.coalesce("__bm25", F.lit(0.0)), 6)).drop("__bm25")
     return out if k is None else top(out, k, [F.col("bm25").desc(), F.col(cid)])
 

@@ -20,11 +20,13 @@ def text_candidates(
 ) -> DataFrame:
     """Best ``fetch_k`` chunks per query by embedding similarity, with their text.
 
-    Only the id and vector of a chunk go through the search; text joins afterwards for the few rows that won.
+    Chunks are embedded where they are scored and only ids leave the search; text joins afterwards for the few
+    rows that won.
     """
-    vectors = em.embed(chunks.select("chunk_id", "text", *match), embedder, keep=["chunk_id", *match])
-    asked = em.embed(queries.select("qid", "query", *match), embedder, text="query", keep=["qid", *match])
-    found = materialize(knn(asked, vectors, fetch_k, vid="chunk_id", match=match).withColumnRenamed("rank", "rk"), "nearest")
+    model = embedder or em.HashedCounts()
+    asked = em.embed(queries.select("qid", "query", *match), model, text="query", keep=["qid", *match])
+    nearest = knn(asked, chunks, fetch_k, vid="chunk_id", vvec="text", match=match, embedder=model)
+    found = materialize(nearest.withColumnRenamed("rank", "rk"), "nearest")
     # Shipping the winners keeps the corpus text from being shuffled; their number is known by now.
     small = F.broadcast(found) if found.count() <= MAX_SHIPPED_ROWS else found
     rows = chunks.join(small, "chunk_id").join(queries.select("qid", "query"), "qid").withColumn("distance", 1 - F.col("score"))

@@ -14,7 +14,7 @@ from siftwell.operators import ingest as ig
 from siftwell.operators import ordered as od
 from siftwell.plans import views as vw
 from siftwell.plans.registry import query
-from siftwell.session import checkpoint_root, spread
+from siftwell.session import checkpoint_root
 from siftwell.sources import files as fs
 from siftwell.sources import tables as tb
 
@@ -82,7 +82,7 @@ def a5(spark, sf_dir):
 
 @query("i1_recursive_chunks")
 def i1(spark, sf_dir):
-    docs = spread(vw.documents(spark, sf_dir), "doc_id")
+    docs = vw.texts(spark, sf_dir)
     return ig.chunk_recursive(docs.select("doc_id", "source", "text")).select("doc_id", "source", "ix", "text")
 
 

@@ -36,7 +36,7 @@ _GOLD = rq.C + f""", gold AS (SELECT qid AS query_id, CASE qid % 4 WHEN 0 THEN '
 def golden(spark, sf_dir):
     """Benchmark texts as questions; the sources that contain them verbatim are expected."""
     items = vw.table(spark, sf_dir, "benchmark")
-    docs = spread(vw.documents(spark, sf_dir), "doc_id")
+    docs = vw.texts(spark, sf_dir)
     found = ps.find_passages(docs, items, "doc_id", "item_id", ["source"])
     # At most one entry per (item, source) reaches the list.
     expected = found.select("item_id", "source").distinct().groupBy("item_id").agg(F.collect_list("source").alias("expected_sources"))
@@ -238,12 +238,12 @@ def plain(col):
 
 @query("x1_redacted_pii", DOCS + f" SELECT doc_id, {_pii('text')} AS redacted FROM docs")
 def x1(spark, sf_dir):
-    return vw.documents(spark, sf_dir).select("doc_id", plain(tx.redact_pii(F.col("text"))).alias("redacted"))
+    return vw.texts(spark, sf_dir).select("doc_id", plain(tx.redact_pii(F.col("text"))).alias("redacted"))
 
 
 @query("x3_redacted_secrets", DOCS + f" SELECT doc_id, {_secrets('text')} AS redacted FROM docs")
 def x3(spark, sf_dir):
-    return vw.documents(spark, sf_dir).select("doc_id", tx.redact_secrets(F.col("text")).alias("redacted"))
+    return vw.texts(spark, sf_dir).select("doc_id", tx.redact_secrets(F.col("text")).alias("redacted"))
 
 
 _POLICIES = [
@@ -267,7 +267,7 @@ def answers(spark, sf_dir):
     pages = F.array(
         F.struct(F.col("source"), F.when(d % 3 != 0, (d % 9).cast("int")).alias("page")), F.struct(F.lit("src0").alias("source"), F.lit(1).alias("page"))
     )
-    return vw.documents(spark, sf_dir).select(
+    return vw.texts(spark, sf_dir).select(
         "doc_id", "tenant", "doc_type", F.lit(None).cast("string").alias("region"), F.col("text").alias("answer"), pages.alias("sources"),
         (d % 8 == 0).alias("override"), F.concat(F.lit("question "), d.cast("string")).alias("query"), F.timestamp_seconds(F.lit(1704067200) + d).alias("ts"),
     )
@@ -310,7 +310,7 @@ def x4(spark, sf_dir):
     )
     from siftwell.operators.routing import with_defaults
 
-    rows = with_defaults(vw.documents(spark, sf_dir).withColumnRenamed("text", "answer"), cfg, gv.GUARDRAIL_DEFAULTS)
+    rows = with_defaults(vw.texts(spark, sf_dir).withColumnRenamed("text", "answer"), cfg, gv.GUARDRAIL_DEFAULTS)
     out = gv.output_guardrails(rows)
     return out.select("doc_id", plain(F.col("guarded")).alias("guarded"), F.array_join("guardrail_flags", ",").alias("flags"))
 

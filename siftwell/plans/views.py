@@ -29,8 +29,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work that is heavy per character."""
+    return spread(documents(spark, sf_dir), "doc_id")
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = ingest.chunk_fixed(spread(documents(spark, sf_dir), "doc_id"), 1000, 200)
+    cut = ingest.chunk_fixed(texts(spark, sf_dir), 1000, 200)
     return cut.withColumnRenamed("ix", "page").withColumn("chunk_id", F.col("doc_id") * 1000 + F.col("page"))
 
 
