@@ -19,26 +19,37 @@ def token_bucket(token: str, dim: int) -> int:
     return int(hashlib.md5(token.encode("utf-8"), usedforsecurity=False).hexdigest()[:8], 16) % dim
 
 
+class _Buckets(dict):
+    """Token to bucket, filled on first use."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        found = self[token] = token_bucket(token, self.dim)
+        return found
+
+    def __reduce__(self):
+        # Workers start with an empty table.
+        return _Buckets, (self.dim,)
+
+
 class HashedCounts:
     """Deterministic default embedder: counts of hashed lower-case tokens (scale-free under cosine)."""
 
-    def __init__(self, dim: int = 64, cache: int = 200_000):
+    def __init__(self, dim: int = 64, cache: int = 500_000):
         self.dim = dim
         self.cache = cache
-        self.known: dict[str, int] = {}
-
-    def bucket(self, token: str) -> int:
-        found = self.known.get(token)
-        if found is None:
-            if len(self.known) >= self.cache:
-                self.known.clear()
-            found = self.known[token] = token_bucket(token, self.dim)
-        return found
+        self.known = _Buckets(dim)
 
     def __call__(self, texts: pd.Series) -> list:
+        if len(self.known) > self.cache:
+            self.known.clear()
+        known = self.known
         out = []
         for text in texts:
-            hits = [self.bucket(t) for t in (text or "").lower().split()]
+            hits = [known[t] for t in (text or "").lower().split()]
             out.append(np.bincount(np.asarray(hits, dtype=np.int64), minlength=self.dim).astype(np.float32))
         return out
 

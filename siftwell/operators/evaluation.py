@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import scalars as sc
 from siftwell.operators import ordered as od
+from siftwell.session import side_by_side
 
 # Drift and gate thresholds.
 DRIFT_WINDOW, DRIFT_ROWS, DRIFT_EDGE = 3600, 10, 0.05
@@ -168,8 +169,7 @@ def canary_gate(active: DataFrame, canary: DataFrame, cfg: dict[str, float] | No
         F.max(F.when(F.col("collection") == "active", F.col("p95"))).alias("p95_active"),
         F.max(F.when(F.col("collection") == "canary", F.col("p95"))).alias("p95_canary"),
     )
-    # Both sides are one-row aggregates.
-    row = p95.withColumn("__one", F.lit(1)).join(overlap.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    row = side_by_side(p95, overlap)
     pct = (F.col("p95_canary") - F.col("p95_active")) / F.greatest(F.lit(1e-6), F.col("p95_active")) * 100.0
     return row.withColumn("latency_increase_pct", pct).withColumn(
         "pass",

@@ -149,13 +149,14 @@ def dedup_new(df: DataFrame, seen: DataFrame | None, keep: str, key: str = "id")
     return first.select(key, "__r.*").select(*df.columns)
 
 
-def catalog_parts(index: DataFrame) -> DataFrame:
+def catalog_parts(index: DataFrame, *extra: Column) -> DataFrame:
     """Distinct (tenant, field, value) entries of the filter catalog: sources, doc types, dates."""
     entry = F.explode(
         F.array(
             F.struct(F.lit("source").alias("field"), F.col("source").alias("value")),
             F.struct(F.lit("doc_type").alias("field"), F.col("doc_type").alias("value")),
             F.struct(F.lit("date").alias("field"), F.substring(F.col("date").cast("string"), 1, 10).alias("value")),
+            *extra,
         )
     ).alias("e")
     return index.select("tenant", entry).select("tenant", "e.field", "e.value").filter(
@@ -165,20 +166,18 @@ def catalog_parts(index: DataFrame) -> DataFrame:
 
 def filter_catalog(index: DataFrame) -> DataFrame:
     """Per tenant the sorted distinct sources and doc types and the date range; empty strings do not count."""
-    # DISTINCT runs first with map-side combine, so the per-tenant sets are built from distinct values only.
-    parts = catalog_parts(index)
+    # DISTINCT runs first with map-side combine, so the per-tenant sets are built from distinct values only. The
+    # marker entry keeps tenants that have no value at all.
+    marker = F.struct(F.lit("tenant").alias("field"), F.lit("x").alias("value"))
+    parts = catalog_parts(index, marker)
 
     def values(field: str) -> Column:
         return F.sort_array(F.collect_list(F.when(F.col("field") == field, F.col("value"))))
 
     is_date = F.when(F.col("field") == "date", F.col("value"))
-    return index.select("tenant").distinct().join(
-        parts.groupBy("tenant").agg(
-            values("source").alias("sources"),
-            values("doc_type").alias("doc_types"),
-            F.min(is_date).alias("date_min"),
-            F.max(is_date).alias("date_max"),
-        ),
-        "tenant",
-        "left",
+    return parts.groupBy("tenant").agg(
+        values("source").alias("sources"),
+        values("doc_type").alias("doc_types"),
+        F.min(is_date).alias("date_min"),
+        F.max(is_date).alias("date_max"),
     )

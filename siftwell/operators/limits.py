@@ -91,8 +91,7 @@ def concurrency_peak(intervals: DataFrame, bucket_seconds: int = BUCKET_SECONDS)
     """
     starts = intervals.select("tenant", F.col("start_ts").alias("ts"), F.lit(1).alias("step"))
     ends = intervals.select("tenant", F.col("end_ts").alias("ts"), F.lit(-1).alias("step"))
-    # Simultaneous steps of one kind collapse first (map-side), then the running level is taken.
-    steps = starts.unionByName(ends).groupBy("tenant", "ts", "step").agg(F.sum("step").alias("change"))
+    steps = starts.unionByName(ends)
     bucket = od.time_bucket("ts", bucket_seconds)
-    level = od.running(steps, ["tenant"], ["ts", "step"], bucket, {"in_flight": F.col("change")})
+    level = od.running(steps, ["tenant"], ["ts", "step"], bucket, {"in_flight": F.col("step")})
     return level.withColumn("bucket", bucket).groupBy("tenant", "bucket").agg(F.max("in_flight").alias("peak"))

@@ -89,6 +89,43 @@ def position(
     return running(df, keys, order, bucket, sums={out: F.lit(1).cast("long")})
 
 
+def gap_sessions(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, clock: Column, gap: Column,
+    session: str = "session", pos: str | None = None,
+) -> DataFrame:
+    """Number the sessions of each key: a row starts a new one when ``clock`` is ``gap`` or more past the row before.
+
+    ``clock`` is a non-decreasing number along ``order``; ``gap`` may differ per row. With ``pos`` the 1-based position
+    in the key is added too. Each bucket is summarised by its first and last clock, its inner breaks and its size;
+    only these summaries are chained per key.
+    """
+    base = _bucketed(df, keys, bucket).withColumn("__clock", clock).withColumn("__gap", gap)
+    inside = Window.partitionBy(_KEY, _BUCKET).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.col("__clock") - F.lag("__clock").over(inside)
+
+    def broken(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("__break", F.coalesce((step >= F.col("__gap")).cast("long"), F.lit(0).cast("long")))
+
+    summary = broken(base.select(_KEY, _BUCKET, *[F.col(c) for c in order], "__clock", "__gap")).groupBy(_KEY, _BUCKET).agg(
+        F.sum("__break").alias("__breaks"), F.count("*").alias("__rows"), F.max("__clock").alias("__end"),
+        F.min(F.struct(*order, "__clock", "__gap")).alias("__head"),
+    )
+    chain = Window.partitionBy(_KEY).orderBy(_BUCKET)
+    before = chain.rowsBetween(Window.unboundedPreceding, -1)
+    lead = F.col("__head.__clock") - F.lag("__end").over(chain)
+    carry = (
+        summary.withColumn("__opens", F.coalesce((lead >= F.col("__head.__gap")).cast("long"), F.lit(1).cast("long")))
+        .withColumn("__c_s", F.coalesce(F.sum(F.col("__breaks") + F.col("__opens")).over(before), F.lit(0)) + F.col("__opens"))
+        .withColumn("__c_p", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
+        .select(_KEY, _BUCKET, "__c_s", "__c_p")
+    )
+    out = broken(base).join(carry, [_KEY, _BUCKET]).withColumn(session, F.col("__c_s") + F.sum("__break").over(upto))
+    if pos is not None:
+        out = out.withColumn(pos, F.col("__c_p") + F.row_number().over(inside))
+    return out.drop(_KEY, _BUCKET, "__clock", "__gap", "__break", "__c_s", "__c_p")
+
+
 def with_halo(df: DataFrame, pos: str, size: int, halo: int) -> DataFrame:
     """Copy rows so that each block of ``size`` positions also holds the ``halo`` rows before it.
 

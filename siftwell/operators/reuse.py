@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import scalars as sc
 from siftwell.operators import ordered as od
+from siftwell.session import materialize
 
 # Lifetimes, threshold and index size.
 TTL_SECONDS, NEGATIVE_TTL_SECONDS = 300, 15
@@ -25,18 +26,28 @@ def tenant_ttl(spec: str | None, default: int = TTL_SECONDS, tenant: str = "tena
     return F.coalesce(F.try_element_at(sc.parse_map(spec), F.col(tenant)).try_cast("long"), F.lit(default).cast("long"))
 
 
-def with_namespace(log: DataFrame, bumps: DataFrame, order: str = "request_id") -> DataFrame:
+def with_namespace(log: DataFrame, bumps: DataFrame) -> DataFrame:
     """Add ``ns``: one plus the number of invalidations at or before the row's time.
 
     ``bumps`` holds ``ts``; an invalidation ends the life of every earlier entry.
     """
-    day = F.to_date("ts")
-    marks = bumps.select(F.col("ts").cast("timestamp").alias("ts")).groupBy("ts").agg(F.count("*").alias("__bump"))
-    rows = log.withColumn("__bump", F.lit(0).cast("long")).withColumn("__row", F.lit(1))
-    extra = marks.withColumn("__row", F.lit(0))
-    both = rows.unionByName(extra, allowMissingColumns=True).withColumn("__all", F.lit(0))
-    out = od.running(both, ["__all"], ["ts", "__row"], od.time_bucket("ts", BUCKET_SECONDS), {"__seen": F.col("__bump")})
-    return out.filter(F.col("__row") == 1).withColumn("ns", F.col("__seen") + 1).drop("__bump", "__row", "__all", "__seen")
+    bucket = od.time_bucket("ts", BUCKET_SECONDS)
+    marks = bumps.select(F.col("ts").cast("timestamp").alias("ts")).groupBy("ts").agg(F.count("*").alias("n"))
+    per_bucket = marks.groupBy(bucket.alias("__bucket")).agg(
+        F.sort_array(F.collect_list(F.struct("ts", "n"))).alias("__marks"), F.sum("n").alias("__n")
+    )
+    # One row per hour of the log; the running count over hours is taken on these rows only.
+    hours = log.select(bucket.alias("__bucket")).distinct().join(per_bucket, "__bucket", "full")
+    before = Window.partitionBy(F.lit(0)).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    hours = materialize(hours.select("__bucket", "__marks", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")), "hours")
+    here = F.aggregate(
+        F.filter(F.coalesce("__marks", F.array().cast("array<struct<ts:timestamp,n:bigint>>")), lambda m: m["ts"] <= F.col("ts")),
+        F.lit(0).cast("long"), lambda acc, m: acc + m["n"],
+    )
+    # The table of hours was written, so its size is known: it is broadcast if small and shuffled otherwise.
+    return log.withColumn("__bucket", bucket).join(hours, "__bucket").withColumn("ns", F.lit(1) + F.col("__before") + here).drop(
+        "__bucket", "__marks", "__before"
+    )
 
 
 def reuse_key(df: DataFrame, out: str = "reuse_key") -> DataFrame:
@@ -80,17 +91,11 @@ def replay_reuse(log: DataFrame, keys: list[str], ttl: Column | None = None, ord
     """
     life = ttl if ttl is not None else tenant_ttl(None)
     rows = log.withColumn("__second", sc.epoch(F.col("ts"))).withColumn("__ttl", life)
-    seconds = rows.groupBy(*keys, "__second").agg(F.max("__ttl").alias("__ttl"))
-    prev = od.running(
-        seconds, keys, ["__second"], F.floor(F.col("__second") / BUCKET_SECONDS).cast("long"),
-        maxes={"__prev": F.col("__second")}, inclusive=False,
+    seconds = rows.groupBy(*keys, "__second").agg(F.max("__ttl").alias("__ttl"), F.min(order).alias("__first"))
+    runs = od.gap_sessions(
+        seconds, keys, ["__second"], F.floor(F.col("__second") / BUCKET_SECONDS).cast("long"), F.col("__second"), F.col("__ttl"), "__run"
     )
-    fresh = F.col("__prev").isNull() | (F.col("__second") - F.col("__prev") >= F.col("__ttl"))
-    runs = od.running(
-        prev.withColumn("__fresh", fresh.cast("long")), keys, ["__second"], F.floor(F.col("__second") / BUCKET_SECONDS).cast("long"),
-        {"__run": F.col("__fresh")},
-    ).select(*keys, "__run", "__second", "__ttl")
-    schema = runs.select(*keys, "__second").withColumn("__miss", F.lit(False)).schema
+    schema = runs.select(*keys, "__second", "__first").withColumn("__miss", F.lit(False)).schema
     names = [*keys, "__run"]
 
     def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,15 +111,11 @@ def replay_reuse(log: DataFrame, keys: list[str], ttl: Column | None = None, ord
                     miss.append(True)
                 else:
                     miss.append(False)
-            yield frame[[*keys, "__second"]].assign(__miss=miss)
+            yield frame[[*keys, "__second", "__first"]].assign(__miss=miss)
 
     # Every run is independent, so a hot key spreads over tasks; no run is held in memory.
     marks = runs.repartition(*names).sortWithinPartitions(*names, "__second").mapInPandas(replay, schema)
-    marks = marks.select(F.struct(*keys).alias("__k"), "__second", "__miss")
-    first = rows.groupBy(*keys, "__second").agg(F.min(order).alias("__first")).select(
-        F.struct(*keys).alias("__k"), "__second", "__first"
-    )
-    state = marks.join(first, ["__k", "__second"])
+    state = marks.select(F.struct(*keys).alias("__k"), "__second", "__first", "__miss")
     return (
         rows.withColumn("__k", F.struct(*keys))
         .join(state, ["__k", "__second"])
@@ -135,11 +136,9 @@ def semantic_reuse(
     """
     keys = list(group)
     bucket = od.time_bucket("ts", BUCKET_SECONDS)
-    prev = od.previous(queries.select(*keys, qid, "ts", "embedding"), keys, ["ts", qid], bucket, "ts", "__prev")
-    fresh = F.col("__prev").isNull() | (F.unix_micros("ts") - F.unix_micros("__prev") >= 2 * ttl * 1_000_000)
-    placed = od.running(
-        prev.withColumn("__fresh", fresh.cast("long")), keys, ["ts", qid], bucket,
-        {"__epoch": F.col("__fresh"), "__pos": F.lit(1).cast("long")},
+    placed = od.gap_sessions(
+        queries.select(*keys, qid, "ts", "embedding"), keys, ["ts", qid], bucket, F.unix_micros("ts"),
+        F.lit(2 * ttl * 1_000_000).cast("long"), "__epoch", "__pos",
     )
     halo = od.with_halo(placed, "__pos", max(block, newest), newest)
     schema = queries.select(*keys, qid).withColumn("match_id", queries[qid]).withColumn("cosine", F.lit(0.0)).schema
@@ -170,7 +169,7 @@ def semantic_reuse(
         out["cosine"] = [h[2] for h in hits]
         return out
 
-    return halo.drop("__prev", "__fresh", "ts").groupBy(*keys, "block").applyInPandas(match, schema)
+    return halo.drop("ts").groupBy(*keys, "block").applyInPandas(match, schema)
 
 
 def reuse_ratio(hits: DataFrame, hit: str = "hit", by: str = "tenant") -> DataFrame:

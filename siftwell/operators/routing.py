@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.operators.usage import MISSING
+from siftwell.session import materialize
 
 # Tier limits.
 TIER_COLUMNS = ["rate_per_min", "concurrent_max", "k_min", "k_max", "fetch_min", "fetch_max", "daily_usd_cap"]
@@ -29,25 +30,29 @@ def with_defaults(df: DataFrame, config: DataFrame, defaults: dict[str, object],
     return out
 
 
-def tier_limits(tenants: DataFrame, tiers: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """Limits per tenant from its tier (unknown tiers count as pro) with per-tier overrides on top.
+def with_limits(df: DataFrame, tiers: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """Add tier and limits to rows with a tenant: its tier (unknown ones count as pro) with per-tier overrides on top.
 
-    ``tenants``: tenant. ``tiers``: tenant, tier. ``overrides``: tier and any of the limit columns.
+    ``tiers``: tenant, tier. ``overrides``: tier and any of the limit columns.
     """
     tier = F.lower(F.coalesce(F.nullif("tier", F.lit("")), F.lit(DEFAULT_TIER)))
-    out = tenants.join(tiers, "tenant", "left").withColumn("tier", tier)
+    out = df.join(tiers, "tenant", "left").withColumn("tier", tier)
+    names: list[str] = []
+    if overrides is not None:
+        names = [c for c in TIER_COLUMNS if c in overrides.columns]
+        out = out.join(overrides.select("tier", *[F.col(c).alias(f"__o_{c}") for c in names]), "tier", "left")
     for i, name in enumerate(TIER_COLUMNS):
         value = F.lit(TIERS[DEFAULT_TIER][i])
         for t, limits in TIERS.items():
             value = F.when(F.col("tier") == t, F.lit(limits[i])).otherwise(value)
-        out = out.withColumn(name, value)
-    if overrides is not None:
-        names = [c for c in TIER_COLUMNS if c in overrides.columns]
-        over = overrides.select(F.col("tier"), *[F.col(c).alias(f"__o_{c}") for c in names])
-        out = out.join(over, "tier", "left")
-        for c in names:
-            out = out.withColumn(c, F.coalesce(F.col(f"__o_{c}").cast(out.schema[c].dataType), c)).drop(f"__o_{c}")
-    return out.select("tenant", "tier", *TIER_COLUMNS)
+        kind = "double" if name == "daily_usd_cap" else "int"
+        out = out.withColumn(name, F.coalesce(F.col(f"__o_{name}").cast(kind), value) if name in names else value)
+    return out.drop(*[f"__o_{c}" for c in names])
+
+
+def tier_limits(tenants: DataFrame, tiers: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """Tier and limits per tenant."""
+    return with_limits(tenants.select("tenant").distinct(), tiers, overrides).select("tenant", "tier", *TIER_COLUMNS)
 
 
 def tenant_summaries(limits: DataFrame) -> DataFrame:
@@ -110,4 +115,6 @@ def route_provider(requests: DataFrame, policy: DataFrame, health: DataFrame, co
         F.when(known.isin("latency", "cost"), cheap).when(known == "quality", quality).otherwise(model).alias("routed_model"),
         F.when(F.col("__ok"), known).otherwise(F.concat(known, miss)).alias("reason"),
     )
+    # Written, the decisions have a known size: small ones are broadcast, so requests are not shuffled by tenant.
+    decided = materialize(decided, "routes")
     return asked.join(decided, F.col("tenant").eqNullSafe(F.col("__t")) & F.col("__kind").eqNullSafe(F.col("__k")), "left").drop("__t", "__k", "__kind")

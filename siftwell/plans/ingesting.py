@@ -14,7 +14,7 @@ from siftwell.operators import ingest as ig
 from siftwell.operators import ordered as od
 from siftwell.plans import views as vw
 from siftwell.plans.registry import query
-from siftwell.session import checkpoint_root
+from siftwell.session import checkpoint_root, side_by_side
 from siftwell.sources import files as fs
 from siftwell.sources import tables as tb
 
@@ -192,8 +192,9 @@ def s5(spark, sf_dir):
 def s6(spark, sf_dir):
     one, two, log = scratch(spark, "one"), scratch(spark, "two"), scratch(spark, "writes")
     tb.dual_write(vw.documents(spark, sf_dir), one, two, log)
-    counted = [spark.read.parquet(p).agg(F.count("*").alias("rows")).withColumn("role", F.lit(r)) for p, r in ((one, "primary"), (two, "secondary"))]
-    return counted[0].unionByName(counted[1]).join(tb.successful_writes(spark, log).select("role").distinct(), "role", "left_semi").select("role", "rows")
+    done = [r["role"] for r in tb.successful_writes(spark, log).select("role").distinct().collect()]
+    counted = [spark.read.parquet(p).agg(F.count("*").alias("rows")).withColumn("role", F.lit(r)) for p, r in ((one, "primary"), (two, "secondary")) if r in done]
+    return counted[0].unionByName(counted[1]).select("role", "rows")
 
 
 @query("s10_backup_restore", DOCS + " SELECT count(*) AS rows, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS excess FROM docs")
@@ -201,8 +202,7 @@ def s10(spark, sf_dir):
     docs = vw.documents(spark, sf_dir)
     target = tb.backup_index(docs, scratch(spark, "backup"), "2024-06-01")
     back = spark.read.parquet(target)
-    diff = tb.validate_restore(docs, back).withColumn("one", F.lit(1))
-    return back.agg(F.count("*").alias("rows")).withColumn("one", F.lit(1)).join(diff, "one").select("rows", "missing", "excess")
+    return side_by_side(back.agg(F.count("*").alias("rows")), tb.validate_restore(docs, back)).select("rows", "missing", "excess")
 
 
 @query("s11_enqueued_messages", _MSG + " SELECT tenant, count(*) AS messages, count(DISTINCT sha1(text)) AS ids FROM msg WHERE length(text) >= 1 GROUP BY tenant")

@@ -17,7 +17,7 @@ from siftwell.plans import retrieval as rq
 from siftwell.plans import usage as uq
 from siftwell.plans import views as vw
 from siftwell.plans.registry import query
-from siftwell.session import materialize, spread
+from siftwell.session import local_table, materialize, spread
 from siftwell.sources import tables as tb
 
 DOCS, LOG, WS = "WITH " + vw.SQL_DOCUMENTS, "WITH " + vw.SQL_LOG, vw._WS_SQL
@@ -253,7 +253,7 @@ _POLICY_SCHEMA = "tenant string, allowed_sources array<string>, allowed_doc_type
 
 
 def policies(spark):
-    return spark.createDataFrame(_POLICIES, _POLICY_SCHEMA)
+    return local_table(spark, _POLICIES, _POLICY_SCHEMA)
 
 
 _DECISION = "CASE WHEN tenant = 't0' AND doc_id % 8 = 0 THEN 'overridden' WHEN tenant = 't0' THEN 'denied' WHEN tenant = 't1' THEN 'masked' WHEN tenant = 't2' THEN 'allowed' ELSE 'redacted' END"
@@ -304,7 +304,7 @@ def f7(spark, sf_dir):
    SELECT doc_id, CASE WHEN mx > 0 AND length(a2) > mx THEN substr(a2, 1, mx) ELSE a2 END AS guarded,
      concat_ws(',', CASE WHEN a1 <> a0 THEN 'pii_redacted' END, CASE WHEN a2 <> a1 THEN 'secret_redacted' END, CASE WHEN mx > 0 AND length(a2) > mx THEN 'truncated' END) AS flags FROM g2""")
 def x4(spark, sf_dir):
-    cfg = spark.createDataFrame(
+    cfg = local_table(spark, 
         [("t0", None, True, 500), ("t1", False, None, None), ("t2", True, True, None), ("t3", True, False, 0)],
         "tenant string, enable_pii_redaction boolean, enable_secret_redaction boolean, max_answer_chars int",
     )
@@ -320,14 +320,14 @@ def x4(spark, sf_dir):
    SELECT conv_id, turn, matched, matched IS NOT NULL AS blocked FROM m""")
 def x5(spark, sf_dir):
     rows = vw.table(spark, sf_dir, "conversations").withColumn("tenant", vw.tenant_of("conv_id"))
-    cfg = spark.createDataFrame([("t0", ["", "zzz", "Tion The", "es"]), ("t1", ["und"]), ("t2", [])], "tenant string, block_patterns array<string>")
+    cfg = local_table(spark, [("t0", ["", "zzz", "Tion The", "es"]), ("t1", ["und"]), ("t2", [])], "tenant string, block_patterns array<string>")
     return gv.input_guardrail(rows, cfg, "text").select("conv_id", "turn", "matched", "blocked")
 
 
 @query("r4_retention_sweep", DOCS + """, old AS (SELECT source FROM docs GROUP BY source HAVING max(date) <= DATE '2024-12-25'), deny AS (SELECT unnest(['src1', 'src2', 'srcX']) AS source)
    SELECT source, source NOT IN (SELECT source FROM deny) AS new FROM (SELECT source FROM old UNION SELECT source FROM deny)""")
 def r4(spark, sf_dir):
-    deny = spark.createDataFrame([("src1",), ("src2",), ("srcX",)], "source string")
+    deny = local_table(spark, [("src1",), ("src2",), ("srcX",)], "source string")
     swept, fresh = gv.retention_sweep(vw.documents(spark, sf_dir), deny, 5, F.lit("2024-12-30"))
     return swept.join(fresh.withColumn("new", F.lit(True)), "source", "left").withColumn("new", F.coalesce("new", F.lit(False)))
 
@@ -335,9 +335,9 @@ def r4(spark, sf_dir):
 @query("r5_soft_delete", DOCS + """ SELECT DISTINCT source FROM docs WHERE doc_type = 'fr' AND source <> 'src3' UNION SELECT 'srcX'""")
 def r5(spark, sf_dir):
     docs = vw.documents(spark, sf_dir)
-    deny = spark.createDataFrame([("srcX",), ("src3",)], "source string")
+    deny = local_table(spark, [("srcX",), ("src3",)], "source string")
     deleted = gv.soft_delete(deny, docs.filter("doc_type = 'fr'"))
-    return gv.soft_undelete(deleted, spark.createDataFrame([("src3",)], "source string"))
+    return gv.soft_undelete(deleted, local_table(spark, [("src3",)], "source string"))
 
 
 @query("a27_lifecycle_status", DOCS + " SELECT 'v2' AS active, 'v1' AS previous, 'primary' AS read_preferred, count(DISTINCT source) AS denied FROM docs WHERE doc_type = 'de'")

@@ -17,6 +17,7 @@ from siftwell.operators import review as rv
 from siftwell.plans import bulk
 from siftwell.plans import views as vw
 from siftwell.plans.registry import query
+from siftwell.session import local_table, materialize
 
 # ---- candidate sets shared by the SQL twins ----------------------------------------------------------
 C = "WITH " + vw.SQL_CANDS
@@ -261,13 +262,9 @@ _CONF = """, docs_n AS (SELECT qid, count(*) AS n_docs FROM chosen GROUP BY qid)
 
 
 def answers(spark, sf_dir):
-    both = lexical(spark, sf_dir)
-    blended = rk.blend(both, both)
-    chosen = rk.best_chunk_per_key(blended, both)
-    n = chosen.groupBy("qid").agg(F.count("*").alias("n_docs"))
-    first = chosen.filter("rank = 1").select("qid", "chunk_id").join(both.select("qid", "chunk_id", "text"), ["qid", "chunk_id"])
-    rows = first.select("qid", F.col("text").alias("answer")).join(n, "qid").withColumn("rerank_enabled", F.col("qid") % 2 == 0)
-    return rk.confidence(rows, blended)
+    pages = materialize(rk.blend_chunks(lexical(spark, sf_dir)), "pages").withColumn("rank", F.col("blend_rank"))
+    rows = pages.groupBy("qid").agg(F.count("*").alias("n_docs"), F.min_by("text", "rank").alias("answer"))
+    return rk.confidence(rows.withColumn("rerank_enabled", F.col("qid") % 2 == 0), pages)
 
 
 @query("v16_confidence", C + _SIM + _BM + _BLEND + _CONF + " SELECT qid, confidence FROM conf")
@@ -298,7 +295,7 @@ _DENIED = "('src3', 'src7')"
 def v17(spark, sf_dir):
     """Filtered search, BM25 blend, denylist and rerank for every benchmark text over every chunk."""
     chunks = vw.chunks(spark, sf_dir).filter(F.col("doc_type") != "fr")
-    deny = spark.createDataFrame([("src3",), ("src7",)], "source string")
+    deny = local_table(spark, [("src3",), ("src7",)], "source string")
     out = bulk.bulk_retrieve(vw.text_queries(spark, sf_dir), chunks, deny)
     return out.select("qid", "chunk_id", "source", "page", "blended", "rerank_score", "rank")
 
@@ -315,9 +312,8 @@ def v14(spark, sf_dir):
     from siftwell.operators import routing as rt
 
     t = vw.table(spark, sf_dir, "conversations").withColumn("tenant", F.concat(F.lit("c"), (F.col("conv_id") % 3).cast("string")))
-    tiers = spark.createDataFrame([("c0", "free"), ("c2", "enterprise")], "tenant string, tier string")
-    limits = rt.tier_limits(t.select("tenant").distinct(), tiers)
-    rows = t.withColumn("intent", tx.classify_intent(F.col("text"))).join(limits, "tenant")
+    tiers = local_table(spark, [("c0", "free"), ("c2", "enterprise")], "tenant string, tier string")
+    rows = rt.with_limits(t.withColumn("intent", tx.classify_intent(F.col("text"))), tiers)
     return rk.retrieval_depth(rows).select("conv_id", "turn", "intent", "tier", "k_eff", "fetch_eff")
 
 

@@ -17,6 +17,7 @@ from siftwell.operators import tuning as tn
 from siftwell.operators import usage as us
 from siftwell.plans import views as vw
 from siftwell.plans.registry import query
+from siftwell.session import local_table
 
 LOG, FB, TURNS = "WITH " + vw.SQL_LOG, "WITH " + vw.SQL_FEEDBACK, "WITH " + vw.SQL_TURNS
 AS_OF = "2024-01-15 12:00:00"
@@ -40,10 +41,9 @@ def b1(spark, sf_dir):
 def b1_tier(spark, sf_dir):
     """Limit per tenant from its tier."""
     log = vw.request_log(spark, sf_dir)
-    tiers = spark.createDataFrame([("t0", "free"), ("t1", "enterprise")], "tenant string, tier string")
-    over = spark.createDataFrame([("free", 1), ("enterprise", 2)], "tier string, rate_per_min int")
-    limits = rt.tier_limits(log.select("tenant").distinct(), tiers, over).select("tenant", "rate_per_min")
-    return lm.rate_limit(log.join(limits, "tenant"), "rate_per_min", key="tenant").select("request_id", "n", "rejected")
+    tiers = local_table(spark, [("t0", "free"), ("t1", "enterprise")], "tenant string, tier string")
+    over = local_table(spark, [("free", 1), ("enterprise", 2)], "tier string, rate_per_min int")
+    return lm.rate_limit(rt.with_limits(log, tiers, over), "rate_per_min", key="tenant").select("request_id", "n", "rejected")
 
 
 @query("b4_daily_quota", LOG + """ SELECT request_id, n, n > 60 AS rejected FROM (
@@ -135,7 +135,7 @@ _BUMP_SQL = " + ".join(f"CASE WHEN ts >= TIMESTAMP '{b}' THEN 1 ELSE 0 END" for
 @query("b11_namespaced_reuse", LOG + f""", n AS (SELECT *, CAST(1 + {_BUMP_SQL} AS BIGINT) AS ns FROM log)
    SELECT request_id, ns, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY tenant, query, doc_type, ns ORDER BY ts, request_id)) < 14400 * CAST(1000000 AS BIGINT), false) AS hit FROM n""")
 def b11(spark, sf_dir):
-    bumps = spark.createDataFrame([(b,) for b in _BUMPS], "ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    bumps = local_table(spark, [(b,) for b in _BUMPS], "ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     spaced = ru.with_namespace(vw.request_log(spark, sf_dir), bumps)
     return ru.exact_reuse(spaced, F.lit(14400)).select("request_id", "ns", "hit")
 
@@ -205,7 +205,7 @@ def b7(spark, sf_dir):
    UNION ALL SELECT 't9', 0, NULL, NULL, NULL, '', ''""")
 def a1(spark, sf_dir):
     rows = vw.feedback(spark, sf_dir)
-    tenants = rows.select("tenant").distinct().union(spark.createDataFrame([("t9",)], "tenant string"))
+    tenants = rows.select("tenant").distinct().union(local_table(spark, [("t9",)], "tenant string"))
     out = fb.feedback_summary(rows, tenants)
     for c in ("helpful_rate", "hallucinated_rate", "avg_style_score"):
         out = out.withColumn(c, F.round(c, 6))
@@ -259,7 +259,7 @@ def a11(spark, sf_dir):
 @query("a12_source_freshness", LOG + f" SELECT provider AS source, greatest(0, epoch_us(TIMESTAMP '{AS_OF}') // 1000000 - epoch_us(max(ts)) // 1000000) AS lag_seconds FROM log WHERE ts < TIMESTAMP '2024-01-15 11:00:00' GROUP BY provider UNION ALL SELECT 'omega', 0")
 def a12(spark, sf_dir):
     rows = vw.request_log(spark, sf_dir).filter(F.col("ts") < F.lit("2024-01-15 11:00:00").cast("timestamp")).withColumnRenamed("provider", "source")
-    known = rows.select("source").distinct().union(spark.createDataFrame([("omega",)], "source string"))
+    known = rows.select("source").distinct().union(local_table(spark, [("omega",)], "source string"))
     return us.source_freshness(rows, as_of(), known)
 
 
@@ -281,7 +281,7 @@ def a13(spark, sf_dir):
 
 
 def providers(spark):
-    return spark.createDataFrame([("alpha",), ("beta",), ("gamma",), ("delta",), ("omega",)], "provider string")
+    return local_table(spark, [("alpha",), ("beta",), ("gamma",), ("delta",), ("omega",)], "provider string")
 
 
 _HEALTH = _PAST + _LAT + """, names AS (SELECT unnest(['alpha', 'beta', 'gamma', 'delta', 'omega']) AS provider),
@@ -301,7 +301,7 @@ def a18(spark, sf_dir):
 
 @query("a19_ab_decisions", LOG + """ SELECT tenant, CASE tenant WHEN 't1' THEN 'B' ELSE 'A' END AS variant, tenant = 't2' AS rerank, count(*) AS n FROM log GROUP BY ALL""")
 def a19(spark, sf_dir):
-    assign = spark.createDataFrame([("t1", "B", None), ("t2", "C", "True"), ("t3", None, "false")], "tenant string, llm string, rerank string")
+    assign = local_table(spark, [("t1", "B", None), ("t2", "C", "True"), ("t3", None, "false")], "tenant string, llm string, rerank string")
     return us.ab_decisions(vw.request_log(spark, sf_dir), assign)
 
 
@@ -442,7 +442,7 @@ def j9(spark, sf_dir):
 @query("j3_settings_over_defaults", LOG + """ SELECT tenant, CASE tenant WHEN 't1' THEN 'quality' WHEN 't2' THEN 'latency' ELSE 'balanced' END AS objective,
    CASE tenant WHEN 't1' THEN 'beta,alpha' ELSE 'alpha' END AS allowed, count(*) AS n FROM log GROUP BY ALL""")
 def j3(spark, sf_dir):
-    cfg = spark.createDataFrame([("t1", "quality", ["beta", "alpha"]), ("t2", "latency", None)], "tenant string, objective string, allowed_providers array<string>")
+    cfg = local_table(spark, [("t1", "quality", ["beta", "alpha"]), ("t2", "latency", None)], "tenant string, objective string, allowed_providers array<string>")
     counted = vw.request_log(spark, sf_dir).groupBy("tenant").agg(F.count("*").alias("n"))
     return rt.router_policy(counted, cfg, ["alpha"]).select("tenant", "objective", F.array_join("allowed_providers", ",").alias("allowed"), "n")
 
@@ -455,8 +455,8 @@ _TIERS = """, tl AS (SELECT tenant, CASE tenant WHEN 't0' THEN 'free' WHEN 't1'
 
 def limits(spark, sf_dir):
     log = vw.request_log(spark, sf_dir)
-    tiers = spark.createDataFrame([("t0", "Free"), ("t1", "enterprise"), ("t2", "gold")], "tenant string, tier string")
-    return rt.tier_limits(log.select("tenant").distinct(), tiers, spark.createDataFrame([("free", 90)], "tier string, rate_per_min int"))
+    tiers = local_table(spark, [("t0", "Free"), ("t1", "enterprise"), ("t2", "gold")], "tenant string, tier string")
+    return rt.tier_limits(log.select("tenant").distinct(), tiers, local_table(spark, [("free", 90)], "tier string, rate_per_min int"))
 
 
 @query("r3_tier_limits", LOG + _TIERS + " SELECT * FROM lim")
@@ -498,22 +498,22 @@ _COST_ROWS = [("alpha", "base", 0.01), ("beta", "base", 0.002), ("gamma", "base"
 def r1(spark, sf_dir):
     log = vw.request_log(spark, sf_dir)
     health = us.provider_health(log, as_of(), providers(spark))
-    policy = spark.createDataFrame(_POLICY_ROWS, _POLICY_SCHEMA)
-    costs = spark.createDataFrame(_COST_ROWS, "provider string, model string, prompt double")
+    policy = local_table(spark, _POLICY_ROWS, _POLICY_SCHEMA)
+    costs = local_table(spark, _COST_ROWS, "provider string, model string, prompt double")
     return rt.route_provider(log, policy, health, costs, "base", "small", "large").select("request_id", "routed_provider", "routed_model", "reason")
 
 
 @query("r2_policy_and_costs", LOG + """ SELECT provider, 'base' AS model, CASE provider WHEN 'alpha' THEN CAST(0.01 AS DOUBLE) WHEN 'beta' THEN 0.002 WHEN 'gamma' THEN 0.003 END AS prompt, count(*) AS n FROM log GROUP BY ALL""")
 def r2(spark, sf_dir):
     pairs = vw.request_log(spark, sf_dir).groupBy("provider").agg(F.count("*").alias("n")).withColumn("model", F.lit("base"))
-    return rt.model_costs(pairs, spark.createDataFrame(_COST_ROWS, "provider string, model string, prompt double"))
+    return rt.model_costs(pairs, local_table(spark, _COST_ROWS, "provider string, model string, prompt double"))
 
 
 @query("f8_collection_routes", LOG + """ SELECT request_id, CASE WHEN tenant = 't1' AND doc_type = 'type2' THEN 't1_type2' WHEN tenant = 't1' THEN 't1_all' WHEN tenant = 't3' AND doc_type = 'type4' THEN 't3_type4' ELSE 'default' END AS collection FROM log""")
 def f8(spark, sf_dir):
     from siftwell.operators import filters as fl
 
-    routes = spark.createDataFrame([("t1:type2", "t1_type2"), ("t1", "t1_all"), ("t3:type4", "t3_type4")], "route_key string, collection string")
+    routes = local_table(spark, [("t1:type2", "t1_type2"), ("t1", "t1_all"), ("t3:type4", "t3_type4")], "route_key string, collection string")
     return fl.route_collection(vw.request_log(spark, sf_dir), routes).select("request_id", "collection")
 
 
@@ -548,6 +548,6 @@ def a24(spark, sf_dir):
    SELECT tenant, kind, target, route_key, skip_reason IS NULL AS applied, skip_reason, CASE WHEN skip_reason IS NULL THEN CASE kind WHEN 'router_policy' THEN target ELSE tenant || '_' || target END END AS new_value,
      CASE WHEN skip_reason IS NULL AND kind = 'router_policy' THEN old END AS old_value FROM sk""")
 def a25(spark, sf_dir):
-    policy = spark.createDataFrame([("t0", "Quality"), ("t1", "balanced")], "tenant string, objective string")
-    routes = spark.createDataFrame([("t3:manual", "x")], "route_key string, collection string")
+    policy = local_table(spark, [("t0", "Quality"), ("t1", "balanced")], "tenant string, objective string")
+    routes = local_table(spark, [("t3:manual", "x")], "route_key string, collection string")
     return tn.tuning_plan(suggestions(spark, sf_dir), policy, routes)

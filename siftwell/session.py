@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def build_session(app: str = "siftwell", master: str | None = None, **conf: str) -> SparkSession:
@@ -62,4 +65,20 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     Only for plain scans: counting their splits starts no job.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= cores else df.repartition(cores, key)
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small literal table whose size the planner knows (rows given as Python tuples to ``createDataFrame`` it does not)."""
+    parsed = spark.createDataFrame([], schema).schema
+    columns = {f.name: pa.array([r[i] for r in rows], type=to_arrow_type(f.dataType)) for i, f in enumerate(parsed.fields)}
+    return spark.createDataFrame(pa.table(columns), parsed)
+
+
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One-row tables with different columns as one row."""
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out.agg(*[F.first(c, ignorenulls=True).alias(c) for c in out.columns])

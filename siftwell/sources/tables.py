@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.session import side_by_side
+
 POINTER = "active string, canary string, previous string, read_preferred string, build_started timestamp, last_promotion timestamp"
 
 
@@ -130,5 +132,4 @@ def lifecycle_status(spark: SparkSession, pointer: str, deny: DataFrame) -> Data
     """Pointer state beside the denylist size."""
     state = spark.read.schema("version long, " + POINTER).parquet(pointer).orderBy(F.col("version").desc()).limit(1)
     size = deny.agg(F.countDistinct("source").alias("denied"))
-    # Both sides are single rows.
-    return state.withColumn("__one", F.lit(1)).join(size.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return side_by_side(state, size)
