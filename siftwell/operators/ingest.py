@@ -136,12 +136,18 @@ def select_embed_model(df: DataFrame, spec: str, out: str = "embed_model") -> Da
     return df.withColumn(out, F.when(found == "small", "small").otherwise("large"))
 
 
-def dedup_new(df: DataFrame, seen: DataFrame | None, keep: str, key: str = "id") -> DataFrame:
+def dedup_new(df: DataFrame, seen: DataFrame | None, keep: str, key: str = "id", unique: bool = False) -> DataFrame:
     """One row per ``key`` (the smallest ``keep``) that ``seen`` does not hold yet.
 
     Copies collapse by a map-side partial aggregate, so a third of the corpus being one text costs one row per
-    task; the anti join reuses the aggregate's partitioning.
+    task. With ``unique`` (``keep`` identifies a row) only keys are aggregated and texts move once, to the rows that
+    stay; that join is on (key, keep) and so has no hot key.
     """
+    if unique:
+        first = df.groupBy(key).agg(F.min(keep).alias(keep))
+        if seen is not None:
+            first = first.join(seen.select(key), key, "left_anti")
+        return df.join(first, [key, keep], "left_semi")
     others = [c for c in df.columns if c != key]
     first = df.groupBy(key).agg(F.min_by(F.struct(*others), F.col(keep)).alias("__r"))
     if seen is not None:

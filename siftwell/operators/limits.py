@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.operators import ordered as od
@@ -26,20 +26,16 @@ def _positive(limit: int | str) -> Column:
 
 def rate_limit(log: DataFrame, limit: int | str = RATE_LOCAL, key: str = "user_id", order: str = "request_id") -> DataFrame:
     """Position of each request in its key's minute; beyond ``limit`` (a number or a column) it is rejected."""
-    w = Window.partitionBy(key, "__minute").orderBy("ts", order)
-    return (
-        log.withColumn("__minute", od.time_bucket("ts", MINUTE))
-        .withColumn("n", F.row_number().over(w).cast("long"))
-        .withColumn("rejected", F.col("n") > _positive(limit))
-        .drop("__minute")
-    )
+    minutes = log.withColumn("__minute", od.time_bucket("ts", MINUTE))
+    out = od.position(minutes, [key, "__minute"], ["ts", order], F.col("__minute"))
+    return out.withColumn("rejected", F.col("n") > _positive(limit)).drop("__minute")
 
 
 def daily_quota(log: DataFrame, limit: int | str = DAILY_QUOTA, key: str = "tenant", order: str = "request_id") -> DataFrame:
     """Position of each request in its key's UTC day; beyond ``limit`` it is rejected."""
     days = log.withColumn("day", F.to_date("ts"))
     out = od.position(days, [key, "day"], ["ts", order], od.time_bucket("ts", BUCKET_SECONDS))
-    return out.withColumn("rejected", F.col("n") > F.greatest(F.lit(1), F.col(limit) if isinstance(limit, str) else F.lit(limit)))
+    return out.withColumn("rejected", F.col("n") > _positive(limit))
 
 
 def log_tokens(log: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task. A key holding a third of the
 data would then be the whole job. The helpers below split a key's timeline into buckets: rows are
 windowed inside (key, bucket), per-bucket totals are pre-aggregated on the map side, and only those totals
-are windowed per key. Results equal the plain window exactly.
+are windowed per key. Should one bucket itself be too large, the whole order is cut into equal ranges of rows
+instead. Results equal the plain window exactly.
 """
 
 from __future__ import annotations
@@ -13,8 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.session import materialize
+
 _KEY, _BUCKET = "__key", "__bucket"
 
+# Rows one task may have to order; a fuller (key, bucket) makes the split go by row ranges.
+MAX_BUCKET_ROWS = 5_000_000
+
 
 def time_bucket(ts: str | Column, seconds: int) -> Column:
     """Index of the fixed-width time bucket holding ``ts``."""
@@ -34,9 +40,20 @@ def keep_latest(df: DataFrame, n: int, by: Sequence[str | Column], partition: Se
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
 
 
-def _bucketed(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
+def _bucketed(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, max_rows: int | None = None
+) -> DataFrame:
     # A struct key is never NULL itself, so rows with NULL key columns still join and group.
-    return df.withColumn(_KEY, F.struct(*keys)).withColumn(_BUCKET, bucket)
+    keyed = df.withColumn(_KEY, F.struct(*keys))
+    base = keyed.withColumn(_BUCKET, bucket)
+    sizes = base.groupBy(_KEY, _BUCKET).agg(F.count("*").alias("n")).agg(F.max("n").alias("top"), F.sum("n").alias("all")).first()
+    limit = max_rows or MAX_BUCKET_ROWS
+    if (sizes["top"] or 0) <= limit:
+        return base
+    # Ranges follow keys, then order, so they are non-decreasing along each key; written, they stay the same
+    # whoever reads them again.
+    ranged = keyed.repartitionByRange(-(-sizes["all"] // limit), *keys, *order).withColumn(_BUCKET, F.spark_partition_id().cast("long"))
+    return materialize(ranged, "ranges")
 
 
 def running(
@@ -47,13 +64,14 @@ def running(
     sums: dict[str, Column] | None = None,
     maxes: dict[str, Column] | None = None,
     inclusive: bool = True,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Running sums and maxima over ``keys`` in ``order``, up to (and with ``inclusive``, including) each row.
 
     ``bucket`` must be non-decreasing along ``order``. Sums start at 0, maxima at NULL.
     """
     sums, maxes = dict(sums or {}), dict(maxes or {})
-    base = _bucketed(df, keys, bucket)
+    base = _bucketed(df, keys, order, bucket, max_rows)
     for name, expr in {**sums, **maxes}.items():
         base = base.withColumn(f"__v_{name}", expr)
     totals = base.groupBy(_KEY, _BUCKET).agg(
@@ -83,15 +101,15 @@ def running(
 
 
 def position(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, out: str = "n"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, out: str = "n", max_rows: int | None = None
 ) -> DataFrame:
     """1-based position of each row in its key's order (``row_number`` without the one-task key)."""
-    return running(df, keys, order, bucket, sums={out: F.lit(1).cast("long")})
+    return running(df, keys, order, bucket, sums={out: F.lit(1).cast("long")}, max_rows=max_rows)
 
 
 def gap_sessions(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, clock: Column, gap: Column,
-    session: str = "session", pos: str | None = None,
+    session: str = "session", pos: str | None = None, max_rows: int | None = None,
 ) -> DataFrame:
     """Number the sessions of each key: a row starts a new one when ``clock`` is ``gap`` or more past the row before.
 
@@ -99,7 +117,7 @@ def gap_sessions(
     in the key is added too. Each bucket is summarised by its first and last clock, its inner breaks and its size;
     only these summaries are chained per key.
     """
-    base = _bucketed(df, keys, bucket).withColumn("__clock", clock).withColumn("__gap", gap)
+    base = _bucketed(df, keys, order, bucket, max_rows).withColumn("__clock", clock).withColumn("__gap", gap)
     inside = Window.partitionBy(_KEY, _BUCKET).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = F.col("__clock") - F.lag("__clock").over(inside)

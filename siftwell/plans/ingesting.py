@@ -146,7 +146,7 @@ def i8(spark, sf_dir):
     """One row per text that an earlier load (before March) did not hold."""
     d = vw.documents(spark, sf_dir).withColumn("id", F.sha1(F.col("text").cast("binary")))
     seen = d.filter(F.col("date") < F.lit("2024-03-01").cast("date")).select("id").distinct()
-    return ig.dedup_new(d.select("doc_id", "id", "source"), seen, keep="doc_id").select("doc_id", "id", "source")
+    return ig.dedup_new(d.select("doc_id", "id", "source"), seen, keep="doc_id", unique=True).select("doc_id", "id", "source")
 
 
 @query("i9_filter_catalog", _MSG + """ SELECT tenant, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources,

@@ -11,9 +11,15 @@ POINTER = "active string, canary string, previous string, read_preferred string,
 
 
 def write_index(df: DataFrame, path: str, partition: str | None = "tenant") -> None:
-    """Append rows, one folder per tenant. A hot tenant's folder gets as many files as it has input splits."""
-    writer = df.write.mode("append")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
+    """Append rows, one folder per tenant.
+
+    Rows are gathered by tenant first so that tasks do not each write a file per tenant; the rebalance splits a hot
+    tenant over several tasks.
+    """
+    if partition is None:
+        df.write.mode("append").parquet(path)
+    else:
+        df.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
 
 
 def scan_index(spark: SparkSession, path: str, cols: list[str], limit: int | None = None) -> DataFrame:
