@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwell.functions.frames import plain
+
 Embedder = Callable[[pd.Series], list]
 
 
@@ -73,7 +75,7 @@ def embed(
             made: list = []
             for i in range(0, len(frame), batch):
                 made += list(model(frame[text].iloc[i : i + batch]))
-            yield frame[kept].assign(**{out: made})
+            yield plain(frame[kept]).assign(**{out: made})
 
     return source.mapInPandas(run, schema)
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwell.functions.frames import empty, plain
 from siftwell.operators.embed import Embedder, embed
 
 # Bytes of query vectors that may be shipped to every task; larger sets take the grid.
@@ -109,15 +110,17 @@ def _best(queries: _Queries, frame: pd.DataFrame, spec: Spec) -> pd.DataFrame:
 def _emit(queries: _Queries, frame: pd.DataFrame, spec: Spec, payload: Sequence[str]) -> pd.DataFrame:
     frame = _same_size(frame, "__vv", queries.dim).reset_index(drop=True)
     best = _best(queries, frame, spec)
+    if not len(best):
+        return empty([spec.qid, spec.vid, "score", *payload])
     at = best["v"].astype(np.int64).to_numpy()
     out = {
-        spec.qid: queries.ids[best["q"].astype(np.int64).to_numpy()] if len(best) else [],
-        spec.vid: frame["__vid"].to_numpy()[at] if len(best) else [],
+        spec.qid: queries.ids[best["q"].astype(np.int64).to_numpy()],
+        spec.vid: frame["__vid"].to_numpy()[at],
         "score": best["s"].astype(np.float64).to_numpy(),
     }
     for c in payload:
-        out[c] = frame[c].to_numpy()[at] if len(best) else []
-    return pd.DataFrame(out)
+        out[c] = frame[c].to_numpy()[at]
+    return plain(pd.DataFrame(out))
 
 
 def _sides(queries: DataFrame, index: DataFrame, spec: Spec, qvec: str, vvec: str, payload: Sequence[str], stored: bool):
@@ -197,7 +200,7 @@ def knn(
                 found = found.groupby(spec.qid, sort=False).head(spec.k)
             best = found
         if best is not None and len(best):
-            yield best
+            yield plain(best)
 
     return _ranked(v.mapInPandas(run, schema), spec)
 
@@ -228,7 +231,7 @@ def knn_grid(
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+            return empty(schema.names)
         return _emit(_Queries(a, spec), b, spec, payload)
 
     scored = left.drop("__nq", "__nv").groupBy(*keys).cogroup(right.drop("__nq", "__nv").groupBy(*keys)).applyInPandas(run, schema)

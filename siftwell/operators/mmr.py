@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwell.functions.frames import plain
+
 MAX_CANDIDATES = 1000
 
 
@@ -31,7 +33,7 @@ def _select(frame: pd.DataFrame, k: int, lam: float, cid: str) -> pd.DataFrame:
     out = frame.loc[taken, ["qid", cid]].copy()
     out["rank"] = np.arange(1, len(taken) + 1, dtype=np.int32)
     out["mmr"] = values
-    return out
+    return plain(out)
 
 
 def mmr(cands: DataFrame, k: int = 5, lam: float = 0.5, cid: str = "chunk_id") -> DataFrame:

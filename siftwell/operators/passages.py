@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwell.functions.frames import empty, plain
+
 # Characters of passages shipped to every task in one pass.
 MAX_SHIPPED_CHARS = 64_000_000
 
@@ -42,8 +44,8 @@ def find_passages(docs: DataFrame, passages: DataFrame, doc: str, pid: str, carr
 
     def search(find, ids: list, frame: pd.DataFrame) -> pd.DataFrame:
         hits = [(i, ids[j]) for i, t in enumerate(frame[text]) if t for j in sorted(find(t))]
-        out = frame[[doc, *carry]].iloc[[h[0] for h in hits]].reset_index(drop=True)
-        out[pid] = pd.Series([h[1] for h in hits], dtype="object" if not hits else None)
+        out = plain(frame[[doc, *carry]]).iloc[[h[0] for h in hits]].reset_index(drop=True)
+        out[pid] = pd.Series([h[1] for h in hits], dtype="object")
         return out
 
     if chars <= MAX_SHIPPED_CHARS:
@@ -66,7 +68,7 @@ def find_passages(docs: DataFrame, passages: DataFrame, doc: str, pid: str, carr
 
     def cell(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(c):
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+            return empty(schema.names)
         return search(_finder(a["__p"].tolist()), a["__pid"].tolist(), c)
 
     return left.groupBy("__b", "__s").cogroup(right.groupBy("__b", "__s")).applyInPandas(cell, schema)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import scalars as sc
+from siftwell.functions.frames import empty, plain
 from siftwell.operators import ordered as od
 from siftwell.session import materialize
 
@@ -111,7 +112,7 @@ def replay_reuse(log: DataFrame, keys: list[str], ttl: Column | None = None, ord
                     miss.append(True)
                 else:
                     miss.append(False)
-            yield frame[[*keys, "__second", "__first"]].assign(__miss=miss)
+            yield plain(frame[[*keys, "__second", "__first"]]).assign(__miss=miss)
 
     # Every run is independent, so a hot key spreads over tasks; no run is held in memory.
     marks = runs.repartition(*names).sortWithinPartitions(*names, "__second").mapInPandas(replay, schema)
@@ -163,11 +164,13 @@ def semantic_reuse(
             j = int(np.argmax(scores))
             if scores[j] > 0 and scores[j] >= threshold:
                 hits.append((i, lo + j, float(scores[j])))
+        if not hits:
+            return empty([*keys, qid, "match_id", "cosine"])
         rows = [h[0] for h in hits]
         out = frame.loc[rows, [*keys, qid]].copy()
-        out["match_id"] = frame[qid].to_numpy()[[h[1] for h in hits]] if hits else pd.Series(dtype=frame[qid].dtype)
+        out["match_id"] = frame[qid].to_numpy()[[h[1] for h in hits]]
         out["cosine"] = [h[2] for h in hits]
-        return out
+        return plain(out)
 
     return halo.drop("ts").groupBy(*keys, "block").applyInPandas(match, schema)
 

@@ -16,7 +16,7 @@ TIERS = {
     "enterprise": (1200, 32, 4, 32, 10, 80, 500.0),
 }
 DEFAULT_TIER = "pro"
-DEFAULT_OBJECTIVE = "balanced"
+DEFAULT_OBJECTIVE, DEFAULT_PROVIDER = "balanced", "openai"
 
 
 def with_defaults(df: DataFrame, config: DataFrame, defaults: dict[str, object], key: str = "tenant") -> DataFrame:
@@ -81,7 +81,7 @@ def route_provider(requests: DataFrame, policy: DataFrame, health: DataFrame, co
     """
     kind = F.lower(F.nullif("doc_type", F.lit("")))
     asked = requests.withColumn("__kind", kind)
-    wide = F.array(F.lit("openai"))
+    wide = F.array(F.lit(DEFAULT_PROVIDER))
     pairs = asked.select("tenant", "__kind").distinct().join(policy, "tenant", "left").withColumn(
         "__obj", F.lower(F.coalesce(F.nullif("objective", F.lit("")), F.lit(DEFAULT_OBJECTIVE)))
     ).withColumn("__allowed", F.when(F.size("allowed_providers") > 0, F.col("allowed_providers")).otherwise(wide))

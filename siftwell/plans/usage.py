@@ -214,7 +214,7 @@ def a1(spark, sf_dir):
 
 @query("s7_feedback_export", FB + " SELECT tenant, helpful, reason, ts FROM (SELECT * FROM feedback ORDER BY ts DESC, doc_id DESC LIMIT 300) WHERE tenant = 't2'")
 def s7(spark, sf_dir):
-    """Newest 300 rows of all tenants, then one tenant, as the reference order of steps has it."""
+    """Newest 300 rows of all tenants, of which one tenant's are exported."""
     return fb.export_feedback(vw.feedback(spark, sf_dir), 300, "t2").withColumn("ts", sc.epoch(F.col("ts")))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from siftwell.functions.frames import plain
 from siftwell.operators import embed as em
 from siftwell.operators import ingest as ig
 from siftwell.sources.files import MESSAGE
@@ -65,7 +66,7 @@ def embed_safely(df: DataFrame, embedder: em.Embedder, text: str = "text", batch
                     made += [(v, None) for v in embedder(part)]
                 except Exception:  # noqa: BLE001
                     made += [one(v) for v in part]
-            yield frame.assign(embedding=[m[0] for m in made], error=[m[1] for m in made])
+            yield plain(frame).assign(embedding=[m[0] for m in made], error=[m[1] for m in made])
 
     return df.mapInPandas(run, schema)
 
