@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from siftwell.functions.frames import plain
 from siftwell.operators import embed as em
 from siftwell.operators import ingest as ig
+from siftwell.session import materialize
 from siftwell.sources.files import MESSAGE
 
 # Fixed value: attempts after which a failing message goes to the dead-letter table.
@@ -116,14 +117,15 @@ def process_batch(batch: DataFrame, batch_id: int, paths: Paths, embedder: em.Em
     """One micro-batch. Replaying it is harmless: written ids are skipped, side outputs replace their batch folder."""
     spark = batch.sparkSession
     start = time.time()
+    # Read from the source once for all writes below; rebuilt from the inbox files if an executor is lost.
     rows = batch.withColumn("tenant", F.coalesce(F.nullif("tenant", F.lit("")), F.lit(DEFAULT_TENANT))).withColumn(
         "attempts", F.coalesce("attempts", F.lit(0))
-    )
+    ).persist()
     valid, invalid = ig.validate_ingest(rows)
     fresh = ig.dedup_new(ig.select_embed_model(valid, models), seen_ids(spark, paths.index), keep="attempts")
-    # Used by four writes; rebuilt from the inbox files if an executor is lost.
-    done_rows = embed_safely(ig.normalise_rows(fresh), embedder).persist()
     try:
+        # Staged as a table: a cached frame that reads the index would be dropped by the write to the index below.
+        done_rows = materialize(embed_safely(ig.normalise_rows(fresh), embedder), "batch")
         done, retry, dead = split_dlq(done_rows, max_retries)
         done.drop("error", "attempts").write.mode("append").partitionBy("tenant").parquet(paths.index)
         merge_catalog(done, paths.catalog)
@@ -140,7 +142,7 @@ def process_batch(batch: DataFrame, batch_id: int, paths: Paths, embedder: em.Em
             1
         ).write.mode("overwrite").parquet(f"{paths.metrics}/batch={batch_id}")
     finally:
-        done_rows.unpersist()
+        rows.unpersist()
 
 
 def ingest_stream(
