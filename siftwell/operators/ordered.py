@@ -18,6 +18,9 @@ from siftwell.session import materialize
 
 _KEY, _BUCKET = "__key", "__bucket"
 
+# Bucket of rows without a time: they sort first, as NULLs do.
+_NO_TIME = -(2**63)
+
 # Rows one task may have to order; a fuller (key, bucket) makes the split go by row ranges.
 MAX_BUCKET_ROWS = 5_000_000
 
@@ -40,19 +43,17 @@ def keep_latest(df: DataFrame, n: int, by: Sequence[str | Column], partition: Se
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
 
 
-def _bucketed(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, max_rows: int | None = None
-) -> DataFrame:
+def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     # A struct key is never NULL itself, so rows with NULL key columns still join and group.
-    keyed = df.withColumn(_KEY, F.struct(*keys))
-    base = keyed.withColumn(_BUCKET, bucket)
-    sizes = base.groupBy(_KEY, _BUCKET).agg(F.count("*").alias("n")).agg(F.max("n").alias("top"), F.sum("n").alias("all")).first()
-    limit = max_rows or MAX_BUCKET_ROWS
-    if (sizes["top"] or 0) <= limit:
-        return base
-    # Ranges follow keys, then order, so they are non-decreasing along each key; written, they stay the same
-    # whoever reads them again.
-    ranged = keyed.repartitionByRange(-(-sizes["all"] // limit), *keys, *order).withColumn(_BUCKET, F.spark_partition_id().cast("long"))
+    return df.withColumn(_KEY, F.struct(*keys))
+
+
+def _by_ranges(keyed: DataFrame, keys: Sequence[str], order: Sequence[str | Column], rows: int, limit: int) -> DataFrame:
+    """The rows cut into ranges of about ``limit`` rows that follow keys, then order.
+
+    Ranges are non-decreasing along each key; written, they stay the same whoever reads them again.
+    """
+    ranged = keyed.repartitionByRange(-(-rows // limit), *keys, *order).withColumn(_BUCKET, F.spark_partition_id().cast("long"))
     return materialize(ranged, "ranges")
 
 
@@ -68,16 +69,32 @@ def running(
 ) -> DataFrame:
     """Running sums and maxima over ``keys`` in ``order``, up to (and with ``inclusive``, including) each row.
 
-    ``bucket`` must be non-decreasing along ``order``. Sums start at 0, maxima at NULL.
+    ``bucket`` must be non-decreasing along ``order``. Sums start at 0, maxima at NULL. The totals per bucket are
+    written first: they tell whether a bucket is overfull, and with their size known the small ones are broadcast,
+    which leaves one shuffle of the rows.
     """
     sums, maxes = dict(sums or {}), dict(maxes or {})
-    base = _bucketed(df, keys, order, bucket, max_rows)
-    for name, expr in {**sums, **maxes}.items():
-        base = base.withColumn(f"__v_{name}", expr)
-    totals = base.groupBy(_KEY, _BUCKET).agg(
-        *[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums],
-        *[F.max(f"__v_{n}").alias(f"__t_{n}") for n in maxes],
-    )
+    limit = max_rows or MAX_BUCKET_ROWS
+
+    def valued(rows: DataFrame) -> DataFrame:
+        for name, expr in {**sums, **maxes}.items():
+            rows = rows.withColumn(f"__v_{name}", expr)
+        return rows
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(_KEY, _BUCKET).agg(
+            F.count("*").alias("__rows"),
+            *[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums],
+            *[F.max(f"__v_{n}").alias(f"__t_{n}") for n in maxes],
+        )
+
+    keyed = valued(_keyed(df, keys))
+    base = keyed.withColumn(_BUCKET, F.coalesce(bucket, F.lit(_NO_TIME)))
+    totals = materialize(summed(base), "totals")
+    size = totals.agg(F.max("__rows").alias("top"), F.sum("__rows").alias("all")).first()
+    if (size["top"] or 0) > limit:
+        base = _by_ranges(keyed, keys, order, size["all"], limit)
+        totals = materialize(summed(base), "totals")
     before = Window.partitionBy(_KEY).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
         _KEY,
@@ -87,8 +104,7 @@ def running(
     )
     end = Window.currentRow if inclusive else -1
     inside = Window.partitionBy(_KEY, _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    joined = base.join(carry, [_KEY, _BUCKET])
-    out = joined
+    out = base.join(carry, [_KEY, _BUCKET])
     for n in sums:
         out = out.withColumn(
             n,
@@ -117,7 +133,12 @@ def gap_sessions(
     in the key is added too. Each bucket is summarised by its first and last clock, its inner breaks and its size;
     only these summaries are chained per key.
     """
-    base = _bucketed(df, keys, order, bucket, max_rows).withColumn("__clock", clock).withColumn("__gap", gap)
+    keyed = _keyed(df, keys).withColumn("__clock", clock).withColumn("__gap", gap)
+    base = keyed.withColumn(_BUCKET, F.coalesce(bucket, F.lit(_NO_TIME)))
+    sizes = base.groupBy(_KEY, _BUCKET).agg(F.count("*").alias("n")).agg(F.max("n").alias("top"), F.sum("n").alias("all")).first()
+    limit = max_rows or MAX_BUCKET_ROWS
+    if (sizes["top"] or 0) > limit:
+        base = _by_ranges(keyed, keys, order, sizes["all"], limit)
     inside = Window.partitionBy(_KEY, _BUCKET).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = F.col("__clock") - F.lag("__clock").over(inside)
@@ -129,6 +150,7 @@ def gap_sessions(
         F.sum("__break").alias("__breaks"), F.count("*").alias("__rows"), F.max("__clock").alias("__end"),
         F.min(F.struct(*order, "__clock", "__gap")).alias("__head"),
     )
+    summary = materialize(summary, "summary")
     chain = Window.partitionBy(_KEY).orderBy(_BUCKET)
     before = chain.rowsBetween(Window.unboundedPreceding, -1)
     lead = F.col("__head.__clock") - F.lag("__end").over(chain)

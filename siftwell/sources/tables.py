@@ -49,6 +49,17 @@ def successful_writes(spark: SparkSession, log: str) -> DataFrame:
     return spark.read.parquet(log).filter(F.col("error").isNull())
 
 
+def write_lines(df: DataFrame, path: str, partition: str | None = None) -> None:
+    """Append rows as JSON lines, or a single text column as it is; with ``partition`` one folder per value."""
+    writer = df.write.mode("append")
+    if partition:
+        writer = writer.partitionBy(partition)
+    if [t for c, t in df.dtypes if c != partition] == ["string"]:
+        writer.text(path)
+    else:
+        writer.option("ignoreNullFields", "false").json(path)
+
+
 def backup_index(df: DataFrame, path: str, day: str, fmt: str = "parquet") -> str:
     """Copy a table below ``path`` for a day; a day's backup is replaced as a whole."""
     target = f"{path}/date={day}"

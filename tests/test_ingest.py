@@ -171,3 +171,12 @@ def test_promotion_needs_a_passed_gate_or_force(spark, tmp_path):
         tb.failover(spark, path, "moon")
     assert tb.failover(spark, path, "Secondary")["read_preferred"] == "secondary"
     assert tb.read_pointer(spark, path)["active"] == "v2"
+
+
+def test_json_lines_sink(spark, tmp_path):
+    df = spark.createDataFrame([("2024-01-01", "a", 1), ("2024-01-02", None, 2)], "day string, tenant string, n long")
+    tb.write_lines(df, str(tmp_path / "report"), "day")
+    back = spark.read.json(str(tmp_path / "report"))
+    assert {(str(r["day"]), r["tenant"], r["n"]) for r in back.collect()} == {("2024-01-01", "a", 1), ("2024-01-02", None, 2)}
+    tb.write_lines(df.selectExpr("to_json(struct(*)) as summary"), str(tmp_path / "lines"))
+    assert spark.read.text(str(tmp_path / "lines")).count() == 2

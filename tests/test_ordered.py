@@ -108,3 +108,9 @@ def test_latest_rows_are_limited_before_the_shuffle(spark):
     df = od.keep_latest(frame(spark, log(6)), 5, [F.col("ts").desc(), F.col("id").desc()], ["k"])
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_rows_without_a_time_come_first_and_stay(spark):
+    rows = [(1, "a", 5, 1), (2, "a", None, 1), (3, "a", 90, 1), (4, None, None, 1)]
+    got = {r["id"]: r["n"] for r in od.position(frame(spark, rows), ["k"], ["ts", "id"], od.time_bucket("ts", 10)).collect()}
+    assert got == {2: 1, 1: 2, 3: 3, 4: 1}

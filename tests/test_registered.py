@@ -23,8 +23,12 @@ def fixed(value):
     return value + 0.0 if isinstance(value, float) else value
 
 
+# The streams have tests of their own; all of them run here when SIFTWELL_ALL is set.
+CHOSEN = sorted(n for n in QUERIES if os.environ.get("SIFTWELL_ALL") or not n.startswith("p") or n in ("p1_streamed_index", "p8_streamed_rate"))
+
+
 @needs_data
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", CHOSEN)
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     df = QUERIES[name](spark, SF)
