@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwell.functions import scalars as sc
 from siftwell.functions.frames import plain
+from siftwell.session import materialize
 
-MAX_CANDIDATES = 1000
+# Candidates of one query that one task may hold.
+MAX_CANDIDATES = 10_000
 
 
 def _select(frame: pd.DataFrame, k: int, lam: float, cid: str) -> pd.DataFrame:
@@ -36,20 +39,37 @@ def _select(frame: pd.DataFrame, k: int, lam: float, cid: str) -> pd.DataFrame:
     return plain(out)
 
 
-def mmr(cands: DataFrame, k: int = 5, lam: float = 0.5, cid: str = "chunk_id") -> DataFrame:
+def mmr(cands: DataFrame, k: int = 5, lam: float = 0.5, cid: str = "chunk_id", max_group: int = MAX_CANDIDATES) -> DataFrame:
     """Greedy pick of ``k`` per query maximising ``lam * score - (1 - lam) * max similarity to the picked``.
 
-    ``cands`` holds qid, the candidate id, score (similarity to the query) and embedding: the fetch_k best of
-    each query. More than MAX_CANDIDATES per query is refused, as the pick is one task per query.
+    ``cands`` holds qid, the candidate id, score (similarity to the query) and embedding: usually the fetch_k best of
+    each query, which one task handles per query. Should any query have more than ``max_group``, the picks are made in
+    ``k`` rounds over the whole table instead.
     """
-    # One shuffle by query serves the size check and the selection.
-    sized = cands.select("qid", cid, "score", "embedding").repartition("qid").withColumn("__n", F.count("*").over(Window.partitionBy("qid"))).withColumn(
-        "embedding",
-        F.when(F.col("__n") <= MAX_CANDIDATES, F.col("embedding")).otherwise(
-            F.raise_error("too many candidates for one query")
-        ),
-    ).select("qid", cid, "score", "embedding")
+    rows = cands.select("qid", cid, "score", "embedding")
+    largest = rows.groupBy("qid").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if largest > max_group:
+        return _in_rounds(rows, k, lam, cid)
     schema = T.StructType(
         [cands.schema["qid"], cands.schema[cid], T.StructField("rank", T.IntegerType()), T.StructField("mmr", T.DoubleType())]
     )
-    return sized.groupBy("qid").applyInPandas(lambda frame: _select(frame, k, lam, cid), schema)
+    return rows.groupBy("qid").applyInPandas(lambda frame: _select(frame, k, lam, cid), schema)
+
+
+def _in_rounds(rows: DataFrame, k: int, lam: float, cid: str) -> DataFrame:
+    """The same picks, one per query and round; rows stay spread, only the picks (one per query) meet them."""
+    left = materialize(rows.withColumn("__near", F.lit(None).cast("double")), "mmr")
+    picked: DataFrame | None = None
+    for rank in range(1, k + 1):
+        gain = F.when(F.col("__near").isNull(), F.col("score")).otherwise(lam * F.col("score") - (1 - lam) * F.col("__near"))
+        best = left.withColumn("__gain", F.round(gain, 6)).groupBy("qid").agg(
+            F.min_by(F.struct(cid, "embedding", "__gain"), F.struct(-F.col("__gain"), F.col(cid))).alias("p")
+        )
+        best = materialize(best.select("qid", F.col(f"p.{cid}").alias("__cid"), F.col("p.embedding").alias("__vec"), F.col("p.__gain").alias("mmr")), "mmr")
+        found = best.select("qid", F.col("__cid").alias(cid), F.lit(rank).alias("rank"), "mmr")
+        picked = found if picked is None else picked.unionByName(found)
+        if rank < k:
+            near = sc.cosine(F.col("embedding"), F.col("__vec"))
+            left = left.join(best, "qid").filter(F.col(cid) != F.col("__cid")).withColumn("__near", F.greatest("__near", near))
+            left = materialize(left.select("qid", cid, "score", "embedding", "__near"), "mmr")
+    return picked

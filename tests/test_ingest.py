@@ -127,11 +127,11 @@ def test_file_scan_and_document_loading(spark, tmp_path):
 
 
 def test_golden_reader_skips_what_it_cannot_use(spark, tmp_path):
-    lines = ['{"query": "Define stall margin", "expected_sources": ["aero_handbook.pdf"], "keywords": ["stall", "margin"]}', "", "{broken", '{"question": " Q2 "}', '{"query": ""}']
+    lines = ['{"query": "Define lift ratio", "expected_sources": ["handbook.pdf"], "keywords": ["lift", "ratio"]}', "", "{broken", '{"question": " Q2 "}', '{"query": ""}']
     (tmp_path / "golden.jsonl").write_text("\n".join(lines))
     rows = fs.read_golden(spark, str(tmp_path / "golden.jsonl")).collect()
-    assert sorted(r["query"] for r in rows) == ["Define stall margin", "Q2"]
-    assert [r["keywords"] for r in rows if r["query"].startswith("Define")] == [["stall", "margin"]]
+    assert sorted(r["query"] for r in rows) == ["Define lift ratio", "Q2"]
+    assert [r["keywords"] for r in rows if r["query"].startswith("Define")] == [["lift", "ratio"]]
     assert fs.read_golden(spark, str(tmp_path / "golden.jsonl"), 1).count() == 1
     digest = hashlib.sha1((tmp_path / "golden.jsonl").read_bytes()).hexdigest()
     assert fs.golden_hash(spark, str(tmp_path / "golden.jsonl")).first()["golden_hash"] == digest

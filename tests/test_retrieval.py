@@ -239,10 +239,11 @@ def greedy(rows, k, lam):
     return [t[0] for t in taken]
 
 
-def test_diversified_pick_equals_greedy(spark):
+@pytest.mark.parametrize("max_group", [100, 10])
+def test_diversified_pick_equals_greedy(spark, max_group):
     r = np.random.default_rng(11)
     rows = [(q, i, float(r.random()), [float(x) for x in r.normal(size=4)]) for q in range(4) for i in range(15)]
-    df = dv.mmr(spark.createDataFrame(rows, "qid long, chunk_id long, score double, embedding array<double>"), 5, 0.6)
+    df = dv.mmr(spark.createDataFrame(rows, "qid long, chunk_id long, score double, embedding array<double>"), 5, 0.6, max_group=max_group)
     for q in range(4):
         mine = [x["chunk_id"] for x in df.filter(F.col("qid") == q).orderBy("rank").collect()]
         assert mine == greedy([(c, s, v) for g, c, s, v in rows if g == q], 5, 0.6)
