@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftwell.functions import scalars as sc
 from siftwell.operators import ingest as ig
 from siftwell.plans import ingesting as ing
 from siftwell.plans import usage as uq

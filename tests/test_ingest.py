@@ -7,7 +7,6 @@ import hashlib
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from siftwell.operators import ingest as ig
 from siftwell.sources import files as fs
