@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import mixing, packing, quality, sharding
+from siftwell.llm import licenses, mixing, packing, privacy, quality, sharding, vectors
 from siftwell.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,28 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-REGISTERED = [op1_quality_divergence, op2_best_fit_packing, op3_curriculum_mix, op4_kd_shards]
+def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = privacy.sanitation(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+REGISTERED = [
+    op1_quality_divergence,
+    op2_best_fit_packing,
+    op3_curriculum_mix,
+    op4_kd_shards,
+    op6_license_rules,
+    op7_int8_tiles,
+    op8_disclosure,
+]
 QUERIES: dict[str, Query] = {f.__name__: f for f in REGISTERED}
 SQL: dict[str, str] = {}
 
