@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import licenses, mixing, packing, privacy, quality, sharding, vectors
+from siftwell.llm import licenses, mixing, packing, privacy, quality, sharding, vectors, warc
 from siftwell.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -50,6 +55,7 @@ REGISTERED = [
     op2_best_fit_packing,
     op3_curriculum_mix,
     op4_kd_shards,
+    op5_zip_archives,
     op6_license_rules,
     op7_int8_tiles,
     op8_disclosure,
