@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import licenses, mixing, packing, privacy, quality, sharding, vectors, warc
+from siftwell.llm import licenses, line_dedup, mixing, ngram_join, packing, privacy, quality, sharding, vectors, warc
 from siftwell.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,14 @@ def op8_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 REGISTERED = [
     op1_quality_divergence,
     op2_best_fit_packing,
@@ -59,6 +67,8 @@ REGISTERED = [
     op6_license_rules,
     op7_int8_tiles,
     op8_disclosure,
+    op9_ngram_jaccard,
+    op10_fuzzy_lines,
 ]
 QUERIES: dict[str, Query] = {f.__name__: f for f in REGISTERED}
 SQL: dict[str, str] = {}

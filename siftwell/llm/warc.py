@@ -261,7 +261,8 @@ def read_archives(manifest: DataFrame, folder: str, range_bytes: int = 1 << 22)
                 yield pa.RecordBatch.from_pylist(rows, schema=READ_ARROW)
 
     ranges = cut(manifest.select("path").mapInArrow(locate, "path string, start long, sizes array<long>"))
-    return ranges.repartition(F.xxhash64("path", "start")).mapInArrow(read, READ)
+    tasks = max(1, -(-ranges.count() // 8))  # a given number, for rows that stand for megabytes must not be coalesced
+    return ranges.repartition(tasks, "path", "start").mapInArrow(read, READ)
 
 
 def archive_folder(spark: SparkSession) -> str:
