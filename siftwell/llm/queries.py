@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import licenses, line_dedup, mixing, ngram_join, packing, privacy, quality, sharding, vectors, warc
+from siftwell.llm import licenses, line_dedup, mixing, ngram_join, packing, privacy, quality, sharding, twins, vectors, warc
 from siftwell.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,6 @@ REGISTERED = [
     op10_fuzzy_lines,
 ]
 QUERIES: dict[str, Query] = {f.__name__: f for f in REGISTERED}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(twins.SQL)
 
 ship()
