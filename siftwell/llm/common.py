@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import sys
+import uuid
 
+import pyarrow.fs as pafs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,18 +20,44 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+_folders: dict[str, str] = {}
+
+
 def ship() -> None:
     """Let the package travel with the functions that use it, so that workers need not find it on their path."""
     for name in [n for n in sys.modules if n == "siftwell" or n.startswith("siftwell.")]:
         cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables in the shared folder; it goes when the application ends."""
+    root = checkpoint_root(spark)
+    root = root if "://" in root else "file://" + os.path.abspath(root.removeprefix("file:"))
+    if root not in _folders:
+        _folders[root] = f"{root}/llm-{uuid.uuid4().hex}"
+        atexit.register(delete, _folders[root])
+    return _folders[root]
+
+
+def delete(folder: str) -> None:
+    fs, path = pafs.FileSystem.from_uri(folder)
+    if fs.get_file_info(path).type == pafs.FileType.Directory:
+        fs.delete_dir(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder; Spark removes the files with the last reference."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(checkpoint_root(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """``df`` written once to the shared folder and read back: its lineage ends there, and the planner knows its size."""
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` has written and nothing reads any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            delete(os.path.dirname(files[0]))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

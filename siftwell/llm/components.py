@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import cut
+from siftwell.llm.common import cut, forget
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,10 +21,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         parents = cut(left.groupBy("hi").agg(F.min("lo").alias("root")))
         # Edges that the hooking has not used up.
         rest = left.join(parents, "hi").filter("lo <> root").select("lo", F.col("root").alias("other"))
+        rest = cut(rest)
         roots = halved(parents)
-        labels = roots if labels is None else cut(relabelled(labels, "root", roots).unionByName(roots))
-        rest = relabelled(relabelled(rest, "lo", roots), "other", roots)
-        left = cut(rest.select(F.greatest("lo", "other").alias("hi"), F.least("lo", "other").alias("lo")).filter("hi <> lo").distinct())
+        before, labels = labels, roots if labels is None else cut(relabelled(labels, "root", roots).unionByName(roots))
+        moved = relabelled(relabelled(rest, "lo", roots), "other", roots)
+        used, left = left, cut(moved.select(F.greatest("lo", "other").alias("hi"), F.least("lo", "other").alias("lo")).filter("hi <> lo").distinct())
+        forget(used, rest, *([before, roots] if before is not None else []))
     if labels is None:
         return left.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
     return labels.select(F.col("hi").alias("id"), F.col("root").alias("component"))
@@ -43,5 +45,7 @@ def halved(parents: DataFrame) -> DataFrame:
         step = parents.join(up, parents["root"] == F.col("__id"), "left").select("hi", F.coalesce("__up", "root").alias("root"), F.col("__up").isNotNull().alias("moved"))
         step = cut(step)
         if step.filter("moved").isEmpty():
+            forget(step)
             return parents
+        forget(parents)
         parents = step.drop("moved")

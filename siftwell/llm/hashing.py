@@ -7,7 +7,7 @@ import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C55)
 UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 LOWER = np.arange(256, dtype=np.uint8)

@@ -1,8 +1,9 @@
 """N-gram Jaccard join by vertical partitioning.
 
 The global order of n-grams is their hash, with the most frequent ones last. Two linked documents share one of the first
-n-grams of each (the prefix), so the prefixes' fragment gives the candidates; the overlaps of all fragments are counted
-apart and summed per pair (``setjoin``).
+n-grams of each (the prefix), and with a prefix that is longer by k they share k. So the prefixes' fragments, each with
+its own counts per pair, summed, give the candidates; the overlaps of all fragments of those are counted apart and
+summed per pair in the same way (``setjoin``).
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from siftwell.llm.setjoin import Block, Items, Join, Listed, SetJoin, among, ite
 class Documents(Items):
     """A text's distinct shingles of ``width`` words, A-Z lower-cased; of all its words if they are fewer."""
 
+    shared_percent = 5
+
     def __init__(self, width: int, percent: int) -> None:
         self.width, self.percent = width, percent
 
@@ -38,22 +41,22 @@ class Documents(Items):
         yield block.only(sizes > 0) if (sizes == 0).any() else block
 
     def prefix(self, sizes: np.ndarray) -> np.ndarray:
-        return sizes - -(-self.percent * sizes // 100) + 1
+        """A linked document misses at most (100 - percent) % of the tokens; so many more are shared."""
+        return np.minimum(sizes, sizes - -(-self.percent * sizes // 100) + np.maximum(1, sizes * self.shared_percent // 100))
 
-    def leading(self, block: Block, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The first tokens of each item: indexes of tokens, items, places."""
+    def leading(self, block: Block, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first tokens of each item: indexes of tokens, and items."""
         item = np.repeat(np.arange(len(lengths)), lengths)
-        at = np.arange(len(item)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        return block.offsets[item] + at, item, at
+        return block.offsets[item] + np.arange(len(item)) - np.repeat(np.cumsum(lengths) - lengths, lengths), item
 
     def zone(self, block: Block) -> np.ndarray:
         sizes = block.sizes()
-        index, _, _ = self.leading(block, np.minimum(sizes, self.prefix(sizes) + sizes // 10))
+        index, _ = self.leading(block, np.minimum(sizes, self.prefix(sizes) + sizes // 20))
         return block.tokens[index]
 
-    def keys(self, block: Block, late: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def keys(self, block: Block, late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = self.prefix(block.sizes())
-        index, item, at = self.leading(block, lengths)
+        index, item = self.leading(block, lengths)
         keys = block.tokens[index]
         if len(late):
             starts = np.cumsum(lengths) - lengths
@@ -61,7 +64,7 @@ class Documents(Items):
                 tokens = block.tokens[block.offsets[i] : block.offsets[i + 1]]
                 last = among(tokens, late)
                 keys[starts[i] : starts[i] + lengths[i]] = np.concatenate([tokens[~last], tokens[last]])[: lengths[i]]
-        return keys, item, at
+        return keys, item
 
 
 def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80, plan: Join | None = None) -> DataFrame:

@@ -1,11 +1,13 @@
 """Classes of items whose token sets are similar, for items and tokens of any kind.
 
 Items (documents, lines) are read from the texts again in each pass, so that only keys and, for items with a candidate
-partner, sets are ever shuffled. A pass posts keys of each item; items that share a key form a run. Short runs give all
-their pairs, longer ones a star around a member drawn per run. Candidates are verified exactly: the sets that hang
-together are cut into fragments of the token order, each fragment counts its own overlaps, and the counts are summed
-per pair. Verified pairs give components; then members of one long run that are still apart are compared as well,
-so no linked pair can stay apart.
+partner, sets are ever shuffled. A pass posts keys of each item; items that share a key form a run. Linked items share
+a least number of keys. Short runs count the keys that each of their pairs shares; summed over all runs, and with the
+keys that both have in long runs, the count tells which pairs may link. Long runs give a star around a member drawn per
+run, among the members with enough keys in long runs. Candidates are verified exactly: the sets that hang together are
+cut into fragments of the token order, each fragment counts its own overlaps, and the counts are summed per pair.
+Verified pairs give components; then members of one long run that are still apart are compared as well, so no linked
+pair can stay apart.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ from siftwell.llm import hashing
 from siftwell.llm.common import cut
 from siftwell.llm.components import components
 
-POSTING = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4"), ("at", "<i4")])
-RUNS = "kind int, key long, a long, b long, size_a int, size_b int, at_a int, at_b int"
-PAIR, MEMBER, LEADER = 0, 1, 2
+POSTING = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4")])
+RUNS = "kind int, key long, a long, b long, size_a int, size_b int, n int"
+PAIR, MEMBER = 0, 1
 
 
 @dataclass
@@ -61,12 +63,14 @@ class Items:
     """How texts become items and items keys. ``wanted`` names items whose tokens are asked for, by ``item_hash``; others may be left out."""
 
     dtype = np.dtype("<u8")
+    #: Linked items share at least this percentage of the smaller one's size in keys, and one key.
+    shared_percent = 0
 
     def read(self, docs: np.ndarray, texts: pa.Array, wanted: Listed | None = None) -> Iterator[Block]:
         raise NotImplementedError
 
-    def keys(self, block: Block, late: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys, the items they belong to, and each key's place in its item's order."""
+    def keys(self, block: Block, late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and the items they belong to."""
         raise NotImplementedError
 
     def zone(self, block: Block) -> np.ndarray | None:
@@ -106,12 +110,7 @@ class Listed:
         return (self.bits[(slots >> np.uint64(3)).astype(np.int64)] >> (7 - (slots & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
-def need(percent: int, sizes: np.ndarray | int) -> np.ndarray | int:
-    """The least overlap of two linked sets whose sizes sum up to ``sizes``."""
-    return -(-percent * sizes // (100 + percent))
-
-
-def slices(batch: pa.RecordBatch, limit: int = 1 << 22) -> Iterator[tuple[np.ndarray, pa.Array]]:
+def slices(batch: pa.RecordBatch, limit: int = 1 << 21) -> Iterator[tuple[np.ndarray, pa.Array]]:
     """Ids and texts of a batch in pieces of bounded bytes (a longer text is a piece of its own)."""
     texts, ids = batch.column(1), np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
     _, offsets = hashing.text_bytes(texts)
@@ -139,58 +138,37 @@ def among(keys: np.ndarray, listed: np.ndarray) -> np.ndarray:
 
 
 def runs_of(records: np.ndarray, percent: int, short_run: int, dealt: np.ndarray) -> pd.DataFrame:
-    """Pairs of short runs, stars and members of long ones (rows of RUNS). Runs of ``dealt`` keys count as long: they go on in other parts."""
-    records = records[np.lexsort((records["at"], records["node"], records["key"]))]
+    """Pairs of short runs with the number of keys they share, and members of long ones (rows of RUNS).
+
+    Runs of ``dealt`` keys count as long: they go on in other parts.
+    """
+    records = records[np.lexsort((records["node"], records["key"]))]
     fresh = np.ones(len(records), bool)
     fresh[1:] = (records["key"][1:] != records["key"][:-1]) | (records["node"][1:] != records["node"][:-1])
     records = records[fresh]
     starts = np.flatnonzero(np.concatenate([[True], records["key"][1:] != records["key"][:-1]])) if len(records) else np.zeros(0, np.int64)
     lengths = np.diff(np.append(starts, len(records)))
-    left, right = [], []
     long = (lengths > short_run) | among(records["key"][starts], dealt)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for n in range(2, short_run + 1):
         first = starts[(lengths == n) & ~long]
         if len(first):
             i, j = np.triu_indices(n, 1)
             left.append((first[:, None] + i).ravel())
             right.append((first[:, None] + j).ravel())
-    members = np.zeros(0, np.int64)
-    leaders = np.zeros(0, np.int64)
-    if long.any():
-        members = np.flatnonzero(np.repeat(long, lengths))
-        run = np.repeat(np.arange(long.sum()), lengths[long])
-        rank = hashing.mixed(records["node"][members].view(np.uint64) ^ records["key"][members])
-        order = np.lexsort((rank, run))
-        leaders = members[order[np.concatenate([[True], run[order][1:] != run[order][:-1]])]]
-        left.append(members)
-        right.append(leaders[run])
-    x, y = (np.concatenate(s) if s else np.zeros(0, np.int64) for s in (left, right))
-    x, y = x[x != y], y[x != y]
-    keep = possible(records["size"][x], records["at"][x], records["size"][y], records["at"][y], percent)
-    x, y = x[keep], y[keep]
-    swap = records["node"][x] > records["node"][y]
-    x, y = np.where(swap, y, x), np.where(swap, x, y)
-    pairs = pd.DataFrame({"a": records["node"][x], "b": records["node"][y], "size_a": records["size"][x], "size_b": records["size"][y]}).drop_duplicates(["a", "b"])
-    out = [pairs.assign(kind=PAIR, key=0, at_a=0, at_b=0)]
-    for kind, chosen in ((MEMBER, members), (LEADER, leaders)):
-        r = records[chosen]
-        out.append(pd.DataFrame({"kind": kind, "key": r["key"].view(np.int64), "a": r["node"], "b": 0, "size_a": r["size"], "size_b": 0, "at_a": r["at"], "at_b": 0}))
+    x, y = records[np.concatenate(left)], records[np.concatenate(right)]  # nodes ascend within a run
+    near = 100 * np.minimum(x["size"], y["size"]).astype(np.int64) >= percent * np.maximum(x["size"], y["size"]).astype(np.int64)
+    pairs = pd.DataFrame({"a": x["node"][near], "b": y["node"][near], "size_a": x["size"][near], "size_b": y["size"][near]})
+    pairs = pairs.groupby(["a", "b", "size_a", "size_b"], sort=False).size().rename("n").reset_index().assign(kind=PAIR, key=0)
+    m = records[np.repeat(long, lengths)]
+    members = pd.DataFrame({"kind": MEMBER, "key": m["key"].view(np.int64) if len(m) else [], "a": m["node"], "b": 0, "size_a": m["size"], "size_b": 0, "n": 1})
     names = [c.split()[0] for c in RUNS.split(", ")]
-    return pd.concat(out)[names].astype({n: "int64" if n in ("key", "a", "b") else "int32" for n in names})
+    return pd.concat([pairs, members])[names].astype({n: "int64" if n in ("key", "a", "b") else "int32" for n in names})
 
 
-def possible(size_a, at_a, size_b, at_b, percent):  # noqa: ANN001, ANN201 - arrays or columns
-    """Whether sizes, and what is left behind the first common key of an order, allow a link (``at`` below 0: no order)."""
-    greatest = np.maximum(size_a, size_b).astype(np.int64)
-    least = np.minimum(size_a, size_b).astype(np.int64)
-    rest = np.where(at_a < 0, least, 1 + np.minimum(size_a - at_a - 1, size_b - at_b - 1))
-    return (100 * least >= percent * greatest) & (rest * (100 + percent) >= percent * (least + greatest))
-
-
-def possible_columns(percent: int) -> Column:
-    least, greatest = F.least("size_a", "size_b").cast("long"), F.greatest("size_a", "size_b").cast("long")
-    rest = F.when(F.col("at_a") < 0, least).otherwise(1 + F.least(F.col("size_a") - F.col("at_a") - 1, F.col("size_b") - F.col("at_b") - 1))
-    return (100 * least >= percent * greatest) & (rest * (100 + percent) >= percent * (least + greatest))
+def near_sizes(percent: int) -> Column:
+    """Whether the sizes of a pair allow a link."""
+    return 100 * F.least("size_a", "size_b").cast("long") >= percent * F.greatest("size_a", "size_b").cast("long")
 
 
 class SetJoin:
@@ -269,12 +247,12 @@ class SetJoin:
         shared = self.spark.sparkContext.broadcast(late)
 
         def make(block: Block, nodes: np.ndarray, parts: int):  # noqa: ANN202
-            keys, item, at = items.keys(block, shared.value)
+            keys, item = items.keys(block, shared.value)
             records = np.zeros(len(keys), POSTING)
-            records["key"], records["node"], records["size"], records["at"] = keys, nodes[item], block.sizes()[item], at
+            records["key"], records["node"], records["size"] = keys, nodes[item], block.sizes()[item]
             if salts == 1 or not len(shared.value):
                 return records, parts, keys
-            # Runs of frequent tokens may be of any length: they are dealt over several parts, whose leaders meet later.
+            # Runs of frequent tokens may be of any length: they are dealt over several parts.
             salt = np.where(among(keys, shared.value), hashing.mixed(records["node"].view(np.uint64)) % np.uint64(salts), np.uint64(0))
             with np.errstate(over="ignore"):
                 return records, parts, hashing.mixed(keys + salt * hashing.BASE)
@@ -284,26 +262,37 @@ class SetJoin:
 
         return cut(self.passed(make, copied).groupBy("part").applyInPandas(find, RUNS))
 
-    def candidates(self, runs: DataFrame) -> DataFrame:
-        """Distinct pairs: those of the parts, and the leaders of a key's parts with one among them."""
-        leaders = runs.filter(F.col("kind") == LEADER)
-        rank = F.struct(F.xxhash64("a", "key").alias("rank"), "a", "size_a", "at_a")
-        chief = leaders.groupBy("key").agg(F.min(rank).alias("c"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("c.a").alias("b"), F.col("c.size_a").alias("size_b"), F.col("c.at_a").alias("at_b"))
-        across = leaders.drop("b", "size_b", "at_b").join(chief, "key").filter("a <> b").filter(possible_columns(self.plan.percent))
-        pairs = runs.filter(F.col("kind") == PAIR).select("a", "b", "size_a", "size_b").unionByName(ordered(across))
-        return cut(pairs.distinct())
-
-    def apart(self, runs: DataFrame, groups: DataFrame) -> DataFrame:
+    def least_shared(self, size: Column, percent: int = 100) -> Column:
+        """Keys that an item shares with any linked one of at least ``percent`` of its size."""
+        return F.greatest(F.lit(1), F.floor(size.cast("long") * (self.items.shared_percent * percent) / 10_000))
+
+    def candidates(self, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Distinct pairs that may link, and the members of long runs that can have links through those alone."""
+        rows = runs.filter(F.col("kind") == MEMBER).select("key", "a", "size_a")
+        held = cut(rows.groupBy("a").agg(F.count("*").alias("held"), F.max("size_a").alias("size")))
+        enough = held.filter(F.col("held") >= self.least_shared(F.col("size"), self.plan.percent)).select("a")
+        members = cut(rows.join(enough, "a"))
+        chief = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("a", "key").alias("rank"), "a", "size_a")).alias("c"))
+        chief = cut(chief.select("key", F.col("c.a").alias("b"), F.col("c.size_a").alias("size_b")))
+        stars = ordered(members.join(chief, "key").filter("a <> b").filter(near_sizes(self.plan.percent)))
+        counted = runs.filter(F.col("kind") == PAIR).groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
+        held_a, held_b = held.select("a", F.col("held").alias("held_a")), held.select(F.col("a").alias("b"), F.col("held").alias("held_b"))
+        counted = counted.join(held_a, "a", "left").join(held_b, "b", "left")
+        in_long = F.coalesce(F.least("held_a", "held_b"), F.lit(0))
+        in_long = F.when(F.col("held_a").isNull() | F.col("held_b").isNull(), F.lit(0)).otherwise(in_long)
+        likely = counted.filter(F.col("n") + in_long >= self.least_shared(F.least("size_a", "size_b")))
+        return cut(likely.select("a", "b", "size_a", "size_b").unionByName(stars).distinct()), members
+
+    def apart(self, members: DataFrame, groups: DataFrame) -> DataFrame:
         """Pairs of one long run that are in different components: every member outside the run's largest component with all others."""
-        rows = runs.filter(F.col("kind") == MEMBER).select("key", "a", "size_a", "at_a")
-        rows = rows.join(groups.select(F.col("id").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+        rows = members.join(groups.select(F.col("id").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
         rows = cut(rows)
         counts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
         main = cut(counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("m.component").alias("main")))
-        mixed_runs = cut(rows.join(main, "key"))
-        strays = mixed_runs.filter("component <> main")
-        others = mixed_runs.select("key", F.col("a").alias("b"), F.col("size_a").alias("size_b"), F.col("at_a").alias("at_b"), F.col("component").alias("component_b"))
-        met = strays.join(others, "key").filter("component <> component_b and (component_b = main or a < b)").filter(possible_columns(self.plan.percent))
+        divided = cut(rows.join(main, "key"))
+        strays = divided.filter("component <> main")
+        others = divided.select("key", F.col("a").alias("b"), F.col("size_a").alias("size_b"), F.col("component").alias("component_b"))
+        met = strays.join(others, "key").filter("component <> component_b and (component_b = main or a < b)").filter(near_sizes(self.plan.percent))
         return cut(ordered(met).distinct())
 
     def verified(self, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -391,9 +380,10 @@ class SetJoin:
         firsts = cut(firsts.select("node", F.col("f.doc_id").alias("doc_id"), F.col("f.line").alias("line"), "n"))
         copied = self.copied(firsts)
         runs = self.runs(copied, self.late(copied), members.count())
-        links = self.verified(self.candidates(runs), firsts)
+        pairs, long = self.candidates(runs)
+        links = self.verified(pairs, firsts)
         groups = components(links)
-        more = self.verified(self.apart(runs, groups), firsts)
+        more = self.verified(self.apart(long, groups), firsts)
         if not more.isEmpty():
             groups = components(links.unionByName(more))
         labelled = firsts.join(groups.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import cut, order_key, running
+from siftwell.llm.common import cut, forget, order_key, running
 
 BINS = 1024
 #: The tree lives on the driver; more shards than this are made by sharding the shards.
@@ -94,8 +94,9 @@ def grow(rows: DataFrame, dims: int, shards: int) -> DataFrame:
             high.append(len(below) + (k > 1))
             below += [(first, k // 2), (first + k // 2, k - k // 2)] if k > 1 else [(first, k)]
         # Kept per level: the rows are narrow, and an expression over all levels would outgrow compiled code.
-        rows = cut(rows.withColumn("node", F.when(own_key(widest) < at_node(cuts), at_node(low, "int")).otherwise(at_node(high, "int"))))
+        above, rows = rows, cut(rows.withColumn("node", F.when(own_key(widest) < at_node(cuts), at_node(low, "int")).otherwise(at_node(high, "int"))))
         nodes = below
+        forget(above)
     return rows.withColumn("shard", at_node([first for first, _ in nodes], "int"))
 
 

@@ -25,8 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import cut
-from siftwell.session import checkpoint_root
+from siftwell.llm.common import cut, scratch
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Fixed values of the ZIP format: signatures, and what stands in for a number that a ZIP64 field holds.
@@ -266,9 +265,8 @@ def read_archives(manifest: DataFrame, folder: str, range_bytes: int = 1 << 22)
 
 
 def archive_folder(spark: SparkSession) -> str:
-    """A new folder for archives among the shared intermediate data."""
-    root = checkpoint_root(spark)
-    return f"{root if '://' in root else 'file://' + os.path.abspath(root.removeprefix('file:'))}/archives-{uuid.uuid4().hex}"
+    """A new folder for archives among the shared intermediate data; it goes when the application ends."""
+    return f"{scratch(spark)}/archives-{uuid.uuid4().hex}"
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
