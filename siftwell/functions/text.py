@@ -31,10 +31,19 @@ TROUBLE_TERMS = ["error", "exception", "stack trace", "failed", "failure", "bug"
 EXPLORE_TERMS = ["overview", "explain", "guide", "walkthrough"]
 EXPLORE_MIN_TOKENS = 20
 
+# The phrases that frame a question.
+CONTEXT_HEAD, CONTEXT_TAIL = "Previous context (most recent first):\n", "\n\nNew question: "
+STYLE_HEAD, STYLE_TAIL = "Follow these tenant-specific instructions when answering:\n", "\n\nQuestion: "
+
 # Fixed value: answer piece size in characters.
 CHUNK_CHARS = 128
 
 
+def strip(text: Column) -> Column:
+    """The text without white space of any kind at either end."""
+    return F.regexp_replace(text, f"^{WS}|{WS}$", "")
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased white-space tokens, empty ones dropped."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WS), lambda t: t != "")
@@ -99,7 +108,7 @@ def classify_intent(query: Column) -> Column:
 
 def is_arithmetic(query: Column) -> Column:
     """True when the trimmed query holds only digits, operators, parentheses, dots and spaces."""
-    return F.coalesce(F.trim(query).rlike(r"^[0-9\s+\-*/().]+$"), F.lit(False))
+    return F.coalesce(strip(query).rlike(r"^[0-9\s+\-*/().]+$"), F.lit(False))
 
 
 def history_block(turns: Column) -> Column:
@@ -114,20 +123,10 @@ def history_block(turns: Column) -> Column:
 
 
 def assemble_prompt(query: Column, turns: Column, style: Column) -> Column:
-    """Recent turns and the tenant's style text wrapped around the question."""
-    base = F.when(
-        F.size(turns) > 0,
-        F.concat(
-            F.lit("Previous context (most recent first):\n"), history_block(turns), F.lit("\n\nNew question: "), query
-        ),
-    ).otherwise(query)
-    wish = F.trim(F.coalesce(style, F.lit("")))
-    return F.when(
-        wish != "",
-        F.concat(
-            F.lit("Follow these tenant-specific instructions when answering:\n"), wish, F.lit("\n\nQuestion: "), base
-        ),
-    ).otherwise(base)
+    """The question behind its recent turns, if any, and those behind the tenant's style text, if any."""
+    asked = F.when(F.size(turns) > 0, F.concat(F.lit(CONTEXT_HEAD), history_block(turns), F.lit(CONTEXT_TAIL), query)).otherwise(query)
+    wish = strip(F.coalesce(style, F.lit("")))
+    return F.when(wish != "", F.concat(F.lit(STYLE_HEAD), wish, F.lit(STYLE_TAIL), asked)).otherwise(asked)
 
 
 def estimate_tokens(*texts: Column) -> Column:

@@ -80,7 +80,7 @@ def embed(
     return source.mapInPandas(run, schema)
 
 
-def reembed(active: DataFrame, embedder: Embedder | None = None, limit: int | None = 10000, batch: int = 256) -> DataFrame:
+def reembed(active: DataFrame, embedder: Embedder | None = None, limit: int | None = None, batch: int = 256) -> DataFrame:
     """Rows of the active table with fresh vectors; rows without text are skipped."""
     rows = active.filter(F.coalesce(F.length("text"), F.lit(0)) > 0)
     if limit is not None:

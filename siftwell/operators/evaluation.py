@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import scalars as sc
+from siftwell.functions import text as tx
 from siftwell.operators import ordered as od
 from siftwell.session import side_by_side
 
 # Drift and gate thresholds.
 DRIFT_WINDOW, DRIFT_ROWS, DRIFT_EDGE = 3600, 10, 0.05
-GATE = {"max_latency_increase_pct": 20.0, "min_source_overlap": 0.8, "sample_count": 50}
+GATE = {"max_latency_increase_pct": 20.0, "min_source_overlap": 0.8}
 DEFAULT_TENANT = "__default__"
 
 
@@ -35,8 +36,8 @@ def eval_rows(golden: DataFrame, results: DataFrame) -> DataFrame:
     first = F.coalesce(F.try_element_at("expected_sources", F.lit(1)), F.lit(""))
     return joined.select(
         "query_id",
-        F.when(F.trim(F.coalesce("tenant", F.lit(""))) == "", DEFAULT_TENANT).otherwise(F.trim("tenant")).alias("tenant"),
-        F.coalesce(F.nullif(F.trim("expected_doc_type"), F.lit("")), sc.doc_type_of(first)).alias("doc_type"),
+        F.coalesce(F.nullif(tx.strip(F.col("tenant")), F.lit("")), F.lit(DEFAULT_TENANT)).alias("tenant"),
+        F.coalesce(F.nullif(tx.strip(F.col("expected_doc_type")), F.lit("")), sc.doc_type_of(first)).alias("doc_type"),
         ran.alias("ran"),
         F.when(ran & hit, 1).otherwise(0).alias("hit"),
         F.when(ran, part_share(F.col("expected_answer_contains"), F.col("answer"), 0.0)).otherwise(0.0).alias("answer_score"),
@@ -87,11 +88,12 @@ def eval_history(runs: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def drift_status(judged: DataFrame, as_of: Column, window: int = DRIFT_WINDOW, tenant: str | None = None) -> DataFrame:
-    """Wins, ties and mean score change inside the window, with a verdict once there are ten rows.
+    """Wins, ties and mean score change inside the window that ends at ``as_of`` (all rows with window 0), with a verdict once there are ten rows.
 
     One row, or one per tenant when ``tenant`` is ``"*"``.
     """
-    rows = judged.filter((sc.epoch(as_of) - sc.epoch(F.col("ts")) <= window) if window else F.lit(True))
+    age = sc.epoch(as_of) - sc.epoch(F.col("ts"))
+    rows = judged.filter((age >= 0) & (age <= window) if window else F.lit(True))
     if tenant not in (None, "*"):
         rows = rows.filter(F.col("tenant") == tenant)
     grouped = rows.groupBy("tenant") if tenant == "*" else rows.groupBy()
@@ -138,10 +140,10 @@ def shadow_pairs(runs: DataFrame) -> DataFrame:
     )
 
 
-def measure_index(runs: DataFrame, keys: tuple[str, ...] = ("collection",), width: float = 0.05) -> DataFrame:
+def measure_index(runs: DataFrame, keys: tuple[str, ...] = ("collection",)) -> DataFrame:
     """p50 and p95 latency per collection over the queries that did not fail."""
     ok = runs.filter(F.col("error").isNull())
-    pct = od.rank_percentiles(ok, list(keys), "latency_s", [0.5, 0.95], width)
+    pct = od.rank_percentiles(ok, list(keys), "latency_s", [0.5, 0.95])
     return pct.groupBy(*keys).agg(
         F.max(F.when(F.col("p") == 0.5, F.col("pctl"))).alias("p50"), F.max(F.when(F.col("p") == 0.95, F.col("pctl"))).alias("p95"),
         F.max("n").alias("n"),

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.functions import text as tx
 from siftwell.operators import ordered as od
 
 # Report sizes and gate settings.
-SUMMARY_LIMIT, EXPORT_LIMIT, TOP = 500, 1000, 10
-GATE_WINDOW, GATE_MIN, GATE_HELPFUL = 200, 10, 0.55
+TOP, GATE_HELPFUL = 10, 0.55
 
 
 def append_feedback(df: DataFrame, as_of: Column) -> DataFrame:
@@ -36,8 +36,10 @@ def append_feedback(df: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def newest_per_tenant(fb: DataFrame, limit: int, order: str, tail: str = "tenant", tenant: str | None = None) -> DataFrame:
-    """Newest rows: per tenant, or (``global``) the newest of all tenants taken before any tenant filter."""
+def newest_per_tenant(fb: DataFrame, limit: int | None, order: str, tail: str = "tenant", tenant: str | None = None) -> DataFrame:
+    """Newest rows (all without a limit): per tenant, or (``global``) the newest of all tenants taken before any tenant filter."""
+    if limit is None:
+        return fb if tenant is None else fb.filter(F.col("tenant") == tenant)
     by = [F.col("ts").desc(), F.col(order).desc()]
     if tail == "global":
         kept = od.keep_latest(fb, limit, by)
@@ -66,14 +68,14 @@ def _top_values(values: DataFrame, name: str, top: int) -> DataFrame:
 
 def top_feedback_values(rows: DataFrame, top: int = TOP) -> DataFrame:
     """Most frequent reasons and tags per tenant (trimmed, empty ones dropped; ties by text)."""
-    reasons = rows.select("tenant", F.trim(F.coalesce("reason", F.lit(""))).alias("reason"))
-    tags = rows.select("tenant", F.explode("tags").alias("tag")).select("tenant", F.trim("tag").alias("tag"))
+    reasons = rows.select("tenant", tx.strip(F.coalesce("reason", F.lit(""))).alias("reason"))
+    tags = rows.select("tenant", F.explode("tags").alias("tag")).select("tenant", tx.strip(F.col("tag")).alias("tag"))
     return _top_values(reasons, "reason", top).unionByName(_top_values(tags, "tag", top))
 
 
-def feedback_summary(fb: DataFrame, tenants: DataFrame, limit: int = SUMMARY_LIMIT, order: str = "doc_id", tail: str = "tenant", top: int = TOP) -> DataFrame:
+def feedback_summary(fb: DataFrame, tenants: DataFrame, limit: int | None = None, order: str = "doc_id", tail: str = "tenant", top: int = TOP) -> DataFrame:
     """Rates plus top reasons and tags per tenant; tenants without feedback show count 0 and NULL rates."""
-    rows = newest_per_tenant(fb, max(10, limit), order, tail)
+    rows = newest_per_tenant(fb, limit, order, tail)
     tops = top_feedback_values(rows, top)
 
     def listed(kind: str) -> Column:
@@ -90,15 +92,20 @@ def feedback_summary(fb: DataFrame, tenants: DataFrame, limit: int = SUMMARY_LIM
     )
 
 
-def export_feedback(fb: DataFrame, limit: int = EXPORT_LIMIT, tenant: str | None = None, order: str = "doc_id", tail: str = "global") -> DataFrame:
+def export_feedback(fb: DataFrame, limit: int | None = None, tenant: str | None = None, order: str = "doc_id", tail: str = "global") -> DataFrame:
     """Training rows (tenant, helpful, reason, ts) of the newest feedback, ready for a JSON-lines sink."""
     rows = newest_per_tenant(fb, limit, order, tail, tenant)
     return rows.select("tenant", F.coalesce("helpful", F.lit(False)).alias("helpful"), "reason", "ts")
 
 
-def rerank_canary(fb: DataFrame, window: int = GATE_WINDOW, threshold: float = GATE_HELPFUL, order: str = "doc_id") -> DataFrame:
-    """Per tenant whether reranking stays on: helpful share of the newest ``window`` rows at or above the threshold."""
-    rows = newest_per_tenant(fb, max(GATE_MIN, window), order)
+def rerank_canary(fb: DataFrame, window: int | None = None, threshold: float = GATE_HELPFUL, order: str = "doc_id") -> DataFrame:
+    """Per tenant whether reranking stays on: helpful share of all rows, or the newest ``window``, at or above the threshold."""
+    rows = newest_per_tenant(fb, window, order)
     return rows.groupBy("tenant").agg(
         F.count("*").alias("count"), (F.count_if("helpful") / F.count("*")).alias("helpful_rate")
     ).withColumn("enable", F.col("helpful_rate") >= threshold)
+
+
+def canary_history(decisions: DataFrame, as_of: Column) -> DataFrame:
+    """The row that each decision leaves in the history."""
+    return decisions.select("tenant", "enable", "helpful_rate", "count", as_of.alias("ts"))

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.functions import text as tx
+
 from siftwell.functions import scalars as sc
 
 # Fixed value: longest accepted query.
@@ -80,9 +82,11 @@ def enforce_tenant(queries: DataFrame, caller: str = "caller_tenant") -> DataFra
     return queries.withColumn("tenant", F.col(caller))
 
 
-def valid_queries(df: DataFrame, query: str = "query", max_chars: int = MAX_QUERY_CHARS) -> DataFrame:
-    trimmed = F.trim(F.col(query))
-    return df.withColumn(query, trimmed).filter(F.length(F.col(query)).between(1, max_chars))
+def valid_queries(df: DataFrame, query: str = "query", max_chars: int = MAX_QUERY_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(valid, invalid): stripped queries of 1 to ``max_chars`` characters, and the others with a ``reason``."""
+    rows = df.withColumn(query, tx.strip(F.coalesce(F.col(query), F.lit(""))))
+    size = F.length(F.col(query))
+    return rows.filter(size.between(1, max_chars)), rows.filter(~size.between(1, max_chars)).withColumn("reason", F.when(size == 0, "empty_query").otherwise("query_too_long"))
 
 
 def policy_hints(queries: DataFrame, policy: DataFrame) -> DataFrame:
@@ -114,7 +118,13 @@ def route_collection(queries: DataFrame, routes: DataFrame, default: str = "defa
     )
 
 
-def sample_stable(df: DataFrame, rate: float, key: str, seed: int = 0) -> DataFrame:
-    """Deterministic sample by key hash at ``rate`` (clamped to 0..1); the same key is always in or out."""
+def in_sample(rate: float, key: str, seed: int = 0) -> Column:
+    """Whether a row's key falls into a sample of ``rate`` (clamped to 0..1): a hash that any engine can compute."""
     bound = int(round(max(0.0, min(1.0, rate)) * 1_000_000))
-    return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1_000_000)) < bound)
+    named = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long") % 1_000_000 < bound
+
+
+def sample_stable(df: DataFrame, rate: float, key: str, seed: int = 0) -> DataFrame:
+    """Deterministic sample by key hash; the same key is always in or out."""
+    return df.filter(in_sample(rate, key, seed))

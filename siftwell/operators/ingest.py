@@ -10,7 +10,6 @@ from siftwell.functions import scalars as sc
 
 # Defaults for chunking and the index columns.
 CHUNK_SIZE, CHUNK_OVERLAP = 1000, 200
-MAX_TEXT = 65000
 BLOCK_PIECES = 64
 SEPARATORS = ["\n\n", "\n", " ", ""]
 
@@ -115,12 +114,9 @@ def validate_ingest(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter(ok), rows.filter(~ok).withColumn("reason", F.lit("empty_text"))
 
 
-def normalise_rows(df: DataFrame, id_chars: int = 40, max_text: int = MAX_TEXT) -> DataFrame:
-    return (
-        df.withColumn("id", F.substring("id", 1, id_chars))
-        .withColumn("text", F.substring("text", 1, max_text))
-        .withColumn("page", F.col("page").cast("long"))
-    )
+def normalise_rows(df: DataFrame, id_chars: int = 40) -> DataFrame:
+    """Ids of bounded length; texts stay whole, for the id is the hash of all of one."""
+    return df.withColumn("id", F.substring("id", 1, id_chars)).withColumn("page", F.col("page").cast("long"))
 
 
 def select_embed_model(df: DataFrame, spec: str, out: str = "embed_model") -> DataFrame:
@@ -136,6 +132,13 @@ def select_embed_model(df: DataFrame, spec: str, out: str = "embed_model") -> Da
     return df.withColumn(out, F.when(found == "small", "small").otherwise("large"))
 
 
+def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per ``keys``: the first by ``order``, then by all other columns, so that it is always the same one."""
+    others = [c for c in df.columns if c not in keys]
+    ranked = F.struct(*order, *[c for c in others if c not in order])
+    return df.groupBy(*keys).agg(F.min(ranked).alias("__r")).select(*keys, "__r.*").select(*df.columns)
+
+
 def dedup_new(df: DataFrame, seen: DataFrame | None, keep: str, key: str = "id", unique: bool = False) -> DataFrame:
     """One row per ``key`` (the smallest ``keep``) that ``seen`` does not hold yet.
 
@@ -171,19 +174,12 @@ def catalog_parts(index: DataFrame, *extra: Column) -> DataFrame:
 
 
 def filter_catalog(index: DataFrame) -> DataFrame:
-    """Per tenant the sorted distinct sources and doc types and the date range; empty strings do not count."""
-    # DISTINCT runs first with map-side combine, so the per-tenant sets are built from distinct values only. The
-    # marker entry keeps tenants that have no value at all.
-    marker = F.struct(F.lit("tenant").alias("field"), F.lit("x").alias("value"))
-    parts = catalog_parts(index, marker)
-
-    def values(field: str) -> Column:
-        return F.sort_array(F.collect_list(F.when(F.col("field") == field, F.col("value"))))
-
-    is_date = F.when(F.col("field") == "date", F.col("value"))
-    return parts.groupBy("tenant").agg(
-        values("source").alias("sources"),
-        values("doc_type").alias("doc_types"),
-        F.min(is_date).alias("date_min"),
-        F.max(is_date).alias("date_max"),
-    )
+    """Rows (tenant, field, value) of the filter catalog, as ``catalog_rows`` gives them; empty strings do not count."""
+    return catalog_rows(catalog_parts(index))
+
+
+def catalog_rows(parts: DataFrame) -> DataFrame:
+    """Distinct sources and doc types of each tenant, a row each, and its first and last date as ``date_min`` and ``date_max``."""
+    dates = parts.filter(F.col("field") == "date").groupBy("tenant").agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    ends = F.inline(F.array(F.struct(F.lit("date_min").alias("field"), F.col("a").alias("value")), F.struct(F.lit("date_max").alias("field"), F.col("b").alias("value"))))
+    return parts.filter(F.col("field") != "date").select("tenant", "field", "value").distinct().unionByName(dates.select("tenant", ends))

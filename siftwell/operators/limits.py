@@ -83,11 +83,16 @@ def budget_throttle(
 def concurrency_peak(intervals: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Peak number of requests in flight per tenant and bucket; ``intervals``: tenant, start_ts, end_ts.
 
-    An end at the same instant as a start frees its slot first.
+    An end at the same instant as a start frees its slot first. Every bucket from a tenant's first start to its last
+    end has a row: the level that it begins with counts, also where nothing starts or ends.
     """
     starts = intervals.select("tenant", F.col("start_ts").alias("ts"), F.lit(1).alias("step"))
     ends = intervals.select("tenant", F.col("end_ts").alias("ts"), F.lit(-1).alias("step"))
     steps = starts.unionByName(ends)
     bucket = od.time_bucket("ts", bucket_seconds)
-    level = od.running(steps, ["tenant"], ["ts", "step"], bucket, {"in_flight": F.col("step")})
+    # A step of nothing opens each bucket, after what ends at that very instant.
+    span = steps.groupBy("tenant").agg(F.min(bucket).alias("__a"), F.max(bucket).alias("__b"))
+    opened = span.select("tenant", F.explode(F.sequence("__a", "__b")).alias("__o"))
+    opened = opened.select("tenant", F.timestamp_seconds(F.col("__o") * bucket_seconds).alias("ts"), F.lit(0).alias("step"))
+    level = od.running(steps.unionByName(opened), ["tenant"], ["ts", "step"], bucket, {"in_flight": F.col("step")})
     return level.withColumn("bucket", bucket).groupBy("tenant", "bucket").agg(F.max("in_flight").alias("peak"))

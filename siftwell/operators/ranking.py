@@ -122,8 +122,9 @@ def blend(
     overrides the defaults.
     """
     if isinstance(weights, DataFrame):
-        # Two rows at most, read once: an override of a setting.
-        override = {r["name"]: r["weight"] for r in weights.filter(F.col("name").isin("dense", "bm25")).limit(2).collect()}
+        # One row per name, the newest (by ts if there is one) where a name is repeated.
+        newest = F.max_by("weight", F.struct("ts", "weight")) if "ts" in weights.columns else F.max("weight")
+        override = {r["name"]: r["weight"] for r in weights.filter(F.col("name").isin("dense", "bm25")).groupBy("name").agg(newest.alias("weight")).collect()}
     else:
         override = weights or {}
     w = {side: F.lit(float(override.get(side, default))) for side, default in WEIGHTS.items()}
@@ -184,10 +185,14 @@ def rerank(cands: DataFrame, scorer: PairScorer | None = None, top_k: int | None
 
 
 def rerank_capped(
-    cands: DataFrame, cap: int = RERANK_CAP, order: str = "rk", scorer: PairScorer | None = None, cid: str = "chunk_id"
+    cands: DataFrame, cap: int, order: str = "rk", scorer: PairScorer | None = None, cid: str = "chunk_id"
 ) -> DataFrame:
-    """Only the first ``cap`` candidates stay and are reranked; equal scores keep their earlier order."""
-    kept = top(cands, max(1, cap), [order, cid], out="__cap").drop("__cap")
+    """Only the first ``cap`` candidates are reranked and kept; ``n_cut`` says how many of a query's were left out.
+
+    Equal scores keep their earlier order.
+    """
+    sizes = cands.groupBy("qid").agg(F.greatest(F.count("*") - cap, F.lit(0)).alias("n_cut"))
+    kept = top(cands, max(1, cap), [order, cid], out="__cap").drop("__cap").join(sizes, "qid")
     scored = rerank(kept, scorer, cid=cid).drop("rank")
     w = Window.partitionBy("qid").orderBy(F.col("rerank_score").desc(), F.col(order), F.col(cid))
     return scored.withColumn("rank", F.row_number().over(w))

@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.operators import filters as fl
 from siftwell.operators import ordered as od
 
 # Review settings.
-THRESHOLD, SAMPLE_RATE, KEPT, READ = 0.35, 0.1, 5000, 100
+THRESHOLD, SAMPLE_RATE, READ = 0.35, 0.1, 100
 
 
-def hitl_queue(answers: DataFrame, threshold: float = THRESHOLD, rate: float = SAMPLE_RATE, kept: int = KEPT, key: str = "qid") -> DataFrame:
-    """Answers to review: low confidence, or a stable sample by key; the newest ``kept`` stay."""
-    bound = int(round(max(0.0, min(1.0, rate)) * 1_000_000))
-    sampled = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(0)), F.lit(1_000_000)) < bound
+def hitl_queue(answers: DataFrame, threshold: float = THRESHOLD, rate: float = SAMPLE_RATE, key: str = "qid") -> DataFrame:
+    """All answers to review: low confidence, or a stable sample by key."""
     low = F.col("confidence") < threshold
-    queued = answers.filter(low | sampled).withColumn("review_reason", F.when(low, "low_conf").otherwise("sample"))
-    return od.keep_latest(queued, kept, [F.col("ts").desc(), F.col(key).desc()])
+    return answers.filter(low | fl.in_sample(rate, key)).withColumn("review_reason", F.when(low, "low_conf").otherwise("sample"))
 
 
 def review_page(queue: DataFrame, limit: int = READ, key: str = "qid") -> DataFrame:

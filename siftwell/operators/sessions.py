@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from siftwell.functions import text as tx
 from siftwell.operators import ordered as od
 
-# Session gap in seconds, turns read, rows kept.
+# Session gap in seconds, turns and queries read.
 GAP_SECONDS, READ_TURNS = 3600, 5
-TRAIL_KEPT, TRAIL_READ = 200, 50
+TRAIL_READ = 50
 BUCKET_SECONDS = 86400
 
 
@@ -41,5 +41,5 @@ def episode_context(
 
 def query_trail(log: DataFrame, limit: int = TRAIL_READ, order: str = "request_id") -> DataFrame:
     """Newest ``limit`` queries per tenant with their intent."""
-    latest = od.keep_latest(log, min(limit, TRAIL_KEPT), [F.col("ts").desc(), F.col(order).desc()], ["tenant"])
+    latest = od.keep_latest(log, limit, [F.col("ts").desc(), F.col(order).desc()], ["tenant"])
     return latest.withColumn("intent", tx.classify_intent(F.col("query")))

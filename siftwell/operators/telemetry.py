@@ -104,24 +104,37 @@ def alert_spans(windows: DataFrame, breach: Column, seconds: int, hold: int, by:
     )
 
 
+def trailing(small: DataFrame, values: Sequence[str], step: int, span: int, by: Sequence[str] = ()) -> DataFrame:
+    """Sums of ``values`` over the ``span`` seconds that end with each window of ``step`` seconds.
+
+    Each window hands its sums to the windows that look back on it, so nothing is ordered in one task.
+    """
+    spread = small.withColumn("window_start", F.explode(F.sequence(F.col("window_start"), F.col("window_start") + (span - step), F.lit(step).cast("long"))))
+    return spread.groupBy("window_start", *by).agg(*[F.sum(v).alias(v) for v in values])
+
+
 def burn_rate(
-    df: DataFrame, bad: Column, fast: int = 300, slow: int = 3600, fast_limit: float = 0.1, slow_limit: float = 0.05, by: Sequence[str] = ()
+    df: DataFrame, bad: Column, fast: int = 300, slow: int = 3600, fast_limit: float = 0.1, slow_limit: float = 0.05, by: Sequence[str] = (),
+    fast_hold: int = 300, slow_hold: int = 3600,
 ) -> DataFrame:
-    """Short windows whose share of ``bad`` events and that of the long window around them both exceed their limits."""
-    # One pass over the events: the long windows are sums of the short ones.
-    small = df.groupBy(window_start(fast), *by).agg(F.count_if(bad).alias("__bad"), F.count("*").alias("__n"))
-    keyed = small.withColumn("slow_start", F.floor(F.col("window_start") / slow).cast("long") * slow)
-    large = keyed.groupBy("slow_start", *by).agg(F.sum("__bad").alias("__sb"), F.sum("__n").alias("__sn"))
-    return (
-        keyed.join(large, ["slow_start", *by])
-        .withColumn("fast_ratio", F.col("__bad") / F.col("__n"))
-        .withColumn("slow_ratio", F.col("__sb") / F.col("__sn"))
-        .withColumn("burning", (F.col("fast_ratio") > fast_limit) & (F.col("slow_ratio") > slow_limit))
-        .drop("__bad", "__n", "__sb", "__sn")
-    )
-
+    """Per short window its share of ``bad`` events and that of the long window that ends with it.
 
-def slo_attainment(log: DataFrame, targets: dict[str, float] | None = None, width: float = 0.05) -> DataFrame:
+    ``fast_burn`` and ``slow_burn`` say which exceeds its limit, ``burning`` whether both do, ``fast_alert`` and ``slow_alert``
+    whether the excess has lasted through every window of the hold time; a window without events ends it.
+    """
+    small = df.groupBy(window_start(fast), *by).agg(F.count_if(bad).alias("__bad"), F.count("*").alias("__n"))
+    large = trailing(small, ["__bad", "__n"], fast, slow, by).withColumnsRenamed({"__bad": "__sb", "__n": "__sn"})
+    rows = small.join(large, ["window_start", *by]).withColumn("fast_ratio", F.col("__bad") / F.col("__n")).withColumn("slow_ratio", F.col("__sb") / F.col("__sn"))
+    rows = rows.withColumn("fast_burn", F.col("fast_ratio") > fast_limit).withColumn("slow_burn", F.col("slow_ratio") > slow_limit)
+    rows = rows.drop("__bad", "__n", "__sb", "__sn").withColumn("burning", F.col("fast_burn") & F.col("slow_burn"))
+    for kind, hold in (("fast", fast_hold), ("slow", slow_hold)):
+        hot = rows.select("window_start", *by, F.col(f"{kind}_burn").cast("int").alias("__hot"))
+        lasted = trailing(hot, ["__hot"], fast, max(fast, hold), by)
+        rows = rows.join(lasted, ["window_start", *by]).withColumn(f"{kind}_alert", F.col("__hot") >= max(1, hold // fast)).drop("__hot")
+    return rows
+
+
+def slo_attainment(log: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """Availability, p95/p99 latency and 5xx share per month against their targets."""
     t = {**SLO, **(targets or {})}
     rows = log.withColumn("month", F.date_format("ts", "yyyy-MM"))
@@ -130,7 +143,7 @@ def slo_attainment(log: DataFrame, targets: dict[str, float] | None = None, widt
         F.count("*").alias("requests"), (F.count_if(good) / F.count("*")).alias("availability"),
         (F.count_if(F.col("status") >= 500) / F.count("*")).alias("error_rate"),
     )
-    pct = od.rank_percentiles(rows, ["month"], "latency_s", [0.95, 0.99], width).groupBy("month").agg(
+    pct = od.rank_percentiles(rows, ["month"], "latency_s", [0.95, 0.99]).groupBy("month").agg(
         F.max(F.when(F.col("p") == 0.95, F.col("pctl"))).alias("p95_s"), F.max(F.when(F.col("p") == 0.99, F.col("pctl"))).alias("p99_s")
     )
     return shares.join(pct, "month", "left").withColumn(

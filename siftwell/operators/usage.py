@@ -12,8 +12,7 @@ from siftwell.functions import text as tx
 from siftwell.operators import ordered as od
 from siftwell.operators.limits import log_tokens
 
-# Window sizes of the provider report and the stand-in for missing statistics.
-LATENCIES, ERRORS, REQUESTS = 200, 500, 1000
+# Window sizes of the provider report in seconds and the stand-in for missing statistics.
 ERROR_WINDOW, RATE_WINDOW = 300, 60
 MISSING = 999.0
 
@@ -30,10 +29,11 @@ def query_hotspots(log: DataFrame, day: str | None = None, limit: int | None = 5
     return counted.orderBy(F.col("count").desc(), "day", "tenant", F.col("doc_type").asc_nulls_first()).limit(limit)
 
 
-def intent_mix(log: DataFrame, newest: int = 200, order: str = "request_id") -> DataFrame:
-    """Share of each intent among the newest queries per tenant."""
-    latest = od.keep_latest(log.select("tenant", "ts", order, "query"), newest, [F.col("ts").desc(), F.col(order).desc()], ["tenant"])
-    counted = latest.withColumn("intent", tx.classify_intent(F.col("query"))).groupBy("tenant", "intent").agg(F.count("*").alias("n"))
+def intent_mix(log: DataFrame, newest: int | None = None, order: str = "request_id") -> DataFrame:
+    """Share of each intent among a tenant's queries, or among its ``newest`` ones."""
+    rows = log.select("tenant", "ts", order, "query")
+    rows = rows if newest is None else od.keep_latest(rows, newest, [F.col("ts").desc(), F.col(order).desc()], ["tenant"])
+    counted = rows.withColumn("intent", tx.classify_intent(F.col("query"))).groupBy("tenant", "intent").agg(F.count("*").alias("n"))
     return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("tenant")))
 
 
@@ -61,54 +61,43 @@ def _age(as_of: Column) -> Column:
     return sc.epoch(as_of) - sc.epoch(F.col("ts"))
 
 
-def _newest(log: DataFrame, n: int, order: str) -> DataFrame:
-    return od.keep_latest(log, n, [F.col("ts").desc(), F.col(order).desc()], ["provider"])
+def _latencies(past: DataFrame, failed: Column, as_of: Column, window: int, probs: Sequence[tuple[str, float]]) -> DataFrame:
+    good = past.filter(~failed & F.col("latency_s").isNotNull() & (_age(as_of) <= window)).select("provider", "latency_s")
+    ranked = od.rank_percentiles(good, ["provider"], "latency_s", [p for _, p in probs])
+    return ranked.groupBy("provider").agg(*[F.max(F.when(F.col("p") == p, F.col("pctl"))).alias(name) for name, p in probs])
 
 
-def _latency_ranks(log: DataFrame, probs: Sequence[tuple[str, float]], order: str) -> DataFrame:
-    kept = _newest(log.filter(F.col("latency_s").isNotNull()).select("provider", "ts", order, "latency_s"), LATENCIES, order)
-    w = Window.partitionBy("provider")
-    ranked = kept.withColumn("__i", F.row_number().over(w.orderBy("latency_s", order)) - 1).withColumn("__n", F.count("*").over(w))
-    return ranked.groupBy("provider").agg(
-        *[F.max(F.when(F.col("__i") == F.bround(F.lit(p) * (F.col("__n") - 1)), F.col("latency_s"))).alias(name) for name, p in probs]
-    )
-
-
-def provider_stats(log: DataFrame, as_of: Column, order: str = "request_id", error: Column | None = None) -> DataFrame:
-    """Per provider: p50 and p95 of the newest 200 latencies, errors per second over 300 s, requests per second
-    over 60 s, and the latest error."""
+def provider_stats(log: DataFrame, as_of: Column, latency_window: int, order: str = "request_id", error: Column | None = None) -> DataFrame:
+    """Per provider: p50 and p95 of the good requests' latencies over ``latency_window`` seconds, errors per second over
+    300 s, requests per second over 60 s, and the latest error. All rows inside a window count."""
     past = log.filter(F.col("ts") <= as_of)
     failed = error if error is not None else F.col("status") >= 500
-    lat = _latency_ranks(past.filter(~failed), [("p50", 0.5), ("p95", 0.95)], order)
-    errs = _newest(past.filter(failed), ERRORS, order).groupBy("provider").agg(
-        (F.count_if(_age(as_of) <= ERROR_WINDOW) / float(ERROR_WINDOW)).alias("error_rate_5m"),
-        F.max_by(F.concat(F.lit("status "), F.col("status").cast("string")), F.struct("ts", order)).alias("last_error"),
-    )
-    reqs = _newest(past, REQUESTS, order).groupBy("provider").agg(
-        (F.count_if(_age(as_of) <= RATE_WINDOW) / float(RATE_WINDOW)).alias("qps_1m")
+    lat = _latencies(past, failed, as_of, latency_window, [("p50", 0.5), ("p95", 0.95)])
+    counts = past.groupBy("provider").agg(
+        (F.count_if(failed & (_age(as_of) <= ERROR_WINDOW)) / float(ERROR_WINDOW)).alias("error_rate_5m"),
+        (F.count_if(_age(as_of) <= RATE_WINDOW) / float(RATE_WINDOW)).alias("qps_1m"),
+        F.max_by(F.when(failed, F.concat(F.lit("status "), F.col("status").cast("string"))), F.when(failed, F.struct("ts", order))).alias("last_error"),
     )
-    return reqs.join(lat, "provider", "left").join(errs, "provider", "left").select(
-        "provider", F.coalesce("p50", F.lit(0.0)).alias("p50"), F.coalesce("p95", F.lit(0.0)).alias("p95"),
-        F.coalesce("error_rate_5m", F.lit(0.0)).alias("error_rate_5m"), "qps_1m", "last_error",
+    return counts.join(lat, "provider", "left").select(
+        "provider", F.coalesce("p50", F.lit(0.0)).alias("p50"), F.coalesce("p95", F.lit(0.0)).alias("p95"), "error_rate_5m", "qps_1m", "last_error",
     )
 
 
-def provider_health(log: DataFrame, as_of: Column, providers: DataFrame, order: str = "request_id") -> DataFrame:
-    """Per provider: p95 latency (999 without any) and errors divided by requests over 300 s (0 without any)."""
+def provider_health(log: DataFrame, as_of: Column, providers: DataFrame, latency_window: int, window: int = ERROR_WINDOW) -> DataFrame:
+    """Per provider: p95 latency over ``latency_window`` seconds (999 without any) and the share of errors among the requests
+    of the last ``window`` seconds (0 without any)."""
     past = log.filter(F.col("ts") <= as_of)
     failed = F.col("status") >= 500
-    lat = _latency_ranks(past.filter(~failed), [("p95", 0.95)], order)
-    errs = _newest(past.filter(failed), ERRORS, order).groupBy("provider").agg(F.count_if(_age(as_of) <= ERROR_WINDOW).alias("e"))
-    reqs = _newest(past, REQUESTS, order).groupBy("provider").agg(F.count_if(_age(as_of) <= ERROR_WINDOW).alias("r"))
-    return providers.select("provider").distinct().join(lat, "provider", "left").join(errs, "provider", "left").join(reqs, "provider", "left").select(
-        "provider", F.coalesce("p95", F.lit(MISSING)).alias("p95"),
-        F.when(F.coalesce("r", F.lit(0)) > 0, F.coalesce("e", F.lit(0)) / F.col("r")).otherwise(0.0).alias("err"),
+    lat = _latencies(past, failed, as_of, latency_window, [("p95", 0.95)])
+    share = past.filter(_age(as_of) <= window).groupBy("provider").agg((F.count_if(failed) / F.count("*")).alias("err"))
+    return providers.select("provider").distinct().join(lat, "provider", "left").join(share, "provider", "left").select(
+        "provider", F.coalesce("p95", F.lit(MISSING)).alias("p95"), F.coalesce("err", F.lit(0.0)).alias("err")
     )
 
 
 def hitl_resolutions(reviews: DataFrame) -> DataFrame:
     """Reviews per (tenant, lower-cased resolution); a missing resolution counts as ``ack``."""
-    res = F.lower(F.coalesce(F.nullif(F.trim("resolution"), F.lit("")), F.lit("ack")))
+    res = F.lower(F.coalesce(F.nullif(tx.strip(F.col("resolution")), F.lit("")), F.lit("ack")))
     return reviews.groupBy("tenant", res.alias("resolution")).agg(F.count("*").alias("n"))
 
 

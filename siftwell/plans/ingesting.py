@@ -64,7 +64,7 @@ def s1(spark, sf_dir):
     return fs.scan_files(spark, sf_dir, ".PARQUET").select("source", "length", F.sha1("content").alias("sha1"))
 
 
-@query("s3_golden_reader")
+@query("s3_golden_reader", f"SELECT regexp_replace(text, '^{vw._WS_SQL}|{vw._WS_SQL}$', '', 'g') AS query FROM benchmark WHERE text IS NOT NULL")
 def s3(spark, sf_dir):
     """Benchmark texts written as JSON lines with broken lines among them, read back."""
     folder = scratch(spark, "golden")
@@ -103,7 +103,7 @@ def i2_bad(spark, sf_dir):
     return invalid.select("chunk_id", "reason")
 
 
-@query("i3_normalised_rows", DOCS + " SELECT doc_id, substr(sha1(text), 1, 32) AS id, CAST(length(substr(text, 1, 65000)) AS BIGINT) AS n_chars, CAST(-1 AS BIGINT) AS page FROM docs")
+@query("i3_normalised_rows", DOCS + " SELECT doc_id, substr(sha1(text), 1, 32) AS id, CAST(length(text) AS BIGINT) AS n_chars, CAST(-1 AS BIGINT) AS page FROM docs")
 def i3(spark, sf_dir):
     rows, _ = ig.validate_ingest(vw.documents(spark, sf_dir).withColumn("date", F.col("date").cast("string")))
     return ig.normalise_rows(rows, id_chars=32).select("doc_id", "id", F.length("text").cast("long").alias("n_chars"), "page")
@@ -131,7 +131,7 @@ def i5(spark, sf_dir):
     return ig.select_embed_model(rows, "pdf:small, html:Small, docx:large, default:small")
 
 
-@query("i7_reembedded_rows")
+@query("i7_reembedded_rows", "WITH " + vw.SQL_CHUNKS + " SELECT tenant, count(*) AS rows, CAST(32 AS INTEGER) AS dim FROM chunks WHERE length(text) > 0 GROUP BY tenant")
 def i7(spark, sf_dir):
     """Chunks written as the active table, re-embedded into a new one, counted per tenant."""
     active, canary = scratch(spark, "active"), scratch(spark, "canary")
@@ -149,11 +149,10 @@ def i8(spark, sf_dir):
     return ig.dedup_new(d.select("doc_id", "id", "source"), seen, keep="doc_id", unique=True).select("doc_id", "id", "source")
 
 
-@query("i9_filter_catalog", _MSG + """ SELECT tenant, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources,
-   array_to_string(list_sort(list(DISTINCT doc_type) FILTER (doc_type IS NOT NULL)), ',') AS doc_types, min(date) AS date_min, max(date) AS date_max FROM msg GROUP BY tenant""")
+@query("i9_filter_catalog", _MSG + """ SELECT DISTINCT tenant, 'source' AS field, source AS value FROM msg WHERE source <> '' UNION ALL SELECT DISTINCT tenant, 'doc_type', doc_type FROM msg WHERE doc_type <> ''
+   UNION ALL SELECT tenant, 'date_min', min(date) FROM msg GROUP BY tenant UNION ALL SELECT tenant, 'date_max', max(date) FROM msg GROUP BY tenant""")
 def i9(spark, sf_dir):
-    out = ig.filter_catalog(messages(spark, sf_dir))
-    return out.select("tenant", F.array_join("sources", ",").alias("sources"), F.array_join("doc_types", ",").alias("doc_types"), "date_min", "date_max")
+    return ig.filter_catalog(messages(spark, sf_dir))
 
 
 @query("i10_tenant_from_key", """SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'anon'
@@ -252,13 +251,26 @@ def f4(spark, sf_dir):
     return fl.exclude_denied(docs, deny).select("doc_id", "source")
 
 
-@query("f6_valid_queries", "SELECT conv_id, turn, trim(text) AS query FROM conversations WHERE length(trim(text)) BETWEEN 1 AND 4000")
+_STRIPPED = f"""WITH c AS (SELECT conv_id, turn, regexp_replace(' ' || coalesce(text, '') || chr(10), '^{vw._WS_SQL}|{vw._WS_SQL}$', '', 'g') AS query FROM conversations)"""
+
+
+def asked(spark, sf_dir):
+    """Turns as queries, with white space at both ends."""
+    padded = F.concat(F.lit(" "), F.coalesce("text", F.lit("")), F.lit("\n"))
+    return vw.table(spark, sf_dir, "conversations").select("conv_id", "turn", padded.alias("query"))
+
+
+@query("f6_valid_queries", _STRIPPED + " SELECT conv_id, turn, query FROM c WHERE length(query) BETWEEN 1 AND 1500")
 def f6(spark, sf_dir):
-    c = vw.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("query"))
-    return fl.valid_queries(c)
+    return fl.valid_queries(asked(spark, sf_dir), max_chars=1500)[0]
+
+
+@query("f6_rejected_queries", _STRIPPED + " SELECT conv_id, turn, CASE WHEN query = '' THEN 'empty_query' ELSE 'query_too_long' END AS reason FROM c WHERE length(query) NOT BETWEEN 1 AND 1500")
+def f6_rejected(spark, sf_dir):
+    return fl.valid_queries(asked(spark, sf_dir), max_chars=1500)[1].select("conv_id", "turn", "reason")
 
 
-@query("f9_stable_sample")
+@query("f9_stable_sample", "WITH " + vw.SQL_LOG + " SELECT request_id, tenant FROM log WHERE CAST('0x' || substr(md5('0:' || request_id), 1, 8) AS BIGINT) % 1000000 < 100000")
 def f9(spark, sf_dir):
     return fl.sample_stable(vw.request_log(spark, sf_dir), 0.1, "request_id").select("request_id", "tenant")
 

@@ -242,10 +242,10 @@ def v12(spark, sf_dir):
     return rk.rerank(candidates(spark, sf_dir), top_k=5).select("qid", "chunk_id", "rerank_score", "rank")
 
 
-@query("v13_rerank_capped", C + f""" SELECT qid, chunk_id, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, rk) AS rank
-   FROM (SELECT *, CAST({_TF} AS DOUBLE) AS rerank_score FROM cands WHERE rk <= 10)""")
+@query("v13_rerank_capped", C + f""" SELECT qid, chunk_id, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, rk) AS rank, n_cut
+   FROM (SELECT *, CAST({_TF} AS DOUBLE) AS rerank_score FROM (SELECT *, greatest(count(*) OVER (PARTITION BY qid) - 10, 0) AS n_cut FROM cands) WHERE rk <= 10)""")
 def v13(spark, sf_dir):
-    return rk.rerank_capped(candidates(spark, sf_dir)).select("qid", "chunk_id", "rerank_score", "rank")
+    return rk.rerank_capped(candidates(spark, sf_dir), 10).select("qid", "chunk_id", "rerank_score", "rank", "n_cut")
 
 
 @query("v15_explain", C + _HYBRID + " SELECT qid, rank, source, page, substr(text, 1, 240) AS preview, blended AS score, round(v_sim, 6) AS v_sim, tf FROM hybrid")
@@ -274,13 +274,15 @@ def v16(spark, sf_dir):
 
 @query("b12_review_queue", C + _SIM + _BM + _BLEND + _CONF + " SELECT qid, confidence, 'low_conf' AS review_reason FROM conf WHERE confidence < 0.55")
 def b12(spark, sf_dir):
-    """Low-confidence part of the review queue (sampling off, so that it has an SQL twin)."""
+    """Low-confidence part of the review queue."""
     rows = answers(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("qid")))
     return rv.hitl_queue(rows, threshold=0.55, rate=0.0).select("qid", "confidence", "review_reason")
 
 
-@query("b12_review_queue_sampled")
+@query("b12_review_queue_sampled", C + _SIM + _BM + _BLEND + _CONF + """ SELECT qid, confidence, CASE WHEN confidence < 0.45 THEN 'low_conf' ELSE 'sample' END AS review_reason FROM conf
+   WHERE confidence < 0.45 OR CAST('0x' || substr(md5('0:' || qid), 1, 8) AS BIGINT) % 1000000 < 300000 ORDER BY qid DESC LIMIT 100""")
 def b12_sampled(spark, sf_dir):
+    """The newest page of the queue."""
     rows = answers(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("qid")))
     return rv.review_page(rv.hitl_queue(rows, threshold=0.45, rate=0.3)).select("qid", "confidence", "review_reason")
 

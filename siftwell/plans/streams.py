@@ -40,22 +40,22 @@ def ingested(spark, sf_dir):
     return paths
 
 
-_IDS = MSG + """, ok AS (SELECT tenant, sha1(text) AS id, text, row_number() OVER (PARTITION BY sha1(text) ORDER BY chunk_id) AS rn FROM msg WHERE length(text) >= 1)"""
+_IDS = MSG + """, ok AS (SELECT tenant, sha1(text) AS id, text, source, coalesce(doc_type, '') AS doc_type, date, row_number() OVER (PARTITION BY tenant, sha1(text) ORDER BY source, page, coalesce(doc_type, ''), date) AS rn FROM msg WHERE length(text) >= 1)"""
 
 
-@query("p1_streamed_index", _IDS + " SELECT id, CAST(length(any_value(text)) AS BIGINT) AS n_chars FROM ok GROUP BY id")
+@query("p1_streamed_index", _IDS + " SELECT tenant, id, source, CAST(length(text) AS BIGINT) AS n_chars FROM ok WHERE rn = 1")
 def p1(spark, sf_dir):
-    """Every distinct valid text arrives in the index once, though each was enqueued twice."""
-    return spark.read.parquet(ingested(spark, sf_dir).index).select("id", F.length("text").cast("long").alias("n_chars"))
+    """Every distinct valid text of a tenant arrives in the index once, though each was enqueued twice."""
+    return spark.read.parquet(ingested(spark, sf_dir).index).select("tenant", "id", "source", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("p2_resumed_index", _IDS + " SELECT count(DISTINCT id) AS ids, count(DISTINCT id) AS rows FROM ok")
+@query("p2_resumed_index", _IDS + " SELECT count(DISTINCT (tenant, id)) AS ids, count(DISTINCT (tenant, id)) AS rows FROM ok")
 def p2(spark, sf_dir):
     """A second run on the same checkpoint and a run on a lost checkpoint add nothing."""
     paths = ingested(spark, sf_dir)
     si.run_to_end(si.ingest_stream(spark, paths))
     si.run_to_end(si.ingest_stream(spark, si.Paths(paths.inbox, paths.index, paths.dead, paths.catalog, paths.metrics, paths.checkpoint + "2")))
-    return spark.read.parquet(paths.index).agg(F.countDistinct("id").alias("ids"), F.count("*").alias("rows"))
+    return spark.read.parquet(paths.index).agg(F.countDistinct("tenant", "id").alias("ids"), F.count("*").alias("rows"))
 
 
 @query("p3_streamed_dedup", "SELECT event_id, event_type FROM events")
@@ -99,15 +99,17 @@ def p5(spark, sf_dir):
     return index.unionByName(dead).groupBy("place").agg(F.countDistinct("id").alias("ids"))
 
 
-@query("p6_streamed_catalog")
+@query("p6_streamed_catalog", _IDS + """ SELECT DISTINCT tenant, 'source' AS field, source AS value FROM ok WHERE rn = 1 UNION ALL SELECT DISTINCT tenant, 'doc_type', doc_type FROM ok WHERE rn = 1 AND doc_type <> ''
+   UNION ALL SELECT tenant, 'date_min', min(date) FROM ok WHERE rn = 1 GROUP BY tenant UNION ALL SELECT tenant, 'date_max', max(date) FROM ok WHERE rn = 1 GROUP BY tenant""")
 def p6(spark, sf_dir):
-    out = si.read_catalog(spark, ingested(spark, sf_dir).catalog)
-    return out.select("tenant", F.array_join("sources", ",").alias("sources"), F.array_join("doc_types", ",").alias("doc_types"), "date_min", "date_max")
+    return si.read_catalog(spark, ingested(spark, sf_dir).catalog)
 
 
-@query("p7_ingest_metrics", _IDS + """ SELECT 'processed' AS status, count(DISTINCT id) AS n FROM ok UNION ALL SELECT 'invalid', count(*) FROM msg WHERE length(text) = 0""")
+@query("p7_ingest_metrics", _IDS + """ SELECT tenant, 'processed' AS status, count(DISTINCT id) AS n, true AS timed FROM ok GROUP BY tenant UNION ALL SELECT tenant, 'invalid', count(*), true FROM msg WHERE length(text) = 0 GROUP BY tenant""")
 def p7(spark, sf_dir):
-    return spark.read.parquet(ingested(spark, sf_dir).metrics).groupBy("status").agg(F.sum("n").alias("n"))
+    rows = spark.read.parquet(ingested(spark, sf_dir).metrics)
+    timed = (F.col("status") == "invalid") | ((F.col("embed_seconds") > 0) & (F.col("insert_seconds") > 0))
+    return rows.groupBy("tenant", "status").agg(F.sum("n").alias("n"), F.bool_and(timed).alias("timed"))
 
 
 _CLOSED = "epoch_us(max(ts)) - 600000000 FROM events"

@@ -80,7 +80,9 @@ def intervals(spark, sf_dir):
 
 @query("b5_concurrency_peak", LOG + _INTERVALS + """, ev AS (SELECT tenant, t, step, sum(step) AS change FROM (
      SELECT tenant, s AS t, 1 AS step FROM iv UNION ALL SELECT tenant, e, -1 FROM iv) GROUP BY ALL),
-   lv AS (SELECT tenant, t, sum(change) OVER (PARTITION BY tenant ORDER BY t, step ROWS UNBOUNDED PRECEDING) AS level FROM ev)
+   span AS (SELECT tenant, CAST(floor(epoch_us(min(t)) / 300000000) AS BIGINT) AS a, CAST(floor(epoch_us(max(t)) / 300000000) AS BIGINT) AS b FROM ev GROUP BY tenant),
+   al AS (SELECT tenant, t, step, change FROM ev UNION ALL SELECT tenant, make_timestamp(o * 300000000), 0, 0 FROM (SELECT tenant, unnest(range(a, b + 1)) AS o FROM span)),
+   lv AS (SELECT tenant, t, sum(change) OVER (PARTITION BY tenant ORDER BY t, step ROWS UNBOUNDED PRECEDING) AS level FROM al)
    SELECT tenant, CAST(floor(epoch_us(t) / 300000000) AS BIGINT) AS bucket, CAST(max(level) AS BIGINT) AS peak FROM lv GROUP BY ALL""")
 def b5(spark, sf_dir):
     return lm.concurrency_peak(intervals(spark, sf_dir))
@@ -195,7 +197,7 @@ def b7(spark, sf_dir):
 # ---- feedback ----------------------------------------------------------------------------------------
 
 
-@query("a1_feedback_summary", FB + """, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY ts DESC, doc_id DESC) AS rn FROM feedback) WHERE rn <= 500),
+@query("a1_feedback_summary", FB + """, r AS (SELECT * FROM feedback),
    v AS (SELECT tenant, 'reason' AS kind, trim(reason) AS value FROM r UNION ALL SELECT tenant, 'tag', trim(t) FROM (SELECT tenant, unnest(tags) AS t FROM r)),
    c AS (SELECT tenant, kind, value, count(*) AS n FROM v WHERE value <> '' GROUP BY ALL),
    k AS (SELECT *, row_number() OVER (PARTITION BY tenant, kind ORDER BY n DESC, value) AS rk FROM c),
@@ -228,11 +230,17 @@ def s15(spark, sf_dir):
 
 
 @query("a17_rerank_canary", FB + """ SELECT tenant, count(*) AS count, round(avg(CASE WHEN helpful THEN 1.0 ELSE 0.0 END), 6) AS helpful_rate, avg(CASE WHEN helpful THEN 1.0 ELSE 0.0 END) >= 0.55 AS enable
-   FROM (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY ts DESC, doc_id DESC) AS rn FROM feedback) WHERE rn <= 200 GROUP BY tenant""")
+   FROM feedback GROUP BY tenant""")
 def a17(spark, sf_dir):
     return fb.rerank_canary(vw.feedback(spark, sf_dir)).withColumn("helpful_rate", F.round("helpful_rate", 6))
 
 
+@query("a17_canary_history", FB + f""" SELECT tenant, avg(CASE WHEN helpful THEN 1.0 ELSE 0.0 END) >= 0.55 AS enable, round(avg(CASE WHEN helpful THEN 1.0 ELSE 0.0 END), 6) AS helpful_rate, count(*) AS count, epoch_us(TIMESTAMP '{AS_OF}') // 1000000 AS ts FROM feedback GROUP BY tenant""")
+def a17_history(spark, sf_dir):
+    out = fb.canary_history(fb.rerank_canary(vw.feedback(spark, sf_dir)), as_of())
+    return out.withColumn("helpful_rate", F.round("helpful_rate", 6)).withColumn("ts", sc.epoch(F.col("ts")))
+
+
 # ---- usage -------------------------------------------------------------------------------------------
 
 
@@ -241,8 +249,8 @@ def a9(spark, sf_dir):
     return us.query_hotspots(vw.request_log(spark, sf_dir))
 
 
-@query("a10_intent_mix", LOG + f""", t AS (SELECT tenant, {_TRAIL} AS intent FROM (SELECT tenant, 'case ' || event_word || ' ' || query AS query, row_number() OVER (PARTITION BY tenant ORDER BY ts DESC, request_id DESC) AS rn
-     FROM (SELECT *, CASE provider WHEN 'alpha' THEN 'overview' WHEN 'delta' THEN 'failed' ELSE 'of' END AS event_word FROM log)) WHERE rn <= 200)
+@query("a10_intent_mix", LOG + f""", t AS (SELECT tenant, {_TRAIL} AS intent FROM (SELECT tenant, 'case ' || event_word || ' ' || query AS query
+     FROM (SELECT *, CASE provider WHEN 'alpha' THEN 'overview' WHEN 'delta' THEN 'failed' ELSE 'of' END AS event_word FROM log)))
    SELECT tenant, intent, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY tenant), 6) AS share FROM t GROUP BY tenant, intent""")
 def a10(spark, sf_dir):
     word = F.when(F.col("provider") == "alpha", "overview").when(F.col("provider") == "delta", "failed").otherwise("of")
@@ -256,25 +264,26 @@ def a11(spark, sf_dir):
     return us.temporal_range(vw.request_log(spark, sf_dir))
 
 
-@query("a12_source_freshness", LOG + f" SELECT provider AS source, greatest(0, epoch_us(TIMESTAMP '{AS_OF}') // 1000000 - epoch_us(max(ts)) // 1000000) AS lag_seconds FROM log WHERE ts < TIMESTAMP '2024-01-15 11:00:00' GROUP BY provider UNION ALL SELECT 'omega', 0")
+@query("a12_source_freshness", LOG + f" SELECT provider AS source, greatest(0, epoch_us(TIMESTAMP '{AS_OF}') // 1000000 - epoch_us(max(ts)) // 1000000) AS lag_seconds FROM log GROUP BY provider UNION ALL SELECT 'omega', 0")
 def a12(spark, sf_dir):
-    rows = vw.request_log(spark, sf_dir).filter(F.col("ts") < F.lit("2024-01-15 11:00:00").cast("timestamp")).withColumnRenamed("provider", "source")
+    rows = vw.request_log(spark, sf_dir).withColumnRenamed("provider", "source")
     known = rows.select("source").distinct().union(local_table(spark, [("omega",)], "source string"))
     return us.source_freshness(rows, as_of(), known)
 
 
 _PAST = LOG + f", past AS (SELECT *, epoch_us(TIMESTAMP '{AS_OF}') // 1000000 - epoch_us(ts) // 1000000 AS age FROM log WHERE ts <= TIMESTAMP '{AS_OF}')"
-_LAT = """, lat AS (SELECT provider, latency_s, row_number() OVER (PARTITION BY provider ORDER BY latency_s, request_id) - 1 AS i, count(*) OVER (PARTITION BY provider) AS n
-   FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY ts DESC, request_id DESC) AS rn FROM past WHERE status < 500) WHERE rn <= 200),
+LATENCY_WINDOW = 2 * 86400
+_LAT = f""", lat AS (SELECT provider, latency_s, row_number() OVER (PARTITION BY provider ORDER BY latency_s, request_id) - 1 AS i, count(*) OVER (PARTITION BY provider) AS n
+   FROM past WHERE status < 500 AND age <= {LATENCY_WINDOW}),
    pc AS (SELECT provider, max(latency_s) FILTER (i = round_even(0.5 * (n - 1), 0)) AS p50, max(latency_s) FILTER (i = round_even(0.95 * (n - 1), 0)) AS p95 FROM lat GROUP BY provider),
-   er AS (SELECT provider, count(*) FILTER (age <= 300) AS e FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY ts DESC, request_id DESC) AS rn FROM past WHERE status >= 500) WHERE rn <= 500 GROUP BY provider),
-   rq AS (SELECT provider, count(*) FILTER (age <= 60) AS r60, count(*) FILTER (age <= 300) AS r300 FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY ts DESC, request_id DESC) AS rn FROM past) WHERE rn <= 1000 GROUP BY provider)"""
+   er AS (SELECT provider, count(*) FILTER (age <= 300) AS e, count(*) FILTER (age <= 86400) AS e_day FROM past WHERE status >= 500 GROUP BY provider),
+   rq AS (SELECT provider, count(*) FILTER (age <= 60) AS r60, count(*) FILTER (age <= 86400) AS r_day FROM past GROUP BY provider)"""
 
 
 @query("a13_provider_stats", _PAST + _LAT + """ SELECT provider, round(coalesce(p50, 0.0), 6) AS p50, round(coalesce(p95, 0.0), 6) AS p95, round(coalesce(e, 0) / 300.0, 6) AS error_rate_5m, round(r60 / 60.0, 6) AS qps_1m,
    CASE WHEN e IS NOT NULL THEN 'status 500' END AS last_error FROM rq LEFT JOIN pc USING (provider) LEFT JOIN er USING (provider)""")
 def a13(spark, sf_dir):
-    out = us.provider_stats(vw.request_log(spark, sf_dir), as_of())
+    out = us.provider_stats(vw.request_log(spark, sf_dir), as_of(), LATENCY_WINDOW)
     for c in ("p50", "p95", "error_rate_5m", "qps_1m"):
         out = out.withColumn(c, F.round(c, 6))
     return out
@@ -285,12 +294,12 @@ def providers(spark):
 
 
 _HEALTH = _PAST + _LAT + """, names AS (SELECT unnest(['alpha', 'beta', 'gamma', 'delta', 'omega']) AS provider),
-   health AS (SELECT provider, coalesce(p95, 999.0) AS p95, CASE WHEN coalesce(r300, 0) > 0 THEN coalesce(e, 0) / r300 ELSE 0.0 END AS err FROM names LEFT JOIN pc USING (provider) LEFT JOIN er USING (provider) LEFT JOIN rq USING (provider))"""
+   health AS (SELECT provider, coalesce(p95, 999.0) AS p95, CASE WHEN coalesce(r_day, 0) > 0 THEN coalesce(e_day, 0) / r_day ELSE 0.0 END AS err FROM names LEFT JOIN pc USING (provider) LEFT JOIN er USING (provider) LEFT JOIN rq USING (provider))"""
 
 
 @query("a14_provider_health", _HEALTH + " SELECT provider, round(p95, 6) AS p95, round(err, 6) AS err FROM health")
 def a14(spark, sf_dir):
-    out = us.provider_health(vw.request_log(spark, sf_dir), as_of(), providers(spark))
+    out = us.provider_health(vw.request_log(spark, sf_dir), as_of(), providers(spark), LATENCY_WINDOW, 86400)
     return out.withColumn("p95", F.round("p95", 6)).withColumn("err", F.round("err", 6))
 
 
@@ -370,7 +379,7 @@ def t3(spark, sf_dir):
 @query("t3_exact_percentiles", LOG + """, o AS (SELECT provider, latency_s, row_number() OVER (PARTITION BY provider ORDER BY latency_s) - 1 AS i, count(*) OVER (PARTITION BY provider) AS n FROM log)
    SELECT provider, p, n, max(latency_s) FILTER (i = round_even(p * (n - 1), 0)) AS pctl FROM o, (SELECT unnest([CAST(0.5 AS DOUBLE), CAST(0.9 AS DOUBLE), CAST(0.99 AS DOUBLE)]) AS p) GROUP BY provider, p, n""")
 def t3_exact(spark, sf_dir):
-    return od.rank_percentiles(vw.request_log(spark, sf_dir), ["provider"], "latency_s", [0.5, 0.9, 0.99], 0.05)
+    return od.rank_percentiles(vw.request_log(spark, sf_dir), ["provider"], "latency_s", [0.5, 0.9, 0.99])
 
 
 @query("t4_error_share", LOG + f" SELECT {_win(3600)} AS window_start, round(count(*) FILTER (status >= 500) / count(*), 6) AS ratio, count(*) AS n FROM log GROUP BY ALL")
@@ -398,22 +407,23 @@ def t7(spark, sf_dir):
     return tm.alert_spans(shares, F.col("ratio") > 0.2, 3600, 7200)
 
 
-@query("t8_burn_rate", LOG + f""", f AS (SELECT {_win(300)} AS window_start, count(*) FILTER (status >= 500) AS b, count(*) AS n FROM log GROUP BY ALL),
-   s AS (SELECT *, window_start // 3600 * 3600 AS slow_start FROM f),
-   l AS (SELECT slow_start, sum(b) AS sb, sum(n) AS sn FROM s GROUP BY slow_start)
-   SELECT window_start, slow_start, round(b / n, 6) AS fast_ratio, round(sb / sn, 6) AS slow_ratio, b / n > 0.1 AND sb / sn > 0.05 AS burning FROM s JOIN l USING (slow_start)""")
+def _burn(bad: str, fast: float) -> str:
+    return LOG + f""", f AS (SELECT {_win(300)} AS window_start, count(*) FILTER ({bad}) AS b, count(*) AS n FROM log GROUP BY ALL),
+   l AS (SELECT *, sum(b) OVER hour AS sb, sum(n) OVER hour AS sn FROM f WINDOW hour AS (ORDER BY window_start RANGE BETWEEN 3300 PRECEDING AND CURRENT ROW)),
+   x AS (SELECT *, b / n > {fast} AS fast_burn, sb / sn > 0.05 AS slow_burn FROM l),
+   a AS (SELECT *, fast_burn AS fast_alert, count(*) FILTER (slow_burn) OVER hour = 12 AS slow_alert FROM x WINDOW hour AS (ORDER BY window_start RANGE BETWEEN 3300 PRECEDING AND CURRENT ROW))"""
+
+
+@query("t8_burn_rate", _burn("status >= 500", 0.1) + " SELECT window_start, round(b / n, 6) AS fast_ratio, round(sb / sn, 6) AS slow_ratio, fast_burn, slow_burn, fast_burn AND slow_burn AS burning, fast_alert, slow_alert FROM a")
 def t8(spark, sf_dir):
     out = tm.burn_rate(vw.request_log(spark, sf_dir), F.col("status") >= 500)
     return out.withColumn("fast_ratio", F.round("fast_ratio", 6)).withColumn("slow_ratio", F.round("slow_ratio", 6))
 
 
-@query("t8_latency_burn", LOG + f""", f AS (SELECT {_win(300)} AS window_start, count(*) FILTER (latency_s > 1.0) AS b, count(*) AS n FROM log GROUP BY ALL),
-   s AS (SELECT *, window_start // 3600 * 3600 AS slow_start FROM f),
-   l AS (SELECT slow_start, sum(b) AS sb, sum(n) AS sn FROM s GROUP BY slow_start)
-   SELECT window_start, b / n > 0.05 AND sb / sn > 0.05 AS burning FROM s JOIN l USING (slow_start)""")
+@query("t8_latency_burn", _burn("latency_s > 1.0", 0.05) + " SELECT window_start, fast_burn AND slow_burn AS burning, slow_alert FROM a")
 def t8_latency(spark, sf_dir):
     """More than one request in twenty slower than a second, in both windows (p95 above a second)."""
-    return tm.burn_rate(vw.request_log(spark, sf_dir), F.col("latency_s") > 1.0, fast_limit=0.05).select("window_start", "burning")
+    return tm.burn_rate(vw.request_log(spark, sf_dir), F.col("latency_s") > 1.0, fast_limit=0.05).select("window_start", "burning", "slow_alert")
 
 
 @query("t9_objectives", LOG + """, m AS (SELECT *, strftime(ts, '%Y-%m') AS month FROM log),
@@ -497,7 +507,7 @@ _COST_ROWS = [("alpha", "base", 0.01), ("beta", "base", 0.002), ("gamma", "base"
    FROM log l JOIN best b ON l.tenant = b.tenant AND l.doc_type IS NOT DISTINCT FROM b.doc_type""")
 def r1(spark, sf_dir):
     log = vw.request_log(spark, sf_dir)
-    health = us.provider_health(log, as_of(), providers(spark))
+    health = us.provider_health(log, as_of(), providers(spark), LATENCY_WINDOW, 86400)
     policy = local_table(spark, _POLICY_ROWS, _POLICY_SCHEMA)
     costs = local_table(spark, _COST_ROWS, "provider string, model string, prompt double")
     return rt.route_provider(log, policy, health, costs, "base", "small", "large").select("request_id", "routed_provider", "routed_model", "reason")
@@ -518,8 +528,8 @@ def f8(spark, sf_dir):
 
 
 _SIG = FB.replace("feedback AS", "feedback AS", 1) + ", " + vw.SQL_LOG + f""",
-   fr AS (SELECT tenant, avg(CASE WHEN helpful THEN 1.0 ELSE 0.0 END) AS hr, avg(CASE WHEN hallucinated THEN 1.0 ELSE 0.0 END) AS ha FROM (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY ts DESC, doc_id DESC) AS rn FROM feedback) WHERE rn <= 500 GROUP BY tenant),
-   tr AS (SELECT tenant, {_TRAIL} AS intent FROM (SELECT tenant, CASE WHEN provider = 'delta' AND tenant IN ('t0', 't1') THEN 'failed' WHEN provider = 'alpha' THEN 'guide' ELSE 'of' END || ' ' || query AS query, row_number() OVER (PARTITION BY tenant ORDER BY ts DESC, request_id DESC) AS rn FROM log) WHERE rn <= 200),
+   fr AS (SELECT tenant, avg(CASE WHEN helpful THEN 1.0 ELSE 0.0 END) AS hr, avg(CASE WHEN hallucinated THEN 1.0 ELSE 0.0 END) AS ha FROM feedback GROUP BY tenant),
+   tr AS (SELECT tenant, {_TRAIL} AS intent FROM (SELECT tenant, CASE WHEN provider = 'delta' AND tenant IN ('t0', 't1') THEN 'failed' WHEN provider = 'alpha' THEN 'guide' ELSE 'of' END || ' ' || query AS query FROM log)),
    mx AS (SELECT tenant, count(*) FILTER (intent = 'troubleshoot') / count(*) AS ts, count(*) FILTER (intent = 'lookup') / count(*) AS ls FROM tr GROUP BY tenant),
    vo AS (SELECT tenant, dt, count(*) AS c FROM (SELECT tenant, CASE WHEN tenant = 't2' AND doc_type IS NOT NULL THEN 'manual' ELSE doc_type END AS dt FROM log) GROUP BY ALL),
    tp AS (SELECT * FROM (SELECT tenant, dt, c / tot AS sh, row_number() OVER (PARTITION BY tenant ORDER BY c DESC, dt) AS rn FROM (SELECT *, sum(c) OVER (PARTITION BY tenant) AS tot FROM vo) WHERE dt IS NOT NULL) WHERE rn = 1),
@@ -529,7 +539,7 @@ _SIG = FB.replace("feedback AS", "feedback AS", 1) + ", " + vw.SQL_LOG + f""",
 
 
 def suggestions(spark, sf_dir):
-    rows = fb.newest_per_tenant(vw.feedback(spark, sf_dir), 500, "doc_id")
+    rows = vw.feedback(spark, sf_dir)
     log = vw.request_log(spark, sf_dir)
     word = F.when((F.col("provider") == "delta") & F.col("tenant").isin("t0", "t1"), "failed").when(F.col("provider") == "alpha", "guide").otherwise("of")
     mix = us.intent_mix(log.withColumn("query", F.concat(word, F.lit(" "), F.col("query"))))

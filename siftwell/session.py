@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -59,6 +61,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(folder: str) -> None:
+    """Delete a folder of a shared store, if it is there."""
+    fs, path = pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(folder.removeprefix("file:")))
+    if fs.get_file_info(path).type == pafs.FileType.Directory:
+        fs.delete_dir(path)
+
+
+def read_if_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table, or no rows of ``schema`` where nothing has been written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """A scan with fewer splits than cores, spread by ``key`` before CPU-heavy row work; larger scans stay as read.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwell.functions import text as tx
 from siftwell.operators import ingest
 
 MESSAGE = T.StructType(
@@ -92,7 +93,7 @@ def read_golden(spark: SparkSession, path: str, limit: int | None = None) -> Dat
     """Golden questions of JSON-lines files: blank and malformed lines and rows without a question are skipped."""
     raw = spark.read.schema(GOLDEN).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").json(path)
     rows = raw.filter(F.col("__bad").isNull()).withColumn(
-        "query", F.trim(F.coalesce(F.nullif("query", F.lit("")), F.col("question"), F.lit("")))
+        "query", tx.strip(F.coalesce(F.nullif("query", F.lit("")), F.col("question"), F.lit("")))
     ).filter(F.col("query") != "").drop("question", "__bad")
     return rows if limit is None else rows.limit(limit)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from siftwell.functions.frames import plain
 from siftwell.operators import embed as em
 from siftwell.operators import ingest as ig
-from siftwell.session import materialize
+from siftwell.session import delete_folder, read_if_any
 from siftwell.sources.files import MESSAGE
 
 # Fixed value: attempts after which a failing message goes to the dead-letter table.
@@ -34,6 +35,10 @@ class Paths:
     metrics: str
     checkpoint: str
 
+    @property
+    def stage(self) -> str:
+        return self.index.rstrip("/") + "-stage"
+
 
 def read_messages(spark: SparkSession, inbox: str, max_files: int = 100) -> DataFrame:
     """Messages of the inbox as a stream; each micro-batch takes up to ``max_files`` files."""
@@ -49,25 +54,30 @@ def dedup_stream(stream: DataFrame, key: str = "id", ts: str = "ts", delay: str
 
 
 def embed_safely(df: DataFrame, embedder: em.Embedder, text: str = "text", batch: int = 64) -> DataFrame:
-    """Add ``embedding`` and ``error``: a failing slice is redone text by text, so one bad text fails alone."""
-    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())])
+    """Add ``embedding``, ``error`` and ``embed_seconds`` (a text's share of its slice's time).
+
+    A failing slice is redone text by text, so one bad text fails alone.
+    """
+    added = [T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType()), T.StructField("embed_seconds", T.DoubleType())]
+    schema = T.StructType([*df.schema.fields, *added])
 
     def one(value: str):
         try:
             return list(embedder(pd.Series([value])))[0], None
         except Exception as e:  # noqa: BLE001 - the failure belongs to this row only
             return None, f"{type(e).__name__}: {e}"
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             made: list = []
             for i in range(0, len(frame), batch):
-                part = frame[text].iloc[i : i + batch]
+                part, start = frame[text].iloc[i : i + batch], time.perf_counter()
                 try:
-                    made += [(v, None) for v in embedder(part)]
+                    done = [(v, None) for v in embedder(part)]
                 except Exception:  # noqa: BLE001
-                    made += [one(v) for v in part]
-            yield plain(frame).assign(embedding=[m[0] for m in made], error=[m[1] for m in made])
+                    done = [one(v) for v in part]
+                each = (time.perf_counter() - start) / len(part)
+                made += [(*d, each) for d in done]
+            yield plain(frame).assign(embedding=[m[0] for m in made], error=[m[1] for m in made], embed_seconds=[m[2] for m in made])
 
     return df.mapInPandas(run, schema)
 
@@ -82,67 +92,87 @@ def split_dlq(processed: DataFrame, max_retries: int = MAX_RETRIES) -> tuple[Dat
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return files.exists(target) and len(files.listStatus(target)) > 0
-
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the run that a checkpoint belongs to: made with it, lost with it."""
+    path = f"{checkpoint}/run"
+    names = read_if_any(spark, path, "run string").collect()  # one row
+    if not names:
+        spark.createDataFrame([(uuid.uuid4().hex,)], "run string").coalesce(1).write.mode("overwrite").parquet(path)
+        names = spark.read.parquet(path).collect()
+    return names[0]["run"]
 
-def seen_ids(spark: SparkSession, index: str) -> DataFrame | None:
-    """Ids the index holds, read from the id column only."""
-    return spark.read.parquet(index).select("id") if _exists(spark, index) else None
 
-
-def merge_catalog(batch: DataFrame, path: str) -> None:
-    """Add the batch's new (tenant, field, value) entries; the catalog grows with distinct values, not rows."""
-    spark = batch.sparkSession
-    parts = ig.catalog_parts(batch)
-    if _exists(spark, path):
-        known = spark.read.parquet(path)
-        parts = parts.join(known, ["tenant", "field", "value"], "left_anti")
-    parts.write.mode("append").parquet(path)
+def seen_ids(spark: SparkSession, index: str, prefixes: list[str], batch: str) -> DataFrame:
+    """(tenant, id) of the index with one of the prefixes, other than those that this very batch has written."""
+    known = read_if_any(spark, index, "tenant string, id string, prefix string, batch string")
+    return known.filter(F.col("prefix").isin(*prefixes) & (F.col("batch") != batch)).select("tenant", "id")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    parts = spark.read.parquet(path).distinct()
-    is_date = F.when(F.col("field") == "date", F.col("value"))
-    return parts.groupBy("tenant").agg(
-        F.sort_array(F.collect_list(F.when(F.col("field") == "source", F.col("value")))).alias("sources"),
-        F.sort_array(F.collect_list(F.when(F.col("field") == "doc_type", F.col("value")))).alias("doc_types"),
-        F.min(is_date).alias("date_min"), F.max(is_date).alias("date_max"),
-    )
-
-
-def process_batch(batch: DataFrame, batch_id: int, paths: Paths, embedder: em.Embedder, models: str, max_retries: int = MAX_RETRIES) -> None:
-    """One micro-batch. Replaying it is harmless: written ids are skipped, side outputs replace their batch folder."""
-    spark = batch.sparkSession
-    start = time.time()
-    # Read from the source once for all writes below; rebuilt from the inbox files if an executor is lost.
-    rows = batch.withColumn("tenant", F.coalesce(F.nullif("tenant", F.lit("")), F.lit(DEFAULT_TENANT))).withColumn(
-        "attempts", F.coalesce("attempts", F.lit(0))
-    ).persist()
-    valid, invalid = ig.validate_ingest(rows)
-    fresh = ig.dedup_new(ig.select_embed_model(valid, models), seen_ids(spark, paths.index), keep="attempts")
-    try:
-        # Staged as a table: a cached frame that reads the index would be dropped by the write to the index below.
-        done_rows = materialize(embed_safely(ig.normalise_rows(fresh), embedder), "batch")
-        done, retry, dead = split_dlq(done_rows, max_retries)
-        done.drop("error", "attempts").write.mode("append").partitionBy("tenant").parquet(paths.index)
-        merge_catalog(done, paths.catalog)
-        columns = [f.name for f in MESSAGE.fields]
-        failures = dead.select(*columns, F.col("error").alias("reason")).unionByName(
-            invalid.select(*columns, "reason")
-        )
-        failures.write.mode("overwrite").parquet(f"{paths.dead}/batch={batch_id}")
-        if not retry.isEmpty():
-            retry.withColumn("page", F.col("page").cast("int")).select(*columns).write.mode("overwrite").json(f"{paths.inbox}/retry-{batch_id}")
-        status = F.when(F.col("error").isNull(), "processed").when(F.col("attempts") + 1 < max_retries, "retried").otherwise("failed")
-        counts = done_rows.select("tenant", status.alias("status")).unionByName(invalid.select("tenant", F.lit("invalid").alias("status")))
-        counts.groupBy("tenant", "status").agg(F.count("*").alias("n")).withColumn("handle_seconds", F.lit(time.time() - start)).coalesce(
-            1
-        ).write.mode("overwrite").parquet(f"{paths.metrics}/batch={batch_id}")
-    finally:
-        rows.unpersist()
+    return ig.catalog_rows(spark.read.parquet(path).select("tenant", "field", "value").distinct())
+
+
+def stage_batch(batch: DataFrame, name: str, paths: Paths, embedder: em.Embedder, models: str, max_retries: int) -> DataFrame:
+    """The batch's rows with their outcome (``status``), written below the batch's name and read back.
+
+    One row per tenant and id: the one with the fewest attempts, then the smallest source, page and so on. Ids that the
+    index holds from other batches are left out.
+    """
+    spark, folder = batch.sparkSession, f"{paths.stage}/{name}"
+    rows = batch.withColumn("tenant", F.coalesce(F.nullif("tenant", F.lit("")), F.lit(DEFAULT_TENANT))).withColumn("attempts", F.coalesce("attempts", F.lit(0)))
+    # The source is read once; all that follows reads the stage.
+    rows.write.mode("overwrite").parquet(f"{folder}/messages")
+    valid, invalid = ig.validate_ingest(spark.read.parquet(f"{folder}/messages"))
+    unique = ig.first_per_key(ig.normalise_rows(valid), ["tenant", "id"], ["attempts", "source", "page"])
+    unique = ig.select_embed_model(unique.withColumn("prefix", F.substring(F.md5("id"), 1, 1)), models)
+    unique.write.mode("overwrite").parquet(f"{folder}/unique")
+    unique = spark.read.parquet(f"{folder}/unique")
+    prefixes = [r["prefix"] for r in unique.select("prefix").distinct().collect()]  # sixteen at most
+    fresh = unique.join(seen_ids(spark, paths.index, prefixes, name), ["tenant", "id"], "left_anti") if prefixes else unique
+    done, retry, dead = split_dlq(embed_safely(fresh, embedder), max_retries)
+    known = [rows.withColumn("status", F.lit(s)) for rows, s in ((done, "processed"), (retry, "retried"), (dead, "failed"))]
+    refused = invalid.withColumnRenamed("reason", "error").withColumn("status", F.lit("invalid"))
+    out = known[0].unionByName(known[1]).unionByName(known[2]).unionByName(refused.withColumn("page", F.col("page").cast("long")), allowMissingColumns=True)
+    out.write.mode("overwrite").parquet(f"{folder}/rows")
+    return spark.read.parquet(f"{folder}/rows")
+
+
+def commit_index(staged: DataFrame, name: str, path: str) -> None:
+    """The processed rows as this batch's part of the index, in place of what an earlier try has written."""
+    done = staged.filter(F.col("status") == "processed").drop("error", "attempts", "status", "embed_seconds").withColumn("batch", F.lit(name))
+    done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant", "prefix", "batch").parquet(path)
+
+
+def write_failures(staged: DataFrame, name: str, paths: Paths) -> None:
+    """Dead letters, and messages to try again, each below the batch's name."""
+    columns = [f.name for f in MESSAGE.fields]
+    messages = staged.withColumn("page", F.col("page").cast("int"))
+    dead = messages.filter(F.col("status").isin("failed", "invalid")).select(*columns, F.col("error").alias("reason"))
+    dead.write.mode("overwrite").parquet(f"{paths.dead}/batch={name}")
+    retry = messages.filter(F.col("status") == "retried").select(*columns)
+    if not retry.isEmpty():
+        retry.write.mode("ignore").json(f"{paths.inbox}/retry-{name}")  # kept from an earlier try: it may have been read
+
+
+def write_metrics(staged: DataFrame, name: str, paths: Paths, insert_seconds: float, handle_seconds: float) -> None:
+    """Rows and embedding time per tenant and status, and the batch's times, below the batch's name."""
+    counts = staged.groupBy("tenant", "status").agg(F.count("*").alias("n"), F.coalesce(F.sum("embed_seconds"), F.lit(0.0)).alias("embed_seconds"))
+    timed = counts.withColumn("insert_seconds", F.lit(insert_seconds)).withColumn("handle_seconds", F.lit(handle_seconds))
+    timed.coalesce(1).write.mode("overwrite").parquet(f"{paths.metrics}/batch={name}")
+
+
+def process_batch(batch: DataFrame, batch_id: int, run: str, paths: Paths, embedder: em.Embedder, models: str, max_retries: int = MAX_RETRIES) -> None:
+    """One micro-batch. It is staged first; all outputs follow from the staged rows and replace what an earlier try of the
+    same batch has written, so it may be repeated after a failure at any point. A run that starts anew, on a new
+    checkpoint, writes below names of its own."""
+    start, name = time.time(), f"{run}-{batch_id}"
+    staged = stage_batch(batch, name, paths, embedder, models, max_retries)
+    write_failures(staged, name, paths)
+    ig.catalog_parts(staged.filter(F.col("status") == "processed")).write.mode("overwrite").parquet(f"{paths.catalog}/batch={name}")
+    insert = time.time()
+    commit_index(staged, name, paths.index)
+    write_metrics(staged, name, paths, time.time() - insert, time.time() - start)
+    delete_folder(f"{paths.stage}/{name}")
 
 
 def ingest_stream(
@@ -151,10 +181,11 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Run the ingestion over the inbox. Restarting with the same checkpoint resumes at the last unfinished batch."""
     model = embedder or em.HashedCounts()
+    run = run_of(spark, paths.checkpoint)
     writer = (
         read_messages(spark, paths.inbox, max_files)
         .writeStream.option("checkpointLocation", paths.checkpoint)
-        .foreachBatch(lambda df, batch_id: process_batch(df, batch_id, paths, model, models, max_retries))
+        .foreachBatch(lambda df, batch_id: process_batch(df, batch_id, run, paths, model, models, max_retries))
     )
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
 

@@ -53,6 +53,7 @@ def test_concurrency_peak_equals_sweep(spark):
     got = {(g["tenant"], g["bucket"]): g["peak"] for g in lm.concurrency_peak(df).collect()}
     for t in ("t0", "t1"):
         events = sorted([(s, 1) for _, x, s, _ in rows if x == t] + [(e, -1) for _, x, _, e in rows if x == t])
+        events = sorted(events + [(b * 300, 0) for b in range(events[0][0] // 300, events[-1][0] // 300 + 1)])
         level, peaks = 0, {}
         for at, step in events:
             level += step
@@ -208,6 +209,64 @@ def test_judge_replies(spark):
     assert [(r["control_score"], r["treatment_score"], r["winner"]) for r in got] == [(0.2, 0.9, "treatment"), (0.5, 0.52, "tie"), (0.0, 0.0, "tie"), (0.0, 0.4, "treatment")]
 
 
+def test_concurrency_carries_its_level_into_quiet_buckets(spark):
+    rows = [("t", 0, 310), ("t", 0, 310), ("t", 10, 910)]
+    df = spark.createDataFrame(rows, "tenant string, s long, e long").select("tenant", F.timestamp_seconds("s").alias("start_ts"), F.timestamp_seconds("e").alias("end_ts"))
+    assert {r["bucket"]: r["peak"] for r in lm.concurrency_peak(df).collect()} == {0: 3, 1: 3, 2: 1, 3: 1}
+
+
+def busy_log(spark, seconds=120, per_second=200):
+    """200 requests a second up to second 120, every fourth of them failed."""
+    return spark.range(seconds * per_second).select(
+        F.col("id").alias("request_id"), F.timestamp_seconds(F.col("id") / per_second).alias("ts"), F.lit("p").alias("provider"),
+        F.when(F.col("id") % 4 == 0, 500).otherwise(200).alias("status"), (F.col("id") % 1000 / 1000).alias("latency_s"),
+    )
+
+
+def test_provider_numbers_do_not_saturate(spark):
+    as_of = F.timestamp_seconds(F.lit(120))
+    row = us.provider_stats(busy_log(spark), as_of, 300).first()
+    assert row["qps_1m"] == pytest.approx(200, abs=4) and row["error_rate_5m"] == pytest.approx(24000 / 4 / 300)
+    assert (row["p50"], row["p95"]) == (pytest.approx(0.5, abs=0.005), pytest.approx(0.95, abs=0.005)) and row["last_error"] == "status 500"
+    names = spark.createDataFrame([("p",), ("q",)], "provider string")
+    health = {r["provider"]: r for r in us.provider_health(busy_log(spark), as_of, names, 300).collect()}
+    assert health["p"]["err"] == pytest.approx(0.25) and (health["q"]["p95"], health["q"]["err"]) == (999.0, 0.0)
+
+
+def test_burn_looks_back_not_ahead(spark):
+    rows = [(s, s < 300 and i == 0) for s in range(0, 300, 10) for i in (0, 1)] + [(3000 + s, False) for s in range(0, 300)]
+    df = spark.createDataFrame(rows, "s long, bad boolean").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r["window_start"]: r for r in tm.burn_rate(df, F.col("bad")).collect()}
+    assert (got[0]["fast_ratio"], got[0]["slow_ratio"], got[0]["burning"], got[0]["slow_alert"]) == (0.5, 0.5, True, False)
+    assert got[3000]["fast_ratio"] == 0 and got[3000]["slow_ratio"] == pytest.approx(30 / 360)
+    steady = spark.range(0, 7200, 10).select(F.timestamp_seconds("id").alias("ts"), F.lit(True).alias("bad"))
+    got = {r["window_start"]: r["slow_alert"] for r in tm.burn_rate(steady, F.col("bad")).collect()}
+    assert [got[w] for w in (3000, 3300, 6900)] == [False, True, True]
+
+
+def test_drift_ignores_the_future(spark):
+    rows = [(i, "a", 0.1, 0.9, "treatment", 100 + i) for i in range(12)]
+    df = spark.createDataFrame(rows, "request_id long, tenant string, control_score double, treatment_score double, winner string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    row = ev.drift_status(df, F.timestamp_seconds(F.lit(50))).first()
+    assert (row["total"], row["status"]) == (0, "stable")
+
+
+def test_queries_of_white_space_are_refused(spark):
+    rows = [(0, "\n"), (1, " \u00a0 "), (2, None), (3, "\t what \n"), (4, "x" * 4001), (5, "y" * 4000)]
+    valid, invalid = fl.valid_queries(spark.createDataFrame(rows, "id long, query string"))
+    assert {r["id"]: r["query"][:4] for r in valid.collect()} == {3: "what", 5: "yyyy"}
+    assert {r["id"]: r["reason"] for r in invalid.collect()} == {0: "empty_query", 1: "empty_query", 2: "empty_query", 4: "query_too_long"}
+
+
+def test_percentiles_of_many_distinct_values(spark):
+    from siftwell.operators import ordered as od
+
+    df = spark.range(1_000_000).select(F.lit("k").alias("k"), (F.lit(3.0) + F.col("id") / 1e12).alias("x")).union(spark.createDataFrame([("k", -1e9), ("k", 1e9)], "k string, x double"))
+    got = {r["p"]: r["pctl"] for r in od.rank_percentiles(df, ["k"], "x", [0.0, 0.5, 0.95, 1.0]).collect()}
+    assert got[0.0] == -1e9 and got[1.0] == 1e9
+    assert got[0.5] == 3.0 + 499_999 / 1e12 and got[0.95] == 3.0 + round(0.95 * 1_000_001 - 1) / 1e12
+
+
 def test_drift_needs_ten_rows(spark):
     rows = [(i, "a", 0.5, 0.3, "control", i) for i in range(10)]
     df = spark.createDataFrame(rows, "request_id long, tenant string, control_score double, treatment_score double, winner string, s long").withColumn("ts", F.timestamp_seconds("s"))
@@ -281,7 +340,7 @@ def test_router_prefers_providers_within_objectives(spark):
 
 def test_review_queue_reasons_and_cap(spark):
     df = spark.createDataFrame([(i, 0.1 if i % 2 else 0.9, i) for i in range(50)], "qid long, confidence double, s long").withColumn("ts", F.timestamp_seconds("s"))
-    queue = rv.hitl_queue(df, rate=0.0, kept=10)
+    queue = rv.review_page(rv.hitl_queue(df, rate=0.0), 10)
     assert {r["qid"] for r in queue.collect()} == set(range(31, 50, 2))
     reasons = {r["review_reason"] for r in rv.hitl_queue(df, rate=1.0).collect()}
     assert reasons == {"low_conf", "sample"}

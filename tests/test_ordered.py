@@ -97,7 +97,7 @@ def test_percentiles_are_exact_with_hot_values(spark):
     r = random.Random(5)
     rows = [("a", 1.0)] * 200 + [("a", r.random() * 10) for _ in range(301)] + [("b", 2.5)]
     df = spark.createDataFrame(rows, "k string, x double")
-    got = {(g["k"], g["p"]): g["pctl"] for g in od.rank_percentiles(df, ["k"], "x", [0.5, 0.95], 0.7).collect()}
+    got = {(g["k"], g["p"]): g["pctl"] for g in od.rank_percentiles(df, ["k"], "x", [0.5, 0.95]).collect()}
     for k in ("a", "b"):
         values = sorted(v for g, v in rows if g == k)
         for p in (0.5, 0.95):

@@ -64,9 +64,52 @@ def test_replay_and_new_messages_keep_one_row_per_text(spark, tmp_path):
     si.run_to_end(query, 300)
     assert si.progress_rows(query)[0]["rows"] == 42
     index = spark.read.parquet(paths.index)
-    assert index.count() == index.select("id").distinct().count() == 8
-    catalog = {r["tenant"]: r for r in si.read_catalog(spark, paths.catalog).collect()}
-    assert catalog["__default__"]["date_min"] == "2024-01-02" and catalog["t"]["sources"] == ["s1"]
+    # "text 1" is known to the first tenant only.
+    assert index.count() == index.select("tenant", "id").distinct().count() == 9
+    catalog = {tuple(r) for r in si.read_catalog(spark, paths.catalog).collect()}
+    assert ("__default__", "date_min", "2024-01-02") in catalog and {c for c in catalog if c[0] == "t" and c[1] == "source"} == {("t", "source", "s1"), ("t", "source", "s9")}
+
+
+def outputs(spark, paths):
+    """All outputs but times and the names of runs."""
+    index = sorted((r["tenant"], r["id"], r["source"], r["text"]) for r in spark.read.parquet(paths.index).collect())
+    dead = sorted((r["source"], r["reason"]) for r in spark.read.parquet(paths.dead).collect())
+    metrics = sorted((r["tenant"], r["status"], r["n"]) for r in spark.read.parquet(paths.metrics).collect())
+    return index, dead, metrics, sorted(tuple(r) for r in si.read_catalog(spark, paths.catalog).collect())
+
+
+@pytest.mark.parametrize("step", ["write_failures", "commit_index", "write_metrics", "delete_folder"])
+@pytest.mark.parametrize("after", [False, True])
+def test_a_failure_between_any_two_writes_changes_nothing(spark, tmp_path, monkeypatch, step, after):
+    rows = [(f"text {i % 5}", f"s{i % 3}", f"t{i % 2}") for i in range(20)] + [("bad doc", "b", "t0"), ("", "e", "t1")]
+    calm, shaken = folders(tmp_path / "calm"), folders(tmp_path / "shaken")
+    for paths in (calm, shaken):
+        fs.enqueue(messages(spark, rows), paths.inbox)
+        messages(spark, [("", "d.pdf", "t0")]).write.mode("append").json(paths.inbox)
+    si.run_to_end(si.ingest_stream(spark, calm, Refuses("bad"), max_retries=1), 300)
+    real = getattr(si, step)
+
+    def broken(*args):
+        if after:
+            real(*args)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(si, step, broken)
+    with pytest.raises(Exception, match="lost"):
+        si.run_to_end(si.ingest_stream(spark, shaken, Refuses("bad"), max_retries=1), 300)
+    monkeypatch.setattr(si, step, real)
+    si.run_to_end(si.ingest_stream(spark, shaken, Refuses("bad"), max_retries=1), 300)
+    assert outputs(spark, shaken) == outputs(spark, calm)
+
+
+def test_a_lost_checkpoint_keeps_earlier_dead_letters(spark, tmp_path):
+    paths = folders(tmp_path)
+    messages(spark, [("", "a.pdf", "t")]).write.json(paths.inbox)
+    si.run_to_end(si.ingest_stream(spark, paths), 300)
+    again = si.Paths(str(tmp_path / "inbox2"), paths.index, paths.dead, paths.catalog, paths.metrics, paths.checkpoint + "2")
+    messages(spark, [("", "b.pdf", "t")]).write.json(again.inbox)
+    si.run_to_end(si.ingest_stream(spark, again), 300)
+    assert {r["source"] for r in spark.read.parquet(paths.dead).collect()} == {"a.pdf", "b.pdf"}
 
 
 def write_events(spark, folder, n=300, seed=1):
