@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,11 +57,23 @@ class HashedCounts:
         return out
 
 
+def patient(model: Embedder, texts: pd.Series, tries: int, pause: float) -> list:
+    """The embedder's vectors; a refused call is tried again after a pause that doubles each time."""
+    for attempt in range(tries):
+        try:
+            return list(model(texts))
+        except Exception:  # noqa: BLE001 - the last failure is raised
+            if attempt == tries - 1:
+                raise
+            time.sleep(pause * 2**attempt)
+    return []
+
+
 def embed(
     df: DataFrame, embedder: Embedder | None = None, text: str = "text", out: str = "embedding", batch: int = 64,
-    keep: list[str] | None = None,
+    keep: list[str] | None = None, tries: int = 3, pause: float = 0.5,
 ) -> DataFrame:
-    """Add ``out`` (ARRAY<FLOAT>), calling the embedder on slices of ``batch`` texts per Arrow batch.
+    """Add ``out`` (ARRAY<FLOAT>), calling the embedder on slices of ``batch`` texts per Arrow batch, up to ``tries`` times.
 
     The embedder object travels once per Python worker. Columns outside ``keep`` (default: all) are pruned
     before rows go to Python.
@@ -74,15 +87,51 @@ def embed(
         for frame in frames:
             made: list = []
             for i in range(0, len(frame), batch):
-                made += list(model(frame[text].iloc[i : i + batch]))
+                made += patient(model, frame[text].iloc[i : i + batch], tries, pause)
             yield plain(frame[kept]).assign(**{out: made})
 
     return source.mapInPandas(run, schema)
 
 
-def reembed(active: DataFrame, embedder: Embedder | None = None, limit: int | None = None, batch: int = 256) -> DataFrame:
-    """Rows of the active table with fresh vectors; rows without text are skipped."""
-    rows = active.filter(F.coalesce(F.length("text"), F.lit(0)) > 0)
-    if limit is not None:
-        rows = rows.limit(limit)
-    return embed(rows.drop("embedding"), embedder, batch=batch)
+def embed_safely(df: DataFrame, embedder: Embedder, text: str = "text", batch: int = 64) -> DataFrame:
+    """Add ``embedding``, ``error`` and ``embed_seconds`` (a text's share of its slice's time).
+
+    A failing slice is redone text by text, so one bad text fails alone.
+    """
+    added = [T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType()), T.StructField("embed_seconds", T.DoubleType())]
+    schema = T.StructType([*df.schema.fields, *added])
+
+    def one(value: str):
+        try:
+            return list(embedder(pd.Series([value])))[0], None
+        except Exception as e:  # noqa: BLE001 - the failure belongs to this row only
+            return None, f"{type(e).__name__}: {e}"
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made: list = []
+            for i in range(0, len(frame), batch):
+                part, start = frame[text].iloc[i : i + batch], time.perf_counter()
+                try:
+                    done = [(v, None) for v in embedder(part)]
+                except Exception:  # noqa: BLE001
+                    done = [one(v) for v in part]
+                each = (time.perf_counter() - start) / len(part)
+                made += [(*d, each) for d in done]
+            yield plain(frame).assign(embedding=[m[0] for m in made], error=[m[1] for m in made], embed_seconds=[m[2] for m in made])
+
+    return df.mapInPandas(run, schema)
+
+
+def reembed(active: DataFrame, embedder: Embedder | None = None, batch: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(rows with fresh vectors, rows that failed with their ``error``); rows without text are skipped."""
+    rows = active.filter(F.coalesce(F.length("text"), F.lit(0)) > 0).drop("embedding")
+    made = embed_safely(rows, embedder or HashedCounts(), batch=batch)
+    failed = made.filter(F.col("error").isNotNull()).drop("embedding", "embed_seconds")
+    return made.filter(F.col("error").isNull()).drop("error", "embed_seconds"), failed
+
+
+def build_record(built: DataFrame, failed: DataFrame, provider: str, model: str) -> DataFrame:
+    """One row on a build: provider, model, rows written and rows skipped."""
+    sides = built.select(F.lit(1).alias("w"), F.lit(0).alias("s")).unionByName(failed.select(F.lit(0).alias("w"), F.lit(1).alias("s")))
+    sums = sides.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("rows"), F.coalesce(F.sum("s"), F.lit(0)).alias("skipped"))
+    return sums.select(F.lit(provider).alias("provider"), F.lit(model).alias("model"), "rows", "skipped")

@@ -56,10 +56,9 @@ def _same_size(frame: pd.DataFrame, column: str, dim: int) -> pd.DataFrame:
 class _Queries:
     """Query vectors and match columns as arrays."""
 
-    def __init__(self, frame: pd.DataFrame, spec: Spec):
-        first = next((v for v in frame["__qv"] if v is not None and len(v)), [])
-        frame = _same_size(frame, "__qv", len(first)).reset_index(drop=True)
-        self.dim = len(first)
+    def __init__(self, frame: pd.DataFrame, spec: Spec, dim: int):
+        frame = _same_size(frame, "__qv", dim).reset_index(drop=True)
+        self.dim = dim
         self.ids = frame["__qid"].to_numpy()
         self.matrix = _matrix(frame["__qv"], self.dim)
         if spec.metric == "cosine":
@@ -67,6 +66,11 @@ class _Queries:
         self.match = [frame[f"__q_{m}"].to_numpy(dtype=object) for m in spec.match]
 
 
+def _by_size(frame: pd.DataFrame, spec: Spec) -> list[_Queries]:
+    """Queries of each vector length apart: a query sees vectors of its own length only."""
+    return [_Queries(frame, spec, dim) for dim in sorted({len(v) for v in frame["__qv"] if v is not None and len(v)})]
+
+
 def _best(queries: _Queries, frame: pd.DataFrame, spec: Spec) -> pd.DataFrame:
     """Best k vectors of ``frame`` per query: (query row, vector row, score), ties to the smaller id."""
     frame = _same_size(frame, "__vv", queries.dim).reset_index(drop=True)
@@ -123,6 +127,11 @@ def _emit(queries: _Queries, frame: pd.DataFrame, spec: Spec, payload: Sequence[
     return plain(pd.DataFrame(out))
 
 
+def _emit_all(queries: list[_Queries], frame: pd.DataFrame, spec: Spec, payload: Sequence[str]) -> pd.DataFrame:
+    found = [f for q in queries if len(f := _emit(q, frame, spec, payload))]
+    return pd.concat(found, ignore_index=True) if found else empty([spec.qid, spec.vid, "score", *payload])
+
+
 def _sides(queries: DataFrame, index: DataFrame, spec: Spec, qvec: str, vvec: str, payload: Sequence[str], stored: bool):
     q = queries.select(
         F.col(spec.qid).alias("__qid"), F.col(qvec).alias("__qv"), *[F.col(m).alias(f"__q_{m}") for m in spec.match]
@@ -188,12 +197,12 @@ def knn(
     shipped = q.sparkSession.sparkContext.broadcast(q.toPandas())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready = _Queries(shipped.value, spec)
+        ready = _by_size(shipped.value, spec)
         best: pd.DataFrame | None = None
         for frame in frames:
             if embedder is not None:
                 frame["__vv"] = list(embedder(frame["__vv"]))
-            found = _emit(ready, frame, spec, payload)
+            found = _emit_all(ready, frame, spec, payload)
             if best is not None and len(best):
                 found = pd.concat([best, found], ignore_index=True)
                 found = found.sort_values([spec.qid, "score", spec.vid], ascending=[True, False, True])
@@ -232,7 +241,7 @@ def knn_grid(
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return empty(schema.names)
-        return _emit(_Queries(a, spec), b, spec, payload)
+        return _emit_all(_by_size(a, spec), b, spec, payload)
 
     scored = left.drop("__nq", "__nv").groupBy(*keys).cogroup(right.drop("__nq", "__nv").groupBy(*keys)).applyInPandas(run, schema)
     return _ranked(scored, spec)

@@ -16,7 +16,7 @@ TIERS = {
     "enterprise": (1200, 32, 4, 32, 10, 80, 500.0),
 }
 DEFAULT_TIER = "pro"
-DEFAULT_OBJECTIVE, DEFAULT_PROVIDER = "balanced", "openai"
+DEFAULT_OBJECTIVE = "balanced"
 
 
 def with_defaults(df: DataFrame, config: DataFrame, defaults: dict[str, object], key: str = "tenant") -> DataFrame:
@@ -70,8 +70,8 @@ def model_costs(pairs: DataFrame, costs: DataFrame) -> DataFrame:
     return pairs.join(costs, ["provider", "model"], "left")
 
 
-def route_provider(requests: DataFrame, policy: DataFrame, health: DataFrame, costs: DataFrame, model: str, cheap: str, quality: str) -> DataFrame:
-    """Provider, model and reason per request.
+def route_provider(requests: DataFrame, policy: DataFrame, health: DataFrame, costs: DataFrame, model: str, cheap: str, quality: str, fallback: str = "default") -> DataFrame:
+    """Provider, model and reason per request; ``fallback`` serves tenants that allow none.
 
     ``policy`` per tenant: objective, allowed_providers, max_p95_ms, max_error_rate_5m, max_prompt_cost_per_1k,
     doc_type_overrides (map of doc type to provider). ``health``: provider, p95, err. ``costs``: provider, model,
@@ -81,7 +81,7 @@ def route_provider(requests: DataFrame, policy: DataFrame, health: DataFrame, co
     """
     kind = F.lower(F.nullif("doc_type", F.lit("")))
     asked = requests.withColumn("__kind", kind)
-    wide = F.array(F.lit(DEFAULT_PROVIDER))
+    wide = F.array(F.lit(fallback))
     pairs = asked.select("tenant", "__kind").distinct().join(policy, "tenant", "left").withColumn(
         "__obj", F.lower(F.coalesce(F.nullif("objective", F.lit("")), F.lit(DEFAULT_OBJECTIVE)))
     ).withColumn("__allowed", F.when(F.size("allowed_providers") > 0, F.col("allowed_providers")).otherwise(wide))

@@ -11,25 +11,23 @@ from siftwell.operators import ranking as rk
 from siftwell.operators.knn import knn
 from siftwell.session import materialize
 
-# Rows of (query, chunk, score, rank) that may be shipped to every task (tens of megabytes).
-MAX_SHIPPED_ROWS = 1_000_000
-
-
 def text_candidates(
     queries: DataFrame, chunks: DataFrame, fetch_k: int = rk.FETCH_K, embedder: em.Embedder | None = None, match: tuple[str, ...] = ()
 ) -> DataFrame:
     """Best ``fetch_k`` chunks per query by embedding similarity, with their text.
 
-    Chunks are embedded where they are scored and only ids leave the search; text joins afterwards for the few
-    rows that won.
+    Stored vectors (``embedding``) are searched without reading any text; without them chunks are embedded where they
+    are scored. Only ids leave the search; text joins afterwards for the few rows that won.
     """
     model = embedder or em.HashedCounts()
     asked = em.embed(queries.select("qid", "query", *match), model, text="query", keep=["qid", *match])
-    nearest = knn(asked, chunks, fetch_k, vid="chunk_id", vvec="text", match=match, embedder=model)
+    if "embedding" in chunks.columns:
+        nearest = knn(asked, chunks, fetch_k, vid="chunk_id", match=match)
+    else:
+        nearest = knn(asked, chunks, fetch_k, vid="chunk_id", vvec="text", match=match, embedder=model)
+    # Written, the winners have a size that the planner knows: it ships them to the text instead of moving that.
     found = materialize(nearest.withColumnRenamed("rank", "rk"), "nearest")
-    # Shipping the winners keeps the corpus text from being shuffled; their number is known by now.
-    small = F.broadcast(found) if found.count() <= MAX_SHIPPED_ROWS else found
-    rows = chunks.join(small, "chunk_id").join(queries.select("qid", "query"), "qid").withColumn("distance", 1 - F.col("score"))
+    rows = chunks.drop("embedding").join(found, "chunk_id").join(queries.select("qid", "query"), "qid").withColumn("distance", 1 - F.col("score"))
     # Later steps read the candidates several times; written once, the corpus is not scanned again.
     return materialize(rows, "candidates")
 

@@ -136,10 +136,29 @@ def i7(spark, sf_dir):
     """Chunks written as the active table, re-embedded into a new one, counted per tenant."""
     active, canary = scratch(spark, "active"), scratch(spark, "canary")
     tb.write_index(em.embed(vw.chunks(spark, sf_dir).select("chunk_id", "tenant", "text")), active)
-    tb.write_index(em.reembed(spark.read.parquet(active), em.HashedCounts(32), limit=None), canary)
+    tb.write_index(em.reembed(spark.read.parquet(active), em.HashedCounts(32))[0], canary)
     return spark.read.parquet(canary).groupBy("tenant").agg(F.count("*").alias("rows"), F.min(F.size("embedding")).alias("dim"))
 
 
+class FailsOn:
+    """Embedder that refuses texts holding a word."""
+
+    def __init__(self, word: str):
+        self.word, self.inner = word, em.HashedCounts(16)
+
+    def __call__(self, texts):
+        if any(self.word in t for t in texts):
+            raise ValueError("refused")
+        return self.inner(texts)
+
+
+@query("i7_build_record", "WITH " + vw.SQL_CHUNKS + " SELECT 'local' AS provider, 'counts-16' AS model, count(*) FILTER (NOT contains(text, 'und')) AS rows, count(*) FILTER (contains(text, 'und')) AS skipped FROM chunks WHERE length(text) > 0")
+def i7_record(spark, sf_dir):
+    """A re-embedding that some texts fail: they are skipped and counted."""
+    built, failed = em.reembed(vw.chunks(spark, sf_dir).select("chunk_id", "tenant", "text"), FailsOn("und"))
+    return em.build_record(built.select("chunk_id"), failed.select("chunk_id"), "local", "counts-16")
+
+
 @query("i8_new_documents", DOCS + """, seen AS (SELECT DISTINCT sha1(text) AS id FROM docs WHERE date < DATE '2024-03-01')
    SELECT min(doc_id) AS doc_id, sha1(text) AS id, arg_min(source, doc_id) AS source FROM docs WHERE sha1(text) NOT IN (SELECT id FROM seen) GROUP BY sha1(text)""")
 def i8(spark, sf_dir):

@@ -374,7 +374,7 @@ def r6(spark, sf_dir):
     tb.write_index(em.embed(vw.chunks(spark, sf_dir).select("chunk_id", "tenant", "text")), v1)
     tb.init_pointer(spark, pointer, v1)
     tb.begin_canary(spark, pointer, v2, dt.datetime(2024, 1, 1))
-    tb.write_index(em.reembed(spark.read.parquet(v1), em.HashedCounts(32), None), v2)
+    tb.write_index(em.reembed(spark.read.parquet(v1), em.HashedCounts(32))[0], v2)
     steps = []
     for gate, force in ((False, False), (False, True)):
         done = tb.promote(spark, pointer, gate, dt.datetime(2024, 1, 2), force)

@@ -50,7 +50,7 @@ _BLEND = """, nrm AS (SELECT *,
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bulk.text_candidates(vw.text_queries(spark, sf_dir), vw.chunks(spark, sf_dir))
+    return bulk.text_candidates(vw.text_queries(spark, sf_dir), vw.stored_chunks(spark, sf_dir))
 
 
 def all_vectors_as_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -296,7 +296,7 @@ _DENIED = "('src3', 'src7')"
  FROM (SELECT *, CAST({_TF} AS DOUBLE) AS rerank_score FROM d)""")
 def v17(spark, sf_dir):
     """Filtered search, BM25 blend, denylist and rerank for every benchmark text over every chunk."""
-    chunks = vw.chunks(spark, sf_dir).filter(F.col("doc_type") != "fr")
+    chunks = vw.stored_chunks(spark, sf_dir).filter(F.col("doc_type") != "fr")
     deny = local_table(spark, [("src3",), ("src7",)], "source string")
     out = bulk.bulk_retrieve(vw.text_queries(spark, sf_dir), chunks, deny)
     return out.select("qid", "chunk_id", "source", "page", "blended", "rerank_score", "rank")

@@ -72,20 +72,6 @@ def p4(spark, sf_dir):
     return dead.groupBy("tenant", "reason").agg(F.count("*").alias("n"))
 
 
-class FailsOn:
-    """Embedder that refuses texts holding a word, to exercise isolation and retries."""
-
-    def __init__(self, word: str):
-        from siftwell.operators.embed import HashedCounts
-
-        self.word, self.inner = word, HashedCounts(16)
-
-    def __call__(self, texts):
-        if any(self.word in t for t in texts):
-            raise ValueError("refused")
-        return self.inner(texts)
-
-
 @query("p5_isolated_failures", _IDS + """ SELECT CASE WHEN contains(text, 'und') THEN 'dead' ELSE 'index' END AS place, count(DISTINCT id) AS ids FROM ok GROUP BY ALL""")
 def p5(spark, sf_dir):
     """Texts the embedder refuses fail alone, are retried once and end in the dead-letter table."""
@@ -93,7 +79,7 @@ def p5(spark, sf_dir):
     paths = si.Paths(*(f"{base}/{n}" for n in ("inbox", "index", "dead", "catalog", "metrics", "checkpoint")))
     fs.enqueue(ing.messages(spark, sf_dir), paths.inbox)
     for _ in range(2):
-        si.run_to_end(si.ingest_stream(spark, paths, FailsOn("und"), max_retries=2))
+        si.run_to_end(si.ingest_stream(spark, paths, ing.FailsOn("und"), max_retries=2))
     index = spark.read.parquet(paths.index).select("id", F.lit("index").alias("place"))
     dead = spark.read.parquet(paths.dead).select("id", F.lit("dead").alias("place"))
     return index.unionByName(dead).groupBy("place").agg(F.countDistinct("id").alias("ids"))
@@ -149,4 +135,4 @@ def p12(spark, sf_dir):
     starts = e.select(F.col("event_id").alias("request_id"), "ts")
     end = F.timestamp_micros(F.unix_micros("ts") + F.floor(F.col("value") / 100 * 1000000).cast("long") * 60)
     ends = events(spark, sf_dir).select(F.col("event_id").alias("request_id"), end.alias("ts"))
-    return sink(spark, sw.stream_durations(starts, ends), "durations")
+    return sink(spark, sw.stream_durations(starts, ends, "1 hour"), "durations")

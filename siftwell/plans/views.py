@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as tx
-from siftwell.operators import ingest
-from siftwell.session import spread
+from siftwell.operators import embed, ingest
+from siftwell.session import checkpoint_root, delete_folder, spread
+
+
+#: Room for a document's chunks in a chunk's id: eight billion characters.
+CHUNKS_PER_DOCUMENT = 10_000_000
+
+_stored: dict[tuple[str, str], str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +45,18 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = ingest.chunk_fixed(texts(spark, sf_dir), 1000, 200)
-    return cut.withColumnRenamed("ix", "page").withColumn("chunk_id", F.col("doc_id") * 1000 + F.col("page"))
+    return cut.withColumnRenamed("ix", "page").withColumn("chunk_id", F.col("doc_id") * CHUNKS_PER_DOCUMENT + F.col("page"))
+
+
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks with their vectors as a written index, built once per application and corpus."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        path = f"{checkpoint_root(spark)}/index-{uuid.uuid4().hex}"
+        embed.embed(chunks(spark, sf_dir)).write.parquet(path)
+        _stored[key] = path
+        atexit.register(delete_folder, path)
+    return spark.read.parquet(_stored[key])
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +153,7 @@ SQL_DOCUMENTS = """docs AS (
 
 SQL_CHUNKS = SQL_DOCUMENTS + """, chunks AS (
   SELECT doc_id, tenant, source, doc_type, date, CAST(i AS INTEGER) AS page,
-         substr(text, CAST(i * 800 + 1 AS BIGINT), 1000) AS text, doc_id * 1000 + i AS chunk_id
+         substr(text, CAST(i * 800 + 1 AS BIGINT), 1000) AS text, doc_id * 10000000 + i AS chunk_id
   FROM (SELECT *, unnest(range(0, greatest(1, CAST(ceil((length(text) - 200) / 800.0) AS BIGINT)))) AS i FROM docs))"""
 
 SQL_VECTORS = """vectors AS (

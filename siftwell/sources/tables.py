@@ -77,11 +77,14 @@ def table_checksum(df: DataFrame, key: str) -> DataFrame:
 
 def validate_restore(original: DataFrame, restored: DataFrame) -> DataFrame:
     """One row: rows missing from the restored table and rows it has in excess (as multisets)."""
+    # 128 bits stand for a row, so that texts stay where they are; nulls are told apart from each other's neighbours.
     cols = original.columns
-    a = original.select(*cols, F.lit(1).alias("__d"))
-    b = restored.select(*cols, F.lit(-1).alias("__d"))
-    # One aggregate over both tables instead of two set differences.
-    diff = a.unionByName(b).groupBy(*cols).agg(F.sum("__d").alias("__d")).filter("__d <> 0")
+    marks = [F.concat_ws("", *[F.col(c).isNull().cast("int").cast("string") for c in cols]), *[F.col(c) for c in cols]]
+
+    def hashed(df: DataFrame, sign: int) -> DataFrame:
+        return df.select(F.xxhash64(F.lit(1), *marks).alias("__a"), F.xxhash64(F.lit(2), *marks).alias("__b"), F.lit(sign).alias("__d"))
+
+    diff = hashed(original, 1).unionByName(hashed(restored, -1)).groupBy("__a", "__b").agg(F.sum("__d").alias("__d")).filter("__d <> 0")
     return diff.agg(
         F.coalesce(F.sum(F.when(F.col("__d") > 0, F.col("__d"))), F.lit(0)).alias("missing"),
         F.coalesce(F.sum(F.when(F.col("__d") < 0, -F.col("__d"))), F.lit(0)).alias("excess"),

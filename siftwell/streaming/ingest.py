@@ -4,16 +4,12 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from siftwell.functions.frames import plain
 from siftwell.operators import embed as em
 from siftwell.operators import ingest as ig
 from siftwell.session import delete_folder, read_if_any
@@ -53,35 +49,6 @@ def dedup_stream(stream: DataFrame, key: str = "id", ts: str = "ts", delay: str
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def embed_safely(df: DataFrame, embedder: em.Embedder, text: str = "text", batch: int = 64) -> DataFrame:
-    """Add ``embedding``, ``error`` and ``embed_seconds`` (a text's share of its slice's time).
-
-    A failing slice is redone text by text, so one bad text fails alone.
-    """
-    added = [T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType()), T.StructField("embed_seconds", T.DoubleType())]
-    schema = T.StructType([*df.schema.fields, *added])
-
-    def one(value: str):
-        try:
-            return list(embedder(pd.Series([value])))[0], None
-        except Exception as e:  # noqa: BLE001 - the failure belongs to this row only
-            return None, f"{type(e).__name__}: {e}"
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made: list = []
-            for i in range(0, len(frame), batch):
-                part, start = frame[text].iloc[i : i + batch], time.perf_counter()
-                try:
-                    done = [(v, None) for v in embedder(part)]
-                except Exception:  # noqa: BLE001
-                    done = [one(v) for v in part]
-                each = (time.perf_counter() - start) / len(part)
-                made += [(*d, each) for d in done]
-            yield plain(frame).assign(embedding=[m[0] for m in made], error=[m[1] for m in made], embed_seconds=[m[2] for m in made])
-
-    return df.mapInPandas(run, schema)
-
-
 def split_dlq(processed: DataFrame, max_retries: int = MAX_RETRIES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(done, retry, dead) by error and attempts; retry and dead rows have their attempts raised."""
     failed = processed.filter(F.col("error").isNotNull()).withColumn("attempts", F.coalesce("attempts", F.lit(0)) + 1)
@@ -129,7 +96,7 @@ def stage_batch(batch: DataFrame, name: str, paths: Paths, embedder: em.Embedder
     unique = spark.read.parquet(f"{folder}/unique")
     prefixes = [r["prefix"] for r in unique.select("prefix").distinct().collect()]  # sixteen at most
     fresh = unique.join(seen_ids(spark, paths.index, prefixes, name), ["tenant", "id"], "left_anti") if prefixes else unique
-    done, retry, dead = split_dlq(embed_safely(fresh, embedder), max_retries)
+    done, retry, dead = split_dlq(em.embed_safely(fresh, embedder), max_retries)
     known = [rows.withColumn("status", F.lit(s)) for rows, s in ((done, "processed"), (retry, "retried"), (dead, "failed"))]
     refused = invalid.withColumnRenamed("reason", "error").withColumn("status", F.lit("invalid"))
     out = known[0].unionByName(known[1]).unionByName(known[2]).unionByName(refused.withColumn("page", F.col("page").cast("long")), allowMissingColumns=True)

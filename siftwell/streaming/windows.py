@@ -46,7 +46,7 @@ def stream_sessions(events: DataFrame, by: list[str], gap: str = "1 hour", delay
     return _window_columns(counted)
 
 
-def stream_durations(starts: DataFrame, ends: DataFrame, longest: str = "1 hour", delay: str = DELAY) -> DataFrame:
+def stream_durations(starts: DataFrame, ends: DataFrame, longest: str, delay: str = DELAY) -> DataFrame:
     """Request durations from a start stream and an end stream (request_id, ts); ends may follow up to ``longest`` later."""
     a = starts.select(F.col("request_id").alias("__rid"), F.col("ts").alias("start_ts")).withWatermark("start_ts", delay)
     b = ends.select("request_id", F.col("ts").alias("end_ts")).withWatermark("end_ts", delay)

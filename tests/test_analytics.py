@@ -330,12 +330,12 @@ def test_router_prefers_providers_within_objectives(spark):
          ("bal", None, ["a", "b"], None, None, None, None)], schema,
     )
     log = spark.createDataFrame([("lat", None), ("cost", None), ("qual", "PDF"), ("qual", None), ("bal", "x"), ("stranger", None)], "tenant string, doc_type string")
-    got = {(r["tenant"], r["doc_type"]): (r["routed_provider"], r["routed_model"], r["reason"]) for r in rt.route_provider(log, policy, health, costs, "m", "cheap", "best").collect()}
+    got = {(r["tenant"], r["doc_type"]): (r["routed_provider"], r["routed_model"], r["reason"]) for r in rt.route_provider(log, policy, health, costs, "m", "cheap", "best", "other").collect()}
     assert got[("lat", None)] == ("c", "cheap", "latency")
     assert got[("cost", None)] == ("a", "cheap", "cost_slo_violation")
     assert got[("qual", "PDF")][0] == "c" and got[("qual", None)] == ("a", "best", "quality")
     assert got[("bal", "x")] == ("b", "m", "balanced")
-    assert got[("stranger", None)] == ("openai", "m", "balanced")
+    assert got[("stranger", None)] == ("other", "m", "balanced")
 
 
 def test_review_queue_reasons_and_cap(spark):

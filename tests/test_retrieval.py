@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import random
+import sys
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from siftwell.functions import scalars as sc
@@ -21,6 +23,8 @@ from siftwell.operators import passages as ps
 from siftwell.operators import ranking as rk
 from siftwell.plans import bulk
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def vectors(n: int, dim: int, seed: int):
     r = np.random.default_rng(seed)
@@ -179,7 +183,7 @@ def test_term_frequency_counts_substrings_and_repeats(spark):
 
 def test_rerank_orders_caps_and_uses_a_scorer(spark):
     rows = [(1, 1, "engine throttle", "engine engine throttle control", 0.1, "a", 1, 2), (1, 2, "engine throttle", "engine control", 0.1, "b", 1, 1)]
-    assert [r["chunk_id"] for r in rk.rerank_capped(cands(spark, rows)).orderBy("rank").collect()] == [1, 2]
+    assert [r["chunk_id"] for r in rk.rerank_capped(cands(spark, rows), 10).orderBy("rank").collect()] == [1, 2]
     many = [(1, i, "thrust", "thrust " * i, 0.1, "s", i, i) for i in range(1, 15)]
     assert [r["chunk_id"] for r in rk.rerank_capped(cands(spark, many), cap=10).orderBy("rank").collect()] == list(range(10, 0, -1))
     assert rk.rerank(cands(spark, many), top_k=3).count() == 3
@@ -293,3 +297,45 @@ def test_filters_reach_the_scan(spark, tmp_path):
     df = fl.apply_filters(spark.read.parquet(path), fl.Filters(sources=["a", "b"], tenant="x")).select("source", "page")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(tenant" in plan and "PushedFilters: [In(source" in plan and "text" not in plan.split("ReadSchema")[1]
+
+
+@pytest.mark.parametrize("shipped", [1 << 20, 0])
+def test_vectors_of_several_lengths_meet_their_own_kind(spark, shipped):
+    queries = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0, 1.0])], "qid long, embedding array<double>")
+    index = spark.createDataFrame([(10, [1.0, 0.1, 0.0]), (11, [0.2, 1.0]), (12, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = {(r["qid"], r["rank"]): r["vec_id"] for r in nn.knn(queries, index, 2, max_shipped_bytes=shipped).collect()}
+    assert got == {(1, 1): 10, (2, 1): 11, (2, 2): 12, (3, 1): 10}
+
+
+def test_candidates_from_a_stored_index_equal_those_embedded_on_the_way(spark):
+    chunks = spark.createDataFrame([(i, f"s{i % 3}", i, f"wing load {i} " + "stall " * (i % 4)) for i in range(30)], "chunk_id long, source string, page int, text string")
+    queries = spark.createDataFrame([(1, "wing stall"), (2, "load 7")], "qid long, query string")
+    plain = bulk.text_candidates(queries, chunks, 5)
+    stored = bulk.text_candidates(queries, em.embed(chunks), 5)
+    columns = ["qid", "chunk_id", "score", "rk", "text"]
+    assert sorted(map(tuple, plain.select(columns).collect())) == sorted(map(tuple, stored.select(columns).collect()))
+    assert stored.columns == plain.columns
+
+
+class Moody:
+    """Refuses every first call in a process, and always texts that hold a word."""
+
+    def __init__(self):
+        self.calls = 0
+
+    def __call__(self, texts):
+        self.calls += 1
+        if self.calls == 1 or any("bad" in t for t in texts):
+            raise ValueError("refused")
+        return [[float(len(t))] for t in texts]
+
+
+def test_embedding_tries_again_and_reembedding_skips(spark):
+    rows = spark.createDataFrame([(i, "good" * (i + 1)) for i in range(5)], "id long, text string").coalesce(1)
+    assert sorted(r["embedding"][0] for r in em.embed(rows, Moody(), pause=0.01).collect()) == [4.0, 8.0, 12.0, 16.0, 20.0]
+    with pytest.raises(Exception, match="refused"):
+        em.embed(rows.withColumn("text", F.lit("bad")), Moody(), pause=0.01).collect()
+    mixed = rows.unionByName(spark.createDataFrame([(8, "bad"), (9, "")], "id long, text string")).coalesce(1)
+    built, failed = em.reembed(mixed, Moody())
+    assert {r["id"] for r in built.collect()} == set(range(5)) and [(r["id"], r["error"]) for r in failed.collect()] == [(8, "ValueError: refused")]
+    assert tuple(em.build_record(built, failed, "p", "m").first()) == ("p", "m", 5, 1)
