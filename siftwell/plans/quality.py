@@ -363,7 +363,8 @@ def a27(spark, sf_dir):
     return tb.lifecycle_status(spark, pointer, deny).select("active", "previous", "read_preferred", "denied")
 
 
-@query("r6_promotion")
+@query("r6_promotion", "WITH " + vw.SQL_CHUNKS + """ SELECT count(*) AS rows, CAST(64 AS INTEGER) AS dim, 'gate_not_passed' AS reason FROM chunks
+   UNION ALL SELECT count(*), 32, 'forced' FROM chunks WHERE length(text) > 0""")
 def r6(spark, sf_dir):
     """A gate that failed keeps the active table, force replaces it; rows read through the pointer."""
     import datetime as dt
@@ -385,7 +386,7 @@ def r6(spark, sf_dir):
     return steps[0].unionByName(steps[1])
 
 
-@query("r7_failover")
+@query("r7_failover", DOCS + " SELECT tenant, count(*) AS count, 'primary' AS side FROM docs GROUP BY tenant UNION ALL SELECT tenant, count(*), 'secondary' FROM docs WHERE tenant <> 't3' GROUP BY tenant")
 def r7(spark, sf_dir):
     """Reads before and after switching sides; the secondary misses one tenant."""
     docs = vw.documents(spark, sf_dir)

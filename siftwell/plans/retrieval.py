@@ -178,16 +178,18 @@ def v7(spark, sf_dir):
     return rk.bm25(candidates(spark, sf_dir)).select("qid", "chunk_id", "bm25")
 
 
-@query("v7b_corpus_bm25", "WITH " + vw.SQL_CHUNKS + f""", tq AS (SELECT item_id AS qid, text AS query FROM benchmark),
- tok AS (SELECT chunk_id, unnest({_TOKENS % 'text'}) AS term FROM chunks), dls AS (SELECT chunk_id, len({_TOKENS % 'text'}) AS dl FROM chunks),
+_CORPUS = f"""tok AS (SELECT chunk_id, unnest({_TOKENS % 'text'}) AS term FROM chunks), dls AS (SELECT chunk_id, len({_TOKENS % 'text'}) AS dl FROM chunks),
  st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dls),
  tfs AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL),
  dfs AS (SELECT term, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM tfs, st GROUP BY term),
  mean AS (SELECT avg(raw) AS m FROM dfs),
  qtf AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({_TOKENS % 'query'}) AS term FROM tq) GROUP BY ALL),
  s AS (SELECT qid, chunk_id, round(sum(qtf * CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25
-       FROM qtf JOIN tfs USING (term) JOIN dfs USING (term) JOIN dls USING (chunk_id), mean, st GROUP BY qid, chunk_id)
- SELECT qid, chunk_id, bm25, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, chunk_id) AS rank FROM s WHERE bm25 <> 0) WHERE rank <= 25""")
+       FROM qtf JOIN tfs USING (term) JOIN dfs USING (term) JOIN dls USING (chunk_id), mean, st GROUP BY qid, chunk_id)"""
+_TOP = "(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, chunk_id) AS rank FROM s WHERE bm25 <> 0) WHERE rank <= 25"
+
+
+@query("v7b_corpus_bm25", "WITH " + vw.SQL_CHUNKS + ", tq AS (SELECT item_id AS qid, text AS query FROM benchmark), " + _CORPUS + " SELECT qid, chunk_id, bm25, rank FROM " + _TOP)
 def v7b(spark, sf_dir):
     """BM25 with corpus-wide statistics over every chunk."""
     return corpus.bm25_corpus(vw.text_queries(spark, sf_dir), vw.chunks(spark, sf_dir)).select("qid", "chunk_id", "bm25", "rank")
@@ -209,6 +211,18 @@ def v9(spark, sf_dir):
     return rk.blend(both, both).select("qid", "source", "page", "blended", "rank")
 
 
+@query("v9_blend_two_lists", C + _SIM + ", " + _CORPUS + """, lx AS (SELECT t.qid, chunks.source, chunks.page, t.bm25 FROM (SELECT * FROM """ + _TOP + """) t JOIN chunks USING (chunk_id)),
+   ps AS (SELECT qid, source, page, 0.6 * CASE WHEN max(v_sim) OVER q = min(v_sim) OVER q THEN 1.0 ELSE (v_sim - min(v_sim) OVER q) / (max(v_sim) OVER q - min(v_sim) OVER q) END AS p FROM sim WINDOW q AS (PARTITION BY qid)
+     UNION ALL SELECT qid, source, page, 0.4 * CASE WHEN max(bm25) OVER q = min(bm25) OVER q THEN 1.0 ELSE (bm25 - min(bm25) OVER q) / (max(bm25) OVER q - min(bm25) OVER q) END FROM lx WINDOW q AS (PARTITION BY qid))
+   SELECT qid, source, page, blended, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY blended DESC, source, page) AS rank FROM (
+     SELECT qid, source, page, round(sum(p), 6) AS blended FROM ps GROUP BY ALL)) WHERE rank <= 5""")
+def v9_lists(spark, sf_dir):
+    """The nearest 25 chunks against the 25 best of the corpus by BM25: most stand in one list only."""
+    chunks = vw.stored_chunks(spark, sf_dir)
+    best = corpus.bm25_corpus(vw.text_queries(spark, sf_dir), chunks).join(chunks.select("chunk_id", "source", "page"), "chunk_id")
+    return rk.blend(rk.dist_to_sim(candidates(spark, sf_dir)), best).select("qid", "source", "page", "blended", "rank")
+
+
 @query("j5_score_merge", C + _SIM + _BM + """ SELECT qid, source, page, round(sum(v_sim), 6) AS dense, round(sum(bm25), 6) AS lexical, count(*) AS n FROM lex GROUP BY ALL""")
 def j5(spark, sf_dir):
     """Dense and lexical scores merged on (source, page): a union and one aggregate stand for the full outer join."""

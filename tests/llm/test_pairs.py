@@ -86,9 +86,9 @@ def near_texts(rng):
     passage = [rng.choice(vocabulary) for _ in range(60)]
     other = [rng.choice(vocabulary) for _ in range(60)]
     texts = []
-    for _ in range(8):
+    for _ in range(6):
         words = [rng.choice(vocabulary) for _ in range(rng.choice([5, 40, 120]))]
-        for _ in range(rng.choice([2, 5, 30])):
+        for _ in range(rng.choice([2, 5, 25])):
             copy = list(words)
             for _ in range(rng.choice([0, 0, 1, 2])):
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
@@ -101,7 +101,7 @@ def near_texts(rng):
     return texts
 
 
-TINY = {"short_run": 2, "frequent": 4, "piece_tokens": 300, "piece_pairs": 5, "copies": 2, "salted": 40}
+TINY = {"short_run": 2, "frequent": 4, "piece_tokens": 3000, "piece_pairs": 60, "copies": 2, "salted": 40}
 
 
 @pytest.mark.parametrize("small", [False, True])
