@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import hashing
-from siftwell.llm.setjoin import Block, Items, Join, Listed, SetJoin, item_hash
+from siftwell.llm.setjoin import Block, Frequent, Items, Join, Listed, SetJoin, item_hash
 
 
 @dataclass(frozen=True)
@@ -80,7 +80,7 @@ class LineItems(Items):
         sizes = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(lines))
         return Block(owner, number, both.astype(np.uint32), np.concatenate([[0], np.cumsum(sizes)]))
 
-    def keys(self, block: Block, late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self, block: Block, late: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         plan, starts, n = self.plan, block.offsets[:-1], len(block.docs)
         factors = multipliers(2 * plan.bands * plan.rows)
         out = []
@@ -92,7 +92,7 @@ class LineItems(Items):
                     least = np.minimum.reduceat((block.tokens ^ factors[k + 1]) * factors[k], starts) if n else np.zeros(0, np.uint32)
                     key = hashing.mixed(key * hashing.BASE + least)
             out.append(key)
-        return np.concatenate(out), np.tile(np.arange(n), plan.bands)
+        return np.concatenate(out), np.tile(np.arange(n), plan.bands), block.sizes()
 
 
 def repeated_lines(docs: DataFrame, plan: Lines = Lines()) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import hashing
-from siftwell.llm.setjoin import Block, Items, Join, Listed, SetJoin, among, item_hash
+from siftwell.llm.setjoin import Block, Frequent, Items, Join, Listed, SetJoin, item_hash
 
 
 class Documents(Items):
@@ -54,17 +54,20 @@ class Documents(Items):
         index, _ = self.leading(block, np.minimum(sizes, self.prefix(sizes) + sizes // 20))
         return block.tokens[index]
 
-    def keys(self, block: Block, late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lengths = self.prefix(block.sizes())
+    def keys(self, block: Block, late: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = block.sizes()
+        lengths = self.prefix(sizes)
         index, item = self.leading(block, lengths)
         keys = block.tokens[index]
-        if len(late):
-            starts = np.cumsum(lengths) - lengths
-            for i in np.unique(item[among(keys, late)]).tolist():
-                tokens = block.tokens[block.offsets[i] : block.offsets[i + 1]]
-                last = among(tokens, late)
-                keys[starts[i] : starts[i] + lengths[i]] = np.concatenate([tokens[~last], tokens[last]])[: lengths[i]]
-        return keys, item
+        last = late.has(block.tokens)
+        hits = np.concatenate([[0], np.cumsum(last)])
+        held = hits[block.offsets[1:]] - hits[block.offsets[:-1]]
+        starts = np.cumsum(lengths) - lengths
+        for i in np.unique(item[last[index]]).tolist():
+            a, b = block.offsets[i], block.offsets[i + 1]
+            tokens, rest = block.tokens[a:b], last[a:b]
+            keys[starts[i] : starts[i] + lengths[i]] = np.concatenate([tokens[~rest], tokens[rest]])[: lengths[i]]
+        return keys, item, np.where(sizes - held <= lengths, held, sizes)
 
 
 def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80, plan: Join | None = None) -> DataFrame:

@@ -25,8 +25,8 @@ from siftwell.llm import hashing
 from siftwell.llm.common import cut
 from siftwell.llm.components import components
 
-POSTING = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4")])
-RUNS = "kind int, key long, a long, b long, size_a int, size_b int, n int"
+POSTING = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4"), ("late", "<i4")])
+RUNS = "kind int, key long, a long, b long, size_a int, size_b int, late int, n int"
 PAIR, MEMBER = 0, 1
 
 
@@ -59,6 +59,22 @@ def item_hash(docs: np.ndarray, lines: np.ndarray) -> np.ndarray:
         return hashing.mixed(docs.astype(np.int64).view(np.uint64) * hashing.BASE + lines.astype(np.int64).view(np.uint64))
 
 
+class Frequent:
+    """A sorted list of tokens, with a table of their leading bits that tells most others apart at once."""
+
+    def __init__(self, tokens: np.ndarray) -> None:
+        self.tokens = tokens
+        self.leading = np.zeros(1 << 20, bool)
+        self.leading[(tokens >> np.uint64(44)).astype(np.int64)] = True
+
+    def has(self, tokens: np.ndarray) -> np.ndarray:
+        out = self.leading[(tokens >> np.uint64(44)).astype(np.int64)] if len(self.tokens) else np.zeros(len(tokens), bool)
+        maybe = np.flatnonzero(out)
+        if len(maybe):
+            out[maybe] = among(tokens[maybe], self.tokens)
+        return out
+
+
 class Items:
     """How texts become items and items keys. ``wanted`` names items whose tokens are asked for, by ``item_hash``; others may be left out."""
 
@@ -69,8 +85,11 @@ class Items:
     def read(self, docs: np.ndarray, texts: pa.Array, wanted: Listed | None = None) -> Iterator[Block]:
         raise NotImplementedError
 
-    def keys(self, block: Block, late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and the items they belong to."""
+    def keys(self, block: Block, late: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, the items they belong to, and per item how many of its tokens it can share outside its keys.
+
+        That is the number of its late tokens if all others are among its keys, else its size.
+        """
         raise NotImplementedError
 
     def zone(self, block: Block) -> np.ndarray | None:
@@ -132,15 +151,26 @@ def posted(postings: np.ndarray, parts: int, parted_by: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int64()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
 
+_known: list[Frequent] = []
+
+
+def frequent(tokens: np.ndarray) -> Frequent:
+    """The list with its table, made once per worker and list."""
+    if not _known or _known[0].tokens is not tokens:
+        _known[:] = [Frequent(tokens)]
+    return _known[0]
+
+
 def among(keys: np.ndarray, listed: np.ndarray) -> np.ndarray:
     """Which keys are listed (sorted)."""
     return listed[np.minimum(np.searchsorted(listed, keys), len(listed) - 1)] == keys if len(listed) else np.zeros(len(keys), bool)
 
 
-def runs_of(records: np.ndarray, percent: int, short_run: int, dealt: np.ndarray) -> pd.DataFrame:
+def runs_of(records: np.ndarray, percent: int, short_run: int, late: np.ndarray) -> pd.DataFrame:
     """Pairs of short runs with the number of keys they share, and members of long ones (rows of RUNS).
 
-    Runs of ``dealt`` keys count as long: they go on in other parts.
+    Runs of late keys count as long whatever their length, as they may go on in other parts. ``n`` of a member is 1 if
+    its key isn't late.
     """
     records = records[np.lexsort((records["node"], records["key"]))]
     fresh = np.ones(len(records), bool)
@@ -148,7 +178,8 @@ def runs_of(records: np.ndarray, percent: int, short_run: int, dealt: np.ndarray
     records = records[fresh]
     starts = np.flatnonzero(np.concatenate([[True], records["key"][1:] != records["key"][:-1]])) if len(records) else np.zeros(0, np.int64)
     lengths = np.diff(np.append(starts, len(records)))
-    long = (lengths > short_run) | among(records["key"][starts], dealt)
+    of_late = among(records["key"][starts], late)
+    long = (lengths > short_run) | of_late
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for n in range(2, short_run + 1):
         first = starts[(lengths == n) & ~long]
@@ -159,16 +190,21 @@ def runs_of(records: np.ndarray, percent: int, short_run: int, dealt: np.ndarray
     x, y = records[np.concatenate(left)], records[np.concatenate(right)]  # nodes ascend within a run
     near = 100 * np.minimum(x["size"], y["size"]).astype(np.int64) >= percent * np.maximum(x["size"], y["size"]).astype(np.int64)
     pairs = pd.DataFrame({"a": x["node"][near], "b": y["node"][near], "size_a": x["size"][near], "size_b": y["size"][near]})
-    pairs = pairs.groupby(["a", "b", "size_a", "size_b"], sort=False).size().rename("n").reset_index().assign(kind=PAIR, key=0)
+    pairs = pairs.groupby(["a", "b", "size_a", "size_b"], sort=False).size().rename("n").reset_index().assign(kind=PAIR, key=0, late=0)
     m = records[np.repeat(long, lengths)]
-    members = pd.DataFrame({"kind": MEMBER, "key": m["key"].view(np.int64) if len(m) else [], "a": m["node"], "b": 0, "size_a": m["size"], "size_b": 0, "n": 1})
+    members = pd.DataFrame({"kind": MEMBER, "key": m["key"].view(np.int64) if len(m) else [], "a": m["node"], "b": 0, "size_a": m["size"], "size_b": 0, "late": m["late"], "n": 1 - np.repeat(of_late & long, lengths)[np.repeat(long, lengths)]})
     names = [c.split()[0] for c in RUNS.split(", ")]
     return pd.concat([pairs, members])[names].astype({n: "int64" if n in ("key", "a", "b") else "int32" for n in names})
 
 
-def near_sizes(percent: int) -> Column:
-    """Whether the sizes of a pair allow a link."""
-    return 100 * F.least("size_a", "size_b").cast("long") >= percent * F.greatest("size_a", "size_b").cast("long")
+def may_link(percent: int) -> Column:
+    """Whether the sizes of a pair that shares no key of a short run allow a link, and what it can share at all.
+
+    It shares late tokens, at most as many as either has (``late``), and keys of long runs that aren't late (``other``).
+    """
+    least, greatest = F.least("size_a", "size_b").cast("long"), F.greatest("size_a", "size_b").cast("long")
+    shared = F.least("late_a", "late_b").cast("long") + F.least("other_a", "other_b")
+    return (100 * least >= percent * greatest) & (shared * (100 + percent) >= percent * (least + greatest))
 
 
 class SetJoin:
@@ -225,31 +261,45 @@ class SetJoin:
         return self.docs.mapInArrow(run, "part long, blob binary")
 
     def late(self, copied) -> np.ndarray:  # noqa: ANN001
-        """The most frequent tokens, sorted; counted over the zones of all items."""
-        items, frequent = self.items, self.plan.frequent
+        """The most frequent tokens, sorted. First those of all items' zones are counted, then all tokens of the items that
+        hold a frequent one, for their keys will stand beyond their zones."""
+        items, plan, spark = self.items, self.plan, self.spark
         if type(items).zone is Items.zone:
             return np.zeros(0, np.uint64)
 
-        def make(block: Block, nodes: np.ndarray, parts: int):  # noqa: ANN202
+        def count(frame: pd.DataFrame) -> pd.DataFrame:
+            keys, n = np.unique(np.frombuffer(b"".join(frame["blob"]), np.uint64), return_counts=True)
+            return pd.DataFrame({"key": keys[n > plan.frequent].view(np.int64), "n": n[n > plan.frequent]})
+
+        def listed(make) -> np.ndarray:  # noqa: ANN001
+            counted = self.passed(make, copied).groupBy("part").applyInPandas(count, "key long, n long")
+            rows = counted.orderBy(F.desc("n"), "key").limit(plan.most_late).select("key").collect()
+            return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
+
+        def zones(block: Block, nodes: np.ndarray, parts: int):  # noqa: ANN202
             zone = items.zone(block)
             return zone, parts, zone
 
-        def count(frame: pd.DataFrame) -> pd.DataFrame:
-            keys, n = np.unique(np.frombuffer(b"".join(frame["blob"]), np.uint64), return_counts=True)
-            return pd.DataFrame({"key": keys[n > frequent].view(np.int64), "n": n[n > frequent]})
+        first = listed(zones)
+        if not len(first):
+            return first
+        shared = spark.sparkContext.broadcast(first)
 
-        counted = self.passed(make, copied).groupBy("part").applyInPandas(count, "key long, n long")
-        rows = counted.orderBy(F.desc("n"), "key").limit(self.plan.most_late).select("key").collect()
-        return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
+        def whole(block: Block, nodes: np.ndarray, parts: int):  # noqa: ANN202
+            hit = np.concatenate([[0], np.cumsum(among(block.tokens, shared.value))])
+            tokens = block.only(hit[block.offsets[1:]] > hit[block.offsets[:-1]]).tokens
+            return tokens, parts, tokens
+
+        return listed(whole)
 
     def runs(self, copied, late: np.ndarray, total: int) -> DataFrame:  # noqa: ANN001
         items, plan, salts = self.items, self.plan, max(1, total // self.plan.salted)
         shared = self.spark.sparkContext.broadcast(late)
 
         def make(block: Block, nodes: np.ndarray, parts: int):  # noqa: ANN202
-            keys, item = items.keys(block, shared.value)
+            keys, item, left = items.keys(block, frequent(shared.value))
             records = np.zeros(len(keys), POSTING)
-            records["key"], records["node"], records["size"] = keys, nodes[item], block.sizes()[item]
+            records["key"], records["node"], records["size"], records["late"] = keys, nodes[item], block.sizes()[item], left[item]
             if salts == 1 or not len(shared.value):
                 return records, parts, keys
             # Runs of frequent tokens may be of any length: they are dealt over several parts.
@@ -258,7 +308,7 @@ class SetJoin:
                 return records, parts, hashing.mixed(keys + salt * hashing.BASE)
 
         def find(frame: pd.DataFrame) -> pd.DataFrame:
-            return runs_of(np.frombuffer(b"".join(frame["blob"]), POSTING), plan.percent, plan.short_run, shared.value if salts > 1 else np.zeros(0, np.uint64))
+            return runs_of(np.frombuffer(b"".join(frame["blob"]), POSTING), plan.percent, plan.short_run, shared.value)
 
         return cut(self.passed(make, copied).groupBy("part").applyInPandas(find, RUNS))
 
@@ -266,20 +316,26 @@ class SetJoin:
         """Keys that an item shares with any linked one of at least ``percent`` of its size."""
         return F.greatest(F.lit(1), F.floor(size.cast("long") * (self.items.shared_percent * percent) / 10_000))
 
+    def least_shared(self, size: Column, percent: int = 100) -> Column:
+        """Keys that an item shares with any linked one of at least ``percent`` of its size."""
+        return F.greatest(F.lit(1), F.floor(size.cast("long") * (self.items.shared_percent * percent) / 10_000))
+
     def candidates(self, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Distinct pairs that may link, and the members of long runs that can have links through those alone."""
-        rows = runs.filter(F.col("kind") == MEMBER).select("key", "a", "size_a")
-        held = cut(rows.groupBy("a").agg(F.count("*").alias("held"), F.max("size_a").alias("size")))
-        enough = held.filter(F.col("held") >= self.least_shared(F.col("size"), self.plan.percent)).select("a")
-        members = cut(rows.join(enough, "a"))
-        chief = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("a", "key").alias("rank"), "a", "size_a")).alias("c"))
-        chief = cut(chief.select("key", F.col("c.a").alias("b"), F.col("c.size_a").alias("size_b")))
-        stars = ordered(members.join(chief, "key").filter("a <> b").filter(near_sizes(self.plan.percent)))
+        """Distinct pairs that may link, and the members of long runs that can have links through those alone.
+
+        The star of a run stands around the member with the most late tokens, the one that copies were likely made from.
+        """
+        rows = runs.filter(F.col("kind") == MEMBER).select("key", "a", "size_a", "late", "n")
+        held = cut(rows.groupBy("a").agg(F.count("*").alias("held"), F.sum("n").alias("other_a"), F.max("size_a").alias("size"), F.max("late").alias("late_a")))
+        enough = held.filter(F.col("held") >= self.least_shared(F.col("size"), self.plan.percent))
+        members = cut(rows.select("key", "a", "size_a").join(enough.select("a", "late_a", "other_a"), "a"))
+        rank = F.struct((-F.col("late_a")).alias("first"), F.xxhash64("a", "key").alias("second"), "a", "size_a", "late_a", "other_a")
+        chief = members.groupBy("key").agg(F.min(rank).alias("c")).select("key", *[F.col(f"c.{x}_a" if x != "b" else "c.a").alias("b" if x == "b" else f"{x}_b") for x in ("b", "size", "late", "other")])
+        stars = ordered(members.join(cut(chief), "key").filter("a <> b").filter(may_link(self.plan.percent)))
         counted = runs.filter(F.col("kind") == PAIR).groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
         held_a, held_b = held.select("a", F.col("held").alias("held_a")), held.select(F.col("a").alias("b"), F.col("held").alias("held_b"))
         counted = counted.join(held_a, "a", "left").join(held_b, "b", "left")
-        in_long = F.coalesce(F.least("held_a", "held_b"), F.lit(0))
-        in_long = F.when(F.col("held_a").isNull() | F.col("held_b").isNull(), F.lit(0)).otherwise(in_long)
+        in_long = F.when(F.col("held_a").isNull() | F.col("held_b").isNull(), F.lit(0)).otherwise(F.least("held_a", "held_b"))
         likely = counted.filter(F.col("n") + in_long >= self.least_shared(F.least("size_a", "size_b")))
         return cut(likely.select("a", "b", "size_a", "size_b").unionByName(stars).distinct()), members
 
@@ -289,10 +345,13 @@ class SetJoin:
         rows = cut(rows)
         counts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
         main = cut(counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("m.component").alias("main")))
-        divided = cut(rows.join(main, "key"))
+        divided = rows.join(main, "key")
+        # A member alone must be able to share enough with one of the smallest size that may link with it.
+        able = (F.col("late_a").cast("long") + F.col("other_a")) * 100 >= self.plan.percent * F.col("size_a").cast("long")
+        divided = cut(divided.filter(able))
         strays = divided.filter("component <> main")
-        others = divided.select("key", F.col("a").alias("b"), F.col("size_a").alias("size_b"), F.col("component").alias("component_b"))
-        met = strays.join(others, "key").filter("component <> component_b and (component_b = main or a < b)").filter(near_sizes(self.plan.percent))
+        others = divided.select("key", *[F.col(f"{x}_a" if x != "b" else "a").alias("b" if x == "b" else f"{x}_b") for x in ("b", "size", "late", "other")], F.col("component").alias("component_b"))
+        met = strays.join(others, "key").filter("component <> component_b and (component_b = main or a < b)").filter(may_link(self.plan.percent))
         return cut(ordered(met).distinct())
 
     def verified(self, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
