@@ -323,13 +323,15 @@ class SetJoin:
     def candidates(self, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Distinct pairs that may link, and the members of long runs that can have links through those alone.
 
-        The star of a run stands around the member with the most late tokens, the one that copies were likely made from.
+        The star of a run stands around the member with the most late tokens, the one that copies were likely made from,
+        or with the most long runs if there is no order of tokens.
         """
         rows = runs.filter(F.col("kind") == MEMBER).select("key", "a", "size_a", "late", "n")
         held = cut(rows.groupBy("a").agg(F.count("*").alias("held"), F.sum("n").alias("other_a"), F.max("size_a").alias("size"), F.max("late").alias("late_a")))
         enough = held.filter(F.col("held") >= self.least_shared(F.col("size"), self.plan.percent))
-        members = cut(rows.select("key", "a", "size_a").join(enough.select("a", "late_a", "other_a"), "a"))
-        rank = F.struct((-F.col("late_a")).alias("first"), F.xxhash64("a", "key").alias("second"), "a", "size_a", "late_a", "other_a")
+        members = cut(rows.select("key", "a", "size_a").join(enough.select("a", "late_a", "other_a", "held"), "a"))
+        most = -F.col("held") if type(self.items).zone is Items.zone else -F.col("late_a")
+        rank = F.struct(most.alias("first"), F.xxhash64("a", "key").alias("second"), "a", "size_a", "late_a", "other_a")
         chief = members.groupBy("key").agg(F.min(rank).alias("c")).select("key", *[F.col(f"c.{x}_a" if x != "b" else "c.a").alias("b" if x == "b" else f"{x}_b") for x in ("b", "size", "late", "other")])
         stars = ordered(members.join(cut(chief), "key").filter("a <> b").filter(may_link(self.plan.percent)))
         counted = runs.filter(F.col("kind") == PAIR).groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
