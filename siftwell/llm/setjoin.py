@@ -28,6 +28,10 @@ from siftwell.llm.components import components
 POSTING = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4"), ("late", "<i4")])
 RUNS = "kind int, key long, a long, b long, size_a int, size_b int, late int, n int"
 PAIR, MEMBER = 0, 1
+#: Words of an item's sketch.
+SKETCH = 16
+#: What is known of a member of a long run.
+FACTS = ["size_a", "late_a", "other_a", *[f"s{w}_a" for w in range(SKETCH)]]
 
 
 @dataclass
@@ -49,6 +53,13 @@ class Block:
             total = sums[self.offsets[1:]] - sums[self.offsets[:-1]] + self.sizes().astype(np.uint64)
         return hashing.mixed(total).view(np.int64)
 
+    def sketches(self) -> list[np.ndarray]:
+        """Each item's tokens as bits of ``SKETCH`` 64-bit words. Sets differ in at least as many tokens as sketches in bits."""
+        bits = (hashing.mixed(self.tokens.astype(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * SKETCH)).astype(np.int64)
+        table = np.zeros((len(self.docs), 64 * SKETCH), bool)
+        table[np.repeat(np.arange(len(self.docs)), self.sizes()), bits] = True
+        return list(np.packbits(table, axis=1).view(np.int64).T.copy())
+
     def only(self, keep: np.ndarray) -> Block:
         sizes = self.sizes()
         return Block(self.docs[keep], self.lines[keep], self.tokens[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[keep])]))
@@ -201,10 +212,13 @@ def may_link(percent: int) -> Column:
     """Whether the sizes of a pair that shares no key of a short run allow a link, and what it can share at all.
 
     It shares late tokens, at most as many as either has (``late``), and keys of long runs that aren't late (``other``).
+    Its sets differ in at least as many tokens as their sketches in bits.
     """
+    differ = sum((F.bit_count(F.col(f"s{w}_a").bitwiseXOR(F.col(f"s{w}_b"))) for w in range(SKETCH)), F.lit(0))
     least, greatest = F.least("size_a", "size_b").cast("long"), F.greatest("size_a", "size_b").cast("long")
     shared = F.least("late_a", "late_b").cast("long") + F.least("other_a", "other_b")
-    return (100 * least >= percent * greatest) & (shared * (100 + percent) >= percent * (least + greatest))
+    enough = shared * (100 + percent) >= percent * (least + greatest)
+    return (100 * least >= percent * greatest) & enough & (differ * (100 + percent) <= (100 - percent) * (least + greatest))
 
 
 class SetJoin:
@@ -217,16 +231,17 @@ class SetJoin:
         self.parts = 4 * max(1, self.docs.rdd.getNumPartitions())
 
     def members(self) -> DataFrame:
-        """``doc_id, line, node, size`` of every item, kept once."""
+        """``doc_id, line, node, size`` and sketch (``s0`` …) of every item, kept once."""
         items = self.items
+        words = [f"s{w}" for w in range(SKETCH)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for docs, texts in slices(batch):
                     for b in items.read(docs, texts):
-                        yield pa.RecordBatch.from_arrays([pa.array(b.docs), pa.array(b.lines.astype(np.int32)), pa.array(b.nodes()), pa.array(b.sizes().astype(np.int32))], names=["doc_id", "line", "node", "size"])
+                        yield pa.RecordBatch.from_arrays([pa.array(b.docs), pa.array(b.lines.astype(np.int32)), pa.array(b.nodes()), pa.array(b.sizes().astype(np.int32)), *map(pa.array, b.sketches())], names=["doc_id", "line", "node", "size", *words])
 
-        return cut(self.docs.mapInArrow(run, "doc_id long, line int, node long, size int"))
+        return cut(self.docs.mapInArrow(run, "doc_id long, line int, node long, size int, " + ", ".join(f"{w} long" for w in words)))
 
     def copied(self, firsts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Nodes of the largest classes of equal sets, sorted, and the hash of the item that stands for each: a list of bounded length."""
@@ -320,7 +335,7 @@ class SetJoin:
         """Keys that an item shares with any linked one of at least ``percent`` of its size."""
         return F.greatest(F.lit(1), F.floor(size.cast("long") * (self.items.shared_percent * percent) / 10_000))
 
-    def candidates(self, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def candidates(self, runs: DataFrame, firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Distinct pairs that may link, and the members of long runs that can have links through those alone.
 
         The star of a run stands around the member with the most late tokens, the one that copies were likely made from,
@@ -329,10 +344,12 @@ class SetJoin:
         rows = runs.filter(F.col("kind") == MEMBER).select("key", "a", "size_a", "late", "n")
         held = cut(rows.groupBy("a").agg(F.count("*").alias("held"), F.sum("n").alias("other_a"), F.max("size_a").alias("size"), F.max("late").alias("late_a")))
         enough = held.filter(F.col("held") >= self.least_shared(F.col("size"), self.plan.percent))
-        members = cut(rows.select("key", "a", "size_a").join(enough.select("a", "late_a", "other_a", "held"), "a"))
+        sketches = firsts.select(F.col("node").alias("a"), *[F.col(f"s{w}").alias(f"s{w}_a") for w in range(SKETCH)])
+        known = cut(enough.select("a", "late_a", "other_a", "held").join(sketches, "a"))
+        members = cut(rows.select("key", "a", "size_a").join(known, "a"))
         most = -F.col("held") if type(self.items).zone is Items.zone else -F.col("late_a")
-        rank = F.struct(most.alias("first"), F.xxhash64("a", "key").alias("second"), "a", "size_a", "late_a", "other_a")
-        chief = members.groupBy("key").agg(F.min(rank).alias("c")).select("key", *[F.col(f"c.{x}_a" if x != "b" else "c.a").alias("b" if x == "b" else f"{x}_b") for x in ("b", "size", "late", "other")])
+        rank = F.struct(most.alias("first"), F.xxhash64("a", "key").alias("second"), "a", *FACTS)
+        chief = members.groupBy("key").agg(F.min(rank).alias("c")).select("key", F.col("c.a").alias("b"), *[F.col(f"c.{x}").alias(x.replace("_a", "_b")) for x in FACTS])
         stars = ordered(members.join(cut(chief), "key").filter("a <> b").filter(may_link(self.plan.percent)))
         counted = runs.filter(F.col("kind") == PAIR).groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
         held_a, held_b = held.select("a", F.col("held").alias("held_a")), held.select(F.col("a").alias("b"), F.col("held").alias("held_b"))
@@ -352,7 +369,7 @@ class SetJoin:
         able = (F.col("late_a").cast("long") + F.col("other_a")) * 100 >= self.plan.percent * F.col("size_a").cast("long")
         divided = cut(divided.filter(able))
         strays = divided.filter("component <> main")
-        others = divided.select("key", *[F.col(f"{x}_a" if x != "b" else "a").alias("b" if x == "b" else f"{x}_b") for x in ("b", "size", "late", "other")], F.col("component").alias("component_b"))
+        others = divided.select("key", F.col("a").alias("b"), *[F.col(x).alias(x.replace("_a", "_b")) for x in FACTS], F.col("component").alias("component_b"))
         met = strays.join(others, "key").filter("component <> component_b and (component_b = main or a < b)").filter(may_link(self.plan.percent))
         return cut(ordered(met).distinct())
 
@@ -437,11 +454,12 @@ class SetJoin:
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """All items (``doc_id, line, node, size``), and of each class with more than one: ``node, doc_id, line`` of its first item."""
         members = self.members()
-        firsts = members.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("f"), F.count("*").alias("n"))
-        firsts = cut(firsts.select("node", F.col("f.doc_id").alias("doc_id"), F.col("f.line").alias("line"), "n"))
+        words = [f"s{w}" for w in range(SKETCH)]
+        firsts = members.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("f"), F.count("*").alias("n"), *[F.max(w).alias(w) for w in words])
+        firsts = cut(firsts.select("node", F.col("f.doc_id").alias("doc_id"), F.col("f.line").alias("line"), "n", *words))
         copied = self.copied(firsts)
         runs = self.runs(copied, self.late(copied), members.count())
-        pairs, long = self.candidates(runs)
+        pairs, long = self.candidates(runs, firsts)
         links = self.verified(pairs, firsts)
         groups = components(links)
         more = self.verified(self.apart(long, groups), firsts)
