@@ -95,16 +95,18 @@ def references(found: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def distance(own: str, reference: str) -> Column:
     """Jensen-Shannon distance (base 2) of two histograms, null where either is empty."""
-    share = lambda c: f"transform({c}, x -> x / aggregate({c}, 0L, (a, v) -> a + v))"
+    share = lambda c: f"transform({c}, x -> x / total_{c})"
     terms = f"zip_with({share(own)}, {share(reference)}, (p, q) -> if(p > 0, p * ln(2 * p / (p + q)), 0D) + if(q > 0, q * ln(2 * q / (p + q)), 0D))"
     js = f"sqrt(greatest(0D, aggregate({terms}, 0D, (a, v) -> a + v)) / (2 * ln(2D)))"
-    empty = f"{reference} is null or aggregate({own}, 0L, (a, v) -> a + v) = 0 or aggregate({reference}, 0L, (a, v) -> a + v) = 0"
+    empty = f"{reference} is null or total_{own} = 0 or total_{reference} = 0"
     return F.expr(f"if({empty}, null, {js})")
 
 
 def judge(found: DataFrame, refs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``found`` with both distances, ``base_failed`` and ``kept``."""
     df = found.join(F.broadcast(refs), "lang", "left")  # one row for each listed language at most
+    for c in ("chars", "common", "ref_chars", "ref_common"):
+        df = df.withColumn(f"total_{c}", F.expr(f"aggregate({c}, 0L, (a, v) -> a + v)"))
     df = df.withColumn("char_distance", F.when(F.col("n_text") >= limits.char_guard, distance("chars", "ref_chars")))
     df = df.withColumn("word_distance", F.when(F.col("n_words") >= limits.word_guard, distance("common", "ref_common")))
     far = (F.coalesce("char_distance", F.lit(0.0)) > limits.char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > limits.word_distance)
@@ -119,5 +121,5 @@ def quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def accepted(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    refs = cut(references(features(docs), limits))
-    return judge(features(docs), refs, limits).filter("kept").select("doc.*")
+    found = cut(features(docs))  # with the documents: their texts are scanned by the rules once
+    return judge(found, references(found, limits), limits).filter("kept").select("doc.*")

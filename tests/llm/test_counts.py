@@ -82,7 +82,7 @@ def test_quality_stage_keeps_columns_and_rejects_what_diverges(spark):
 
 def test_distance_is_jensen_shannon(spark):
     p, q = [1, 2, 0, 5], [4, 0, 1, 3]
-    df = spark.createDataFrame([(p, q), ([0, 0, 0, 0], q)], "p array<long>, q array<long>").select(quality.distance("p", "q"))
+    df = spark.createDataFrame([(p, q, sum(p), sum(q)), ([0, 0, 0, 0], q, 0, sum(q))], "p array<long>, q array<long>, total_p long, total_q long").select(quality.distance("p", "q"))
     a, b = [x / sum(p) for x in p], [x / sum(q) for x in q]
     expected = sum((x * math.log2(2 * x / (x + y)) if x else 0) + (y * math.log2(2 * y / (x + y)) if y else 0) for x, y in zip(a, b, strict=True))
     rows = df.collect()
