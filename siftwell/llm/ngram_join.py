@@ -67,7 +67,10 @@ class Documents(Items):
             a, b = block.offsets[i], block.offsets[i + 1]
             tokens, rest = block.tokens[a:b], last[a:b]
             keys[starts[i] : starts[i] + lengths[i]] = np.concatenate([tokens[~rest], tokens[rest]])[: lengths[i]]
-        return keys, item, np.where(sizes - held <= lengths, held, sizes)
+        return keys, item, held
+
+    def tail(self, sizes: np.ndarray, late: np.ndarray) -> np.ndarray:
+        return np.maximum(0, sizes - late - self.prefix(sizes))
 
 
 def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80, plan: Join | None = None) -> DataFrame:

@@ -26,12 +26,12 @@ from siftwell.llm.common import cut
 from siftwell.llm.components import components
 
 POSTING = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4"), ("late", "<i4")])
-RUNS = "kind int, key long, a long, b long, size_a int, size_b int, late int, n int"
+RUNS = "kind int, key long, a long, b long, size_a int, size_b int, late int, tail int, n int"
 PAIR, MEMBER = 0, 1
 #: Words of an item's sketch.
 SKETCH = 16
 #: What is known of a member of a long run.
-FACTS = ["size_a", "late_a", "other_a", *[f"s{w}_a" for w in range(SKETCH)]]
+FACTS = ["size_a", "late_a", "other_a", "tail_a", *[f"s{w}_a" for w in range(SKETCH)]]
 
 
 @dataclass
@@ -97,12 +97,13 @@ class Items:
         raise NotImplementedError
 
     def keys(self, block: Block, late: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys, the items they belong to, and per item how many of its tokens it can share outside its keys.
-
-        That is the number of its late tokens if all others are among its keys, else its size.
-        """
+        """Keys, the items they belong to, and per item the number of its late tokens; its size if keys are no tokens."""
         raise NotImplementedError
 
+    def tail(self, sizes: np.ndarray, late: np.ndarray) -> np.ndarray:
+        """How many tokens of items with so many tokens, and late ones, are neither late nor among the keys."""
+        return np.zeros(len(sizes), np.int64)
+
     def zone(self, block: Block) -> np.ndarray | None:
         """Keys whose frequency decides which tokens stand late in the order; none if there is no order."""
         return None
@@ -201,9 +202,9 @@ def runs_of(records: np.ndarray, percent: int, short_run: int, late: np.ndarray)
     x, y = records[np.concatenate(left)], records[np.concatenate(right)]  # nodes ascend within a run
     near = 100 * np.minimum(x["size"], y["size"]).astype(np.int64) >= percent * np.maximum(x["size"], y["size"]).astype(np.int64)
     pairs = pd.DataFrame({"a": x["node"][near], "b": y["node"][near], "size_a": x["size"][near], "size_b": y["size"][near]})
-    pairs = pairs.groupby(["a", "b", "size_a", "size_b"], sort=False).size().rename("n").reset_index().assign(kind=PAIR, key=0, late=0)
+    pairs = pairs.groupby(["a", "b", "size_a", "size_b"], sort=False).size().rename("n").reset_index().assign(kind=PAIR, key=0, late=0, tail=0)
     m = records[np.repeat(long, lengths)]
-    members = pd.DataFrame({"kind": MEMBER, "key": m["key"].view(np.int64) if len(m) else [], "a": m["node"], "b": 0, "size_a": m["size"], "size_b": 0, "late": m["late"], "n": 1 - np.repeat(of_late & long, lengths)[np.repeat(long, lengths)]})
+    members = pd.DataFrame({"kind": MEMBER, "key": m["key"].view(np.int64) if len(m) else [], "a": m["node"], "b": 0, "size_a": m["size"], "size_b": 0, "late": m["late"], "tail": 0, "n": 1 - np.repeat(of_late & long, lengths)[np.repeat(long, lengths)]})
     names = [c.split()[0] for c in RUNS.split(", ")]
     return pd.concat([pairs, members])[names].astype({n: "int64" if n in ("key", "a", "b") else "int32" for n in names})
 
@@ -211,12 +212,14 @@ def runs_of(records: np.ndarray, percent: int, short_run: int, late: np.ndarray)
 def may_link(percent: int) -> Column:
     """Whether the sizes of a pair that shares no key of a short run allow a link, and what it can share at all.
 
-    It shares late tokens, at most as many as either has (``late``), and keys of long runs that aren't late (``other``).
-    Its sets differ in at least as many tokens as their sketches in bits.
+    It shares late tokens, at most as many as either has (``late``), keys of both in long runs that aren't late
+    (``other``), and tokens behind the keys of one of them. Those stand behind the keys of the one whose keys end first in
+    the order, so they are at most as many as the longer ``tail``. Its sets differ in at least as many tokens as their
+    sketches in bits.
     """
     differ = sum((F.bit_count(F.col(f"s{w}_a").bitwiseXOR(F.col(f"s{w}_b"))) for w in range(SKETCH)), F.lit(0))
     least, greatest = F.least("size_a", "size_b").cast("long"), F.greatest("size_a", "size_b").cast("long")
-    shared = F.least("late_a", "late_b").cast("long") + F.least("other_a", "other_b")
+    shared = F.least("late_a", "late_b").cast("long") + F.least("other_a", "other_b") + F.greatest("tail_a", "tail_b")
     enough = shared * (100 + percent) >= percent * (least + greatest)
     return (100 * least >= percent * greatest) & enough & (differ * (100 + percent) <= (100 - percent) * (least + greatest))
 
@@ -323,7 +326,10 @@ class SetJoin:
                 return records, parts, hashing.mixed(keys + salt * hashing.BASE)
 
         def find(frame: pd.DataFrame) -> pd.DataFrame:
-            return runs_of(np.frombuffer(b"".join(frame["blob"]), POSTING), plan.percent, plan.short_run, shared.value)
+            rows = runs_of(np.frombuffer(b"".join(frame["blob"]), POSTING), plan.percent, plan.short_run, shared.value)
+            member = rows["kind"] == MEMBER
+            rows.loc[member, "tail"] = items.tail(rows.loc[member, "size_a"].to_numpy(np.int64), rows.loc[member, "late"].to_numpy(np.int64)).astype(np.int32)
+            return rows
 
         return cut(self.passed(make, copied).groupBy("part").applyInPandas(find, RUNS))
 
@@ -341,11 +347,11 @@ class SetJoin:
         The star of a run stands around the member with the most late tokens, the one that copies were likely made from,
         or with the most long runs if there is no order of tokens.
         """
-        rows = runs.filter(F.col("kind") == MEMBER).select("key", "a", "size_a", "late", "n")
-        held = cut(rows.groupBy("a").agg(F.count("*").alias("held"), F.sum("n").alias("other_a"), F.max("size_a").alias("size"), F.max("late").alias("late_a")))
+        rows = runs.filter(F.col("kind") == MEMBER).select("key", "a", "size_a", "late", "tail", "n")
+        held = cut(rows.groupBy("a").agg(F.count("*").alias("held"), F.sum("n").alias("other_a"), F.max("size_a").alias("size"), F.max("late").alias("late_a"), F.max("tail").alias("tail_a")))
         enough = held.filter(F.col("held") >= self.least_shared(F.col("size"), self.plan.percent))
         sketches = firsts.select(F.col("node").alias("a"), *[F.col(f"s{w}").alias(f"s{w}_a") for w in range(SKETCH)])
-        known = cut(enough.select("a", "late_a", "other_a", "held").join(sketches, "a"))
+        known = cut(enough.select("a", "late_a", "other_a", "tail_a", "held").join(sketches, "a"))
         members = cut(rows.select("key", "a", "size_a").join(known, "a"))
         most = -F.col("held") if type(self.items).zone is Items.zone else -F.col("late_a")
         rank = F.struct(most.alias("first"), F.xxhash64("a", "key").alias("second"), "a", *FACTS)
@@ -362,11 +368,12 @@ class SetJoin:
         """Pairs of one long run that are in different components: every member outside the run's largest component with all others."""
         rows = members.join(groups.select(F.col("id").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
         rows = cut(rows)
-        counts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
-        main = cut(counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("m.component").alias("main")))
+        counts = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.max("tail_a").alias("tail"))
+        main = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts"), F.max("tail").alias("longest_tail"))
+        main = cut(main.filter("parts > 1").select("key", F.col("m.component").alias("main"), "longest_tail"))
         divided = rows.join(main, "key")
-        # A member alone must be able to share enough with one of the smallest size that may link with it.
-        able = (F.col("late_a").cast("long") + F.col("other_a")) * 100 >= self.plan.percent * F.col("size_a").cast("long")
+        # A member must be able to share enough with one of the smallest size and the longest tail that may link with it.
+        able = (F.col("late_a").cast("long") + F.col("other_a") + F.col("longest_tail")) * 100 >= self.plan.percent * F.col("size_a").cast("long")
         divided = cut(divided.filter(able))
         strays = divided.filter("component <> main")
         others = divided.select("key", F.col("a").alias("b"), *[F.col(x).alias(x.replace("_a", "_b")) for x in FACTS], F.col("component").alias("component_b"))

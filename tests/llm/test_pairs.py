@@ -115,6 +115,21 @@ def test_similar_documents(spark, small):
     assert got == {i * 3: (len(sets[i]), expected[i] * 3) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("variants", [20, 30])
+def test_variants_with_tokens_behind_the_keys_link(spark, variants):
+    """Tokens too rare to stand late may be keys of the original and lie behind the keys of its longer variants."""
+    texts = []
+    for group in range(6):
+        words = [f"common{i}" for i in range(80)] + [f"own{group}x{i}" for i in range(20)]
+        texts += [" ".join(words)] + [" ".join([*words, *[f"new{group}x{v}x{i}" for i in range(10)]]) for v in range(variants)]
+    sets = [shingle_set(t, 1) for t in texts]
+    links = linked_sets(sets, 85)
+    assert len(links) == 6 * variants
+    expected = grouped(len(texts), links)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_documents(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), 1, 85).collect()}
+    assert got == dict(enumerate(expected))
+
+
 def test_similar_documents_without_ids_and_with_repeated_rows(spark):
     rows = [(None, "a b c d e", "en", "a"), (5, "a b c d e", "en", "a"), (5, "a b c d e", "en", "a"), (2, "A B C D E", "en", "a"), (None, None, "en", "a"), (9, None, "en", "a")]
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(documents(spark, rows), 4, 85).collect())
