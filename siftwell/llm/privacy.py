@@ -11,6 +11,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,10 @@ TERM = re.compile("[A-Za-z\u0080-\U0010ffff]{3,}")
 class Disclosure:
     #: Terms on each side of an entity that count as its context.
     window: int = 8
-    #: Documents that must hold term and entity before their tie is believed.
-    support: int = 3
+    #: Fixed: documents that must hold term and entity. Most entities stand in one; few documents weigh less by ``prior``.
+    support: ClassVar[int] = 1
+    #: Documents without more ties than chance that are added to those of each term.
+    prior: float = 1.0
     generalise: float = 0.5
     remove: float = 0.8
     #: Slots of the term filter: a fixed size, whatever the corpus.
@@ -167,17 +170,19 @@ def term_frequencies(docs: DataFrame, terms: DataFrame, slots: int) -> DataFrame
 def disclosing(docs: DataFrame, found: DataFrame, plan: Disclosure) -> DataFrame:
     """``rid, start, end, action`` of the terms near an entity of their own document that disclose it too much.
 
-    With N documents, n_e of which hold the entity, n_t the term and n_te both side by side, a tie is
-    log2(N n_te / (n_t n_e)) / log2(N / n_e).
+    With N documents, n_e of which hold the entity, n_t the term and n_te both side by side, the share of the term's
+    documents that hold the entity is smoothed to p = (n_te + prior n_e / N) / (n_t + prior), so that few documents
+    tell less than many. Pointwise mutual information is log2(p N / n_e), and a tie is its share of log2(N / n_e).
     """
     near = found.filter(F.size("near") > 0).select("rid", F.explode("near").alias("x")).select("rid", "x.*")
-    ties = near.select("rid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= plan.support)
+    ties = near.select("rid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     ties = cut(ties)
     entities = near.select("rid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     counted = term_frequencies(docs, ties, plan.slots)
     n = F.lit(float(found.count()))
     tied = ties.join(entities, "entity").join(counted, "term")
-    tied = tied.withColumn("tie", F.try_divide(F.log2(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))), F.log2(n / F.col("n_entity"))))
+    share = (F.col("n_both") + plan.prior * F.col("n_entity") / n) / (F.col("n_term") + plan.prior)
+    tied = tied.withColumn("tie", F.try_divide(F.log2(share * n / F.col("n_entity")), F.log2(n / F.col("n_entity"))))
     tied = cut(tied.filter(F.col("tie") >= plan.generalise).select("entity", "term", "tie"))
     spans = near.join(tied, ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("tie").alias("tie"))
     return spans.select("rid", "start", "end", F.when(F.col("tie") >= plan.remove, F.lit("removed")).otherwise(F.lit("generalised")).alias("action"))

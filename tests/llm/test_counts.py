@@ -351,3 +351,17 @@ def test_disclosing_terms_against_brute_force(spark):
     assert flagged >= 30  # Zanzibar discloses bob
     clean = {r.doc_id: r.text for r in privacy.sanitise(documents(spark, rows[:60] + rows[300:302]), plan).collect()}
     assert "bob@" not in clean[0] and "Zanzibar" not in clean[0] and "[email]" in clean[0] and clean[3] == rows[3][1] and clean[400] is None
+
+
+def test_terms_of_entities_in_one_document_are_marked(spark):
+    rng = random.Random(18)
+    rows = [(i, " ".join(rng.choice(PROSE.split()) for _ in range(30)), "en", "a") for i in range(200)]
+    rows += [(200 + i, f"the Name{'abcdefgh'[i]}x and user{i}@mail.example of the", "en", "a") for i in range(8)]
+    rows += [(300, "the Twicely and twin@mail.example", "en", "a"), (301, "the Twicely and twin@mail.example", "en", "a")]
+    got = {r.doc_id: r.spans for r in privacy.sanitation(documents(spark, rows)).collect()}
+    for i, text, _, _ in rows[200:]:
+        kinds = [s for s in got[i].split(",") if s.split(":")[0] in ("removed", "generalised")]
+        at = 4
+        name = re.match("[A-Za-z]+", text[at:])[0]
+        assert kinds == ["removed:%d:%d" % (at, at + len(name))], (i, got[i])
+    assert not any(got[i] for i in range(200))
