@@ -1,8 +1,8 @@
 """Information-theoretic sanitisation of personal data.
 
-Protected entities are e-mail addresses, IP addresses, card and phone numbers. A term near an entity discloses it as
-far as the corpus ties both together: their pointwise mutual information, over document counts, as a share of the
-entity's own information. Terms above the first threshold are generalised, above the second removed.
+Protected entities are e-mail addresses, IP addresses, card and phone numbers. A term of a document that holds an
+entity discloses it as far as the corpus ties both together: their pointwise mutual information, over document counts,
+as a share of the entity's own information. Terms above the first threshold are generalised, above the second removed.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ TERM = re.compile("[A-Za-z\u0080-\U0010ffff]{3,}")
 
 @dataclass(frozen=True)
 class Disclosure:
-    #: Terms on each side of an entity that count as its context.
-    window: int = 8
+    #: Fixed: terms on each side of an entity that count as its context, beyond any document's length.
+    window: ClassVar[int] = 1 << 40
     #: Fixed: documents that must hold term and entity. Most entities stand in one; few documents weigh less by ``prior``.
     support: ClassVar[int] = 1
     #: Documents without more ties than chance that are added to those of each term.
@@ -94,45 +94,63 @@ def term_hashes(terms: list[str]) -> list[int]:
     return hashing.words(data, offsets, hashing.LETTERS)[0].view(np.int64).tolist()
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], window: int) -> list[dict]:
-    """Each entity with each term of its window that lies in no base span; a term and entity meet once per place."""
-    places = [(m.start(), m.end()) for m in TERM.finditer(text)]
+def entities(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
+    """Hashes of the distinct entities of the base spans."""
+    names = {entity_of(kind, text[a:b]) for kind, a, b in spans}
+    return sorted(int.from_bytes(hashlib.blake2b(n.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for n in names)
+
+
+def free_terms(text: str, spans: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every term that lies in no base span, by hash and start."""
     covered = sorted((a, b) for _, a, b in spans)
     free, i = [], 0
     far = -1
-    for a, b in places:
+    for m in TERM.finditer(text):
+        a, b = m.span()
         while i < len(covered) and covered[i][0] < b:
             far = max(far, covered[i][1])
             i += 1
         if far <= a:
             free.append((a, b))
-    starts = np.array([a for a, _ in free], np.int64)
-    hashes = term_hashes([text[a:b] for a, b in free]) if free else []
-    out = []
-    for kind, a, b in spans:
-        entity = int.from_bytes(hashlib.blake2b(entity_of(kind, text[a:b]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        left, right = int(np.searchsorted(starts, a)), int(np.searchsorted(starts, b))
-        for j in [*range(max(0, left - window), left), *range(right, min(len(free), right + window))]:
-            out.append({"entity": entity, "term": hashes[j], "start": free[j][0], "end": free[j][1]})
-    return out
+    hashes = np.array(term_hashes([text[a:b] for a, b in free]) if free else [], np.int64)
+    order = np.argsort(hashes, kind="stable")
+    places = np.array(free, np.int64).reshape(-1, 2)[order]
+    return hashes[order], places[:, 0], places[:, 1]
+
 
+FOUND = "rid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>, terms array<struct<term:long,length:int,starts:array<int>>>"
 
-FOUND = "rid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:long,term:long,start:long,end:long>>"
-NEAR = pa.list_(pa.struct([(n, pa.int64()) for n in ("entity", "term", "start", "end")]))
-FOUND_ARROW = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64())] + [(f"n_{k}", pa.int64()) for k in KINDS] + [("base", pa.string()), ("near", NEAR)])
 
+def lists(sizes: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
 
-def find(docs: DataFrame, plan: Disclosure) -> DataFrame:
-    """Per row its base spans and the terms near them, kept once; ``rid`` tells rows with equal ids apart."""
+
+def grouped_terms(places: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Array:
+    """For each text's ``free_terms`` its distinct terms with their length and starts."""
+    hashes, starts, ends = (np.concatenate([np.zeros(0, np.int64), *column]) for column in zip(*places, strict=True))
+    row = np.repeat(np.arange(len(places)), [len(p[0]) for p in places])
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(fresh)
+    held = lists(np.diff(np.append(first, len(hashes))), pa.array(starts, pa.int32()))
+    terms = pa.StructArray.from_arrays([pa.array(hashes[first]), pa.array((ends - starts)[first], pa.int32()), held], names=["term", "length", "starts"])
+    return lists(np.bincount(row[first], minlength=len(places)), terms)
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """Per row its base spans and, if there are any, its entities and all its terms, kept once; ``rid`` tells rows with equal ids apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for rid, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                spans = base_spans(text or "")
-                row = {"rid": rid, "doc_id": doc_id, "base": joined(spans), "near": contexts(text, spans, plan.window) if spans else []}
-                rows.append(row | {f"n_{k}": sum(s[0] == k for s in spans) for k in KINDS})
-            yield pa.RecordBatch.from_pylist(rows, schema=FOUND_ARROW)
+        for whole in batches:
+            for batch in (whole.slice(i, 256) for i in range(0, len(whole), 256)):
+                texts = [t or "" for t in batch.column(2).to_pylist()]
+                spans = [base_spans(t) for t in texts]
+                none = (np.zeros(0, np.int64),) * 3
+                held = [entities(t, s) for t, s in zip(texts, spans, strict=True)]
+                counts = [pa.array([sum(x[0] == k for x in s) for s in spans], pa.int64()) for k in KINDS]
+                terms = grouped_terms([free_terms(t, s) if s else none for t, s in zip(texts, spans, strict=True)])
+                columns = [batch.column(0), batch.column(1), *counts, pa.array([joined(s) for s in spans], pa.string()), pa.array(held, pa.list_(pa.int64())), terms]
+                yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", *[f"n_{k}" for k in KINDS], "base", "entities", "terms"])
 
     return cut(docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, FOUND))
 
@@ -168,38 +186,43 @@ def term_frequencies(docs: DataFrame, terms: DataFrame, slots: int) -> DataFrame
 
 
 def disclosing(docs: DataFrame, found: DataFrame, plan: Disclosure) -> DataFrame:
-    """``rid, start, end, action`` of the terms near an entity of their own document that disclose it too much.
+    """``rid, start, end, action`` of the terms that disclose an entity of their own document too much, wherever they stand.
 
-    With N documents, n_e of which hold the entity, n_t the term and n_te both side by side, the share of the term's
+    With N documents, n_e of which hold the entity, n_t the term and n_te both, the share of the term's
     documents that hold the entity is smoothed to p = (n_te + prior n_e / N) / (n_t + prior), so that few documents
     tell less than many. Pointwise mutual information is log2(p N / n_e), and a tie is its share of log2(N / n_e).
     """
-    near = found.filter(F.size("near") > 0).select("rid", F.explode("near").alias("x")).select("rid", "x.*")
-    ties = near.select("rid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    ties = cut(ties)
-    entities = near.select("rid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    held = found.select("rid", F.explode("entities").alias("entity"))
+    # Entities of the same documents have the same ties: they are judged as one, by a hash of the documents.
+    alike = held.groupBy("entity").agg(F.count("*").alias("n_entity"), *[F.bit_xor(F.xxhash64("rid", F.lit(i))).alias(f"x{i}") for i in range(2)])
+    alike = cut(alike.select("entity", "n_entity", F.xxhash64("n_entity", "x0", "x1").alias("documents")))
+    owned = held.join(alike, "entity").select("rid", "documents").distinct()
+    near = cut(found.select("rid", "terms").join(owned, "rid").select("rid", "documents", F.inline("terms")))
+    entities = alike.select("documents", "n_entity").distinct()
+    ties = cut(near.groupBy("documents", "term").agg(F.count("*").alias("n_both")))
     counted = term_frequencies(docs, ties, plan.slots)
     n = F.lit(float(found.count()))
-    tied = ties.join(entities, "entity").join(counted, "term")
+    tied = ties.join(entities, "documents").join(counted, "term")
     share = (F.col("n_both") + plan.prior * F.col("n_entity") / n) / (F.col("n_term") + plan.prior)
     tied = tied.withColumn("tie", F.try_divide(F.log2(share * n / F.col("n_entity")), F.log2(n / F.col("n_entity"))))
-    tied = cut(tied.filter(F.col("tie") >= plan.generalise).select("entity", "term", "tie"))
-    spans = near.join(tied, ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("tie").alias("tie"))
-    return spans.select("rid", "start", "end", F.when(F.col("tie") >= plan.remove, F.lit("removed")).otherwise(F.lit("generalised")).alias("action"))
+    tied = cut(tied.filter(F.col("tie") >= plan.generalise).select("documents", "term", "tie"))
+    marked = near.join(tied, ["documents", "term"]).groupBy("rid", "term").agg(F.max("tie").alias("tie"), F.first("length").alias("length"), F.first("starts").alias("starts"))
+    spans = marked.select("rid", "tie", "length", F.explode("starts").alias("start"))
+    return spans.select("rid", F.col("start").cast("long").alias("start"), (F.col("start").cast("long") + F.col("length")).alias("end"), F.when(F.col("tie") >= plan.remove, F.lit("removed")).otherwise(F.lit("generalised")).alias("action"))
 
 
 def sanitation(docs: DataFrame, plan: Disclosure = Disclosure()) -> DataFrame:
     """One row per document: ``doc_id``, counts and ``base`` spans of the four kinds, and ``terms``, the method's spans.
 
     ``base`` and ``spans`` list kind:start:end in code points, end exclusive; ``terms`` is an array of action, start and
-    end by start. Null text counts as empty. Copies of a document count as documents. Every term window is bounded, and
-    a frequent entity or term is counted before it is joined.
+    end by start. Null text counts as empty. Copies of a document count as documents. A frequent entity or
+    term is counted before it is joined; entities of the same documents count as one.
     """
     docs = docs.select("doc_id", "text")
-    found = find(docs, plan)
+    found = find(docs)
     marked = disclosing(docs, found, plan)
     marked = marked.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("action", "start", "end"))).alias("terms"))
-    out = found.join(marked, "rid", "left")
+    out = found.drop("entities", "terms").join(marked, "rid", "left")
     listed = F.concat(F.filter(F.split("base", ","), lambda x: x != ""), F.coalesce(F.transform("terms", lambda x: F.concat_ws(":", x["action"], x["start"], x["end"])), F.array().cast("array<string>")))
     return out.select("rid", "doc_id", *[f"n_{k}" for k in KINDS], "base", "terms", F.sha2("base", 256).alias("base_sha256"), F.array_join(listed, ",").alias("spans"))
 

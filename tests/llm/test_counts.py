@@ -365,3 +365,14 @@ def test_terms_of_entities_in_one_document_are_marked(spark):
         name = re.match("[A-Za-z]+", text[at:])[0]
         assert kinds == ["removed:%d:%d" % (at, at + len(name))], (i, got[i])
     assert not any(got[i] for i in range(200))
+
+
+def test_disclosing_terms_are_marked_far_from_the_entity(spark):
+    rng = random.Random(19)
+    prose = lambda n: " ".join(rng.choice(PROSE.split()) for _ in range(n))
+    rows = [(i, prose(200), "en", "a") for i in range(200)]
+    rows += [(200 + i, f"Zanzibar {prose(100)} bob@mail.example +1 (555) 123-4567 {prose(100)} zanzibar", "en", "a") for i in range(5)]
+    got = {r.doc_id: r.spans for r in privacy.sanitation(documents(spark, rows)).collect()}
+    for i, text, _, _ in rows[200:]:
+        assert got[i].endswith(f",removed:0:8,removed:{len(text) - 8}:{len(text)}"), got[i]
+    assert not any(got[i] for i in range(200))
