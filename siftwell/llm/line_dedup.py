@@ -2,10 +2,12 @@
 
 Lines become sets of character shingles. MinHash signatures in bands with a high recall give candidates, exact Jaccard
 similarities verify them, distributed union-find joins them, and of each component the first line stays (``setjoin``).
+Lines too short for two shingles are a set of their own and join with equal ones only.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +22,7 @@ from siftwell.llm.setjoin import Block, Frequent, Items, Join, Listed, SetJoin,
 
 @dataclass(frozen=True)
 class Lines:
-    """At a similarity of 0.8, 12 bands of 4 miss 0.2 % of the pairs; lines shorter than ``min_chars`` are left alone."""
+    """At a similarity of 0.8, 12 bands of 4 miss 0.2 % of the pairs; lines shorter than ``min_chars`` are left alone, empty ones always."""
 
     width: int = 7
     percent: int = 80
@@ -29,6 +31,10 @@ class Lines:
     min_chars: int = 20
 
 
+#: Every line that holds more than white space.
+EVERY = Lines(min_chars=1)
+
+
 def multipliers(n: int) -> np.ndarray:
     """Odd 32-bit numbers, the same everywhere."""
     return (hashing.mixed(np.arange(1, n + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -51,7 +57,7 @@ class LineItems(Items):
                 for i, raw in enumerate(text.split("\n")):
                     if len(raw) >= self.plan.min_chars:
                         line = " ".join(raw.lower().split())
-                        if len(line) >= max(self.plan.min_chars, self.plan.width):
+                        if len(line) >= max(self.plan.min_chars, 1):
                             lines.append(line)
                             owners.append(doc)
                             numbers.append(i)
@@ -69,13 +75,18 @@ class LineItems(Items):
             at = to
 
     def block(self, owner: np.ndarray, number: np.ndarray, lines: list[str]) -> Block:
-        points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-        chars = np.array([len(x) for x in lines], np.int64)
-        hashes = hashing.grams(points, self.plan.width)
-        counts = chars - self.plan.width + 1
+        width = self.plan.width
+        short = np.array([len(x) <= width for x in lines], bool)
+        # Padded, short lines have two grams, which give way to the halves of the line's 64-bit hash.
+        points = np.frombuffer("".join(x if len(x) > width else x.ljust(width + 1) for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        chars = np.array([max(len(x), width + 1) for x in lines], np.int64)
+        hashes = hashing.grams(points, width)
+        counts = chars - width + 1
         line = np.repeat(np.arange(len(lines)), counts)
         index = np.arange(len(line)) + np.repeat(np.cumsum(chars) - chars - (np.cumsum(counts) - counts), counts)
-        both = np.sort((line.astype(np.uint64) << np.uint64(32)) | hashes[index])
+        tokens = hashes[index]
+        tokens[np.repeat(short, counts)] = np.frombuffer(b"".join(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest() for x in lines if len(x) <= width), np.uint32)
+        both = np.sort((line.astype(np.uint64) << np.uint64(32)) | tokens)
         both = both[np.concatenate([[True], both[1:] != both[:-1]])]
         sizes = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(lines))
         return Block(owner, number, both.astype(np.uint32), np.concatenate([[0], np.cumsum(sizes)]))
@@ -95,11 +106,11 @@ class LineItems(Items):
         return np.concatenate(out), np.tile(np.arange(n), plan.bands), block.sizes()
 
 
-def repeated_lines(docs: DataFrame, plan: Lines = Lines()) -> DataFrame:
+def repeated_lines(docs: DataFrame, plan: Lines = EVERY) -> DataFrame:
     """``doc_id, removed``: the numbers (from 0, in order) of the lines that repeat a line elsewhere.
 
-    Of a component of similar lines the one that comes first by doc_id and number stays. Lines shorter than
-    ``min_chars``, rows without an id and null or empty texts are left alone. Rows with one id count as one document:
+    Of a component of similar lines the one that comes first by doc_id and number stays. Empty lines, lines
+    shorter than ``min_chars``, rows without an id and null or empty texts are left alone. Rows with one id count as one document:
     equal rows lose the same lines. A document's lines are listed in one row, as they stand in one text.
     """
     members, classes = SetJoin(docs, LineItems(plan), Join(plan.percent)).classes()
@@ -118,13 +129,13 @@ def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     return df.select(*[F.col(c) for c in docs.columns], "__removed")
 
 
-def dedup_lines(docs: DataFrame, plan: Lines = Lines()) -> DataFrame:
+def dedup_lines(docs: DataFrame, plan: Lines = EVERY) -> DataFrame:
     """The documents without repeated lines; one that loses lines and has no word left is dropped."""
     df = without_lines(docs, repeated_lines(docs, plan))
     return df.filter(F.col("__removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
-def line_report(docs: DataFrame, plan: Lines = Lines()) -> DataFrame:
+def line_report(docs: DataFrame, plan: Lines = EVERY) -> DataFrame:
     """One row per document: ``doc_id, n_lines, n_removed, removed`` (line numbers, comma-joined, '' for none)."""
     rows = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
     df = rows.join(repeated_lines(docs, plan), "doc_id", "left")

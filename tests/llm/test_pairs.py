@@ -190,6 +190,16 @@ def test_repeated_lines(spark):
     assert report == {i: (0 if t is None else len(t.split("\n")), len(expected[i])) for i, t in enumerate(texts)}
 
 
+def test_short_lines_are_compared(spark):
+    near = "a line of 19 chars"
+    texts = ["}\nYes.\n\nown line\nseven77\n" + near, "yes.\n\n }  \nother\nseven78\n" + near + "s", "\n  \n第一章\nYes", "第一章\nYES.\nseven77", None, ""]
+    report = {r.doc_id: (r.n_lines, r.removed) for r in line_dedup.line_report(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert report == {0: (6, ""), 1: (6, "0,2,5"), 2: (4, ""), 3: (3, "0,1,2"), 4: (0, ""), 5: (1, "")}
+    items = [x for t in texts if t for raw in t.split("\n") if (x := " ".join(raw.lower().split()))]
+    block = line_dedup.LineItems(line_dedup.EVERY).block(np.arange(len(items)), np.arange(len(items)), items)
+    assert len(set(block.nodes().tolist())) == len(set(items))
+
+
 def vector_rows(rng):
     rows, at = [], 0
     for label in (1, 2, None, 3):
