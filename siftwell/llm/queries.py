@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import licenses, line_dedup, mixing, ngram_join, packing, privacy, quality, sharding, twins, vectors, warc
+from siftwell.llm import audit, centroids, decontaminate, licenses, line_dedup, mixing, ngram_join, packing, privacy, quality, sharding, twins, vectors, warc
 from siftwell.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,19 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_walsh_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 REGISTERED = [
     op1_quality_divergence,
     op2_best_fit_packing,
@@ -69,6 +82,9 @@ REGISTERED = [
     op8_disclosure,
     op9_ngram_jaccard,
     op10_fuzzy_lines,
+    op11_walsh_centroids,
+    op12_winnowing,
+    op13_filter_audit,
 ]
 QUERIES: dict[str, Query] = {f.__name__: f for f in REGISTERED}
 SQL: dict[str, str] = dict(twins.SQL)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
+from siftwell.llm.centroids import DIM, LIMIT, Clustering
+from siftwell.llm.decontaminate import Winnowing
 from siftwell.llm.mixing import Curriculum
 from siftwell.llm.quality import CLASSES, COMMON, VOCABULARY, Limits
 
@@ -82,4 +86,71 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, taken, CASE WHEN size
 FROM drawn"""
 
 
-SQL = {"op1_quality_divergence": quality_sql(), "op3_curriculum_mix": mix_sql()}
+def cluster_sql(plan: Clustering = Clustering()) -> str:
+    """One pair of CTEs per round, plain squared distances."""
+    square = "+".join(f"(v[{i + 1}]-p[{i + 1}])*(v[{i + 1}]-p[{i + 1}])" for i in range(DIM))
+    near = "(SELECT rid, min(struct_pack(d := d, c := c)) AS m FROM (SELECT rid, c, {d} AS d FROM vectors CROSS JOIN {p}) GROUP BY rid)"
+    rounds = []
+    for i in range(plan.rounds):
+        rounds.append(f"""
+  sums{i} AS MATERIALIZED (SELECT c, list(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END ORDER BY i) AS q FROM (
+      SELECT m.c AS c, i, sum(x)::BIGINT AS s, count(*) AS n FROM {near.format(d=square, p=f"points{i}")} JOIN cells USING (rid) GROUP BY ALL) GROUP BY c),
+  points{i + 1} AS MATERIALIZED (SELECT c, coalesce(q, p) AS p FROM points{i} LEFT JOIN sums{i} USING (c))""")
+    last = f"points{plan.rounds}"
+    return f"""
+WITH given AS (SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+  vectors AS MATERIALIZED (SELECT rid, vec_id, list_transform(e, lambda x: floor({plan.scale} * x)::BIGINT) AS v FROM given
+    WHERE len(e) = {DIM} AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x) AND abs(x) < {LIMIT / plan.scale})) = {DIM}),
+  cells AS MATERIALIZED (SELECT rid, unnest(v) AS x, unnest(range({DIM})) AS i FROM vectors),
+  points0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY name, v) - 1 AS c, v AS p FROM (SELECT sha256('{plan.seed}:' || vec_id) AS name, v FROM vectors ORDER BY name, v LIMIT {plan.centroids})),
+  {",".join(rounds)},
+  found AS MATERIALIZED (SELECT rid, m.c AS c, m.d AS d FROM {near.format(d=square, p=last)})
+SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(p, ',')) AS centroid_sha256
+FROM found JOIN vectors USING (rid) JOIN {last} USING (c)"""
+
+
+def winnowing_sql(plan: Winnowing = Winnowing()) -> str:
+    """Windows as strings, joined as they are."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {words} AS ws FROM benchmark),
+  sized AS (SELECT item, ws, least(len(ws), {plan.length}) AS m FROM items WHERE len(ws) > 0),
+  windows AS (SELECT DISTINCT item, m, array_to_string(ws[i + 1:i + m], ' ') AS k FROM (SELECT *, unnest(range(len(ws) - m + 1)) AS i FROM sized)),
+  docs AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS ws FROM documents),
+  lengths AS (SELECT DISTINCT m FROM windows),
+  spans AS (SELECT rid, m, i, array_to_string(ws[i + 1:i + m], ' ') AS k FROM (SELECT rid, ws, m, unnest(range(len(ws) - m + 1)) AS i FROM docs JOIN lengths ON len(ws) >= m)),
+  hits AS (SELECT rid, i, m, item FROM spans JOIN windows USING (m, k)),
+  words_hit AS (SELECT rid, count(DISTINCT w) AS n FROM (SELECT rid, unnest(range(i, i + m)) AS w FROM (SELECT DISTINCT rid, i, m FROM hits)) GROUP BY rid),
+  found AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(words_hit.n, 0)::BIGINT AS n_hit, coalesce(found.n, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256, words_hit.n IS NOT NULL AS contaminated
+FROM docs LEFT JOIN words_hit USING (rid) LEFT JOIN found USING (rid)"""
+
+
+def audit_sql() -> str:
+    """Every order applied to every mask, filter by filter."""
+    orders = ", ".join(f"('{''.join(p)}')" for p in permutations("ABCDE"))
+    return f"""
+WITH base AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+  firsts AS (SELECT t, min(doc_id) AS first FROM base GROUP BY t),
+  worded AS (SELECT base.*, first, {WORDS} AS ws FROM base JOIN firsts USING (t)),
+  known AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+  failed AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+      CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END
+      || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+      || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+    FROM worded LEFT JOIN known USING (doc_id)),
+  counts AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failed GROUP BY ALL),
+  orders(filter_order) AS (VALUES {orders}),
+  cells AS (SELECT part, filter_order, step, filter_order[step] AS f, counts.fails, n, good, toxic,
+      contains(fails, filter_order[step]) AS failing, length(translate(filter_order[1:step - 1], fails, '')) < step - 1 AS gone
+    FROM counts CROSS JOIN orders CROSS JOIN (SELECT unnest(range(1, 6)) AS step)),
+  steps AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (failing AND NOT gone), 0)::BIGINT AS removed,
+      coalesce(sum(n) FILTER (failing AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = f), 0)::BIGINT AS unique_fails,
+      coalesce(sum(good) FILTER (failing AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (failing AND NOT gone), 0)::BIGINT AS toxic_lost
+    FROM cells GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM steps"""
+
+
+SQL = {"op1_quality_divergence": quality_sql(), "op3_curriculum_mix": mix_sql(), "op11_walsh_centroids": cluster_sql(), "op12_winnowing": winnowing_sql(), "op13_filter_audit": audit_sql()}
