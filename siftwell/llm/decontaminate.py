@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import hashing
+from siftwell.llm.bits import Bits, bits_of, fitting
 from siftwell.llm.common import cut, forget
 from siftwell.llm.setjoin import slices
 
@@ -27,7 +28,6 @@ ALNUM[48:58] = True
 #: A window's fingerprint and its own hash; and with its length and where it starts.
 KEY = np.dtype([("print", "<i8"), ("key", "<i8")])
 HIT = np.dtype([("length", "<i4"), ("start", "<i4"), *KEY.descr])
-PAGE = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -93,42 +93,6 @@ def window_keys(words: np.ndarray, rows: np.ndarray, length: int, gram: int, kee
     return starts, np.searchsorted(rows, starts, "right") - 1, grams[at] + np.uint64(length), hashing.mixed(whole ^ np.uint64(length))
 
 
-class Bits:
-    """A set of hashes as bits: a fixed size, and a superset of what is meant."""
-
-    def __init__(self, pages: dict[int, bytes], size: int) -> None:
-        self.size = size
-        self.bits = np.zeros(size // 8, np.uint8)
-        for page, blob in pages.items():
-            self.bits[page * PAGE : (page + 1) * PAGE] = np.frombuffer(blob, np.uint8)
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        slot = hashing.mixed(hashes) & np.uint64(self.size - 1)
-        return (self.bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def bits_of(hashes: DataFrame, column: str, size: int) -> Bits:
-    """The hashes of a column as a table of ``size`` bits (a power of two); it is gathered by pages, never hash by hash."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = np.unique(hashing.mixed(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
-            word = slot >> 6
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
-            masks = np.bitwise_or.reduceat(np.uint64(1) << (slot & 63).astype(np.uint64), first) if len(word) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(masks.view(np.int64))], names=["word", "mask"])
-
-    words = hashes.select(column).mapInArrow(mark, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    pages = words.groupBy((F.col("word") / F.lit(PAGE // 8)).cast("long").alias("page")).agg(F.collect_list(F.struct("word", "mask")).alias("words"))  # at most 512 words a page
-    out = {}
-    for r in pages.collect():  # the table itself: at most ``most_bits`` bits
-        blob = np.zeros(PAGE // 8, np.uint64)
-        for w in r["words"]:
-            blob[w["word"] % (PAGE // 8)] = np.int64(w["mask"]).view(np.uint64)
-        out[r["page"]] = blob.tobytes()
-    return Bits(out, size)
-
-
 def word_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = hashing.text_bytes(texts)
     found, rows, _ = hashing.words(data, offsets, ALNUM)
@@ -196,9 +160,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, plan: Winnowing = Winno
     """
     listed = cut(benchmark_windows(benchmark, plan))
     sizes = {r["length"]: r["n"] for r in listed.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `length` rows
-    size = plan.least_bits
-    while size < min(plan.most_bits, plan.bits_each * sum(sizes.values())):
-        size *= 2
+    size = fitting(sum(sizes.values()), plan.bits_each, plan.least_bits, plan.most_bits)
     windows = listed.select("item", "print", "key").distinct()
     rows = cut(candidates(docs, bits_of(listed, "print", size), bits_of(listed, "key", size), sorted(sizes), plan))
 
