@@ -20,7 +20,7 @@ class Bits:
 
     def __init__(self, pages: dict[int, bytes], size: int) -> None:
         self.size = size
-        self.bits = np.zeros(size // 8, np.uint8)
+        self.bits = np.zeros(max(size // 8, PAGE), np.uint8)  # whole pages
         for page, blob in pages.items():
             self.bits[page * PAGE : (page + 1) * PAGE] = np.frombuffer(blob, np.uint8)
 
