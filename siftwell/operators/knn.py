@@ -63,7 +63,25 @@ class _Queries:
         self.matrix = _matrix(frame["__qv"], self.dim)
         if spec.metric == "cosine":
             self.matrix = _unit(self.matrix)
-        self.match = [frame[f"__q_{m}"].to_numpy(dtype=object) for m in spec.match]
+        #: By which match columns a query states, and their values: its rows.
+        self.stated: dict[tuple[int, ...], dict[tuple, list[int]]] = {}
+        columns = [frame[f"__q_{m}"].tolist() for m in spec.match]
+        for row in range(len(frame)):
+            values = [c[row] for c in columns]
+            stated = tuple(i for i, w in enumerate(values) if w is not None and w == w)
+            self.stated.setdefault(stated, {}).setdefault(tuple(values[i] for i in stated), []).append(row)
+
+
+def _meetings(queries: _Queries, frame: pd.DataFrame, spec: Spec) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Query rows and the vector rows that they may see. A query stands in one of them; vectors that no query may see stand in none."""
+    for stated, by_value in queries.stated.items():
+        if not stated:
+            yield np.asarray(by_value[()]), np.arange(len(frame))
+            continue
+        for value, rows in frame.groupby([f"__v_{spec.match[i]}" for i in stated], sort=False).indices.items():
+            value = value if isinstance(value, tuple) else (value,)
+            if value in by_value:
+                yield np.asarray(by_value[value]), rows
 
 
 def _by_size(frame: pd.DataFrame, spec: Spec) -> list[_Queries]:
@@ -83,30 +101,25 @@ def _best(queries: _Queries, frame: pd.DataFrame, spec: Spec) -> pd.DataFrame:
     order = np.argsort(ids, kind="stable")
     rank_of = np.empty(len(ids), dtype=np.int64)
     rank_of[order] = np.arange(len(ids))
-    # Query rows are scored in strips, so the score matrix stays small whatever the query count.
-    strip = max(1, 4_000_000 // len(ids))
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    columns = [frame[f"__v_{m}"].to_numpy(dtype=object) for m in spec.match]
-    for lo in range(0, len(queries.ids), strip):
-        hi = min(lo + strip, len(queries.ids))
-        scores = np.round(queries.matrix[lo:hi] @ vectors.T, DECIMALS) + 0.0
-        barred = np.zeros(scores.shape, dtype=bool)
-        for mine, theirs in zip(queries.match, columns):
-            wanted = mine[lo:hi]
-            free = np.array([w is None or w != w for w in wanted])
-            barred |= ~free[:, None] & (wanted[:, None] != theirs[None, :])
-        if spec.exclude_self:
-            barred |= queries.ids[lo:hi, None] == ids[None, :]
-        scores[barred] = -np.inf
-        k = min(spec.k, scores.shape[1])
-        floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        rows, cols = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-        value = scores[rows, cols]
-        sort = np.lexsort((rank_of[cols], -value, rows))
-        rows, cols, value = rows[sort], cols[sort], value[sort]
-        starts = np.searchsorted(rows, rows, side="left")
-        top = np.arange(len(rows)) - starts < k
-        parts.append((rows[top] + lo, cols[top], value[top]))
+    for asked, seen in _meetings(queries, frame, spec):
+        # Query rows are scored in strips, so the score matrix stays small whatever the query count.
+        strip = max(1, 4_000_000 // len(seen))
+        for mine in (asked[lo : lo + strip] for lo in range(0, len(asked), strip)):
+            scores = np.round(queries.matrix[mine] @ vectors[seen].T, DECIMALS) + 0.0
+            if spec.exclude_self:
+                scores[queries.ids[mine, None] == ids[None, seen]] = -np.inf
+            k = min(spec.k, scores.shape[1])
+            floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+            rows, cols = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+            value, cols = scores[rows, cols], seen[cols]
+            sort = np.lexsort((rank_of[cols], -value, rows))
+            rows, cols, value = rows[sort], cols[sort], value[sort]
+            starts = np.searchsorted(rows, rows, side="left")
+            top = np.arange(len(rows)) - starts < k
+            parts.append((mine[rows[top]], cols[top], value[top]))
+    if not parts:
+        return pd.DataFrame({"q": [], "v": [], "s": []})
     q, v, s = (np.concatenate(x) for x in zip(*parts))
     return pd.DataFrame({"q": q, "v": v, "s": s})
 
@@ -156,9 +169,14 @@ def _out_schema(queries: DataFrame, index: DataFrame, spec: Spec, payload: Seque
     )
 
 
-def _ranked(scored: DataFrame, spec: Spec) -> DataFrame:
-    w = Window.partitionBy(spec.qid).orderBy(F.col("score").desc(), F.col(spec.vid))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= spec.k)
+def _ranked(scored: DataFrame, spec: Spec, sources: int = 1) -> DataFrame:
+    """Best k per query of what ``sources`` tasks have found, merged in two levels: no task gets more than about sqrt(sources) lists of one query."""
+    groups = max(1, round(sources**0.5))
+    order = (F.col("score").desc(), F.col(spec.vid))
+    part = Window.partitionBy(spec.qid, "__part").orderBy(*order)
+    some = scored.withColumn("__part", F.pmod(F.xxhash64(spec.vid), F.lit(groups)))
+    some = some.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= spec.k).drop("rank", "__part") if groups > 1 else scored
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy(spec.qid).orderBy(*order))).filter(F.col("rank") <= spec.k)
 
 
 def knn(
@@ -211,7 +229,7 @@ def knn(
         if best is not None and len(best):
             yield plain(best)
 
-    return _ranked(v.mapInPandas(run, schema), spec)
+    return _ranked(v.mapInPandas(run, schema), spec, v._jdf.queryExecution().toRdd().getNumPartitions())
 
 
 def knn_grid(
@@ -245,46 +263,3 @@ def knn_grid(
 
     scored = left.drop("__nq", "__nv").groupBy(*keys).cogroup(right.drop("__nq", "__nv").groupBy(*keys)).applyInPandas(run, schema)
     return _ranked(scored, spec)
-
-
-# ---- coarse cells ------------------------------------------------------------------------------------
-
-
-def fit_cells(index: DataFrame, n_cells: int, vec: str = "embedding", sample: float | None = None, seed: int = 7):
-    """K-means cell centres over unit vectors; only the centres (cells x dimensions) reach the driver."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    train = index if sample is None else index.sample(sample, seed=seed)
-    ready = train.select(array_to_vector(F.col(vec).cast("array<double>")).alias("raw"))
-    ready = Normalizer(inputCol="raw", outputCol="features").transform(ready)
-    return np.vstack(KMeans(k=n_cells, seed=seed, maxIter=10).fit(ready).clusterCenters())
-
-
-def nearest_cells(df: DataFrame, centres: np.ndarray, n: int, vec: str = "embedding") -> DataFrame:
-    """Add ``cells``: the ``n`` cells whose centres are nearest to the unit vector."""
-
-    @F.pandas_udf("array<int>")
-    def pick(values: pd.Series) -> pd.Series:
-        m = _unit(_matrix(values, centres.shape[1]))
-        d = ((centres * centres).sum(axis=1)[None, :]) - 2 * m @ centres.T
-        return pd.Series(list(np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :n].astype(np.int32)))
-
-    return df.withColumn("cells", pick(F.col(vec)))
-
-
-def knn_cells(
-    queries: DataFrame, index: DataFrame, k: int, centres: np.ndarray, nprobe: int = 4, *, qid: str = "qid",
-    vid: str = "vec_id", exclude_self: bool = False, payload: Sequence[str] = (),
-) -> DataFrame:
-    """Approximate top k: each query searches the vectors of its ``nprobe`` nearest cells only."""
-    spec = Spec(qid, vid, k, "cosine", (), exclude_self)
-    schema = _out_schema(queries, index, spec, payload)
-    q = nearest_cells(queries, centres, nprobe).select(
-        F.col(qid).alias("__qid"), F.col("embedding").alias("__qv"), F.explode("cells").alias("__cell")
-    )
-    v = nearest_cells(index, centres, 1).select(
-        F.col(vid).alias("__vid"), F.col("embedding").alias("__vv"), *payload, F.col("cells")[0].alias("__cell")
-    )
-    return knn_grid(q, v, spec, schema, payload)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as tx
-from siftwell.operators import embed, ingest
+from siftwell.operators import cells, embed, ingest
 from siftwell.session import checkpoint_root, delete_folder, spread
 
 
@@ -59,6 +59,17 @@ def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_stored[key])
 
 
+def stored_cells(spark: SparkSession, sf_dir: str) -> cells.Cells:
+    """The vectors as a written index of cells, built once per application and table."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#cells")
+    if key not in _stored:
+        path = f"{checkpoint_root(spark)}/cells-{uuid.uuid4().hex}"
+        atexit.register(delete_folder, path)
+        cells.build_cells(vectors(spark, sf_dir), path)
+        _stored[key] = path
+    return cells.open_cells(spark, _stored[key])
+
+
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 

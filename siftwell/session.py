@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -53,14 +54,33 @@ def checkpoint_root(spark: SparkSession) -> str:
     return made
 
 
+_folders: dict[str, str] = {}
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables below the checkpoint folder; it goes when the application ends."""
+    root = checkpoint_root(spark)
+    if root not in _folders:
+        _folders[root] = f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
+        atexit.register(delete_folder, _folders[root])
+    return _folders[root]
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the checkpoint folder and read it back, cutting the lineage."""
+    """Write ``df`` once as Parquet in the application's folder and read it back, cutting the lineage."""
     spark = df.sparkSession
-    path = os.path.join(checkpoint_root(spark), f"{label}-{uuid.uuid4().hex}")
+    path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` has written and nothing reads any more."""
+    for df in tables:
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            delete_folder(folder)
+
+
 def delete_folder(folder: str) -> None:
     """Delete a folder of a shared store, if it is there."""
     fs, path = pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(folder.removeprefix("file:")))
