@@ -210,7 +210,7 @@ _TOP = "(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, chunk
 @query("v7b_corpus_bm25", "WITH " + vw.SQL_CHUNKS + ", tq AS (SELECT item_id AS qid, text AS query FROM benchmark), " + _CORPUS + " SELECT qid, chunk_id, bm25, rank FROM " + _TOP)
 def v7b(spark, sf_dir):
     """BM25 with corpus-wide statistics over every chunk."""
-    return corpus.bm25_corpus(vw.text_queries(spark, sf_dir), vw.chunks(spark, sf_dir)).select("qid", "chunk_id", "bm25", "rank")
+    return corpus.search_postings(vw.text_queries(spark, sf_dir), vw.stored_postings(spark, sf_dir)).select("qid", "chunk_id", "bm25", "rank")
 
 
 @query("v8_minmax", C + _SIM + _BM + """ SELECT qid, chunk_id, round(CASE WHEN max(bm25) OVER q = min(bm25) OVER q THEN 1.0
@@ -237,20 +237,25 @@ def v9(spark, sf_dir):
 def v9_lists(spark, sf_dir):
     """The nearest 25 chunks against the 25 best of the corpus by BM25: most stand in one list only."""
     chunks = vw.stored_chunks(spark, sf_dir)
-    best = corpus.bm25_corpus(vw.text_queries(spark, sf_dir), chunks).join(chunks.select("chunk_id", "source", "page"), "chunk_id")
+    best = corpus.search_postings(vw.text_queries(spark, sf_dir), vw.stored_postings(spark, sf_dir)).join(chunks.select("chunk_id", "source", "page"), "chunk_id")
     return rk.blend(rk.dist_to_sim(candidates(spark, sf_dir)), best).select("qid", "source", "page", "blended", "rank")
 
 
-@query("j5_score_merge", C + _SIM + _BM + """ SELECT qid, source, page, round(sum(v_sim), 6) AS dense, round(sum(bm25), 6) AS lexical, count(*) AS n FROM lex GROUP BY ALL""")
+@query("j5_score_merge", C + _SIM + ", " + _CORPUS + """, lx AS (SELECT t.qid, chunks.source, chunks.page, t.bm25 FROM (SELECT * FROM """ + _TOP + """) t JOIN chunks USING (chunk_id)),
+   d AS (SELECT qid, source, page, sum(v_sim) AS dense, count(*) AS n_dense FROM sim GROUP BY ALL), l AS (SELECT qid, source, page, sum(bm25) AS lexical, count(*) AS n_lexical FROM lx GROUP BY ALL)
+   SELECT qid, source, page, round(coalesce(dense, 0.0), 6) AS dense, round(coalesce(lexical, 0.0), 6) AS lexical, coalesce(n_dense, 0) AS n_dense, coalesce(n_lexical, 0) AS n_lexical
+   FROM d FULL JOIN l USING (qid, source, page)""")
 def j5(spark, sf_dir):
-    """Dense and lexical scores merged on (source, page): a union and one aggregate stand for the full outer join."""
-    both = lexical(spark, sf_dir)
-    zero = F.lit(0.0)
-    merged = both.select("qid", "source", "page", F.col("v_sim").alias("d"), zero.alias("x"), F.lit(1).alias("c")).unionByName(
-        both.select("qid", "source", "page", zero.alias("d"), F.col("bm25").alias("x"), F.lit(0).alias("c"))
-    )
-    return merged.groupBy("qid", "source", "page").agg(
-        F.round(F.sum("d"), 6).alias("dense"), F.round(F.sum("x"), 6).alias("lexical"), F.sum("c").alias("n")
+    """The nearest 25 chunks and the 25 best by BM25 merged on (source, page): most stand on one side only."""
+    chunks = vw.stored_chunks(spark, sf_dir).select("chunk_id", "source", "page")
+    dense = rk.dist_to_sim(candidates(spark, sf_dir)).groupBy("qid", "source", "page").agg(F.sum("v_sim").alias("dense"), F.count("*").alias("n_dense"))
+    best = corpus.search_postings(vw.text_queries(spark, sf_dir), vw.stored_postings(spark, sf_dir))
+    lexical = best.join(chunks, "chunk_id").groupBy("qid", "source", "page").agg(F.sum("bm25").alias("lexical"), F.count("*").alias("n_lexical"))
+    both = dense.join(lexical, ["qid", "source", "page"], "full")
+    none = lambda c, zero: F.coalesce(F.col(c), F.lit(zero))
+    return both.select(
+        "qid", "source", "page", F.round(none("dense", 0.0), 6).alias("dense"), F.round(none("lexical", 0.0), 6).alias("lexical"),
+        none("n_dense", 0).alias("n_dense"), none("n_lexical", 0).alias("n_lexical"),
     )
 
 

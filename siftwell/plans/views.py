@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as tx
-from siftwell.operators import cells, embed, ingest
+from siftwell.operators import bm25, cells, embed, ingest
 from siftwell.session import checkpoint_root, delete_folder, spread
 
 
@@ -70,6 +70,17 @@ def stored_cells(spark: SparkSession, sf_dir: str) -> cells.Cells:
     return cells.open_cells(spark, _stored[key])
 
 
+def stored_postings(spark: SparkSession, sf_dir: str) -> bm25.Postings:
+    """The chunks' postings, written once per application and corpus."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#postings")
+    if key not in _stored:
+        path = f"{checkpoint_root(spark)}/postings-{uuid.uuid4().hex}"
+        atexit.register(delete_folder, path)
+        bm25.build_postings(chunks(spark, sf_dir), path)
+        _stored[key] = path
+    return bm25.Postings(_stored[key])
+
+
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 

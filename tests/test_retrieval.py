@@ -193,20 +193,46 @@ def test_candidate_bm25_equals_formula(spark):
         assert r["bm25"] == pytest.approx(okapi(queries[r["qid"]], docs[r["qid"]])[r["chunk_id"]], abs=2e-6)
 
 
-@pytest.mark.parametrize("max_terms", [1000, 3])
-def test_corpus_bm25_equals_formula_shipped_and_grid(spark, max_terms):
+@pytest.mark.parametrize("layout", [{}, {"block_rows": 4, "buckets": 3, "first_blocks": 1}])
+def test_corpus_bm25_equals_formula(spark, layout):
     body = texts(60, 9)
-    queries = [(1, "the w1 w2"), (2, "w5 w5 w9"), (3, "nothing"), (4, "w7")]
+    queries = [(1, "the w1 w2"), (2, "w5 w5 w9"), (3, "nothing"), (4, "w7"), (5, ""), (6, None), (7, "the the the")]
     got: dict = {}
     df = corpus.bm25_corpus(
-        spark.createDataFrame(queries, "qid long, query string"), spark.createDataFrame(list(enumerate(body)), "chunk_id long, text string").repartition(4),
-        k=5, max_terms=max_terms,
+        spark.createDataFrame(queries, "qid long, query string"), spark.createDataFrame([*enumerate(body), (99, None)], "chunk_id long, text string").repartition(4),
+        k=5, **layout,
     )
     for r in df.orderBy("qid", "rank").collect():
         got.setdefault(r["qid"], []).append((r["chunk_id"], r["bm25"]))
     for qid, query in queries:
-        scores = sorted(((-round(s, 6), i) for i, s in enumerate(okapi(query, body)) if round(s, 6)), key=lambda x: x)[:5]
+        scores = sorted(((-round(s, 6), i) for i, s in enumerate(okapi(query or "", [*body, ""])) if round(s, 6)), key=lambda x: x)[:5]
         assert [h[0] for h in got.get(qid, [])] == [i for _, i in scores]
+    nothing = corpus.bm25_corpus(spark.createDataFrame(queries, "qid long, query string"), spark.createDataFrame([], "chunk_id long, text string"))
+    assert nothing.count() == 0
+
+
+def test_blocks_that_cannot_win_are_passed_by(spark, tmp_path):
+    """Two thousand chunks hold a common word once; few hold the rare one often. Blocks without those aren't scored."""
+    body = [(i, "common " + "filler " * 20) for i in range(2000)] + [(5000 + i, "rare " * 9 + "common") for i in range(40)]
+    index = corpus.build_postings(spark.createDataFrame(body, "chunk_id long, text string"), str(tmp_path / "ix"), block_rows=8, buckets=4)
+    weights = corpus.weighted_terms(spark.createDataFrame([(1, "rare common")], "qid long, query string"), index, 4)
+    bounds = weights.join(index.read(spark, "blocks"), ["bucket", "term"]).groupBy("block").agg(F.sum(F.greatest("w", F.lit(0.0)) * F.col("best")).alias("b")).collect()
+    got = corpus.search_postings(spark.createDataFrame([(1, "rare common")], "qid long, query string"), index, 5, buckets=4).collect()
+    assert len(got) == 5 and all(r["chunk_id"] >= 5000 for r in got)
+    least = min(r["bm25"] for r in got)
+    assert sum(r["b"] + 1e-6 >= least for r in bounds) < 60 < len(bounds)
+
+
+def test_twenty_thousand_queries_need_no_matrix(spark):
+    body = texts(300, 4)
+    queries = spark.range(20_000).select(F.col("id").alias("qid"), F.concat_ws(" ", F.concat(F.lit("w"), (F.col("id") % 30).cast("string")), F.concat(F.lit("w"), (F.col("id") % 7).cast("string"))).alias("query"))
+    found = corpus.bm25_corpus(queries, spark.createDataFrame(list(enumerate(body)), "chunk_id long, text string"), k=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    by_query = {r["qid"]: r["best"] for r in found.filter("rank = 1").select("qid", F.col("chunk_id").alias("best")).collect()}
+    for qid in range(0, 20_000, 997):
+        scores = okapi(f"w{qid % 30} w{qid % 7}", body)
+        assert by_query[qid] == max(range(300), key=lambda i: (round(scores[i], 6), -i))
 
 
 def cands(spark, rows):
