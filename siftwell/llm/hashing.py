@@ -86,16 +86,27 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def grams(points: np.ndarray, width: int) -> np.ndarray:
-    """32-bit hashes of all runs of ``width`` code points; the ones that cross a boundary are the caller's to leave out."""
-    if len(points) < width:
+    """32-bit hashes of all runs of ``width`` code points; the ones that cross a boundary are the caller's to leave out.
+
+    A polynomial of the spread code points, put together from runs of half the length, then mixed.
+    """
+    n = len(points) - width + 1
+    if n <= 0:
         return np.zeros(0, np.uint32)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(points) - width + 1, np.uint32)
-        for j in range(width):
-            total = (total ^ points[j : len(points) - width + 1 + j]) * np.uint32(0x01000193) + np.uint32(j + 1)
-            total ^= total >> np.uint32(15)
-        total *= np.uint32(0x85EBCA6B)
-        total ^= total >> np.uint32(13)
-        total *= np.uint32(0xC2B2AE35)
-        total ^= total >> np.uint32(16)
+    total, held, step = None, points * np.uint32(0x9E3779B1), 1  # hashes of runs of ``step``
+    done = 0
+    while True:
+        if width & step:
+            part = held[done : done + n]
+            total = part.copy() if total is None else total * np.uint32(pow(0x01000193, step, 1 << 32)) + part
+            done += step
+        if done == width:
+            break
+        held = held[:-step] * np.uint32(pow(0x01000193, step, 1 << 32)) + held[step:]
+        step *= 2
+    total ^= total >> np.uint32(16)
+    total *= np.uint32(0x85EBCA6B)
+    total ^= total >> np.uint32(13)
+    total *= np.uint32(0xC2B2AE35)
+    total ^= total >> np.uint32(16)
     return total

@@ -66,24 +66,25 @@ def lines_of(texts: pa.Array, min_chars: int) -> tuple[list[str], np.ndarray, np
     lines: list[str] = []
     owners: list[int] = []
     numbers: list[int] = []
+    least = max(min_chars, 1)
     for row, text in enumerate(texts.to_pylist()):
         if text:
-            for i, raw in enumerate(text.split("\n")):
-                if len(raw) >= min_chars:
-                    line = " ".join(raw.lower().split())
-                    if len(line) >= max(min_chars, 1):
-                        lines.append(line)
-                        owners.append(row)
-                        numbers.append(i)
+            for i, raw in enumerate(text.lower().split("\n")):
+                line = " ".join(raw.split())
+                if len(line) >= least:
+                    lines.append(line)
+                    owners.append(row)
+                    numbers.append(i)
     return lines, np.array(owners, np.int64), np.array(numbers, np.int32)
 
 
 def nodes_of(lines: list[str]) -> np.ndarray:
     """A hash of each line; equal lines are one node."""
-    return np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines], np.uint64).view(np.int64)
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(x.encode("utf-8", "surrogatepass")) for x in lines], np.uint64).view(np.int64)
 
 
-def pieces(lines: list[str], chars: int = 1 << 20) -> Iterator[slice]:
+def pieces(lines: list[str], chars: int = 1 << 18) -> Iterator[slice]:
     """Stretches of about so many characters (a longer line is a stretch of its own)."""
     at = 0
     while at < len(lines):
@@ -103,23 +104,25 @@ class LineItems(Items):
     def __init__(self, plan: Lines) -> None:
         self.plan = plan
 
-    def grams(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Shingle hashes of the lines, one line after the other, repeated ones included, and how many each has."""
+    def grams(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shingle hashes of the joined lines, where each line's begin among them, and how many it has; those in between cross lines."""
         width = self.plan.width
-        short = np.array([len(x) <= width for x in lines], bool)
+        short = [i for i, x in enumerate(lines) if len(x) <= width]
         # Padded, short lines have two grams, which give way to the halves of the line's 64-bit hash.
-        points = np.frombuffer("".join(x if len(x) > width else x.ljust(width + 1) for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-        chars = np.array([max(len(x), width + 1) for x in lines], np.int64)
-        hashes = hashing.grams(points, width)
-        counts = chars - width + 1
-        index = np.arange(int(counts.sum())) + np.repeat(np.cumsum(chars) - chars - (np.cumsum(counts) - counts), counts)
-        tokens = hashes[index]
-        tokens[np.repeat(short, counts)] = np.frombuffer(b"".join(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest() for x in lines if len(x) <= width), np.uint32)
-        return tokens, counts
+        padded = list(lines)
+        for i in short:
+            padded[i] = lines[i].ljust(width + 1)
+        points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+        chars = np.fromiter(map(len, padded), np.int64, len(padded))
+        hashes, starts = hashing.grams(points, width), np.cumsum(chars) - chars
+        for i in short:
+            hashes[starts[i] : starts[i] + 2] = np.frombuffer(hashlib.blake2b(lines[i].encode("utf-8", "surrogatepass"), digest_size=8).digest(), np.uint32)
+        return hashes, starts, chars - width + 1
 
     def block(self, owner: np.ndarray, number: np.ndarray, lines: list[str]) -> Block:
-        tokens, counts = self.grams(lines)
+        hashes, starts, counts = self.grams(lines)
         line = np.repeat(np.arange(len(lines)), counts)
+        tokens = hashes[np.arange(len(line)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)]
         both = np.sort((line.astype(np.uint64) << np.uint64(32)) | tokens)
         both = both[np.concatenate([[True], both[1:] != both[:-1]])]
         sizes = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(lines))
@@ -128,16 +131,18 @@ class LineItems(Items):
     def signatures(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Band keys (one row per line) and sketches."""
         plan = self.plan
-        tokens, counts = self.grams(lines)
-        starts = np.cumsum(counts) - counts
+        tokens, starts, counts = self.grams(lines)
+        ends = np.stack([starts, starts + counts], axis=1).ravel()[:-1]  # the last line ends with the array
         factors = multipliers(2 * plan.bands * plan.rows)
-        keys, sketch = np.empty((len(lines), plan.bands), np.uint64), np.zeros(len(lines), np.uint32)
+        keys, sketch, hashed = np.empty((len(lines), plan.bands), np.uint64), np.zeros(len(lines), np.uint32), np.empty_like(tokens)
         for band in range(plan.bands):
             with np.errstate(over="ignore"):
                 key = np.full(len(lines), np.uint64(band + 1) * hashing.BASE)
                 for row in range(plan.rows):
                     k = 2 * (band * plan.rows + row)
-                    least = np.minimum.reduceat((tokens ^ factors[k + 1]) * factors[k], starts)
+                    np.bitwise_xor(tokens, factors[k + 1], out=hashed)
+                    np.multiply(hashed, factors[k], out=hashed)
+                    least = np.minimum.reduceat(hashed, ends)[::2]
                     key = hashing.mixed(key * hashing.BASE + least)
                     if k < 2 * SKETCHED:
                         # The least values lie low; their last bits are spread before two are taken.
@@ -154,7 +159,17 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def runs_of(records: np.ndarray, plan: Lines) -> pd.DataFrame:
     """``kind, a, b``: pairs of lines that share a band (b the centre of a long run), and members (b: the run's key) of long runs."""
-    records = np.unique(records[["key", "node", "sketch"]])
+    # Most keys occur once: only the others' records are sorted by node, too.
+    order = np.argsort(records["key"])
+    keys = records["key"][order]
+    again = np.zeros(len(keys), bool)
+    again[1:] = keys[1:] == keys[:-1]
+    again[:-1] |= again[1:]
+    records = records[order[again]]
+    records = records[np.lexsort((records["node"], records["key"]))]
+    fresh = np.ones(len(records), bool)
+    fresh[1:] = (records["key"][1:] != records["key"][:-1]) | (records["node"][1:] != records["node"][:-1])
+    records = records[fresh]
     starts = np.flatnonzero(np.concatenate([[True], records["key"][1:] != records["key"][:-1]])) if len(records) else np.zeros(0, np.int64)
     lengths = np.diff(np.append(starts, len(records)))
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
