@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -49,12 +50,13 @@ class HashedCounts:
     def __call__(self, texts: pd.Series) -> list:
         if len(self.known) > self.cache:
             self.known.clear()
-        known = self.known
-        out = []
-        for text in texts:
-            hits = [known[t] for t in (text or "").lower().split()]
-            out.append(np.bincount(np.asarray(hits, dtype=np.int64), minlength=self.dim).astype(np.float32))
-        return out
+        # Each distinct token of the batch is hashed once; all rows are counted at once.
+        toks = [(t or "").lower().split() for t in texts]
+        codes, vocabulary = pd.factorize(np.array(list(chain.from_iterable(toks)), dtype=object))
+        buckets = np.array([self.known[t] for t in vocabulary], dtype=np.int64)
+        row = np.repeat(np.arange(len(toks)), [len(t) for t in toks])
+        counts = np.bincount(row * self.dim + (buckets[codes] if len(codes) else codes), minlength=len(toks) * self.dim)
+        return list(counts.reshape(len(toks), self.dim).astype(np.float32))
 
 
 def patient(model: Embedder, texts: pd.Series, tries: int, pause: float) -> list:
@@ -69,25 +71,41 @@ def patient(model: Embedder, texts: pd.Series, tries: int, pause: float) -> list
     return []
 
 
+def alone(model: Embedder, value: str | None):  # noqa: ANN201
+    """One text's vector, or None where the embedder refuses it."""
+    try:
+        return list(model(pd.Series([value])))[0]
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def embed(
     df: DataFrame, embedder: Embedder | None = None, text: str = "text", out: str = "embedding", batch: int = 64,
-    keep: list[str] | None = None, tries: int = 3, pause: float = 0.5,
+    keep: list[str] | None = None, tries: int = 3, pause: float = 0.5, apart: bool = False,
 ) -> DataFrame:
     """Add ``out`` (ARRAY<FLOAT>), calling the embedder on slices of ``batch`` texts per Arrow batch, up to ``tries`` times.
 
+    With ``apart``, a slice that fails to the end is redone text by text, and a text that fails alone has a null vector; without, it fails the job.
+
     The embedder object travels once per Python worker. Columns outside ``keep`` (default: all) are pruned
     before rows go to Python.
     """
     model = embedder or HashedCounts()
     kept = df.columns if keep is None else keep
     source = df.select(*[F.col(c) for c in kept], *([] if text in kept else [F.col(text)]))
-    schema = T.StructType([source.schema[c] for c in kept] + [T.StructField(out, T.ArrayType(T.FloatType(), False))])
+    schema = T.StructType([source.schema[c] for c in kept] + [T.StructField(out, T.ArrayType(T.FloatType(), False), apart)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             made: list = []
             for i in range(0, len(frame), batch):
-                made += patient(model, frame[text].iloc[i : i + batch], tries, pause)
+                part = frame[text].iloc[i : i + batch]
+                try:
+                    made += patient(model, part, tries, pause)
+                except Exception:  # noqa: BLE001 - the failure belongs to single texts
+                    if not apart:
+                        raise
+                    made += [alone(model, value) for value in part]
             yield plain(frame[kept]).assign(**{out: made})
 
     return source.mapInPandas(run, schema)

@@ -115,8 +115,8 @@ def validate_ingest(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def normalise_rows(df: DataFrame, id_chars: int = 40) -> DataFrame:
-    """Ids of bounded length; texts stay whole, for the id is the hash of all of one."""
-    return df.withColumn("id", F.substring("id", 1, id_chars)).withColumn("page", F.col("page").cast("long"))
+    """Ids of bounded length: a longer one gives way to its SHA-256, so that distinct ids stay distinct. Texts stay whole."""
+    return df.withColumn("id", F.when(F.length("id") > id_chars, F.substring(F.sha2(F.col("id").cast("binary"), 256), 1, id_chars)).otherwise(F.col("id"))).withColumn("page", F.col("page").cast("long"))
 
 
 def select_embed_model(df: DataFrame, spec: str, out: str = "embed_model") -> DataFrame:

@@ -1,75 +1,56 @@
-"""Diversified selection: maximal marginal relevance (Carbonell and Goldstein, 1998)."""
+"""Diversified selection: maximal marginal relevance (Carbonell and Goldstein, 1998), with lazy re-scoring.
+
+The gain of a candidate only falls as more is picked, so its last known gain bounds what it is worth now. A round scores each
+query's leader by bound anew and then only the candidates whose bound reaches the leader's gain; the best of those
+is the pick. Candidates stay spread over the tasks, whatever their number per query; only the picks (a few per query) meet them.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siftwell.functions import scalars as sc
-from siftwell.functions.frames import plain
-from siftwell.session import materialize
+from siftwell.session import materialize, release
 
-# Candidates of one query that one task may hold.
-MAX_CANDIDATES = 10_000
+DECIMALS = 6
 
 
-def _select(frame: pd.DataFrame, k: int, lam: float, cid: str) -> pd.DataFrame:
-    frame = frame.sort_values(cid, kind="stable").reset_index(drop=True)
-    docs = np.vstack([np.asarray(v, dtype=np.float64) for v in frame["embedding"]])
-    norms = np.linalg.norm(docs, axis=1, keepdims=True)
-    docs = np.divide(docs, norms, out=np.zeros_like(docs), where=norms > 0)
-    relevance = frame["score"].to_numpy(dtype=np.float64)
-    closest = np.full(len(docs), -np.inf)
-    taken: list[int] = []
-    values: list[float] = []
-    while len(taken) < min(k, len(docs)):
-        gain = relevance if not taken else lam * relevance - (1 - lam) * closest
-        gain = np.round(gain, 6)
-        gain[taken] = -np.inf
-        pick = int(np.argmax(gain))
-        taken.append(pick)
-        values.append(float(gain[pick]))
-        closest = np.maximum(closest, docs @ docs[pick])
-    out = frame.loc[taken, ["qid", cid]].copy()
-    out["rank"] = np.arange(1, len(taken) + 1, dtype=np.int32)
-    out["mmr"] = values
-    return plain(out)
+def _gain(lam: float) -> Column:
+    nearest = F.array_max(F.transform("__picks", lambda p: sc.cosine(F.col("embedding"), p)))
+    return F.round(lam * F.col("score") - (1 - lam) * nearest, DECIMALS)
 
 
-def mmr(cands: DataFrame, k: int = 5, lam: float = 0.5, cid: str = "chunk_id", max_group: int = MAX_CANDIDATES) -> DataFrame:
-    """Greedy pick of ``k`` per query maximising ``lam * score - (1 - lam) * max similarity to the picked``.
+def mmr(cands: DataFrame, k: int = 5, lam: float = 0.5, cid: str = "chunk_id") -> DataFrame:
+    """Greedy pick of ``k`` per query maximising ``lam * score - (1 - lam) * max similarity to the picked``: ``qid``, the id, ``rank, mmr``.
 
-    ``cands`` holds qid, the candidate id, score (similarity to the query) and embedding: usually the fetch_k best of
-    each query, which one task handles per query. Should any query have more than ``max_group``, the picks are made in
-    ``k`` rounds over the whole table instead.
+    ``cands`` holds qid, the candidate id, score (similarity to the query) and embedding. The first pick is the one with the best score,
+    and its ``mmr`` is that score. Gains are rounded to six digits; ties go to the smaller id.
     """
-    rows = cands.select("qid", cid, "score", "embedding")
-    largest = rows.groupBy("qid").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    if largest > max_group:
-        return _in_rounds(rows, k, lam, cid)
-    schema = T.StructType(
-        [cands.schema["qid"], cands.schema[cid], T.StructField("rank", T.IntegerType()), T.StructField("mmr", T.DoubleType())]
-    )
-    return rows.groupBy("qid").applyInPandas(lambda frame: _select(frame, k, lam, cid), schema)
-
-
-def _in_rounds(rows: DataFrame, k: int, lam: float, cid: str) -> DataFrame:
-    """The same picks, one per query and round; rows stay spread, only the picks (one per query) meet them."""
-    left = materialize(rows.withColumn("__near", F.lit(None).cast("double")), "mmr")
-    picked: DataFrame | None = None
-    for rank in range(1, k + 1):
-        gain = F.when(F.col("__near").isNull(), F.col("score")).otherwise(lam * F.col("score") - (1 - lam) * F.col("__near"))
-        best = left.withColumn("__gain", F.round(gain, 6)).groupBy("qid").agg(
-            F.min_by(F.struct(cid, "embedding", "__gain"), F.struct(-F.col("__gain"), F.col(cid))).alias("p")
-        )
-        best = materialize(best.select("qid", F.col(f"p.{cid}").alias("__cid"), F.col("p.embedding").alias("__vec"), F.col("p.__gain").alias("mmr")), "mmr")
-        found = best.select("qid", F.col("__cid").alias(cid), F.lit(rank).alias("rank"), "mmr")
-        picked = found if picked is None else picked.unionByName(found)
-        if rank < k:
-            near = sc.cosine(F.col("embedding"), F.col("__vec"))
-            left = left.join(best, "qid").filter(F.col(cid) != F.col("__cid")).withColumn("__near", F.greatest("__near", near))
-            left = materialize(left.select("qid", cid, "score", "embedding", "__near"), "mmr")
-    return picked
+    rows = materialize(cands.select("qid", F.col(cid).alias("__cid"), F.col("score").cast("double").alias("score"), "embedding"), "mmr")
+    first = rows.select("qid", "__cid", F.round("score", DECIMALS).alias("__gain"))
+    chosen = materialize(_best(first), "picks")
+    picked = chosen.select("qid", "__cid", F.lit(1).alias("rank"), F.col("__gain").alias("mmr"))
+    # Nothing is less similar than -1: a bound for those that haven't met a pick.
+    bounds = rows.select("qid", "__cid", F.round(lam * F.col("score") + (1 - lam), DECIMALS).alias("bound"))
+    for rank in range(2, k + 1):
+        vectors = rows.join(picked.select("qid", "__cid"), ["qid", "__cid"], "left_semi").groupBy("qid").agg(F.collect_list("embedding").alias("__picks"))  # k at most
+        vectors = materialize(vectors, "picked")
+        left = bounds.join(chosen.select("qid", "__cid"), ["qid", "__cid"], "left_anti")
+        left = materialize(left, "bounds")
+        leaders = _best(left.withColumnRenamed("bound", "__gain")).select("qid", "__cid")
+        least = leaders.join(rows, ["qid", "__cid"]).join(vectors, "qid").select("qid", _gain(lam).alias("least"))
+        least = materialize(least, "least")
+        open_ = left.join(least, "qid").filter(F.col("bound") >= F.col("least")).select("qid", "__cid")
+        exact = materialize(open_.join(rows, ["qid", "__cid"]).join(vectors, "qid").select("qid", "__cid", _gain(lam).alias("__gain")), "gains")
+        chosen = materialize(_best(exact), "picks")
+        picked = picked.unionByName(chosen.select("qid", "__cid", F.lit(rank).alias("rank"), F.col("__gain").alias("mmr")))
+        bounds = left.join(exact, ["qid", "__cid"], "left").select("qid", "__cid", F.coalesce("__gain", "bound").alias("bound"))
+        release(vectors, least)
+    return picked.withColumnRenamed("__cid", cid)
+
+
+def _best(gains: DataFrame) -> DataFrame:
+    """The best row of each query by ``__gain``, ties to the smaller id: an aggregate with map-side combine."""
+    best = gains.groupBy("qid").agg(F.min(F.struct((-F.col("__gain")).alias("loss"), F.col("__cid").alias("cid"))).alias("b"))
+    return best.select("qid", F.col("b.cid").alias("__cid"), (-F.col("b.loss")).alias("__gain"))

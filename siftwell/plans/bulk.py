@@ -11,6 +11,7 @@ from siftwell.operators import ranking as rk
 from siftwell.operators.knn import knn
 from siftwell.session import materialize
 
+
 def text_candidates(
     queries: DataFrame, chunks: DataFrame, fetch_k: int = rk.FETCH_K, embedder: em.Embedder | None = None, match: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -22,12 +23,18 @@ def text_candidates(
     model = embedder or em.HashedCounts()
     asked = em.embed(queries.select("qid", "query", *match), model, text="query", keep=["qid", *match])
     if "embedding" in chunks.columns:
-        nearest = knn(asked, chunks, fetch_k, vid="chunk_id", match=match)
+        nearest = knn(asked, chunks, fetch_k, vid="chunk_id", match=match, payload=[c for c in ("folder",) if c in chunks.columns])
     else:
         nearest = knn(asked, chunks, fetch_k, vid="chunk_id", vvec="text", match=match, embedder=model)
     # Written, the winners have a size that the planner knows: it ships them to the text instead of moving that.
     found = materialize(nearest.withColumnRenamed("rank", "rk"), "nearest")
-    rows = chunks.drop("embedding").join(found, "chunk_id").join(queries.select("qid", "query"), "qid").withColumn("distance", 1 - F.col("score"))
+    text = chunks.drop("embedding")
+    if "folder" in found.columns:
+        # Only the winners' folders are read: a list no longer than the index has folders.
+        folders = [r["folder"] for r in found.select("folder").distinct().collect()]
+        text = text.filter(F.col("folder").isin(*folders) if folders else F.lit(False)).drop("folder")
+        found = found.drop("folder")
+    rows = text.join(found, "chunk_id").join(queries.select("qid", "query"), "qid").withColumn("distance", 1 - F.col("score"))
     # Later steps read the candidates several times; written once, the corpus is not scanned again.
     return materialize(rows, "candidates")
 

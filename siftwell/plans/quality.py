@@ -506,7 +506,12 @@ def x14(spark, sf_dir):
     )
 
 
-@query("x16_answer_chunks")
+@query("x16_answer_chunks", """WITH RECURSIVE w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '""" + rq.WS + """'), lambda x: x <> '') AS ws FROM documents)),
+   c AS (SELECT doc_id, i, word, sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS reach FROM w),
+   p AS (SELECT doc_id, 0 AS ix, CAST(0 AS BIGINT) AS i, CAST(0 AS HUGEINT) AS before FROM c WHERE i = 0
+     UNION ALL SELECT p.doc_id, any_value(p.ix) + 1, min(c.i) + 1, min(c.reach) FROM p JOIN c ON c.doc_id = p.doc_id AND c.reach >= p.before + 128 GROUP BY p.doc_id),
+   s AS (SELECT doc_id, ix, i, lead(i, 1, CAST(1000000000 AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY ix) AS e FROM p)
+   SELECT s.doc_id, CAST(ix AS INTEGER) AS ix, string_agg(word, ' ' ORDER BY c.i) AS piece FROM s JOIN c ON c.doc_id = s.doc_id AND c.i >= s.i AND c.i < s.e GROUP BY ALL""")
 def x16(spark, sf_dir):
     docs = spread(vw.documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
     return docs.select("doc_id", F.posexplode(tx.answer_chunks(F.col("text"))).alias("ix", "piece"))

@@ -265,7 +265,20 @@ def v10(spark, sf_dir):
     return rk.best_chunk_per_key(rk.blend(both, both), both).select("qid", "source", "page", "blended", "rank", "chunk_id")
 
 
-@query("v11_diversified")
+def _greedy_sql(k: int, lam: float) -> str:
+    """One CTE per pick."""
+    steps = ["p1 AS (SELECT qid, vec_id, 1 AS rank, score AS mmr FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rn FROM near) WHERE rn = 1)"]
+    for r in range(2, k + 1):
+        steps.append(f"""p{r} AS (SELECT * FROM p{r - 1} UNION ALL SELECT qid, vec_id, {r} AS rank, mmr FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY mmr DESC, vec_id) AS rn FROM (
+     SELECT n.qid, n.vec_id, round({lam} * any_value(n.score) - {1 - lam} * max(list_cosine_similarity(a.embedding, b.embedding)), 6) AS mmr
+     FROM near n JOIN p{r - 1} p USING (qid) JOIN vectors a ON a.vec_id = n.vec_id JOIN vectors b ON b.vec_id = p.vec_id
+     WHERE NOT EXISTS (SELECT 1 FROM p{r - 1} x WHERE x.qid = n.qid AND x.vec_id = n.vec_id) GROUP BY n.qid, n.vec_id)) WHERE rn = 1)""")
+    near = _PAIRS.format(expr="list_cosine_similarity(q.embedding, v.embedding)", where="", k=25)
+    head, tail = near.split("SELECT qid, vec_id, source", 1)
+    return head.rstrip() + ", near AS (SELECT qid, vec_id, source" + tail + "), " + ", ".join(steps) + f" SELECT qid, vec_id, rank, mmr FROM p{k}"
+
+
+@query("v11_diversified", _greedy_sql(5, 0.5))
 def v11(spark, sf_dir):
     """Maximal marginal relevance over the 25 nearest vectors of every vector."""
     q, v = all_vectors_as_queries(spark, sf_dir)

@@ -98,6 +98,14 @@ def p7(spark, sf_dir):
     return rows.groupBy("tenant", "status").agg(F.sum("n").alias("n"), F.bool_and(timed).alias("timed"))
 
 
+@query("p7_observed_totals", _IDS + """ SELECT (SELECT count(DISTINCT (tenant, id)) FROM ok) AS processed, (SELECT count(*) FROM msg WHERE length(text) = 0) AS invalid, CAST(0 AS BIGINT) AS failed,
+   (SELECT CAST(sum(length(text)) AS BIGINT) FROM ok WHERE rn = 1) AS chars""")
+def p7_totals(spark, sf_dir):
+    """Totals observed while the stages were written."""
+    rows = spark.read.parquet(ingested(spark, sf_dir).totals)
+    return rows.agg(*[F.sum(c).alias(c) for c in ("processed", "invalid", "failed", "chars")])
+
+
 _CLOSED = "epoch_us(max(ts)) - 600000000 FROM events"
 
 
@@ -107,9 +115,10 @@ def p8(spark, sf_dir):
     return sink(spark, sw.stream_rate(events(spark, sf_dir), ["event_type"]), "rate")
 
 
-@query("p9_streamed_health", f"""SELECT * FROM (SELECT (s - o) * 60 AS window_start, (s - o) * 60 + 300 AS window_end, count(*) FILTER (event_type = 'error') AS errors, count(*) AS n
+@query("p9_streamed_health", f"""SELECT * FROM (SELECT (s - o) * 60 AS window_start, (s - o) * 60 + 300 AS window_end, count(*) FILTER (event_type = 'error') AS errors, count(*) AS n, count(*) FILTER (o = 4) AS n_recent
    FROM (SELECT event_type, epoch_us(ts) // 60000000 AS s, unnest(range(0, 5)) AS o FROM events) GROUP BY ALL) WHERE window_end * 1000000 <= (SELECT {_CLOSED})""")
 def p9(spark, sf_dir):
+    """Errors of five minutes beside the requests of the last one."""
     return sink(spark, sw.stream_health(events(spark, sf_dir), F.col("event_type") == "error", []), "health")
 
 
@@ -128,11 +137,13 @@ def p11(spark, sf_dir):
     return sink(spark, sr.stream_reuse(rows, ["user_id", "event_type"], 86400), "reuse")
 
 
-@query("p12_streamed_durations", LOG + uq._INTERVALS.replace("SELECT tenant, ts AS s", "SELECT request_id, ts AS s") + " SELECT request_id, (epoch_us(e) - epoch_us(s)) // 1000 AS duration_ms FROM iv")
+@query("p12_streamed_durations", LOG + uq._INTERVALS.replace("SELECT tenant, ts AS s", "SELECT request_id, ts AS s") + """, ended AS (SELECT * FROM iv WHERE request_id % 10 <> 0),
+   closed AS (SELECT least((SELECT max(s) FROM iv), (SELECT max(e) FROM ended)) - INTERVAL 10 MINUTE AS w)
+   SELECT request_id, (epoch_us(e) - epoch_us(s)) // 1000 AS duration_ms FROM ended UNION ALL SELECT request_id, NULL FROM iv, closed WHERE request_id % 10 = 0 AND s + INTERVAL 1 HOUR < w""")
 def p12(spark, sf_dir):
-    """Request starts and ends as two streams; a latency second stands for a minute."""
+    """Request starts and ends as two streams, every tenth request without an end; a latency second stands for a minute."""
     e = events(spark, sf_dir)
     starts = e.select(F.col("event_id").alias("request_id"), "ts")
     end = F.timestamp_micros(F.unix_micros("ts") + F.floor(F.col("value") / 100 * 1000000).cast("long") * 60)
-    ends = events(spark, sf_dir).select(F.col("event_id").alias("request_id"), end.alias("ts"))
+    ends = events(spark, sf_dir).filter(F.col("event_id") % 10 != 0).select(F.col("event_id").alias("request_id"), end.alias("ts"))
     return sink(spark, sw.stream_durations(starts, ends, "1 hour"), "durations")

@@ -15,6 +15,8 @@ from siftwell.session import checkpoint_root, delete_folder, spread
 
 #: Room for a document's chunks in a chunk's id: eight billion characters.
 CHUNKS_PER_DOCUMENT = 10_000_000
+#: Documents of a folder of the index, and folders at most.
+DOCUMENTS_PER_FOLDER, MOST_FOLDERS = 1000, 4096
 
 _stored: dict[tuple[str, str], str] = {}
 
@@ -53,7 +55,12 @@ def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
         path = f"{checkpoint_root(spark)}/index-{uuid.uuid4().hex}"
-        embed.embed(chunks(spark, sf_dir)).write.parquet(path)
+        # Folders by ranges of documents: the text of a search's winners is read from theirs only.
+        ids = table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).first()
+        folders = max(1, min(MOST_FOLDERS, ids["n"] // DOCUMENTS_PER_FOLDER))
+        width = max(1, -(-((ids["last"] or 0) + 1) // folders))
+        made = embed.embed(chunks(spark, sf_dir)).withColumn("folder", F.floor(F.col("doc_id") / width).cast("int"))
+        made.write.partitionBy("folder").parquet(path)
         _stored[key] = path
         atexit.register(delete_folder, path)
     return spark.read.parquet(_stored[key])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.session import side_by_side
+from siftwell.session import materialize, release, side_by_side
 
 POINTER = "active string, canary string, previous string, read_preferred string, build_started timestamp, last_promotion timestamp"
 
@@ -33,15 +33,18 @@ def dual_write(df: DataFrame, primary: str, secondary: str, log: str, as_of: Col
 
     Each side's write adds a row (role, ts, batch_id, error) to ``log``. Returns the secondary's error, if any.
     """
-    write_index(df, primary)
+    # The input is computed once, for the copy that both sides are written from.
+    rows = materialize(df, "dual")
+    write_index(rows, primary)
     error = None
     try:
-        write_index(df, secondary)
+        write_index(rows, secondary)
     except Exception as e:  # noqa: BLE001 - the primary write must stand whatever the secondary does
         error = type(e).__name__
     spark = df.sparkSession
-    rows = spark.createDataFrame([("primary", batch_id, None), ("secondary", batch_id, error)], "role string, batch_id long, error string")
-    rows.withColumn("ts", as_of if as_of is not None else F.current_timestamp()).coalesce(1).write.mode("append").parquet(log)
+    release(rows)
+    entries = spark.createDataFrame([("primary", batch_id, None), ("secondary", batch_id, error)], "role string, batch_id long, error string")
+    entries.withColumn("ts", as_of if as_of is not None else F.current_timestamp()).coalesce(1).write.mode("append").parquet(log)
     return error
 
 
@@ -75,14 +78,73 @@ def table_checksum(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def validate_restore(original: DataFrame, restored: DataFrame) -> DataFrame:
-    """One row: rows missing from the restored table and rows it has in excess (as multisets)."""
-    # 128 bits stand for a row, so that texts stay where they are; nulls are told apart from each other's neighbours.
-    cols = original.columns
-    marks = [F.concat_ws("", *[F.col(c).isNull().cast("int").cast("string") for c in cols]), *[F.col(c) for c in cols]]
+#: Leaves of a digest tree at most, and the children of a node.
+MOST_LEAVES, FANOUT = 1 << 20, 64
+
+
+def _marked(df: DataFrame, columns: list[str], key: str, leaves: int) -> DataFrame:
+    """``df`` with the leaf of its key and 128 bits that stand for the row; nulls are told apart from their neighbours."""
+    cols = [df[c] for c in columns]
+    marks = [F.concat_ws("", *[c.isNull().cast("int").cast("string") for c in cols]), *cols]
+    return df.select(*cols, F.pmod(F.xxhash64(key), F.lit(leaves)).alias("__leaf"), F.xxhash64(F.lit(1), *marks).alias("__a"), F.xxhash64(F.lit(2), *marks).alias("__b"))
+
+
+def digest_tree(df: DataFrame, columns: list[str], key: str, leaves: int) -> DataFrame:
+    """``level, node, n, x, y, s``: digests of the ranges of a key's hash, from the leaves (level 0) up to the root.
+
+    A digest holds the rows' number, the exclusive or of both halves of their marks and a sum of them, so it combines in any order and with
+    partial sums in the tasks; a node's digest combines those of its children.
+    """
+    sums = [F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.sum("s").alias("s")]
+    rows = _marked(df, columns, key, leaves).select("__leaf", F.lit(1).alias("n"), F.col("__a").alias("x"), F.col("__b").alias("y"), F.shiftright("__a", 24).cast("decimal(38,0)").alias("s"))
+    level = materialize(rows.groupBy(F.col("__leaf").alias("node")).agg(*sums), "digests")
+    tree, depth, width = level.withColumn("level", F.lit(0)), 0, leaves
+    while width > 1:
+        depth, width = depth + 1, -(-width // FANOUT)
+        level = level.withColumn("node", F.floor(F.col("node") / FANOUT)).groupBy("node").agg(*sums)
+        tree = tree.unionByName(level.withColumn("level", F.lit(depth)))
+    return tree.select("level", "node", "n", "x", "y", "s")
+
+
+def damaged_leaves(original: DataFrame, restored: DataFrame, key: str, leaves: int) -> DataFrame:
+    """``__leaf`` of the key ranges whose digests differ, found from the root down: below equal nodes nothing is compared."""
+    columns = original.columns
+    mine, theirs = (materialize(digest_tree(df, columns, key, leaves), "tree") for df in (original, restored))
+    depth, width = 0, leaves
+    while width > 1:
+        depth, width = depth + 1, -(-width // FANOUT)
+    open_: DataFrame | None = None
+    for level in range(depth, -1, -1):
+        a, b = (t.filter(F.col("level") == level).drop("level") for t in (mine, theirs))
+        if open_ is not None:
+            a, b = (t.join(open_, F.floor(t["node"] / FANOUT) == open_["__up"], "left_semi") for t in (a, b))
+        same = a.join(b, ["node", "n", "x", "y", "s"], "left_semi").select("node")
+        found = a.select("node").unionByName(b.select("node")).distinct().join(same, "node", "left_anti")
+        found = materialize(found.select(F.col("node").alias("__up")), "differing")
+        if found.isEmpty():
+            open_ = found
+            break
+        open_ = found
+    return open_.withColumnRenamed("__up", "__leaf")
+
+
+def _leaves_for(df: DataFrame) -> int:
+    return max(1, min(MOST_LEAVES, round(df.count() ** 0.5)))
+
+
+def validate_restore(original: DataFrame, restored: DataFrame, key: str | None = None, leaves: int | None = None) -> DataFrame:
+    """One row: rows missing from the restored table and rows it has in excess (as multisets).
+
+    Digests of ranges of the key (the first column by default) are compared first; rows are shuffled, by 128 bits each, for ranges that
+    differ only. An equal restore shuffles digests, about the square root of its rows in number.
+    """
+    key, columns = key or original.columns[0], original.columns
+    n = leaves or _leaves_for(original)
+    damaged = damaged_leaves(original, restored, key, n)
 
     def hashed(df: DataFrame, sign: int) -> DataFrame:
-        return df.select(F.xxhash64(F.lit(1), *marks).alias("__a"), F.xxhash64(F.lit(2), *marks).alias("__b"), F.lit(sign).alias("__d"))
+        rows = _marked(df, columns, key, n).join(F.broadcast(damaged), "__leaf", "left_semi")  # MOST_LEAVES numbers at most
+        return rows.select("__a", "__b", F.lit(sign).alias("__d"))
 
     diff = hashed(original, 1).unionByName(hashed(restored, -1)).groupBy("__a", "__b").agg(F.sum("__d").alias("__d")).filter("__d <> 0")
     return diff.agg(
@@ -91,6 +153,16 @@ def validate_restore(original: DataFrame, restored: DataFrame) -> DataFrame:
     )
 
 
+def repair_restore(original: DataFrame, restored: DataFrame, key: str | None = None, leaves: int | None = None) -> DataFrame:
+    """The restored table made equal to the original: rows of key ranges that differ are taken out and inserted again from the original; all others stay."""
+    key, columns = key or original.columns[0], original.columns
+    n = leaves or _leaves_for(original)
+    damaged = F.broadcast(damaged_leaves(original, restored, key, n))
+    kept = _marked(restored, columns, key, n).join(damaged, "__leaf", "left_anti")
+    again = _marked(original, columns, key, n).join(damaged, "__leaf", "left_semi")
+    return kept.select(*columns).unionByName(again.select(*columns))
+
+
 # ---- versions ----------------------------------------------------------------------------------------
 
 

@@ -6,18 +6,20 @@ import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siftwell.operators import embed as em
 from siftwell.operators import ingest as ig
-from siftwell.session import delete_folder, read_if_any
+from siftwell.session import delete_folder, materialize, read_if_any
 from siftwell.sources.files import MESSAGE
+from siftwell.streaming.seen import Seen
 
 # Fixed value: attempts after which a failing message goes to the dead-letter table.
 MAX_RETRIES = 5
 DEFAULT_TENANT = "__default__"
+STATUSES = ("processed", "retried", "failed", "invalid")
 
 
 @dataclass(frozen=True)
@@ -31,10 +33,21 @@ class Paths:
     metrics: str
     checkpoint: str
 
+    #: Bits of the table of seen ids: about 32 for each id that the index is meant to hold.
+    seen_bits: int = 1 << 26
+
     @property
     def stage(self) -> str:
         return self.index.rstrip("/") + "-stage"
 
+    @property
+    def seen(self) -> Seen:
+        return Seen(self.index.rstrip("/") + "-seen", self.seen_bits)
+
+    @property
+    def totals(self) -> str:
+        return self.metrics.rstrip("/") + "-totals"
+
 
 def read_messages(spark: SparkSession, inbox: str, max_files: int = 100) -> DataFrame:
     """Messages of the inbox as a stream; each micro-batch takes up to ``max_files`` files."""
@@ -69,18 +82,36 @@ def run_of(spark: SparkSession, checkpoint: str) -> str:
     return names[0]["run"]
 
 
-def seen_ids(spark: SparkSession, index: str, prefixes: list[str], batch: str) -> DataFrame:
-    """(tenant, id) of the index with one of the prefixes, other than those that this very batch has written."""
-    known = read_if_any(spark, index, "tenant string, id string, prefix string, batch string")
-    return known.filter(F.col("prefix").isin(*prefixes) & (F.col("batch") != batch)).select("tenant", "id")
+def index_ids(spark: SparkSession, index: str) -> DataFrame:
+    return read_if_any(spark, index, "tenant string, id string, prefix string, batch string").select("tenant", "id", "prefix", "batch")
+
+
+def not_yet_known(unique: DataFrame, name: str, paths: Paths) -> DataFrame:
+    """The rows whose ids no other batch has brought into the index.
+
+    Only ids that the table of seen ids may know are looked up, in the folders of their prefixes; without any the index isn't read.
+    """
+    spark = unique.sparkSession
+    if not paths.seen.versions(spark):  # an index from before, or none
+        paths.seen.add(index_ids(spark, paths.index).select("tenant", "id"))
+    asked = materialize(paths.seen.maybe_known(unique.select("tenant", "id")).withColumn("prefix", prefix_of("id")), "asked")
+    prefixes = [r["prefix"] for r in asked.select("prefix").distinct().collect()]  # sixteen at most
+    if not prefixes:
+        return unique
+    known = index_ids(spark, paths.index).filter(F.col("prefix").isin(*prefixes) & (F.col("batch") != name)).select("tenant", "id")
+    return unique.join(known.join(asked.select("tenant", "id"), ["tenant", "id"], "left_semi"), ["tenant", "id"], "left_anti")
+
+
+def prefix_of(column: str) -> Column:
+    return F.substring(F.md5(column), 1, 1)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return ig.catalog_rows(spark.read.parquet(path).select("tenant", "field", "value").distinct())
 
 
-def stage_batch(batch: DataFrame, name: str, paths: Paths, embedder: em.Embedder, models: str, max_retries: int) -> DataFrame:
-    """The batch's rows with their outcome (``status``), written below the batch's name and read back.
+def stage_batch(batch: DataFrame, name: str, paths: Paths, embedder: em.Embedder, models: str, max_retries: int) -> tuple[DataFrame, dict]:
+    """The batch's rows with their outcome (``status``), written below the batch's name and read back, and what was observed on the way.
 
     One row per tenant and id: the one with the fewest attempts, then the smallest source, page and so on. Ids that the
     index holds from other batches are left out.
@@ -91,17 +122,19 @@ def stage_batch(batch: DataFrame, name: str, paths: Paths, embedder: em.Embedder
     rows.write.mode("overwrite").parquet(f"{folder}/messages")
     valid, invalid = ig.validate_ingest(spark.read.parquet(f"{folder}/messages"))
     unique = ig.first_per_key(ig.normalise_rows(valid), ["tenant", "id"], ["attempts", "source", "page"])
-    unique = ig.select_embed_model(unique.withColumn("prefix", F.substring(F.md5("id"), 1, 1)), models)
+    unique = ig.select_embed_model(unique.withColumn("prefix", prefix_of("id")), models)
     unique.write.mode("overwrite").parquet(f"{folder}/unique")
     unique = spark.read.parquet(f"{folder}/unique")
-    prefixes = [r["prefix"] for r in unique.select("prefix").distinct().collect()]  # sixteen at most
-    fresh = unique.join(seen_ids(spark, paths.index, prefixes, name), ["tenant", "id"], "left_anti") if prefixes else unique
+    fresh = not_yet_known(unique, name, paths)
     done, retry, dead = split_dlq(em.embed_safely(fresh, embedder), max_retries)
     known = [rows.withColumn("status", F.lit(s)) for rows, s in ((done, "processed"), (retry, "retried"), (dead, "failed"))]
     refused = invalid.withColumnRenamed("reason", "error").withColumn("status", F.lit("invalid"))
     out = known[0].unionByName(known[1]).unionByName(known[2]).unionByName(refused.withColumn("page", F.col("page").cast("long")), allowMissingColumns=True)
-    out.write.mode("overwrite").parquet(f"{folder}/rows")
-    return spark.read.parquet(f"{folder}/rows")
+    # Counted while they are written: the totals cost no pass of their own.
+    seen, is_ = Observation(), lambda s: F.col("status") == s
+    totals = [F.count_if(is_(s)).alias(s) for s in STATUSES] + [F.coalesce(F.sum("embed_seconds"), F.lit(0.0)).alias("embed_seconds"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("chars")]
+    out.observe(seen, *totals).write.mode("overwrite").parquet(f"{folder}/rows")
+    return spark.read.parquet(f"{folder}/rows"), seen.get
 
 
 def commit_index(staged: DataFrame, name: str, path: str) -> None:
@@ -128,17 +161,29 @@ def write_metrics(staged: DataFrame, name: str, paths: Paths, insert_seconds: fl
     timed.coalesce(1).write.mode("overwrite").parquet(f"{paths.metrics}/batch={name}")
 
 
+def write_totals(observed: dict, spark: SparkSession, name: str, paths: Paths, handle_seconds: float) -> None:
+    """The batch's observed totals as one row, below the batch's name."""
+    row = {**observed, "handle_seconds": handle_seconds}
+    schema = ", ".join(f"{c} long" for c in (*STATUSES, "chars")) + ", embed_seconds double, handle_seconds double"
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    spark.createDataFrame([tuple(row[c] for c in names)], schema).coalesce(1).write.mode("overwrite").parquet(f"{paths.totals}/batch={name}")
+
+
 def process_batch(batch: DataFrame, batch_id: int, run: str, paths: Paths, embedder: em.Embedder, models: str, max_retries: int = MAX_RETRIES) -> None:
     """One micro-batch. It is staged first; all outputs follow from the staged rows and replace what an earlier try of the
     same batch has written, so it may be repeated after a failure at any point. A run that starts anew, on a new
     checkpoint, writes below names of its own."""
     start, name = time.time(), f"{run}-{batch_id}"
-    staged = stage_batch(batch, name, paths, embedder, models, max_retries)
+    staged, observed = stage_batch(batch, name, paths, embedder, models, max_retries)
     write_failures(staged, name, paths)
-    ig.catalog_parts(staged.filter(F.col("status") == "processed")).write.mode("overwrite").parquet(f"{paths.catalog}/batch={name}")
+    processed = staged.filter(F.col("status") == "processed")
+    if observed["processed"]:
+        paths.seen.add(processed.select("tenant", "id"))  # before the index holds them
+    ig.catalog_parts(processed).write.mode("overwrite").parquet(f"{paths.catalog}/batch={name}")
     insert = time.time()
     commit_index(staged, name, paths.index)
     write_metrics(staged, name, paths, time.time() - insert, time.time() - start)
+    write_totals(observed, batch.sparkSession, name, paths, time.time() - start)
     delete_folder(f"{paths.stage}/{name}")
 
 

@@ -33,11 +33,18 @@ def stream_rate(events: DataFrame, by: list[str], window: str = "1 minute", dela
 
 
 def stream_health(events: DataFrame, bad: Column, by: list[str], window: str = "5 minutes", slide: str = "1 minute", delay: str = DELAY) -> DataFrame:
-    """Errors and requests per sliding window and label."""
-    counted = events.withWatermark("ts", delay).groupBy(F.window("ts", window, slide), *by).agg(
-        F.count_if(bad).alias("errors"), F.count("*").alias("n")
+    """Errors and requests per sliding window and label, and the requests of its last ``slide`` beside them.
+
+    Two stateful sums in a chain: events are counted once per ``slide``, and the windows add those counts up, so an event costs one
+    update of state however many windows overlap.
+    """
+    steps = events.withWatermark("ts", delay).groupBy(F.window("ts", slide).alias("step"), *by).agg(F.count_if(bad).alias("errors"), F.count("*").alias("n"))
+    steps = steps.withColumn("step_end", F.col("step.end"))
+    counted = steps.groupBy(F.window(F.window_time("step"), window, slide), *by).agg(
+        F.sum("errors").alias("errors"), F.sum("n").alias("n"), F.max_by(F.struct("step_end", "n"), "step_end").alias("last")
     )
-    return _window_columns(counted)
+    recent = F.when(F.col("last.step_end") == F.col("window.end"), F.col("last.n")).otherwise(0)
+    return _window_columns(counted.withColumn("n_recent", recent).drop("last"))
 
 
 def stream_sessions(events: DataFrame, by: list[str], gap: str = "1 hour", delay: str = DELAY) -> DataFrame:
@@ -47,14 +54,19 @@ def stream_sessions(events: DataFrame, by: list[str], gap: str = "1 hour", delay
 
 
 def stream_durations(starts: DataFrame, ends: DataFrame, longest: str, delay: str = DELAY) -> DataFrame:
-    """Request durations from a start stream and an end stream (request_id, ts); ends may follow up to ``longest`` later."""
+    """Request durations from a start stream and an end stream (request_id, ts); ends may follow up to ``longest`` later.
+
+    A start whose end has not come by then is given out without a duration once the watermark has passed, so requests that never
+    end are seen.
+    """
     a = starts.select(F.col("request_id").alias("__rid"), F.col("ts").alias("start_ts")).withWatermark("start_ts", delay)
     b = ends.select("request_id", F.col("ts").alias("end_ts")).withWatermark("end_ts", delay)
     joined = a.join(
-        b, (F.col("__rid") == F.col("request_id")) & (F.col("end_ts") >= F.col("start_ts")) & (F.col("end_ts") <= F.col("start_ts") + F.expr(f"INTERVAL {longest}"))
+        b, (F.col("__rid") == F.col("request_id")) & (F.col("end_ts") >= F.col("start_ts")) & (F.col("end_ts") <= F.col("start_ts") + F.expr(f"INTERVAL {longest}")),
+        "leftOuter",
     )
     ms = F.floor((F.unix_micros("end_ts") - F.unix_micros("start_ts")) / 1000).cast("long")
-    return joined.select("request_id", ms.alias("duration_ms"))
+    return joined.select(F.col("__rid").alias("request_id"), ms.alias("duration_ms"))
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:

@@ -8,6 +8,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from siftwell.operators import embed as em
 from siftwell.operators import ingest as ig
 from siftwell.sources import files as fs
 from siftwell.sources import tables as tb
@@ -71,11 +74,12 @@ def test_validation_and_defaults(spark):
     assert [r["reason"] for r in invalid.collect()] == ["empty_text"] * 2
 
 
-def test_given_ids_are_cut_and_texts_stay_whole(spark):
-    df = spark.createDataFrame([("my-id", "x" * 70000)], "id string, text string")
+def test_given_ids_have_bounded_length_and_stay_distinct_and_texts_stay_whole(spark):
+    df = spark.createDataFrame([("my-id", "x" * 70000), ("my-id" * 20 + "a", "y"), ("my-id" * 20 + "b", "z")], "id string, text string")
     valid, _ = ig.validate_ingest(df)
-    row = ig.normalise_rows(valid, id_chars=2).first()
-    assert row["id"] == "my" and len(row["text"]) == 70000
+    rows = ig.normalise_rows(valid, id_chars=40).collect()
+    assert {r["id"] for r in rows} == {"my-id", *(hashlib.sha256(("my-id" * 20 + c).encode()).hexdigest()[:40] for c in "ab")}
+    assert max(len(r["text"]) for r in rows) == 70000
 
 
 def test_embedding_model_map(spark):
@@ -178,3 +182,34 @@ def test_json_lines_sink(spark, tmp_path):
     assert {(str(r["day"]), r["tenant"], r["n"]) for r in back.collect()} == {("2024-01-01", "a", 1), ("2024-01-02", None, 2)}
     tb.write_lines(df.selectExpr("to_json(struct(*)) as summary"), str(tmp_path / "lines"))
     assert spark.read.text(str(tmp_path / "lines")).count() == 2
+
+
+def test_damaged_ranges_are_found_from_the_root_down_and_repaired(spark):
+    rows = [(i, f"text {i}", None if i % 5 else "x") for i in range(2000)] + [(3, "text 3", None), (None, "no key", None), (None, "no key", None)]
+    df = spark.createDataFrame(rows, "id long, text string, tag string")
+    assert tb.damaged_leaves(df, df.repartition(3), "id", 200).count() == 0
+    bad = [r for r in rows if r[0] not in (7, 900)] + [(5, "other", "x"), (11, "text 11", None), (9999, "extra", None)]
+    bad = [r for r in bad if r != (5, "text 5", "x")]
+    damaged = spark.createDataFrame(bad, "id long, text string, tag string")
+    assert tuple(tb.validate_restore(df, damaged, "id", 200).first()) == (3, 3)
+    leaves = {r[0] for r in tb.damaged_leaves(df, damaged, "id", 200).collect()}
+    expected = {r[0] for r in spark.createDataFrame([(i,) for i in (7, 900, 5, 11, 9999)], "id long").select(F.pmod(F.xxhash64("id"), F.lit(200))).collect()}
+    assert leaves == expected
+    mended = tb.repair_restore(df, damaged, "id", 200)
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, mended.collect()), key=key) == sorted(rows, key=key)
+    empty = df.limit(0)
+    assert tuple(tb.validate_restore(empty, empty, "id").first()) == (0, 0)
+    assert tuple(tb.validate_restore(empty, df, "id").first()) == (0, len(rows))
+    assert tb.repair_restore(df, empty, "id").count() == len(rows)
+
+
+def test_bulk_embedding_sets_failing_texts_apart(spark):
+    def model(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("refused")
+        return [[float(len(t))] for t in texts]
+
+    df = spark.createDataFrame([(i, "bad" if i == 3 else "x" * i) for i in range(6)], "id long, text string")
+    got = {r["id"]: r["embedding"] for r in em.embed(df, model, pause=0.0, apart=True).collect()}
+    assert got == {i: None if i == 3 else [float(i)] for i in range(6)}

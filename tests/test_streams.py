@@ -14,6 +14,7 @@ from siftwell.sources import files as fs
 from siftwell.streaming import ingest as si
 from siftwell.streaming import reuse as sr
 from siftwell.streaming import windows as sw
+from siftwell.streaming.seen import Seen
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -112,6 +113,57 @@ def test_a_lost_checkpoint_keeps_earlier_dead_letters(spark, tmp_path):
     assert {r["source"] for r in spark.read.parquet(paths.dead).collect()} == {"a.pdf", "b.pdf"}
 
 
+def test_ids_that_agree_in_forty_characters_stay_apart(spark, tmp_path):
+    paths = folders(tmp_path)
+    long = "x" * 40
+    rows = [(long + "a", "one text"), (long + "b", "another text"), (long, "a third"), (long + "a", "one text")]
+    spark.createDataFrame([(i, t, "s", "t") for i, t in rows], "id string, text string, source string, tenant string").write.json(paths.inbox)
+    si.run_to_end(si.ingest_stream(spark, paths), 300)
+    assert sorted(r["text"] for r in spark.read.parquet(paths.index).collect()) == ["a third", "another text", "one text"]
+
+
+def test_new_ids_do_not_read_the_index(spark, tmp_path, monkeypatch):
+    """What a batch of new ids reads does not depend on the index; a known one reads folders of its prefix."""
+    paths = folders(tmp_path)
+    fs.enqueue(messages(spark, [(f"text {i}", "s", "t") for i in range(200)]), paths.inbox)
+    si.run_to_end(si.ingest_stream(spark, paths), 300)
+    real, looks = si.index_ids, []
+    monkeypatch.setattr(si, "index_ids", lambda *a: looks.append(a) or real(*a))
+    fs.enqueue(messages(spark, [(f"fresh {i}", "s", "t") for i in range(50)]), paths.inbox)
+    si.run_to_end(si.ingest_stream(spark, paths), 300)
+    assert not looks and spark.read.parquet(paths.index).count() == 250
+    fs.enqueue(messages(spark, [("text 7", "s", "t"), ("more", "s", "t"), ("text 7", "s", "other")]), paths.inbox)
+    si.run_to_end(si.ingest_stream(spark, paths), 300)
+    assert len(looks) == 1 and spark.read.parquet(paths.index).count() == 252
+    assert len(paths.seen.versions(spark)) <= 3
+
+
+def test_seen_ids_are_never_forgotten(spark, tmp_path):
+    seen = Seen(str(tmp_path / "seen"), bits=1 << 12)
+    ids = [spark.createDataFrame([("t", f"{b}-{i}") for i in range(40)], "tenant string, id string") for b in range(4)]
+    for part in ids:
+        assert seen.maybe_known(part).count() < 20
+        seen.add(part)
+        seen.add(part)  # again, as after a failure
+    for part in ids:
+        assert seen.maybe_known(part).count() == 40
+    assert seen.maybe_known(spark.createDataFrame([(None, "0-1"), ("u", "0-1")], "tenant string, id string")).count() < 2
+    # A table that is far too small knows too much; ids are then looked up in vain, nothing more.
+    full = Seen(str(tmp_path / "full"), bits=64)
+    full.add(ids[0])
+    assert full.maybe_known(ids[1]).count() > 20
+
+
+def test_starts_without_an_end_are_given_out(spark, tmp_path):
+    starts = [(1, 0), (2, 10), (3, 20), (4, 90000)]
+    ends = [(1, 30), (3, 20 + 7200), (9, 90000)]  # the third comes too late
+    for name, rows in (("a", starts), ("b", ends)):
+        spark.createDataFrame(rows, "request_id long, s long").select("request_id", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(str(tmp_path / name))
+    a, b = (read_events(spark, str(tmp_path / n)) for n in "ab")
+    si.run_to_end(sw.to_table(sw.stream_durations(a, b, "1 hour"), str(tmp_path / "out"), str(tmp_path / "ck")), 300)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(1, 30000), (2, None), (3, None)]
+
+
 def write_events(spark, folder, n=300, seed=1):
     r = random.Random(seed)
     rows = [(i, r.randrange(0, 20000), r.choice(["x", "y"])) for i in range(n)]
