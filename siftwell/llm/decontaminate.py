@@ -42,24 +42,12 @@ class Winnowing:
     most_bits: int = 1 << 28
 
 
-def rolled(words: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` words, across all rows."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        total = np.full(n, np.uint64(0x3C6EF372FE94F82B) * np.uint64(width))
-        for j in range(width):
-            total = (total + words[j : n + j]) * hashing.BASE
-    return hashing.mixed(total)
-
-
 def winnowed(words: np.ndarray, rows: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of the windows of each row (offsets ``rows`` into its words), the position of each one's fingerprint, and all k-gram hashes.
 
     The fingerprint is the last smallest k-gram of the window, so equal windows have equal ones.
     """
-    grams = rolled(words, gram)
+    grams = hashing.rolled(words, gram)
     n = len(words) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), grams
@@ -89,7 +77,7 @@ def window_keys(words: np.ndarray, rows: np.ndarray, length: int, gram: int, kee
         good = np.zeros(len(grams), bool)
         good[chosen] = keep(grams[chosen] + np.uint64(length))
         starts, at = starts[good[at]], at[good[at]]
-    whole = rolled(words, length)[starts] if len(starts) else np.zeros(0, np.uint64)
+    whole = hashing.rolled(words, length)[starts] if len(starts) else np.zeros(0, np.uint64)
     return starts, np.searchsorted(rows, starts, "right") - 1, grams[at] + np.uint64(length), hashing.mixed(whole ^ np.uint64(length))
 
 

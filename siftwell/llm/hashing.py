@@ -73,16 +73,44 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE) -
     return mixed(hashes), np.searchsorted(starts, offsets), ends - starts
 
 
+def rolled(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` word hashes, whatever texts they belong to."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        total = np.full(n, np.uint64(0x3C6EF372FE94F82B) * np.uint64(width))
+        for j in range(width):
+            total = (total + words[j : n + j]) * BASE
+    return mixed(total)
+
+
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of ``width`` words of one text; of the whole sequence if it is shorter; none without words."""
-    n, k = len(hashes), min(width, len(hashes))
-    if not n:
-        return hashes
-    with np.errstate(over="ignore"):
-        total = np.full(n - k + 1, np.uint64(0x5851F42D4C957F2D) * np.uint64(k))
-        for j in range(k):
-            total = mixed(total * BASE + hashes[j : n - k + 1 + j])
-    return total
+    return rolled(hashes, min(width, len(hashes))) if len(hashes) else hashes
+
+
+def shingle_sets(hashes: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``shingles`` of each text (offsets ``rows`` into the words), sorted, one text after the other, and their numbers."""
+    n, first = np.diff(rows), rows[:-1]
+    out = np.zeros(len(hashes), np.uint64)
+    whole = rolled(hashes, width)
+    out[: len(whole)] = whole
+    counts = np.where(n >= width, n - width + 1, np.minimum(n, 1))
+    for i in np.flatnonzero((n > 0) & (n < width)).tolist():
+        out[first[i]] = rolled(hashes[first[i] : first[i] + n[i]], int(n[i]))[0]
+    for a, c in zip(first[counts > 1].tolist(), counts[counts > 1].tolist(), strict=True):
+        out[a : a + c].sort()
+    steps = np.zeros(len(hashes) + 1, np.int32)  # each text's shingles stand at its first words
+    np.add.at(steps, first[counts > 0], 1)
+    np.add.at(steps, (first + counts)[counts > 0], -1)
+    keep = np.cumsum(steps[:-1]) > 0
+    fresh = np.ones(len(out), bool)
+    fresh[1:] = out[1:] != out[:-1]
+    fresh[first[counts > 0]] = True
+    keep &= fresh
+    held = np.concatenate([[0], np.cumsum(keep)])
+    return out[keep], held[rows[1:]] - held[first]
 
 
 def grams(points: np.ndarray, width: int) -> np.ndarray:

@@ -1,9 +1,9 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global order of n-grams is their hash, with the most frequent ones last. Two linked documents share one of the first
-n-grams of each (the prefix), and with a prefix that is longer by k they share k. So the prefixes' fragments, each with
-its own counts per pair, summed, give the candidates; the overlaps of all fragments of those are counted apart and
-summed per pair in the same way (``setjoin``).
+The global order of n-grams is their hash, with the most frequent ones last. It is cut into fragments, at least
+``Join.fragments`` of them; each fragment of a document goes its own way, tasks count what pairs share within
+one fragment, and the counts are summed per pair and held against the threshold (``setjoin``). The pairs to count are those whose
+prefixes allow a link: two linked documents share one of the first n-grams of each, and with a prefix that is longer by k they share k.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import hashing
-from siftwell.llm.setjoin import Block, Frequent, Items, Join, Listed, SetJoin, item_hash
+from siftwell.llm.bits import Bits
+from siftwell.llm.setjoin import Block, Frequent, Items, Join, SetJoin, item_hash
 
 
 class Documents(Items):
@@ -27,17 +28,16 @@ class Documents(Items):
     def __init__(self, width: int, percent: int) -> None:
         self.width, self.percent = width, percent
 
-    def read(self, docs: np.ndarray, texts: pa.Array, wanted: Listed | None = None) -> Iterator[Block]:
+    def read(self, docs: np.ndarray, texts: pa.Array, wanted: Bits | None = None) -> Iterator[Block]:
         if wanted is not None:
             keep = wanted.has(item_hash(docs, np.zeros(len(docs), np.int64)))
             docs, texts = docs[keep], texts.filter(pa.array(keep))
         data, offsets = hashing.text_bytes(texts)
         hashes, rows, _ = hashing.words(data, offsets)
-        sets = [np.unique(hashing.shingles(hashes[a:b], self.width)) for a, b in zip(rows[:-1], rows[1:], strict=True)]
-        sizes = np.array([len(s) for s in sets], np.int64)
-        if not len(sets):
+        if not len(docs):
             return
-        block = Block(docs, np.zeros(len(docs), np.int64), np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]))
+        tokens, sizes = hashing.shingle_sets(hashes, rows, self.width)
+        block = Block(docs, np.zeros(len(docs), np.int64), tokens, np.concatenate([[0], np.cumsum(sizes)]))
         yield block.only(sizes > 0) if (sizes == 0).any() else block
 
     def prefix(self, sizes: np.ndarray) -> np.ndarray:

@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import hashing
-from siftwell.llm.common import cut
+from siftwell.llm.bits import Bits, bits_of, fitting
+from siftwell.llm.common import cut, forget
 from siftwell.llm.components import components
 
 POSTING = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4"), ("late", "<i4")])
@@ -93,7 +94,7 @@ class Items:
     #: Linked items share at least this percentage of the smaller one's size in keys, and one key.
     shared_percent = 0
 
-    def read(self, docs: np.ndarray, texts: pa.Array, wanted: Listed | None = None) -> Iterator[Block]:
+    def read(self, docs: np.ndarray, texts: pa.Array, wanted: Bits | None = None) -> Iterator[Block]:
         raise NotImplementedError
 
     def keys(self, block: Block, late: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,8 +122,8 @@ class Join:
     #: Of classes of equal sets with so many members only the first posts keys; the largest classes, at most so many, are listed.
     copies: int = 16
     most_copied: int = 1 << 16
-    #: Numbers of slots that say which items are asked for.
-    slots: int = 1 << 20
+    #: Fragments of the token order, at least; sets that hang together and hold more tokens than a piece are cut into more.
+    fragments: int = 4
     #: Tokens of one piece of verification, and pairs.
     piece_tokens: int = 1 << 21
     piece_pairs: int = 1 << 17
@@ -130,17 +131,6 @@ class Join:
     salted: int = 200_000
 
 
-@dataclass
-class Listed:
-    """Items by slots of their hash: a fixed number of bits, whatever the corpus; a superset of what is meant."""
-
-    bits: np.ndarray
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        slots = hashes % np.uint64(len(self.bits) * 8)
-        return (self.bits[(slots >> np.uint64(3)).astype(np.int64)] >> (7 - (slots & np.uint64(7))).astype(np.uint8)) & 1 == 1
-
-
 def slices(batch: pa.RecordBatch, limit: int = 1 << 21) -> Iterator[tuple[np.ndarray, pa.Array]]:
     """Ids and texts of a batch in pieces of bounded bytes (a longer text is a piece of its own)."""
     texts, ids = batch.column(1), np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
@@ -337,10 +327,6 @@ class SetJoin:
         """Keys that an item shares with any linked one of at least ``percent`` of its size."""
         return F.greatest(F.lit(1), F.floor(size.cast("long") * (self.items.shared_percent * percent) / 10_000))
 
-    def least_shared(self, size: Column, percent: int = 100) -> Column:
-        """Keys that an item shares with any linked one of at least ``percent`` of its size."""
-        return F.greatest(F.lit(1), F.floor(size.cast("long") * (self.items.shared_percent * percent) / 10_000))
-
     def candidates(self, runs: DataFrame, firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Distinct pairs that may link, and the members of long runs that can have links through those alone.
 
@@ -384,17 +370,17 @@ class SetJoin:
         """The pairs (a, b) whose sets reach the threshold."""
         plan = self.plan
         if pairs.isEmpty():
-            return pairs.select("a", "b")
+            return self.spark.createDataFrame([], "a long, b long")
         ends = pairs.select(F.col("a").alias("node"), F.col("size_a").alias("size")).unionByName(pairs.select(F.col("b").alias("node"), F.col("size_b").alias("size"))).distinct()
         groups = components(pairs).select(F.col("id").alias("node"), "component")
         ends = cut(ends.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
         grouped = pairs.join(ends.select(F.col("node").alias("a"), "component"), "a")
         tokens = ends.groupBy("component").agg(F.sum("size").alias("tokens"))
         sizes = grouped.groupBy("component").agg(F.count("*").alias("pairs")).join(tokens, "component")
-        fragments = F.ceil(F.col("tokens") / plan.piece_tokens).cast("int").alias("fragments")
+        fragments = F.greatest(F.lit(plan.fragments), F.ceil(F.col("tokens") / plan.piece_tokens).cast("int")).alias("fragments")
         sizes = cut(sizes.select("component", fragments, F.ceil(F.col("pairs") / plan.piece_pairs).cast("int").alias("salts"), "tokens"))
         total = sizes.agg(F.sum(F.col("tokens") * F.col("salts"))).first()[0]
-        bundles = max(1, -(-4 * total // plan.piece_tokens))
+        bundles = max(self.parts, -(-4 * total // plan.piece_tokens))
         bundle = F.pmod(F.xxhash64("component", "fragment", "salt"), F.lit(bundles)).alias("bundle")
 
         asked = ends.join(sizes, "component").join(firsts.select("node", "doc_id", "line"), "node").select("node", "doc_id", "line", "component", "fragments", "salts")
@@ -422,15 +408,17 @@ class SetJoin:
 
     def fragments(self, asked: DataFrame) -> DataFrame:
         """The tokens of the asked items by fragment of the token order, as often as the pairs are salted."""
-        items, slots = self.items, self.plan.slots
-        signed = asked.select("doc_id", "line")
-        marks = signed.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(np.unique(item_hash(b.column(0).to_numpy(), b.column(1).to_numpy()) % np.uint64(slots)).astype(np.int64))], names=["slot"]) for b in batches), "slot long")
-        bits = np.zeros(slots, bool)
-        bits[[r["slot"] for r in marks.distinct().collect()]] = True  # at most `slots` rows
-        shared = self.spark.sparkContext.broadcast(np.packbits(bits))
+        items = self.items
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(item_hash(b.column(0).to_numpy(), b.column(1).to_numpy()).view(np.int64))], names=["item"])
+
+        marks = bits_of(asked.select("doc_id", "line").mapInArrow(hashed, "item long"), "item", fitting(asked.count()))
+        shared = self.spark.sparkContext.broadcast(marks)
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            wanted = Listed(shared.value)
+            wanted = shared.value
             for batch in batches:
                 for docs, texts in slices(batch):
                     for b in items.read(docs, texts, wanted):
@@ -467,9 +455,12 @@ class SetJoin:
         copied = self.copied(firsts)
         runs = self.runs(copied, self.late(copied), members.count())
         pairs, long = self.candidates(runs, firsts)
+        forget(runs)
         links = self.verified(pairs, firsts)
+        forget(pairs)
         groups = components(links)
         more = self.verified(self.apart(long, groups), firsts)
+        forget(long)
         if not more.isEmpty():
             groups = components(links.unionByName(more))
         labelled = firsts.join(groups.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
