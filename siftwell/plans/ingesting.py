@@ -14,15 +14,17 @@ from siftwell.operators import ingest as ig
 from siftwell.operators import ordered as od
 from siftwell.plans import views as vw
 from siftwell.plans.registry import query
-from siftwell.session import checkpoint_root, side_by_side
+from siftwell.session import scratch_folder, side_by_side
 from siftwell.sources import files as fs
+from siftwell.sources import ranges as rg
 from siftwell.sources import tables as tb
 
 DOCS, CHUNKS = "WITH " + vw.SQL_DOCUMENTS, "WITH " + vw.SQL_CHUNKS
 
 
 def scratch(spark, label: str) -> str:
-    return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A folder of its own, which goes with the application's other tables."""
+    return f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def messages(spark, sf_dir):
@@ -49,19 +51,38 @@ def s2(spark, sf_dir):
     return pages.select("page_id", F.col("url").alias("source"), F.lit("html").alias("doc_type"), fs.html_text(F.col("html")).alias("text"))
 
 
-@query("s2_document_files")
+def page_files(spark, sf_dir):
+    """The pages as eight text files, each in a folder of its own and ordered, whatever the number of tasks."""
+    folder = scratch(spark, "html")
+    pages = vw.table(spark, sf_dir, "pages").select("html", F.pmod("page_id", F.lit(8)).alias("part"), "page_id")
+    ordered = pages.repartition(8, "part").sortWithinPartitions("part", "page_id")
+    ordered.select("html", "part").write.partitionBy("part").text(folder)
+    return folder
+
+
+_FILES = "SELECT page_id % 8 AS part, string_agg(html || chr(10), '' ORDER BY page_id) AS body FROM pages GROUP BY ALL"
+
+
+@query("s2_document_files", f"SELECT 'txt' AS doc_type, CAST(length(body) AS INTEGER) AS n_chars, md5(body) AS md5 FROM ({_FILES})")
 def s2_files(spark, sf_dir):
     """The pages written as files, scanned back as documents."""
-    folder = scratch(spark, "html")
-    pages = vw.table(spark, sf_dir, "pages")
-    pages.select("html", F.pmod("page_id", F.lit(8)).alias("part")).write.partitionBy("part").text(folder)
-    return fs.load_documents(spark, folder).select("doc_type", F.length("text").alias("n_chars"))
+    return fs.load_documents(spark, page_files(spark, sf_dir)).select("doc_type", F.length("text").alias("n_chars"), F.md5("text").alias("md5"))
+
+
+@query("s2_text_parts", f"SELECT count(*) AS files, CAST(sum(length(body)) AS BIGINT) AS n_chars, CAST(sum(length(body) - length(replace(body, chr(10), ''))) AS BIGINT) AS lines, true AS cut FROM ({_FILES})")
+def s2_parts(spark, sf_dir):
+    """The same files in parts of 16 KB, cut between lines: nothing is lost or read twice."""
+    rows = rg.text_parts(spark, page_files(spark, sf_dir), range_bytes=16 << 10)
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    whole = rows.agg(F.countDistinct("path").alias("files"), F.sum(F.length("text").cast("long")).alias("n_chars"), F.sum(lines.cast("long")).alias("lines"), (F.count("*") > F.countDistinct("path")).alias("cut"))
+    return whole
 
 
-@query("s1_file_scan")
+@query("s1_file_scan", f"SELECT part, octet_length(encode(body)) AS size, sha1(body) AS sha1 FROM ({_FILES})")
 def s1(spark, sf_dir):
-    """The given files themselves, found by extension."""
-    return fs.scan_files(spark, sf_dir, ".PARQUET").select("source", "length", F.sha1("content").alias("sha1"))
+    """Files below a folder, found by extension in any case, with size and fingerprint."""
+    found = rg.file_hashes(spark, page_files(spark, sf_dir), "*.TXT")
+    return found.select(F.regexp_extract("path", r"part=(\d+)/", 1).cast("long").alias("part"), "size", "sha1")
 
 
 @query("s3_golden_reader", f"SELECT regexp_replace(text, '^{vw._WS_SQL}|{vw._WS_SQL}$', '', 'g') AS query FROM benchmark WHERE text IS NOT NULL")
@@ -75,9 +96,11 @@ def s3(spark, sf_dir):
     return fs.read_golden(spark, folder).select("query")
 
 
-@query("a5_golden_fingerprint")
+@query("a5_golden_fingerprint", "SELECT sha1(string_agg(text || chr(10), '' ORDER BY item_id)) AS golden_hash FROM benchmark")
 def a5(spark, sf_dir):
-    return fs.golden_hash(spark, f"{sf_dir}/benchmark.parquet")
+    folder = scratch(spark, "fingerprint")
+    vw.table(spark, sf_dir, "benchmark").coalesce(1).sortWithinPartitions("item_id").select("text").write.text(folder)
+    return fs.golden_hash(spark, folder).select("golden_hash")
 
 
 @query("i1_recursive_chunks")

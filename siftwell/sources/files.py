@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from siftwell.functions import text as tx
 from siftwell.operators import ingest
+from siftwell.sources import ranges
 
 MESSAGE = T.StructType(
     [
@@ -99,12 +100,14 @@ def read_golden(spark: SparkSession, path: str, limit: int | None = None) -> Dat
 
 
 def golden_hash(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-1 of each golden file's bytes."""
-    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("source"), F.sha1("content").alias("golden_hash"))
+    """SHA-1 of each golden file, read by ranges (see ``ranges.file_hashes``)."""
+    return ranges.file_hashes(spark, path).select("source", F.col("sha1").alias("golden_hash"))
 
 
-def enqueue(chunks: DataFrame, folder: str) -> None:
-    """Append validated chunks to the folder an ingest stream reads; invalid ones are left out."""
-    valid, _ = ingest.validate_ingest(chunks)
+def enqueue(chunks: DataFrame, folder: str, refused: str | None = None) -> None:
+    """Append validated chunks to the folder an ingest stream reads; invalid ones go to ``refused`` with a reason, if it is given."""
+    valid, invalid = ingest.validate_ingest(chunks)
     fields = [F.col(f.name).cast(f.dataType) if f.name in valid.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in MESSAGE.fields]
     valid.select(*fields).write.mode("append").json(folder)
+    if refused:
+        invalid.select(*fields, "reason").write.mode("append").json(refused)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from siftwell.operators import embed as em
 from siftwell.operators import ingest as ig
 from siftwell.sources import files as fs
+from siftwell.sources import ranges as rg
 from siftwell.sources import tables as tb
 
 
@@ -213,3 +214,48 @@ def test_bulk_embedding_sets_failing_texts_apart(spark):
     df = spark.createDataFrame([(i, "bad" if i == 3 else "x" * i) for i in range(6)], "id long, text string")
     got = {r["id"]: r["embedding"] for r in em.embed(df, model, pause=0.0, apart=True).collect()}
     assert got == {i: None if i == 3 else [float(i)] for i in range(6)}
+
+
+def test_files_beyond_two_gigabytes_are_hashed_by_ranges(spark, tmp_path):
+    size = (2 << 30) + 12345
+    with open(tmp_path / "big.BIN", "wb") as f:  # mostly a hole, so it takes no room
+        f.write(b"head")
+        f.truncate(size)
+        f.seek(size - 4)
+        f.write(b"tail")
+    (tmp_path / "small.bin").write_bytes(b"abc")
+    (tmp_path / "none.bin").write_bytes(b"")
+    (tmp_path / "other.txt").write_bytes(b"x")
+    got = {r["source"]: (r["size"], r["sha1"]) for r in rg.file_hashes(spark, str(tmp_path), "*.bin", 256 << 20).collect()}
+    parts = []
+    with open(tmp_path / "big.BIN", "rb") as f:
+        while body := f.read(256 << 20):
+            parts.append(hashlib.sha1(body).hexdigest())
+    assert got == {
+        "big.BIN": (size, hashlib.sha1("".join(parts).encode()).hexdigest()),
+        "small.bin": (3, hashlib.sha1(b"abc").hexdigest()), "none.bin": (0, hashlib.sha1(b"").hexdigest()),
+    }
+
+
+@pytest.mark.parametrize("size", [1, 5, 64, 10_000])
+def test_text_parts_are_cut_between_lines(spark, tmp_path, size):
+    body = "one\ntwo é\n\nlonger line of the file\n" * 9 + "no end"
+    (tmp_path / "a.txt").write_text(body)
+    (tmp_path / "b.txt").write_text("")
+    rows = rg.text_parts(spark, str(tmp_path), range_bytes=size).orderBy("source", "page").collect()
+    assert "".join(r["text"] for r in rows if r["source"] == "a.txt") == body
+    assert all(r["text"].endswith("\n") for r in rows[:-2] if r["source"] == "a.txt") and rows[-1]["text"] == ""
+    pieces = rg.read_ranges(spark, str(tmp_path / "a.txt"), range_bytes=size).orderBy("offset").collect()
+    assert b"".join(bytes(r["content"]) for r in pieces) == body.encode()
+
+
+def test_streamed_ranges_take_each_file_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for batch, names in enumerate((["a", "b"], ["c"], [])):
+        for n in names:
+            (tmp_path / "in" / f"{n}.bin").write_bytes(n.encode() * 10)
+        stream = rg.read_ranges(spark, str(tmp_path / "in"), range_bytes=4, stream=True)
+        query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        assert query.awaitTermination(120)
+        rows = spark.read.parquet(str(tmp_path / "out")).collect()
+        assert len(rows) == 3 * len({r["path"] for r in rows}) == 3 * (2 if batch == 0 else 3)
