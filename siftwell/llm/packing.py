@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siftwell.llm.common import cut, n_words
 
@@ -98,18 +99,34 @@ def pack_group(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return frame[["doc_id", "piece", "start_word", "n_words", "bin_id", "place", "offset"]]
 
 
-def pack(docs: DataFrame, plan: Packing = Packing(), cluster: str | None = None) -> DataFrame:
+def placed_in_files(sized: DataFrame) -> DataFrame:
+    """``sized`` with ``at``: each row's place in the order of the files (by name) and rows that the documents were read from."""
+    files = sized.groupBy("file").agg(F.count("*").alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    files = cut(files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    return sized.join(files, "file").withColumn("at", F.col("before") + F.col("row")).drop("file", "row", "before")
+
+
+def pack(docs: DataFrame, plan: Packing = Packing(), cluster: str | None = None, along_files: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, piece, start_word, n_words, bin_id, place`` (in the bin) and ``offset`` (words before it there).
 
     ``cluster`` names a column of duplicate clusters; by default equal texts form one. Null or empty texts become one
-    piece without words; a null source is a source; rows with equal ids are packed like any others. Only ids and
-    sizes are shuffled, and every group is of bounded size whatever source or cluster is frequent.
+    piece without words; a null source is a source; rows with equal ids, and repeated rows, are packed like any others. Only ids and
+    sizes are shuffled, and every group is of bounded size whatever source, cluster or row is frequent. Pieces are dealt to
+    groups by hash; with ``along_files`` (documents read from files) groups are stretches of the files' order, so that
+    ``bin_id`` ascends with it, such as along a training schedule.
     """
     mark = docs[cluster].cast("string") if cluster else F.md5(F.coalesce(docs["text"], F.lit("")))
-    sized = cut(docs.select("doc_id", "source", F.xxhash64(mark).alias("cluster"), n_words(docs["text"]).alias("size")))
+    where = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")] if along_files else []
+    sized = cut(docs.select("doc_id", "source", F.xxhash64(mark).alias("cluster"), n_words(docs["text"]).alias("size"), *where))
     count = F.greatest(F.ceil(F.col("size") / plan.capacity), F.lit(1))
-    total = sized.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    sums = sized.agg(F.coalesce(F.sum(count), F.lit(0)).alias("pieces"), F.count("*").alias("rows")).first()
+    total = sums["pieces"]
     groups = max(1, -(-total // plan.group_pieces))
+    # Numbers of the written table's rows tell equal rows apart.
+    sized = placed_in_files(sized) if along_files else sized.withColumn("at", F.monotonically_increasing_id())
+    stretch = max(1, sums["rows"] * plan.group_pieces // max(1, total))
+    bundle = F.floor(F.col("at") / stretch) if along_files else F.pmod(F.xxhash64("doc_id", "piece", "cluster", "at"), F.lit(groups))
     pieces = sized.select("*", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))).alias("piece"))
     start = F.col("piece").cast("long") * plan.capacity
     pieces = pieces.select(
@@ -119,7 +136,7 @@ def pack(docs: DataFrame, plan: Packing = Packing(), cluster: str | None = None)
         "piece",
         start.alias("start_word"),
         F.least(F.lit(plan.capacity).cast("long"), F.col("size") - start).alias("n_words"),
-        F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(groups)).alias("bundle"),
+        bundle.cast("long").alias("bundle"),
     )
 
     return pieces.groupBy("bundle").applyInPandas(lambda f: pack_group(f, plan.capacity), SCHEMA)

@@ -2,7 +2,9 @@
 
 Protected entities are e-mail addresses, IP addresses, card and phone numbers. A term of a document that holds an
 entity discloses it as far as the corpus ties both together: their pointwise mutual information, over document counts,
-as a share of the entity's own information. Terms above the first threshold are generalised, above the second removed.
+as a share of the entity's own information. The share of a term's documents that hold the entity is judged by its lower
+confidence bound, so that one meeting of a word that stands elsewhere, too, is no evidence, whatever the size of the corpus.
+Terms above the first threshold are generalised, above the second removed.
 """
 
 from __future__ import annotations
@@ -11,14 +13,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import hashing
+from siftwell.llm.bits import bits_of, fitting
 from siftwell.llm.common import cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -33,16 +35,12 @@ TERM = re.compile("[A-Za-z\u0080-\U0010ffff]{3,}")
 
 @dataclass(frozen=True)
 class Disclosure:
-    #: Fixed: terms on each side of an entity that count as its context, beyond any document's length.
-    window: ClassVar[int] = 1 << 40
-    #: Fixed: documents that must hold term and entity. Most entities stand in one; few documents weigh less by ``prior``.
-    support: ClassVar[int] = 1
-    #: Documents without more ties than chance that are added to those of each term.
-    prior: float = 1.0
+    #: Standard deviations below the observed share at which a term's share of documents with the entity is taken (Wilson's bound).
+    doubt: float = 1.645
+    #: A term discloses nothing if that share stays below this, however rare the entity is.
+    certain: float = 0.1
     generalise: float = 0.5
     remove: float = 0.8
-    #: Slots of the term filter: a fixed size, whatever the corpus.
-    slots: int = 1 << 18
 
 
 def luhn(digits: str) -> bool:
@@ -118,7 +116,7 @@ def free_terms(text: str, spans: list[tuple[str, int, int]]) -> tuple[np.ndarray
     return hashes[order], places[:, 0], places[:, 1]
 
 
-FOUND = "rid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>, terms array<struct<term:long,length:int,starts:array<int>>>"
+FOUND = "rid long, doc_id long, text_key long, n_chars long, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>, terms array<struct<term:long,length:int,starts:array<int>>>"
 
 
 def lists(sizes: list[int], values: pa.Array) -> pa.Array:
@@ -143,36 +141,35 @@ def find(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(i, 256) for i in range(0, len(whole), 256)):
-                texts = [t or "" for t in batch.column(2).to_pylist()]
+                texts = [t or "" for t in batch.column(3).to_pylist()]
                 spans = [base_spans(t) for t in texts]
                 none = (np.zeros(0, np.int64),) * 3
                 held = [entities(t, s) for t, s in zip(texts, spans, strict=True)]
                 counts = [pa.array([sum(x[0] == k for x in s) for s in spans], pa.int64()) for k in KINDS]
                 terms = grouped_terms([free_terms(t, s) if s else none for t, s in zip(texts, spans, strict=True)])
-                columns = [batch.column(0), batch.column(1), *counts, pa.array([joined(s) for s in spans], pa.string()), pa.array(held, pa.list_(pa.int64())), terms]
-                yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", *[f"n_{k}" for k in KINDS], "base", "entities", "terms"])
+                sizes = pa.array([len(t) for t in texts], pa.int64())
+                columns = [*(batch.column(i) for i in range(3)), sizes, *counts, pa.array([joined(s) for s in spans], pa.string()), pa.array(held, pa.list_(pa.int64())), terms]
+                yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "text_key", "n_chars", *[f"n_{k}" for k in KINDS], "base", "entities", "terms"])
 
-    return cut(docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, FOUND))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_key"), docs["text"])
+    return cut(rows.mapInArrow(run, FOUND))
 
 
-def term_frequencies(docs: DataFrame, terms: DataFrame, slots: int) -> DataFrame:
+def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, n_term``: in how many documents each of ``terms`` stands, counted over all of them.
 
-    A table of slots that the terms' hashes fall into goes to the tasks (at most ``slots`` numbers); terms in other
-    slots aren't counted. Counts are summed per batch before they are shuffled.
+    A table of bits, sized by the number of terms up to a bound, goes to the tasks; terms that it doesn't know
+    aren't counted. Counts are summed per batch before they are shuffled.
     """
-    taken = terms.select(F.pmod("term", F.lit(slots)).alias("slot")).distinct()
-    open_slots = np.zeros(slots, bool)
-    open_slots[[r["slot"] for r in taken.collect()]] = True  # at most `slots` rows
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(open_slots))
+    asked = cut(terms.select("term").distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(bits_of(asked, "term", fitting(asked.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = np.unpackbits(shared.value, count=slots).astype(bool)
         for batch in batches:
             data, offsets = hashing.text_bytes(batch.column(0))
             hashes, rows, _ = hashing.words(data, offsets, hashing.LETTERS)
             signed = hashes.view(np.int64)
-            keep = listed[np.mod(signed, slots)]
+            keep = shared.value.has(hashes)
             row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))[keep]
             signed = signed[keep]
             order = np.lexsort((row, signed))
@@ -185,12 +182,19 @@ def term_frequencies(docs: DataFrame, terms: DataFrame, slots: int) -> DataFrame
     return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
+def least_share(hits: Column, of: Column, z: float) -> Column:
+    """Wilson's lower bound of the share hits / of."""
+    share = hits / of
+    spread = F.lit(z) * F.sqrt(share * (1 - share) / of + z * z / (4 * of * of))
+    return (share + z * z / (2 * of) - spread) / (1 + z * z / of)
+
+
 def disclosing(docs: DataFrame, found: DataFrame, plan: Disclosure) -> DataFrame:
     """``rid, start, end, action`` of the terms that disclose an entity of their own document too much, wherever they stand.
 
-    With N documents, n_e of which hold the entity, n_t the term and n_te both, the share of the term's
-    documents that hold the entity is smoothed to p = (n_te + prior n_e / N) / (n_t + prior), so that few documents
-    tell less than many. Pointwise mutual information is log2(p N / n_e), and a tie is its share of log2(N / n_e).
+    With N documents, n_e of which hold the entity, n_t the term and n_te both, p is Wilson's lower bound of the share n_te / n_t, so
+    that few documents tell less than many. Pointwise mutual information is log2(p N / n_e), and a tie is its
+    share of log2(N / n_e); a term whose p is below ``certain`` isn't tied, for that share of log2(N) falls as the corpus grows.
     """
     held = found.select("rid", F.explode("entities").alias("entity"))
     # Entities of the same documents have the same ties: they are judged as one, by a hash of the documents.
@@ -200,11 +204,11 @@ def disclosing(docs: DataFrame, found: DataFrame, plan: Disclosure) -> DataFrame
     near = cut(found.select("rid", "terms").join(owned, "rid").select("rid", "documents", F.inline("terms")))
     entities = alike.select("documents", "n_entity").distinct()
     ties = cut(near.groupBy("documents", "term").agg(F.count("*").alias("n_both")))
-    counted = term_frequencies(docs, ties, plan.slots)
+    counted = term_frequencies(docs, ties)
     n = F.lit(float(found.count()))
     tied = ties.join(entities, "documents").join(counted, "term")
-    share = (F.col("n_both") + plan.prior * F.col("n_entity") / n) / (F.col("n_term") + plan.prior)
-    tied = tied.withColumn("tie", F.try_divide(F.log2(share * n / F.col("n_entity")), F.log2(n / F.col("n_entity"))))
+    tied = tied.withColumn("p", least_share(F.col("n_both"), F.col("n_term"), plan.doubt)).filter(F.col("p") >= plan.certain)
+    tied = tied.withColumn("tie", F.try_divide(F.log2(F.col("p") * n / F.col("n_entity")), F.log2(n / F.col("n_entity"))))
     tied = cut(tied.filter(F.col("tie") >= plan.generalise).select("documents", "term", "tie"))
     marked = near.join(tied, ["documents", "term"]).groupBy("rid", "term").agg(F.max("tie").alias("tie"), F.first("length").alias("length"), F.first("starts").alias("starts"))
     spans = marked.select("rid", "tie", "length", F.explode("starts").alias("start"))
@@ -212,7 +216,8 @@ def disclosing(docs: DataFrame, found: DataFrame, plan: Disclosure) -> DataFrame
 
 
 def sanitation(docs: DataFrame, plan: Disclosure = Disclosure()) -> DataFrame:
-    """One row per document: ``doc_id``, counts and ``base`` spans of the four kinds, and ``terms``, the method's spans.
+    """One row per document: ``doc_id``, counts and ``base`` spans of the four kinds, ``terms``, the method's spans, and ``kept_share``, the
+    share of the text's characters that none of them covers (1 for an empty text).
 
     ``base`` and ``spans`` list kind:start:end in code points, end exclusive; ``terms`` is an array of action, start and
     end by start. Null text counts as empty. Copies of a document count as documents. A frequent entity or
@@ -224,7 +229,11 @@ def sanitation(docs: DataFrame, plan: Disclosure = Disclosure()) -> DataFrame:
     marked = marked.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("action", "start", "end"))).alias("terms"))
     out = found.drop("entities", "terms").join(marked, "rid", "left")
     listed = F.concat(F.filter(F.split("base", ","), lambda x: x != ""), F.coalesce(F.transform("terms", lambda x: F.concat_ws(":", x["action"], x["start"], x["end"])), F.array().cast("array<string>")))
-    return out.select("rid", "doc_id", *[f"n_{k}" for k in KINDS], "base", "terms", F.sha2("base", 256).alias("base_sha256"), F.array_join(listed, ",").alias("spans"))
+    # The method's spans are words and overlap neither each other nor the base spans; base spans of different kinds may overlap.
+    covered = F.aggregate(F.filter(F.split("base", ","), lambda x: x != ""), F.lit(0).cast("long"), lambda a, x: a + F.split(x, ":")[2].cast("long") - F.split(x, ":")[1].cast("long"))
+    covered = covered + F.coalesce(F.aggregate("terms", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]), F.lit(0))
+    kept = F.greatest(F.lit(0.0), 1 - covered / F.greatest(F.col("n_chars"), F.lit(1)))
+    return out.select("rid", "doc_id", "text_key", *[f"n_{k}" for k in KINDS], "base", "terms", kept.alias("kept_share"), F.sha2("base", 256).alias("base_sha256"), F.array_join(listed, ",").alias("spans"))
 
 
 def replaced(text: str, spans: str) -> str:
@@ -240,13 +249,17 @@ def replaced(text: str, spans: str) -> str:
 
 
 def sanitise(docs: DataFrame, plan: Disclosure = Disclosure()) -> DataFrame:
-    """The documents with every column, their ``text`` sanitised; null text stays null. Ids must be distinct for this."""
-    spans = sanitation(docs, plan).filter("spans <> ''").select(F.col("doc_id").alias("__id"), "spans")
-    df = docs.join(spans, docs["doc_id"] == F.col("__id"), "left")
+    """The rows of ``docs`` with every column, their ``text`` sanitised; null text stays null.
+
+    Rows are matched by id (or none) and text, so ids may repeat; equal rows are sanitised alike and stay as many as they were.
+    """
+    spans = sanitation(docs, plan).filter("spans <> ''").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.first("spans").alias("__spans"))
     names = docs.columns
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("__doc"), docs["text"].alias("__text"), docs["doc_id"].cast("long").alias("__row_id"), F.xxhash64(docs["text"]).alias("__row_key"))
+    df = rows.join(spans, (F.col("__row_key") == F.col("__key")) & F.col("__row_id").eqNullSafe(F.col("__id")), "left")
 
     @F.pandas_udf("string")
     def put(text, listed):  # noqa: ANN001, ANN202
         return text.combine(listed, lambda t, s: t if t is None or not s else replaced(t, s))
 
-    return df.select(*[(put("text", "spans").alias(n) if n == "text" else F.col(n)) for n in names])
+    return df.select(*[(put("__text", "__spans") if n == "text" else F.col("__doc")[n]).alias(n) for n in names])
