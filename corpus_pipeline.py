@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm import line_dedup, mixing, ngram_join, packing, quality
 from siftwell.llm.common import ship, table
-from siftwell.session import checkpoint_root
+from siftwell.session import checkpoint_root, delete_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -39,8 +39,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bin of each piece; copies of a document go to different bins."""
-    return packing.pack(docs)
+    """The bin of each piece; copies of a document go to different bins, and bins follow the training order of the mix's files."""
+    return packing.pack(docs, along_files=bool(docs.inputFiles()))
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -59,6 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            delete_folder(f"{folder}/{i - 1}")  # its reader has written
     return docs
 
 
