@@ -7,13 +7,15 @@ the driver sees at most ``BINS`` sums per node and step.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import cut, forget, order_key, running
+from siftwell.llm.common import cut, forget, order_key, running, scratch
 
 BINS = 1024
-#: The tree lives on the driver; more shards than this are made by sharding the shards.
+#: Nodes that the driver holds at a time; the subtrees below as many nodes are grown one after the other.
 MOST_SHARDS = 4096
 COORDINATE_BITS, TIE_BITS = 16, 32
 #: A cut may miss its quantile by this share of a shard.
@@ -73,12 +75,13 @@ def quantiles(rows: DataFrame, dims: list[int], goals: list[float], slack: list[
     return found
 
 
-def grow(rows: DataFrame, dims: int, shards: int) -> DataFrame:
-    """``rows`` (keys, size) with ``shard``. The rows stay in their partitions at every level."""
-    nodes = [(0, shards)]  # first shard, number of shards
+def grow(rows: DataFrame, dims: int, shards: int, until: int = 1) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """``rows`` (keys, size; a written table that goes) with ``node``, and the nodes' first shards and numbers of shards, at most ``until`` each. The rows stay
+    in their partitions at every level."""
+    nodes = [(0, shards)]
     rows = rows.withColumn("node", F.lit(0))
-    while any(k > 1 for _, k in nodes):
-        wide = [k > 1 for _, k in nodes]
+    while any(k > until for _, k in nodes):
+        wide = [k > until for _, k in nodes]
         tops = [F.shiftright(F.col("keys")[d], TIE_BITS) for d in range(dims)]
         spread = [(F.max(t) - F.min(t)).alias(f"spread{d}") for d, t in enumerate(tops)]
         facts = {r["node"]: r for r in rows.filter(lies_in(wide)).groupBy("node").agg(F.sum("size").alias("size"), *spread).collect()}  # a row per node
@@ -91,13 +94,30 @@ def grow(rows: DataFrame, dims: int, shards: int) -> DataFrame:
         low, high, below = [], [], []
         for first, k in nodes:
             low.append(len(below))
-            high.append(len(below) + (k > 1))
-            below += [(first, k // 2), (first + k // 2, k - k // 2)] if k > 1 else [(first, k)]
+            high.append(len(below) + (k > until))
+            below += [(first, k // 2), (first + k // 2, k - k // 2)] if k > until else [(first, k)]
         # Kept per level: the rows are narrow, and an expression over all levels would outgrow compiled code.
         above, rows = rows, cut(rows.withColumn("node", F.when(own_key(widest) < at_node(cuts), at_node(low, "int")).otherwise(at_node(high, "int"))))
         nodes = below
         forget(above)
-    return rows.withColumn("shard", at_node([first for first, _ in nodes], "int"))
+    return rows, nodes
+
+
+def grown(rows: DataFrame, dims: int, shards: int) -> DataFrame:
+    """``rows`` with ``shard``. A tree with more than ``MOST_SHARDS`` leaves is grown down to nodes of several shards; then each of
+    those is a tree of its own, which reads and writes its own rows only."""
+    until = -(-shards // MOST_SHARDS)
+    rows, nodes = grow(rows, dims, shards, until)
+    if until == 1:
+        return rows.withColumn("shard", at_node([first for first, _ in nodes], "int"))
+    spark, folder = rows.sparkSession, f"{scratch(rows.sparkSession)}/trees-{uuid.uuid4().hex}"
+    rows.write.partitionBy("node").parquet(f"{folder}/in")
+    parts = spark.read.schema(rows.schema).parquet(f"{folder}/in")
+    for node in sorted(r["node"] for r in parts.select("node").distinct().collect()):  # MOST_SHARDS at most
+        first, k = nodes[node]
+        sub, below = grow(cut(parts.filter(F.col("node") == node).drop("node")), dims, k)
+        sub.withColumn("shard", at_node([first + f for f, _ in below], "int")).write.mode("append").parquet(f"{folder}/out")
+    return spark.read.schema(rows.withColumn("shard", F.lit(0)).schema).parquet(f"{folder}/out") if parts.head(1) else rows.withColumn("shard", F.lit(0))
 
 
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
@@ -116,14 +136,12 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     df = cut(df)
     facts = df.agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *[f(k).alias(f"{n}_{k}") for k in dims for n, f in (("min", F.min), ("max", F.max))]).first()
     shards = shards or max(1, -(-(facts["bytes"] or 0) // (target_bytes or 1 << 30)))
-    if shards > MOST_SHARDS:
-        raise ValueError(f"{shards} shards; shard into {MOST_SHARDS} at most, then each of those")
     keys = []
     for d, k in enumerate(dims):
         lo, width = facts[f"min_{k}"] or 0.0, (facts[f"max_{k}"] or 0.0) - (facts[f"min_{k}"] or 0.0)
         coordinate = F.floor((F.col(k) - lo) / (width or 1.0) * ((1 << COORDINATE_BITS) - 1)).cast("long")
         keys.append(F.shiftleft(coordinate, TIE_BITS) + F.col("tie"))
     rows = cut(df.select("doc_id", "size", "text_crc32", F.array(*keys).alias("keys")))
-    out = grow(rows, len(dims), shards).withColumn("__order", order_key(F.col("doc_id")))
+    out = grown(rows, len(dims), shards).withColumn("__order", order_key(F.col("doc_id")))
     out = running(out, ["shard"], "__order", ["doc_id", "size", "text_crc32"], F.lit(1), "slot", facts["rows"])
     return out.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))

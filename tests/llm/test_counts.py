@@ -231,6 +231,46 @@ def test_shards_are_near_equal_and_gapless(spark):
     assert sharding.shard(documents(spark, rows), target_bytes=100_000).select("shard").distinct().count() == -(-sum(load.values()) // 100_000)
 
 
+def test_more_shards_than_the_driver_holds_nodes(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, "x" * rng.choice([10, 50, 300]), rng.choice(["en", "fr"]), f"s{i % 5}") for i in range(700)]
+    monkeypatch.setattr(sharding, "MOST_SHARDS", 4)
+    got = sharding.shard(documents(spark, rows), 13).collect()
+    load, held = Counter(), defaultdict(list)
+    for r in got:
+        load[r["shard"]] += r.size
+        held[r["shard"]].append(r.slot)
+    assert len(got) == 700 and set(load) == set(range(13)) and all(sorted(s) == list(range(len(s))) for s in held.values())
+    assert max(load.values()) - min(load.values()) <= 3 * 316  # a document at each of the cuts above a shard
+    assert sharding.shard(documents(spark, []), 13).count() == 0
+
+
+def test_cuts_follow_the_widest_dimension_at_the_weighted_median(spark):
+    """Half of the bytes lie below the first cut along the dimension with the widest spread, as brute force finds it."""
+    rng = random.Random(7)
+    rows = [([rng.randrange(100) << 32, rng.randrange(60_000) << 32, rng.randrange(500) << 32], rng.randint(1, 50)) for _ in range(900)]
+    df = spark.createDataFrame(rows, "keys array<long>, size long")
+    out, nodes = sharding.grow(df, 3, 4)
+    got = [(r["keys"], r["size"], r["node"]) for r in out.collect()]
+    assert nodes == [(0, 1), (1, 1), (2, 1), (3, 1)]
+
+    def split(part, d):
+        total, seen = sum(s for _, s in part), 0
+        for key, size in sorted((k[d], s) for k, s in part):
+            if seen + size > total / 2:
+                return key, seen / total
+            seen += size
+        raise AssertionError
+
+    key, _ = split(rows, 1)
+    low = [(k, s) for k, s, n in got if n < 2]
+    assert max(k[1] for k, _ in low) < min(k[1] for k, _, n in got if n >= 2)
+    assert abs(sum(s for _, s in low) - sum(s for _, s in rows) / 2) <= 50 and abs(max(k[1] for k, _ in low) - key) >> 32 < 1000
+    for pair in ((0, 1), (2, 3)):  # still the widest within each half
+        a, b = ([k[1] for k, _, n in got if n == x] for x in pair)
+        assert max(a) < min(b)
+
+
 def test_shards_of_one_document_many_times(spark):
     got = sharding.shard(documents(spark, [(7, "abc", "en", "a")] * 30), 4).collect()
     assert len(got) == 30 and all(0 <= r["shard"] < 4 for r in got)
