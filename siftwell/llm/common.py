@@ -52,6 +52,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of whole texts that pass between Spark and Python at a time.
+TEXTS_AT_A_TIME = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of texts no larger than ``TEXTS_AT_A_TIME`` rows from now on: both sides of the exchange hold some of them at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXTS_AT_A_TIME:
+        spark.conf.set(name, TEXTS_AT_A_TIME)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` has written and nothing reads any more."""
     for df in tables:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm import hashing
 from siftwell.llm.bits import Bits, bits_of, fitting
-from siftwell.llm.common import cut, forget
+from siftwell.llm.common import cut, forget, small_batches
 from siftwell.llm.components import components
 
 POSTING = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i4"), ("late", "<i4")])
@@ -220,6 +220,7 @@ class SetJoin:
     def __init__(self, docs: DataFrame, items: Items, plan: Join) -> None:
         self.docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).filter("doc_id is not null and text is not null")
         self.items, self.plan, self.spark = items, plan, docs.sparkSession
+        small_batches(self.spark)
         #: Parts follow the splits of the input, whose size is bounded.
         self.parts = 4 * max(1, self.docs.rdd.getNumPartitions())
 
