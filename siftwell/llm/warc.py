@@ -115,27 +115,36 @@ def record(page_id: int | None, url: str | None, payload: bytes, first: int | No
 
 
 def page_of(urn: str) -> int | None:
-    number = urn.strip("<>").rpartition(":")[2]
-    return None if number == "none" else int(number)
+    """The page that a record id of ours stands for; other archives' ids stand for none."""
+    kind, _, number = urn.strip("<>").rpartition(":")
+    return int(number) if kind == "urn:x-page" and number.isdecimal() else None
 
 
 def parsed(data: bytes) -> dict:
-    """Type, ids, target, payload length and digest of one record; those of a response come from its payload itself."""
+    """Type, ids, target, payload length and digest of one record; those of records with a payload come from the payload itself.
+
+    A response's payload is the body of its HTTP message, that of other records (information, requests, metadata) their block. A revisit
+    has the length that its HTTP headers state, if any, and the digest that it was given.
+    """
     head, _, block = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    fields = dict(x.split(": ", 1) for x in lines[1:])
-    block = block[: int(fields["Content-Length"])]
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    block = block[: int(fields["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    kind = fields["WARC-Type"]
-    if kind == "response":
-        size, digest = len(payload), digest_of(payload)
-        if f"sha1:{digest}" != fields["WARC-Payload-Digest"]:
-            raise ValueError(f"payload of {fields['WARC-Record-ID']} differs from its digest")
+    kind, given = fields["warc-type"], fields.get("warc-payload-digest", "")
+    if kind == "revisit":
+        size = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+        digest = given.rpartition(":")[2] or None
     else:
-        size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-        digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    refers = fields.get("WARC-Refers-To")
-    return {"page_id": page_of(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": page_of(refers) if refers else None}
+        payload = payload if kind == "response" and block.startswith(b"HTTP/") else block
+        size, digest = len(payload), digest_of(payload)
+        if kind == "response" and given.lower().startswith("sha1:") and given[5:].upper() != digest:
+            raise ValueError(f"payload of {fields['warc-record-id']} differs from its digest")
+    own, refers = fields["warc-record-id"], fields.get("warc-refers-to")
+    return {
+        "page_id": page_of(own), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "record_type": kind,
+        "refers_to": page_of(refers) if refers else None, "record_id": own, "refers_id": refers,
+    }
 
 
 class Archive:
@@ -201,48 +210,88 @@ def write_archives(pages: DataFrame, folder: str, target_bytes: int = 1 << 28, m
     return cut(marked.mapInArrow(run, "path string, records long"))
 
 
-READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-READ_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_id string"
+READ_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("refers_id", pa.string())])
 
 
 def lines_of(file: BinaryIO, member: Member, step: int = 1 << 20) -> Iterator[bytes]:
-    """The lines of a stored member, read in steps."""
+    """The lines of a stored member, read in steps; one that is itself compressed (gzip) is unpacked on the way."""
     at, rest, end = member.start, b"", member.start + member.size
+    unpack = zlib.decompressobj(31) if member.name.endswith(".gz") else None
     while at < end:
         file.seek(at)
         data = file.read(min(step, end - at))
         at += len(data)
+        if unpack is not None:
+            packed, data = data, b""
+            while packed:
+                data += unpack.decompress(packed)
+                packed = unpack.unused_data
+                if unpack.eof:  # members of a gzip file follow each other
+                    unpack = zlib.decompressobj(31)
         *full, rest = (rest + data).split(b"\n")
         yield from full
     if rest:
         yield rest
 
 
+def places(file: BinaryIO, found: list[Member]) -> dict[str, list[tuple[int, int]]]:
+    """Offset and length of the indexed records of each WARC file (by its base name), in order.
+
+    Lines are JSON or ``urlkey timestamp JSON``, whose numbers may be strings; those of other forms (headers) are passed by.
+    """
+    out: dict[str, set[tuple[int, int]]] = {}
+    for member in found:
+        if member.name.startswith("indexes/") and member.name.removesuffix(".gz").rpartition(".")[2] in ("cdxj", "cdx"):
+            if not member.stored:
+                raise ValueError(f"{member.name} must be stored")
+            for line in lines_of(file, member):
+                at = line.find(b"{")
+                if at < 0 or line.startswith(b"!"):
+                    continue
+                entry = json.loads(line[at:])
+                if "offset" in entry and "length" in entry:
+                    out.setdefault(os.path.basename(entry["filename"]), set()).add((int(entry["offset"]), int(entry["length"])))
+    return {name: sorted(at) for name, at in out.items()}
+
+
+def byte_ranges(at: list[tuple[int, int]], range_bytes: int) -> Iterator[tuple[int, list[int]]]:
+    """Runs of records that lie side by side, as a start and their lengths, of about so many bytes."""
+    start, end, sizes = 0, 0, []
+    for offset, length in at:
+        if sizes and (offset != end or offset + length - start > range_bytes):
+            yield start, sizes
+            sizes = []
+        if not sizes:
+            start = offset
+        sizes.append(length)
+        end = offset + length
+    if sizes:
+        yield start, sizes
+
+
 def read_archives(manifest: DataFrame, folder: str, range_bytes: int = 1 << 22) -> DataFrame:
-    """Every record of the archives in ``manifest`` (path): first the indexes give byte ranges of about ``range_bytes``, then
-    the ranges are spread over the tasks, each read in one go and cut into its records."""
+    """Every indexed record of the archives in ``manifest`` (path): first the indexes give byte ranges of about ``range_bytes``, then
+    the ranges are spread over the tasks, each read in one go and cut into its records.
+
+    Archives may hold any number of stored WARC files, packed record by record or not at all, and of indexes, which may be packed. ``page_id``
+    and ``refers_to`` are null for records that ``write_archives`` didn't write; ``record_id`` and ``refers_id`` are as they stand.
+    """
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with fs.open_input_file(path) as file:
-                    found = {m.name: m for m in members(file)}
-                    data, index = found[DATA], found[INDEX]
-                    if not (data.stored and index.stored):
-                        raise ValueError(f"{path}: members must be stored")
-                    start, sizes = 0, []
+                    found = members(file)
+                    warcs = {os.path.basename(m.name): m for m in found if m.name.startswith("archive/")}
                     ranges: list[tuple[str, int, list[int]]] = []
-                    for line in lines_of(file, index):
-                        entry = json.loads(line)
-                        if sizes and entry["offset"] + entry["length"] - start > range_bytes:
-                            ranges.append((path, data.start + start, sizes))
-                            start, sizes = entry["offset"], []
-                        if not sizes:
-                            start = entry["offset"]
-                        sizes.append(entry["length"])
-                    if sizes:
-                        ranges.append((path, data.start + start, sizes))
+                    for name, at in places(file, found).items():
+                        if name not in warcs:
+                            raise ValueError(f"{path}: no {name}, which the index names")
+                        if not warcs[name].stored:
+                            raise ValueError(f"{path}: {name} must be stored")
+                        ranges += [(path, warcs[name].start + start, sizes) for start, sizes in byte_ranges(at, range_bytes)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in ranges], pa.string()), pa.array([r[1] for r in ranges], pa.int64()), pa.array([r[2] for r in ranges], pa.list_(pa.int64()))], names=["path", "start", "sizes"]
                 )
@@ -255,7 +304,8 @@ def read_archives(manifest: DataFrame, folder: str, range_bytes: int = 1 << 22)
                     file.seek(start)
                     data, at, rows = file.read(sum(sizes)), 0, []
                 for size in sizes:
-                    rows.append(parsed(zlib.decompress(data[at : at + size], 31)))
+                    piece = data[at : at + size]
+                    rows.append(parsed(zlib.decompress(piece, 31) if piece[:2] == b"\x1f\x8b" else piece))
                     at += size
                 yield pa.RecordBatch.from_pylist(rows, schema=READ_ARROW)
 

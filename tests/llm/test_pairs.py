@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
+import json
 import random
 import re
 import struct
@@ -285,6 +287,37 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
+def test_foreign_archives_are_read(spark, tmp_path):
+    """Two WARC files, one of them unpacked, a packed index and a plain one in URL order, with strings for numbers and a header line."""
+    def warc_record(kind, name, body, extra=""):
+        head = f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Target-URI: http://h/{name}\r\n{extra}Content-Length: {len(body)}\r\n\r\n"
+        return head.encode() + body + b"\r\n\r\n"
+
+    page = lambda text: b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + text
+    digest = base64.b32encode(hashlib.sha1(b"two").digest()).decode()
+    records = {
+        "a.warc.gz": [warc_record("warcinfo", "i", b"software: x"), warc_record("response", "1", page(b"one")), warc_record("response", "2", page(b"two"), f"WARC-Payload-Digest: sha1:{digest}\r\n")],
+        "b.warc": [warc_record("revisit", "3", b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\n", f"WARC-Payload-Digest: sha1:{digest}\r\nWARC-Refers-To: <urn:uuid:2>\r\n"), warc_record("request", "4", b"GET / HTTP/1.1\r\n\r\n")],
+    }
+    lines = {name: [] for name in records}
+    with zipfile.ZipFile(tmp_path / "x.wacz", "w", zipfile.ZIP_STORED) as z:
+        for name, own in records.items():
+            at, out = 0, b""
+            for i, raw in enumerate(own):
+                piece = gzip.compress(raw) if name.endswith(".gz") else raw
+                lines[name].append(f'com,h)/{9 - i} 20240101000000 {json.dumps({"url": "u", "offset": str(at), "length": str(len(piece)), "filename": name})}')
+                at, out = at + len(piece), out + piece
+            z.writestr(f"archive/{name}", out)
+        z.writestr("datapackage.json", "{}")
+        z.writestr("indexes/one.cdxj.gz", gzip.compress("\n".join(["!meta {}", *sorted(lines["a.warc.gz"])]).encode()))
+        z.writestr("indexes/two.cdxj", "\n".join(sorted(lines["b.warc"])) + "\n")
+    manifest = spark.createDataFrame([(str(tmp_path / "x.wacz"),)], "path string")
+    for size in (1, 1 << 22):
+        got = sorted((r.record_id, r.record_type, r.payload_bytes, r.payload_digest if r.record_type == "revisit" else None, r.refers_id, r.page_id) for r in warc.read_archives(manifest, f"file://{tmp_path}", size).collect())
+        name = lambda x: f"<urn:uuid:{x}>"
+        assert got == [(name("1"), "response", 3, None, None, None), (name("2"), "response", 3, None, None, None), (name("3"), "revisit", 3, digest, name("2"), None), (name("4"), "request", 18, None, None, None), (name("i"), "warcinfo", 11, None, None, None)]
+
+
 def test_members_of_foreign_zip_files():
     for comment, wide in ((b"", False), (b"PK\x05\x06 no end" * 3, False), (b"c", True)):
         out = io.BytesIO(b"")
