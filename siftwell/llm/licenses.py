@@ -15,6 +15,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from siftwell.llm.license_rules import WRITTEN
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -111,8 +113,8 @@ PLAIN = [
 
 
 def build_rules() -> list[Rule]:
-    """Every form of every version of every family, the plain rules, and names without a version."""
-    rules = [Rule(label, priority, (keyword,), pattern, sure) for label, keyword, pattern, priority, sure in PLAIN]
+    """The rules written by hand (PLAIN and WRITTEN), every form of every version of every family, and names without a version."""
+    rules = [Rule(label, priority, (keyword,), pattern, sure) for label, keyword, pattern, priority, sure in [*PLAIN, *WRITTEN]]
     for family, keywords, name, versions in VERSIONED:
         for version in versions:
             major, minor = version.split(".")

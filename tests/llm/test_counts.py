@@ -323,6 +323,55 @@ def test_license_gate_loses_nothing_and_suppression_is_by_containment():
             assert not [k for k in kept if k != x and k[0] <= x[0] and k[1] >= x[1] and k[2] <= x[2]]
 
 
+def matching(tree, rng):
+    """A text that a pattern matches, drawn at random."""
+    out = ""
+    for kind, value in tree:
+        kind = str(kind)
+        if kind == "LITERAL":
+            out += chr(value)
+        elif kind == "NOT_LITERAL":
+            out += "w"
+        elif kind == "IN":
+            first = value[0]
+            out += "w" if str(first[0]) == "NEGATE" else rng.choice([chr(rng.randint(*v)) if str(k) == "RANGE" else chr(v) for k, v in value])
+        elif kind == "BRANCH":
+            out += matching(rng.choice(value[1]), rng)
+        elif kind == "SUBPATTERN":
+            out += matching(value[3], rng)
+        elif kind == "MAX_REPEAT":
+            low, high, part = value
+            out += "".join(matching(part, rng) for _ in range(rng.randint(low, min(high, low + 3))))
+        else:
+            raise AssertionError(kind)
+    return out
+
+
+def test_every_rule_is_reached_through_its_keywords():
+    rng = random.Random(14)
+    rules = licenses.build_rules()
+    assert len(licenses.PLAIN) + len(licenses.WRITTEN) >= 240
+    for rule in rules:
+        tree, pattern = re._parser.parse(rule.pattern), licenses.whole_words(rule.pattern)
+        for _ in range(12):
+            text = matching(tree, rng)
+            assert pattern.search(text.encode()) and any(k in text for k in rule.keywords), (rule, text)
+
+
+def test_license_texts_are_known_by_their_clauses(spark):
+    texts = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software ... subject to the following conditions",
+        "bsd-4-clause": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+        "gpl-2.0-or-later": "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "unlicense": "This is free and unencumbered software released into the public domain.",
+        "zlib": "The origin of this software must not be misrepresented; Altered source versions must be plainly marked as such",
+        "sspl-1.0": "Licensed under the Server Side Public License, v 1",
+    }
+    got = [r.labels for r in licenses.scan_licenses(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts.values())])).orderBy("doc_id").collect()]
+    assert all(label in found.split(",") for label, found in zip(texts, got, strict=True)), got
+
+
 def luhn_card(rng, n=16):
     digits = [rng.randint(0, 9) for _ in range(n - 1)]
     return next(s for d in range(10) if privacy.luhn(s := "".join(map(str, digits)) + str(d)))
