@@ -6,6 +6,7 @@ map side.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,6 +68,30 @@ def histogram_quantile(
     return hit.select(*keys, "quantile", F.when(F.col("__b") == len(edges), F.lit(edges[-1])).otherwise(inside).alias("value"))
 
 
+def value_sketches(df: DataFrame, value: str, by: Sequence[str] = (), seconds: int = 300, error: float = 0.01) -> DataFrame:
+    """Per tumbling window counts of values in bins whose bounds grow by a constant factor: ``window_start``, keys, ``bin, n``.
+
+    Sketches of any windows merge by adding counts, and quantiles read from them miss the true ones by at most ``error`` of their value.
+    Values up to 0 share a bin (null), of value 0; null values are left out. A window's rows are bounded by the range of its values.
+    """
+    bin_ = F.when(F.col(value) > 0, F.ceil(F.log(F.col(value).cast("double")) / F.lit(math.log((1 + error) / (1 - error)))).cast("int"))
+    return df.filter(F.col(value).isNotNull()).groupBy(window_start(seconds), *by, bin_.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def sketch_quantiles(sketches: DataFrame, probs: Sequence[float], by: Sequence[str] = (), span: int = 86400, error: float = 0.01) -> DataFrame:
+    """Nearest-rank quantiles of spans of ``span`` seconds from the sketches of the windows in them: ``span_start``, keys, ``p, n, value``."""
+    keys = ["span_start", *by]
+    start = (F.floor(F.col("window_start") / span) * span).cast("long").alias("span_start")
+    merged = sketches.groupBy(start, *by, "bin").agg(F.sum("n").alias("c"))
+    upto = Window.partitionBy(*keys).orderBy(F.col("bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    cum = merged.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
+    at = cum.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    need = F.bround(F.col("p") * (F.col("n") - 1)).cast("long") + 1
+    hit = at.filter((F.col("upto") >= need) & (F.col("upto") - F.col("c") < need))
+    growth = (1 + error) / (1 - error)
+    return hit.select(*keys, "p", "n", F.coalesce(2 * F.pow(F.lit(growth), F.col("bin")) / (growth + 1), F.lit(0.0)).alias("value"))
+
+
 def ratio(df: DataFrame, part: Column, whole: Column | None = None, by: Sequence[str] = (), seconds: int = 300) -> DataFrame:
     """Share of events matching ``part`` among those matching ``whole`` per window; an empty whole gives 0."""
     rows = df if whole is None else df.filter(whole)

@@ -382,6 +382,19 @@ def t3_exact(spark, sf_dir):
     return od.rank_percentiles(vw.request_log(spark, sf_dir), ["provider"], "latency_s", [0.5, 0.9, 0.99])
 
 
+@query("t3_merged_sketches", LOG + """, o AS (SELECT provider, span_start, latency_s, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY provider, span_start) AS n
+     FROM (SELECT provider, latency_s, epoch_us(ts) // 86400000000 * 86400 AS span_start FROM log) WINDOW w AS (PARTITION BY provider, span_start ORDER BY latency_s))
+   SELECT provider, span_start, p, n, max(latency_s) FILTER (i = round_even(p * (n - 1), 0)) AS pctl, true AS within FROM o, (SELECT unnest([CAST(0.5 AS DOUBLE), CAST(0.95 AS DOUBLE), CAST(0.99 AS DOUBLE)]) AS p) GROUP BY provider, span_start, p, n""")
+def t3_sketches(spark, sf_dir):
+    """Five-minute sketches merged to days, held against the exact percentiles: within one hundredth everywhere."""
+    log, probs = vw.request_log(spark, sf_dir), [0.5, 0.95, 0.99]
+    merged = tm.sketch_quantiles(tm.value_sketches(log, "latency_s", ["provider"]), probs, ["provider"])
+    day = (od.time_bucket("ts", 86400) * 86400).cast("long").alias("span_start")
+    exact = od.rank_percentiles(log.select("provider", day, "latency_s"), ["provider", "span_start"], "latency_s", probs)
+    near = F.abs(F.col("value") - F.col("pctl")) <= F.col("pctl") * 0.0100001
+    return exact.join(merged, ["provider", "span_start", "p", "n"], "left").select("provider", "span_start", "p", "n", "pctl", F.coalesce(near, F.lit(False)).alias("within"))
+
+
 @query("t4_error_share", LOG + f" SELECT {_win(3600)} AS window_start, round(count(*) FILTER (status >= 500) / count(*), 6) AS ratio, count(*) AS n FROM log GROUP BY ALL")
 def t4(spark, sf_dir):
     return tm.ratio(vw.request_log(spark, sf_dir), F.col("status") >= 500, seconds=3600).withColumn("ratio", F.round("ratio", 6))

@@ -359,3 +359,17 @@ def test_alerts_histograms_and_freshness(spark):
     known = spark.createDataFrame([("a",), ("b",), ("c",)], "source string")
     lags = {r["source"]: r["lag_seconds"] for r in us.source_freshness(seen, F.timestamp_seconds(F.lit(160)), known).collect()}
     assert lags == {"a": 60, "b": 0, "c": 0}
+
+
+def test_merged_sketches_stay_within_their_error(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(0, 7200), rng.choice(["a", "b"]), rng.choice([0.0, rng.lognormvariate(0, 3), None])) for _ in range(800)]
+    df = spark.createDataFrame(rows, "s long, k string, x double").withColumn("ts", F.timestamp_seconds("s"))
+    sketches = tm.value_sketches(df, "x", ["k"], 300, 0.02)
+    assert sketches.agg(F.countDistinct("window_start")).first()[0] > 20
+    got = {(r["span_start"], r["k"], r["p"]): (r["n"], r["value"]) for r in tm.sketch_quantiles(sketches, [0.0, 0.5, 0.9, 1.0], ["k"], 3600, 0.02).collect()}
+    for (start, k, p), (n, value) in got.items():
+        own = sorted(x for s, kk, x in rows if kk == k and s // 3600 * 3600 == start and x is not None)
+        exact = own[round(p * (len(own) - 1))]
+        assert n == len(own) and abs(value - exact) <= 0.0200001 * exact
+    assert len(got) == 16
