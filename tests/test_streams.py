@@ -158,7 +158,8 @@ def test_starts_without_an_end_are_given_out(spark, tmp_path):
     starts = [(1, 0), (2, 10), (3, 20), (4, 90000)]
     ends = [(1, 30), (3, 20 + 7200), (9, 90000)]  # the third comes too late
     for name, rows in (("a", starts), ("b", ends)):
-        spark.createDataFrame(rows, "request_id long, s long").select("request_id", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(str(tmp_path / name))
+        # Not at the epoch, where every stream's first watermark stands.
+        spark.createDataFrame(rows, "request_id long, s long").select("request_id", F.timestamp_seconds(F.col("s") + 1_000_000).alias("ts")).coalesce(1).write.parquet(str(tmp_path / name))
     a, b = (read_events(spark, str(tmp_path / n)) for n in "ab")
     si.run_to_end(sw.to_table(sw.stream_durations(a, b, "1 hour"), str(tmp_path / "out"), str(tmp_path / "ck")), 300)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(1, 30000), (2, None), (3, None)]
