@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.functions.frames import empty, plain
+from siftwell.functions.frames import empty
 from siftwell.operators import knn as nn
 from siftwell.session import materialize
 
@@ -54,8 +54,12 @@ def nearest_cells(df: DataFrame, centres: np.ndarray, n: int, vec: str = "embedd
     @F.pandas_udf("array<int>")
     def pick(values: pd.Series) -> pd.Series:
         m = nn._unit(nn._matrix(values, centres.shape[1]))
-        d = np.round(norms - 2 * m @ centres.T, 9)
-        return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :n].astype(np.int32)))
+        found: list[np.ndarray] = []
+        step = max(1, nn.STRIP // len(centres))
+        for lo in range(0, len(m), step):
+            d = np.round(norms - 2 * m[lo : lo + step] @ centres.T, 9)
+            found += list(np.argsort(d, axis=1, kind="stable")[:, :n].astype(np.int32))
+        return pd.Series(found)
 
     return df.withColumn("cells", pick(F.col(vec)))
 
@@ -155,41 +159,94 @@ def search_cells(
 ) -> DataFrame:
     """Top ``k`` by cosine per query (``qid, embedding``) among the vectors of its ``probes`` nearest cells.
 
-    Queries go to the tasks in blocks of bounded size; each block reads the folders of the cells that its own queries probe.
+    A query set of bounded size (with its lists of cells) goes to the tasks, which read the folders of the cells that it probes. A larger one is cut
+    into blocks, and the cells into runs of bounded size: a block meets a run in one task, with each query's cells of that run only.
     """
     spark = queries.sparkSession
     spec = nn.Spec(qid, vid, k, "cosine", (), exclude_self)
     table = index.vectors(spark)
     schema = nn._out_schema(queries, table, spec, payload)
-    dim = index.centres.shape[1]
-    asked = nearest_cells(queries.filter(F.size("embedding") == dim), index.centres, probes or index.probes)
+    dim, n_probes = index.centres.shape[1], min(probes or index.probes, len(index.centres))
+    asked = nearest_cells(queries.filter(F.size("embedding") == dim), index.centres, n_probes)
     asked = materialize(asked.select(F.col(qid).alias("__qid"), F.col("embedding").alias("__qv"), "cells"), "probes")
-    per_block = max(1, max_shipped_bytes // (8 * dim + 64))
-    blocks = max(1, -(-asked.count() // per_block))
-    found: DataFrame | None = None
-    for block in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("__qid"), F.lit(blocks)) == block).toPandas()
-        scored = _search_block(part, table, spec, schema, vec, payload)
-        found = scored if found is None else found.unionByName(scored)
-    return nn._ranked(found, spec, found._jdf.queryExecution().toRdd().getNumPartitions())
+    n = asked.count()
+    if n * (8 * dim + 64 + 8 * n_probes + nn.HIT_BYTES * k) <= max_shipped_bytes:
+        found = _search_block(asked.toPandas(), table, spec, schema, vec, payload)
+        return nn._ranked(found, spec, found._jdf.queryExecution().toRdd().getNumPartitions())
+    return _search_grid(asked, n, _scored_columns(table, spec, vec, payload), spec, schema, payload)
+
+
+def _scored_columns(table: DataFrame, spec: nn.Spec, vec: str, payload: Sequence[str]) -> DataFrame:
+    return table.select("cell", F.col(spec.vid).alias("__vid"), F.col(vec).alias("__vv"), *payload)
+
+
+def _rows_by_cell(cells: pd.Series) -> dict[int, np.ndarray]:
+    """Which query rows probe a cell."""
+    flat = np.concatenate([np.zeros(0, np.int32), *cells]).astype(np.int64)
+    rows = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+    order = np.argsort(flat, kind="stable")
+    names, starts = np.unique(flat[order], return_index=True)
+    return dict(zip(names.tolist(), np.split(rows[order], starts[1:]), strict=True)) if len(names) else {}
+
+
+def _meet_cells(best: nn._Best, by_cell: dict[int, np.ndarray], frame: pd.DataFrame) -> None:
+    for cell, part in frame.groupby("cell"):
+        if int(cell) in by_cell:
+            best.meet(part, by_cell[int(cell)])
 
 
 def _search_block(asked: pd.DataFrame, table: DataFrame, spec: nn.Spec, schema, vec: str, payload: Sequence[str]) -> DataFrame:  # noqa: ANN001
     probed = sorted({int(c) for cells in asked["cells"] for c in cells})
-    rows = table.filter(F.col("cell").isin(*probed) if probed else F.lit(False))
-    rows = rows.select("cell", F.col(spec.vid).alias("__vid"), F.col(vec).alias("__vv"), *payload)
+    rows = _scored_columns(table.filter(F.col("cell").isin(*probed) if probed else F.lit(False)), spec, vec, payload)
     shared = table.sparkSession.sparkContext.broadcast(asked)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         queries = shared.value
-        by_cell = queries[["__qid", "__qv"]].join(queries["cells"].explode().rename("cell"), how="right").groupby("cell")
-        by_cell = {int(c): nn._by_size(part.drop(columns="cell"), spec) for c, part in by_cell}
-        best: pd.DataFrame | None = None
+        by_cell = _rows_by_cell(queries["cells"])
+        best = nn._all_best(queries, spec, payload)  # all of one length: one or none
         for frame in frames:
-            parts = [nn._emit_all(by_cell[int(c)], part, spec, payload) for c, part in frame.groupby("cell")]
-            found = pd.concat([x for x in [best, *parts] if x is not None and len(x)] or [empty(schema.names)], ignore_index=True)
-            best = found.sort_values([spec.qid, "score", spec.vid], ascending=[True, False, True]).groupby(spec.qid, sort=False).head(spec.k)
-        if best is not None and len(best):
-            yield plain(best)
+            for part in best:
+                _meet_cells(part, by_cell, frame)
+        for part in best:
+            yield from part.frames()
 
     return rows.mapInPandas(run, schema)
+
+
+def runs_of_cells(counts: list[tuple[int, int]], height: int) -> list[tuple[int, int, int]]:
+    """Cells in runs of neighbours with about ``height`` rows: (first cell, last cell, parts that the run's rows are dealt to, for a cell may be larger)."""
+    out: list[tuple[int, int, int]] = []
+    first, held = None, 0
+    for i, (cell, n) in enumerate(counts):
+        first, held = cell if first is None else first, held + n
+        if i + 1 == len(counts) or held + counts[i + 1][1] > height:
+            out.append((first, cell, -(-held // height)))
+            first, held = None, 0
+    return out
+
+
+def _search_grid(asked: DataFrame, n: int, rows: DataFrame, spec: nn.Spec, schema, payload: Sequence[str]) -> DataFrame:  # noqa: ANN001
+    counts = sorted((r["cell"], r["n"]) for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect())  # a row for each cell
+    height = nn.block_rows(n, sum(c for _, c in counts), rows.sparkSession.sparkContext.defaultParallelism)
+    runs = runs_of_cells(counts, height)
+    wide = max(1, -(-n // nn.CELL_QUERIES))
+    table = F.array(*[F.struct(F.lit(i).alias("run"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(parts).alias("parts")) for i, (lo, hi, parts) in enumerate(runs)])
+    # A query goes to the runs that hold some of its cells, with those.
+    mine = F.transform(table, lambda r: F.struct(r["run"].alias("run"), F.filter("cells", lambda c: (c >= r["lo"]) & (c <= r["hi"])).alias("mine"), r["parts"].alias("parts")))
+    left = asked.withColumn("qb", F.pmod(F.xxhash64("__qid"), F.lit(wide)).cast("int")).select("__qid", "__qv", "qb", F.inline(F.filter(mine, lambda r: F.size(r["mine"]) > 0)))
+    left = left.withColumnRenamed("mine", "cells").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    at = F.filter(table, lambda r: (F.col("cell") >= r["lo"]) & (F.col("cell") <= r["hi"]))[0]
+    right = rows.withColumn("at", at).withColumn("run", F.col("at.run")).withColumn("part", F.pmod(F.xxhash64("__vid"), F.col("at.parts")).cast("int")).drop("at")
+    right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return empty(schema.names)
+        best = nn._all_best(a, spec, payload)
+        for part in best:
+            _meet_cells(part, _rows_by_cell(a["cells"]), b)
+        return nn._together(best, schema.names)
+
+    keys = ["qb", "run", "part"]
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    return nn._ranked(scored, spec, len(runs))

@@ -9,6 +9,7 @@ import sys
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -117,6 +118,41 @@ def test_cell_search_recall_grows_with_probes(spark, tmp_path):
     assert recalls[0] > 0.5 and recalls == sorted(recalls) and recalls[-1] == 1.0
 
 
+def test_a_query_keeps_its_best_k_only(spark):
+    """What a task holds is k rows for each query, however many vectors it meets and however many cells a query probes."""
+    queries = pd.DataFrame({"__qid": range(50), "__qv": [np.asarray(x[2]) for x in vectors(50, 8, 1)]})
+    rows = vectors(9000, 8, 2)
+    frame = pd.DataFrame({"__vid": [f"v{x[0]:05}" for x in rows], "__vv": [np.asarray(x[2]) for x in rows], "page": range(9000)})
+    (best,) = nn._all_best(queries, nn.Spec("qid", "vec_id", 5, "cosine", (), False), ["page"])
+    for lo in range(0, 9000, 300):
+        best.meet(frame.iloc[lo : lo + 300], np.arange(50) if lo % 600 else None)
+        best.merge()
+        assert len(best.rows) == 250 and not best.new
+    got = nn._together([best], ["qid", "vec_id", "score", "page"])
+    assert [int(v[1:]) for v in got["vec_id"]] == got["page"].tolist()
+    found = {q: list(zip(part["page"], part["score"])) for q, part in got.groupby("qid")}
+    for q, hits in brute([(i, None, v) for i, v in zip(queries["__qid"], queries["__qv"])], rows, 5).items():
+        assert [v for v, _ in found[q]] == [v for v, _ in hits]
+
+
+def test_large_query_sets_meet_runs_of_cells(spark, tmp_path, monkeypatch):
+    """Beyond the shipped size no task gets all queries with all their cells; a cell larger than a block is dealt to several tasks."""
+    monkeypatch.setattr(nn, "CELL_QUERIES", 70)
+    monkeypatch.setattr(nn, "CELL_VECTORS", 40)
+    v = spark.createDataFrame(clustered(300, 7) + [(1000 + i, "t", [1.0] * 8) for i in range(90)], SCHEMA_V)
+    q = v.withColumnRenamed("vec_id", "qid").drop("tenant")
+    index = cl.build_cells(v, str(tmp_path / "cells"), cells=6)
+    sizes = sorted((r["cell"], r["n"]) for r in index.vectors(spark).groupBy("cell").agg(F.count("*").alias("n")).collect())
+    runs = cl.runs_of_cells(sizes, 40)
+    assert [c for lo, hi, _ in runs for c, _ in sizes if lo <= c <= hi] == [c for c, _ in sizes]
+    assert max(parts for _, _, parts in runs) > 1 and all(-(-sum(n for c, n in sizes if lo <= c <= hi) // parts) <= 40 for lo, hi, parts in runs)
+    for probes in (2, len(index.centres)):
+        whole, cut = (cl.search_cells(q, index, 5, probes, exclude_self=True, payload=["tenant"], max_shipped_bytes=size) for size in (1 << 26, 1 << 12))
+        assert "FlatMapCoGroupsInPandas" in cut._jdf.queryExecution().toString() and "FlatMapCoGroupsInPandas" not in whole._jdf.queryExecution().toString()
+        assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
+    assert collected(cut) == collected(nn.knn(q, v, 5, exclude_self=True))
+
+
 def test_cell_search_reads_probed_folders_only(spark, tmp_path):
     rows = clustered(400, 9)
     index = cl.build_cells(spark.createDataFrame(rows, SCHEMA_V), str(tmp_path / "cells"))
