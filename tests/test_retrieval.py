@@ -259,6 +259,33 @@ def test_blocks_that_cannot_win_are_passed_by(spark, tmp_path):
     assert sum(r["b"] + 1e-6 >= least for r in bounds) < 60 < len(bounds)
 
 
+@pytest.mark.parametrize("share", [0.0, 2.0])
+def test_postings_move_once_whatever_stays_open(spark, tmp_path, monkeypatch, share):
+    """All blocks scored in place, or the open ones only: the same hits. Building moves texts, not postings, and scores of chunks never leave their task."""
+    monkeypatch.setattr(corpus, "MOSTLY_OPEN", share)
+    monkeypatch.setattr(corpus, "TASK_CHUNKS", 16)
+    monkeypatch.setattr(corpus, "TASK_SUMS", 500)
+    body = texts(90, 5)
+    index = corpus.build_postings(spark.createDataFrame(list(enumerate(body)), "chunk_id long, text string"), str(tmp_path / "ix"), block_rows=4, buckets=3)
+    rows = index.read(spark, "postings")
+    at = rows.withColumn("f", F.input_file_name()).groupBy("block").agg(F.countDistinct("f").alias("n"))
+    assert {r["n"] for r in at.collect()} == {1} and rows.select(F.input_file_name()).distinct().count() > 2
+    assert index.read(spark, "blocks").exceptAll(rows.groupBy("term", "block", "bucket").agg(F.max("impact").alias("best")).select("term", "block", "best", "bucket")).count() == 0
+    assert rows.select("term", "block").distinct().count() == index.read(spark, "blocks").count()
+    got = corpus.search_postings(spark.createDataFrame([(1, "the w1 w2"), (2, "w5 w5 w9")], "qid long, query string"), index, 6, buckets=3)
+    moved = re.findall(r"hashpartitioning\(([^)]*)\)", got._jdf.queryExecution().executedPlan().toString())
+    assert any("chunk" in m for m in moved) == (share > 1)
+    for qid, query in ((1, "the w1 w2"), (2, "w5 w5 w9")):
+        scores = sorted(((-round(x, 6), i) for i, x in enumerate(okapi(query, body)) if round(x, 6)))[:6]
+        assert [r["chunk_id"] for r in got.filter(F.col("qid") == qid).orderBy("rank").collect()] == [i for _, i in scores]
+
+
+def test_term_counts_are_those_of_the_tokens(spark):
+    rows = spark.createDataFrame([(1, 0, ["a", "b", "a", "c", "a"]), (2, 0, []), (3, 1, ["x"])], "chunk long, block long, toks array<string>")
+    got = corpus.term_counts(rows.select("chunk", "block", F.array_sort("toks").alias("toks"))).collect()
+    assert sorted((r["chunk"], r["block"], r["dl"], r["term"], r["tf"]) for r in got) == [(1, 0, 5, "a", 3), (1, 0, 5, "b", 1), (1, 0, 5, "c", 1), (3, 1, 1, "x", 1)]
+
+
 def test_twenty_thousand_queries_need_no_matrix(spark):
     body = texts(300, 4)
     queries = spark.range(20_000).select(F.col("id").alias("qid"), F.concat_ws(" ", F.concat(F.lit("w"), (F.col("id") % 30).cast("string")), F.concat(F.lit("w"), (F.col("id") % 7).cast("string"))).alias("query"))
