@@ -6,6 +6,7 @@ import datetime as dt
 import hashlib
 import random
 
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
@@ -259,3 +260,25 @@ def test_streamed_ranges_take_each_file_once(spark, tmp_path):
         assert query.awaitTermination(120)
         rows = spark.read.parquet(str(tmp_path / "out")).collect()
         assert len(rows) == 3 * len({r["path"] for r in rows}) == 3 * (2 if batch == 0 else 3)
+
+
+def test_python_sees_few_texts_at_a_time(spark):
+    """A worker's memory must not follow its split: batches of texts and the table of known tokens are bounded."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    df = spark.createDataFrame([(i, f"word{i} text") for i in range(1300)], "doc_id long, text string").coalesce(1)
+    try:
+        for make in (em.embed, lambda d: em.embed_safely(d, em.HashedCounts(4)), ig.chunk_recursive):
+            spark.conf.set(name, 10_000)
+            assert make(df).count() == 1300
+            sizes = [r["n"] for r in df.mapInPandas(lambda frames: (f.assign(n=len(f))[["n"]].head(1) for f in frames), "n long").collect()]
+            assert max(sizes) <= 500 and sum(sizes) == 1300
+        spark.conf.set(name, 7)
+        em.embed(df)
+        assert spark.conf.get(name) == "7"
+    finally:
+        spark.conf.set(name, before)
+    model = em.HashedCounts()
+    for lo in range(0, 200_000, 20_000):
+        model(pd.Series([" ".join(f"w{i}" for i in range(lo, lo + 20_000))]))
+    assert len(model.known) <= 70_000
