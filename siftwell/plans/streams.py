@@ -34,7 +34,7 @@ def ingested(spark, sf_dir):
     paths = si.Paths(*(f"{base}/{n}" for n in ("inbox", "index", "dead", "catalog", "metrics", "checkpoint")))
     rows = ing.messages(spark, sf_dir).withColumn("id", F.lit(""))
     fields = [f.name for f in fs.MESSAGE.fields if f.name in rows.columns]
-    ig.ingest_rows(rows).select(*fields).write.json(paths.inbox)
+    ig.ingest_rows(rows).select(*fields).write.json(paths.inbox, compression="gzip")
     fs.enqueue(ing.messages(spark, sf_dir), paths.inbox)
     si.run_to_end(si.ingest_stream(spark, paths, models="default:small"))
     return paths

@@ -108,6 +108,6 @@ def enqueue(chunks: DataFrame, folder: str, refused: str | None = None) -> None:
     """Append validated chunks to the folder an ingest stream reads; invalid ones go to ``refused`` with a reason, if it is given."""
     valid, invalid = ingest.validate_ingest(chunks)
     fields = [F.col(f.name).cast(f.dataType) if f.name in valid.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in MESSAGE.fields]
-    valid.select(*fields).write.mode("append").json(folder)
+    valid.select(*fields).write.mode("append").json(folder, compression="gzip")
     if refused:
-        invalid.select(*fields, "reason").write.mode("append").json(refused)
+        invalid.select(*fields, "reason").write.mode("append").json(refused, compression="gzip")

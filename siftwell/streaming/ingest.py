@@ -19,6 +19,8 @@ from siftwell.streaming.seen import Seen
 # Fixed value: attempts after which a failing message goes to the dead-letter table.
 MAX_RETRIES = 5
 DEFAULT_TENANT = "__default__"
+#: Texts are most of what a batch writes: its stage and the index are packed tighter than Spark's default.
+PACKED = "zstd"
 STATUSES = ("processed", "retried", "failed", "invalid")
 
 
@@ -119,11 +121,11 @@ def stage_batch(batch: DataFrame, name: str, paths: Paths, embedder: em.Embedder
     spark, folder = batch.sparkSession, f"{paths.stage}/{name}"
     rows = batch.withColumn("tenant", F.coalesce(F.nullif("tenant", F.lit("")), F.lit(DEFAULT_TENANT))).withColumn("attempts", F.coalesce("attempts", F.lit(0)))
     # The source is read once; all that follows reads the stage.
-    rows.write.mode("overwrite").parquet(f"{folder}/messages")
+    rows.write.mode("overwrite").parquet(f"{folder}/messages", compression=PACKED)
     valid, invalid = ig.validate_ingest(spark.read.parquet(f"{folder}/messages"))
     unique = ig.first_per_key(ig.normalise_rows(valid), ["tenant", "id"], ["attempts", "source", "page"])
     unique = ig.select_embed_model(unique.withColumn("prefix", prefix_of("id")), models)
-    unique.write.mode("overwrite").parquet(f"{folder}/unique")
+    unique.write.mode("overwrite").parquet(f"{folder}/unique", compression=PACKED)
     unique = spark.read.parquet(f"{folder}/unique")
     fresh = not_yet_known(unique, name, paths)
     done, retry, dead = split_dlq(em.embed_safely(fresh, embedder), max_retries)
@@ -133,14 +135,14 @@ def stage_batch(batch: DataFrame, name: str, paths: Paths, embedder: em.Embedder
     # Counted while they are written: the totals cost no pass of their own.
     seen, is_ = Observation(), lambda s: F.col("status") == s
     totals = [F.count_if(is_(s)).alias(s) for s in STATUSES] + [F.coalesce(F.sum("embed_seconds"), F.lit(0.0)).alias("embed_seconds"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("chars")]
-    out.observe(seen, *totals).write.mode("overwrite").parquet(f"{folder}/rows")
+    out.observe(seen, *totals).write.mode("overwrite").parquet(f"{folder}/rows", compression=PACKED)
     return spark.read.parquet(f"{folder}/rows"), seen.get
 
 
 def commit_index(staged: DataFrame, name: str, path: str) -> None:
     """The processed rows as this batch's part of the index, in place of what an earlier try has written."""
     done = staged.filter(F.col("status") == "processed").drop("error", "attempts", "status", "embed_seconds").withColumn("batch", F.lit(name))
-    done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant", "prefix", "batch").parquet(path)
+    done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant", "prefix", "batch").parquet(path, compression=PACKED)
 
 
 def write_failures(staged: DataFrame, name: str, paths: Paths) -> None:
@@ -151,7 +153,7 @@ def write_failures(staged: DataFrame, name: str, paths: Paths) -> None:
     dead.write.mode("overwrite").parquet(f"{paths.dead}/batch={name}")
     retry = messages.filter(F.col("status") == "retried").select(*columns)
     if not retry.isEmpty():
-        retry.write.mode("ignore").json(f"{paths.inbox}/retry-{name}")  # kept from an earlier try: it may have been read
+        retry.write.mode("ignore").json(f"{paths.inbox}/retry-{name}", compression="gzip")  # kept from an earlier try: it may have been read
 
 
 def write_metrics(staged: DataFrame, name: str, paths: Paths, insert_seconds: float, handle_seconds: float) -> None:

@@ -53,6 +53,17 @@ def test_bad_rows_fail_alone_and_end_as_dead_letters(spark, tmp_path):
     assert status == {"processed": 1, "invalid": 1, "retried": 2, "failed": 1}
 
 
+def test_messages_and_index_are_packed(spark, tmp_path):
+    """Texts are written several times on their way: the inbox, the stage and the index hold them packed."""
+    paths = folders(tmp_path)
+    fs.enqueue(messages(spark, [(f"text {i}", "s", "t") for i in range(9)]), paths.inbox)
+    names = [f for x in (tmp_path / "inbox").rglob("part-*") for f in [x.name]]
+    assert names and all(n.endswith(".json.gz") for n in names)
+    si.run_to_end(si.ingest_stream(spark, paths), 300)
+    assert spark.read.parquet(paths.index).count() == 9
+    assert all(".zstd." in x.name for x in (tmp_path / "index").rglob("part-*"))
+
+
 def test_replay_and_new_messages_keep_one_row_per_text(spark, tmp_path):
     paths = folders(tmp_path)
     fs.enqueue(messages(spark, [(f"text {i % 7}", f"s{i % 3}", "") for i in range(40)]), paths.inbox)
