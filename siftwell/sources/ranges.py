@@ -18,6 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 #: Bytes of a range, and of the pieces that a task reads and gives out.
 RANGE_BYTES, PIECE_BYTES = 64 << 20, 4 << 20
+#: Bytes that a task reads at least, if there are as many: smaller ranges share a task.
+TASK_BYTES = 4 << 20
 
 
 @dataclass
@@ -43,6 +45,25 @@ def ranges_of(files: list[pafs.FileInfo], size: int) -> list[Range]:
     return [Range(f.path, f.size, f.mtime_ns // 1000, i, a, min(a + size, f.size)) for f in files for i, a in enumerate(range(0, max(f.size, 1), size))]
 
 
+@dataclass
+class Run(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    ranges: list[Range]
+
+
+def runs_of(ranges: list[Range], size: int = TASK_BYTES) -> list[Run]:
+    runs: list[Run] = []
+    held = 0
+    for r in ranges:
+        if not runs or held + r.end - r.start > size:
+            runs.append(Run([]))
+            held = 0
+        runs[-1].ranges.append(r)
+        held += max(1, r.end - r.start)
+    return runs
+
+
 class _Reads:
     """Reading of one range, by the options ``path``, ``pattern``, ``range`` (bytes) and ``as``: pieces, digest or lines."""
 
@@ -103,11 +124,12 @@ class RangeReader(DataSourceReader, _Reads):
     def __init__(self, options: dict[str, str]):
         _Reads.__init__(self, options)
 
-    def partitions(self) -> list[Range]:
-        return ranges_of(listed(self.path, self.pattern), self.size)
+    def partitions(self) -> list[Run]:
+        return runs_of(ranges_of(listed(self.path, self.pattern), self.size))
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        return _Reads.read(self, partition)
+    def read(self, partition: Run) -> Iterator[tuple]:
+        for part in partition.ranges:
+            yield from _Reads.read(self, part)
 
 
 class RangeStream(DataSourceStreamReader, _Reads):
@@ -123,12 +145,13 @@ class RangeStream(DataSourceStreamReader, _Reads):
         last = max(((f.mtime_ns, f.path) for f in listed(self.path, self.pattern)), default=(-1, ""))
         return {"modified": last[0], "path": last[1]}
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Run]:
         after, to = (start["modified"], start["path"]), (end["modified"], end["path"])
-        return ranges_of([f for f in listed(self.path, self.pattern) if after < (f.mtime_ns, f.path) <= to], self.size)
+        return runs_of(ranges_of([f for f in listed(self.path, self.pattern) if after < (f.mtime_ns, f.path) <= to], self.size))
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        return _Reads.read(self, partition)
+    def read(self, partition: Run) -> Iterator[tuple]:
+        for part in partition.ranges:
+            yield from _Reads.read(self, part)
 
 
 class ByteRanges(DataSource):

@@ -282,3 +282,15 @@ def test_python_sees_few_texts_at_a_time(spark):
     for lo in range(0, 200_000, 20_000):
         model(pd.Series([" ".join(f"w{i}" for i in range(lo, lo + 20_000))]))
     assert len(model.known) <= 70_000
+
+
+def test_small_ranges_share_a_task(spark, tmp_path):
+    body = "".join(f"line {i}\n" for i in range(4000))
+    (tmp_path / "a.txt").write_text(body)
+    (tmp_path / "b.txt").write_text("")
+    parts = rg.text_parts(spark, str(tmp_path), range_bytes=1000)
+    assert parts.rdd.getNumPartitions() == 1
+    rows = parts.filter("source = 'a.txt'").orderBy("page").collect()
+    assert len(rows) > 30 and "".join(r["text"] for r in rows) == body
+    assert [len(r.ranges) for r in rg.runs_of(rg.ranges_of(rg.listed(str(tmp_path), "b.txt"), 1000))] == [1] and rg.runs_of([]) == []
+    assert [len(r.ranges) for r in rg.runs_of(rg.ranges_of(rg.listed(str(tmp_path), "a.txt"), 1000), 3000)][:2] == [3, 3]
