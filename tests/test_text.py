@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import uuid
 
@@ -61,6 +62,27 @@ def test_answer_pieces(spark):
         assert " ".join(got).split() == text.split()
 
 
+def test_answer_pieces_of_odd_texts(spark):
+    rng = random.Random(21)
+    spaces = [" ", "  ", "\n", " \r\n", "\t", "\x1c", "\x85", "\u00a0", "\u2009 ", "\u2028", "\u3000"]
+    near = ["".join(rng.choice("aé字😀\u0301") for _ in range(n)) for n in (1, 1, 2, 3, 5, 60, 125, 126, 127, 128, 129, 400)]
+    texts = [None, " ", "\n\x85", "\u200b", *near, *[f"{w} t" for w in near], *[f"\n{w} a b " for w in near]]
+    texts += ["".join(rng.choice(near) + rng.choice(spaces) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tx.answer_chunks(F.col("t")).alias("p"))
+    got = {r.i: r.p for r in df.collect()}
+    assert got == {i: pieces(t or "") for i, t in enumerate(texts)}
+
+
+def test_answer_pieces_take_two_scans(spark):
+    """The registered query neither splits words anew for sizes and pieces nor sends them to Python."""
+    from siftwell.plans import catalog
+
+    df = catalog.QUERIES["x16_answer_chunks"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString().lower()
+    assert plan.count("regexp_replace(") == 1 and plan.count("regexp_extract_all(") == 1
+    assert "split(" not in plan and "evalpython" not in plan
+
+
 def test_expansion_intent_and_arithmetic(spark):
     assert one(spark, "UAV and GNC aero", tx.expand_query) == "UAV and GNC aero unmanned aerial vehicle guidance navigation and control aerodynamics"
     assert one(spark, "plain", tx.expand_query) == "plain"
