@@ -3,7 +3,7 @@
 Each source gets a number of words in proportion to its weight, at most ``cap`` times what it holds; what a full
 source leaves is shared among the others by weight. A source's weight schedule over training time is integrated,
 and the words that stand before a document in its source's draw order are turned, through the inverted integral,
-into the document's position. Documents sorted by position form the training order.
+into the document's position. Copies sorted by position, whatever their source, form the training order.
 """
 
 from __future__ import annotations
@@ -68,15 +68,37 @@ def when_drawn(share: Column, schedule: Schedule) -> Column:
 
 
 def mix(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, taken, copies, positions``.
+    """One row per document: ``doc_id, source, size, source_size, target, taken, copies, positions, places``.
 
     ``taken`` counts the words that the mix takes, repeats included: whole rounds through the source in its draw
     order, the last one ending inside the document that reaches the target. ``copies`` is the same in whole
-    documents, rounded; ``positions`` has one training time in [0, 1) per started copy, in order. Documents without
-    words take nothing and have no position. Rows with equal ids follow each other in the order of their size.
+    documents, rounded; ``positions`` has one training time in [0, 1) per started copy, in order, and ``places`` the
+    words of the whole mix, sources merged, that stand before that copy. Documents without words take nothing and
+    have neither. Rows with equal ids follow each other in the order of their size.
     """
-    sized = cut(docs.select("doc_id", "source", n_words(docs["text"]).alias("size")))
-    return draw(sized, cut(source_targets(sized, plan)), sized.count(), plan)
+    sized = cut(docs.select("doc_id", "source", n_words(docs["text"]).alias("size"), F.monotonically_increasing_id().alias("__row")))
+    rows = sized.count()
+    drawn = cut(draw(sized, cut(source_targets(sized, plan)), rows, plan))
+    merged = cut(merge(drawn, rows))
+    found = merged.groupBy("__row").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("copy", "position", "place"))).alias("__copies"))
+    df = drawn.drop("taken", "positions").join(found, "__row", "left")
+    positions = F.coalesce("__copies.position", F.array().cast("array<double>"))
+    places = F.coalesce("__copies.place", F.array().cast("array<long>"))
+    taken = F.coalesce("taken", F.lit(0).cast("long"))
+    return df.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "copies", positions.alias("positions"), places.alias("places"))
+
+
+def merge(drawn: DataFrame, rows: int) -> DataFrame:
+    """The started copies of all sources in one training order: a copy's ``words``, and as ``place`` those of the copies before it.
+
+    The schedules spread positions over [0, 1), so that their leading bits cut the order into stretches of alike size.
+    Equal positions, such as the sources' first ones, follow each other by id, source and copy.
+    """
+    df = drawn.select("__row", "doc_id", "source", "size", "taken", F.posexplode("positions").alias("copy", "position"))
+    words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
+    order = F.least(F.floor(F.col("position") * F.lit(float(1 << 60))), F.lit((1 << 60) - 1))
+    df = df.select("__row", "doc_id", "source", "copy", "position", words.alias("words"), order.alias("__order"))
+    return running(df, [], "__order", ["position", "doc_id", "source", "copy", "__row"], F.col("words"), "place", rows).drop("__order", "doc_id", "source")
 
 
 def draw(sized: DataFrame, targets: DataFrame, rows: int, plan: Curriculum) -> DataFrame:
@@ -99,7 +121,7 @@ def draw(sized: DataFrame, targets: DataFrame, rows: int, plan: Curriculum) -> D
 
     positions = F.array_compact(F.array(*[F.when(p > 0, time(s)) for s, p in zip(starts, parts, strict=True)]))
     copies = F.when(F.col("size") > 0, F.floor(F.try_divide(taken.cast("double"), F.col("size")) + 0.5)).otherwise(0)
-    return df.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), copies.cast("long").alias("copies"), positions.alias("positions"))
+    return df.select(*sized.columns, "source_size", "target", taken.cast("long").alias("taken"), copies.cast("long").alias("copies"), positions.alias("positions"))
 
 
 def training_order(docs: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:

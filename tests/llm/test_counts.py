@@ -111,6 +111,32 @@ def test_mix_equals_sql_and_reaches_its_targets(spark, odd_rows):
     assert sum(target.values()) == pytest.approx(sum(len((t or "").split()) for _, t, _, _ in odd_rows))
 
 
+def test_mix_merges_its_sources_into_one_order(spark, odd_rows):
+    """Places are gapless over all sources, and each stretch of the order holds them in ratio of their weights at that time."""
+    even = [(i, "w " * (1 + i % 5), "en", s) for i, s in enumerate(["a"] * 500 + ["b"] * 3000 + [None] * 3000)]
+    for rows in (odd_rows, even):
+        got = mixing.mix(documents(spark, rows)).collect()
+        steps = []
+        for r in got:
+            assert len(r.places) == len(r.positions) and (r.taken > 0) == bool(r.places)
+            words = [min(r["size"], r.taken - e * r["size"]) for e in range(len(r.places))]
+            steps += zip(r.places, r.positions, words, [r.source] * len(words), strict=True)
+        steps.sort(key=lambda x: x[0])
+        before = 0
+        for place, _, n, _ in steps:
+            assert place == before and n > 0
+            before += n
+        assert [x[1] for x in steps] == sorted(x[1] for x in steps)
+    schedules, target = mixing.Curriculum().schedules, {r.source: r.target for r in got}
+    assert target["a"] == 3 * sum(1 + i % 5 for i in range(500))
+    for tenth in range(10):
+        t = (tenth + 0.5) / 10
+        for source, knots in zip(["a", "b", None], schedules, strict=True):
+            weight = next(w0 + (w1 - w0) * (t - t0) / (t1 - t0) for (t0, w0), (t1, w1) in zip(knots, knots[1:], strict=False) if t <= t1)
+            words = sum(n for _, p, n, s in steps if s == source and t - 0.05 <= p < t + 0.05)
+            assert words == pytest.approx(target[source] * weight / 10, abs=12)
+
+
 def test_schedule_is_inverted(spark):
     for knots in mixing.Curriculum().schedules + (((0.0, 1.0), (0.25, 3.0), (1.0, 0.5)),):
         steps = [i / 50 for i in range(51)]
