@@ -280,6 +280,36 @@ def test_postings_move_once_whatever_stays_open(spark, tmp_path, monkeypatch, sh
         assert [r["chunk_id"] for r in got.filter(F.col("qid") == qid).orderBy("rank").collect()] == [i for _, i in scores]
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_sums_in_arrays_are_those_of_the_joins(spark, tmp_path, monkeypatch, kind):
+    """Few queries or many: the same hits, though no sum but what may win leaves the task of its block. Ids may come twice or be null."""
+    monkeypatch.setattr(corpus, "MOSTLY_OPEN", 0.0)
+    body = spark.createDataFrame([*enumerate(texts(150, 8)), (7, "w1 w2 w2"), (None, "w2 w1 w2 w1 w2")], "chunk_id long, text string").withColumn("chunk_id", F.col("chunk_id").cast(kind))
+    queries = spark.createDataFrame([(1, "the w1 w2"), (2, "w5 w5 w9"), (3, "nothing"), (None, "w7 the"), (5, None)], "qid long, query string")
+    index = corpus.build_postings(body, str(tmp_path / "ix"), block_rows=64, buckets=3)
+    made = {}
+    for few in (0, 100):
+        monkeypatch.setattr(corpus, "FEW_QUERIES", few)
+        found = corpus.search_postings(queries, index, 6, buckets=3)
+        assert ("FlatMapGroupsInArrow" in found._jdf.queryExecution().toString()) == (few > 0)
+        made[few] = sorted((str(r["qid"]), r["rank"], str(r["chunk_id"]), r["bm25"]) for r in found.collect())
+    assert made[0] == made[100] and len(made[0]) == 18 and any(r[2] == "None" for r in made[0])
+    sums, weights = [], corpus.weighted_terms(queries, index, 3)
+    known = spark.createDataFrame([(1, 2.0)], "qid long, least double")
+    postings = index.read(spark, "postings").join(weights.select("term").distinct(), "term").withColumn("term", F.xxhash64("term"))
+    sums = corpus.scored_in_arrays(weights.withColumn("term", F.xxhash64("term")), postings, known, 6, 1, 64)
+    first = [r["bm25"] for r in sums.filter("qid = 1").collect()]
+    assert 6 <= len(first) < 60 and min(first) >= 1.99
+
+
+def test_the_index_is_read_once_for_a_search(spark, tmp_path, monkeypatch):
+    index = corpus.build_postings(spark.createDataFrame(list(enumerate(texts(90, 5))), "chunk_id long, text string"), str(tmp_path / "ix"), block_rows=4, buckets=3)
+    real, asked = corpus.Postings.read, []
+    monkeypatch.setattr(corpus.Postings, "read", lambda self, spark, name: asked.append(name) or real(self, spark, name))
+    found = corpus.search_postings(spark.createDataFrame([(1, "the w1 w2")], "qid long, query string"), index, 6, buckets=3)
+    assert sorted(asked) == ["postings", "terms"] and str(tmp_path / "ix") not in "".join(found.inputFiles())
+
+
 def test_term_counts_are_those_of_the_tokens(spark):
     rows = spark.createDataFrame([(1, 0, ["a", "b", "a", "c", "a"]), (2, 0, []), (3, 1, ["x"])], "chunk long, block long, toks array<string>")
     got = corpus.term_counts(rows.select("chunk", "block", F.array_sort("toks").alias("toks"))).collect()
@@ -439,6 +469,14 @@ def test_bulk_retrieval_end_to_end(spark):
     assert first == {1: "a", 2: "c"} and not {r["source"] for r in got} & {"b", "d"}
 
 
+def test_only_texts_go_to_the_embedder(spark):
+    df = spark.createDataFrame([(1, "a b A", b"xyz"), (2, None, None)], "id long, text string, other binary")
+    for made in (em.embed(df), em.embed_safely(df, em.HashedCounts())):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "MapInPandas" not in plan
+        assert [(r["id"], r["other"], sum(r["embedding"])) for r in made.orderBy("id").collect()] == [(1, bytearray(b"xyz"), 3.0), (2, None, 0.0)]
+
+
 def test_embedder_counts_hashed_tokens(spark):
     df = em.embed(spark.createDataFrame([(1, "a b A"), (2, None), (3, "")], "id long, text string"), em.HashedCounts(16))
     got = {r["id"]: r["embedding"] for r in df.collect()}
