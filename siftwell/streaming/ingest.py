@@ -74,6 +74,12 @@ def split_dlq(processed: DataFrame, max_retries: int = MAX_RETRIES) -> tuple[Dat
     )
 
 
+def outcome(max_retries: int) -> Column:
+    """The status that ``split_dlq`` gives a row."""
+    again = F.coalesce("attempts", F.lit(0)) + 1 < max_retries
+    return F.when(F.col("error").isNull(), "processed").when(again, "retried").otherwise("failed")
+
+
 def run_of(spark: SparkSession, checkpoint: str) -> str:
     """The name of the run that a checkpoint belongs to: made with it, lost with it."""
     path = f"{checkpoint}/run"
@@ -128,21 +134,28 @@ def stage_batch(batch: DataFrame, name: str, paths: Paths, embedder: em.Embedder
     unique.write.mode("overwrite").parquet(f"{folder}/unique", compression=PACKED)
     unique = spark.read.parquet(f"{folder}/unique")
     fresh = not_yet_known(unique, name, paths)
-    done, retry, dead = split_dlq(em.embed_safely(fresh, embedder), max_retries)
-    known = [rows.withColumn("status", F.lit(s)) for rows, s in ((done, "processed"), (retry, "retried"), (dead, "failed"))]
-    refused = invalid.withColumnRenamed("reason", "error").withColumn("status", F.lit("invalid"))
-    out = known[0].unionByName(known[1]).unionByName(known[2]).unionByName(refused.withColumn("page", F.col("page").cast("long")), allowMissingColumns=True)
+    embedded = em.embed_safely(fresh, embedder).withColumn("refused", F.lit(False))
+    refused = invalid.withColumnRenamed("reason", "error").withColumn("page", F.col("page").cast("long")).withColumn("refused", F.lit(True))
     # Counted while they are written: the totals cost no pass of their own.
-    seen, is_ = Observation(), lambda s: F.col("status") == s
-    totals = [F.count_if(is_(s)).alias(s) for s in STATUSES] + [F.coalesce(F.sum("embed_seconds"), F.lit(0.0)).alias("embed_seconds"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("chars")]
-    out.observe(seen, *totals).write.mode("overwrite").parquet(f"{folder}/rows", compression=PACKED)
-    return spark.read.parquet(f"{folder}/rows"), seen.get
+    status, seen = F.when(F.col("refused"), "invalid").otherwise(outcome(max_retries)), Observation()
+    totals = [F.count_if(status == s).alias(s) for s in STATUSES] + [F.coalesce(F.sum("embed_seconds"), F.lit(0.0)).alias("embed_seconds"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("chars")]
+    embedded.unionByName(refused, allowMissingColumns=True).observe(seen, *totals).write.mode("overwrite").parquet(f"{folder}/rows", compression=PACKED)
+    # Split after they are written: each branch reads its rows from the stage, and every text has been embedded once.
+    rows = spark.read.parquet(f"{folder}/rows")
+    for read in ("messages", "unique"):
+        delete_folder(f"{folder}/{read}")
+    parts = [*split_dlq(rows.filter(~F.col("refused")), max_retries), rows.filter("refused")]
+    done, retry, dead, refused = (part.drop("refused").withColumn("status", F.lit(s)) for part, s in zip(parts, STATUSES, strict=True))
+    return done.unionByName(retry).unionByName(dead).unionByName(refused), seen.get
 
 
 def commit_index(staged: DataFrame, name: str, path: str) -> None:
-    """The processed rows as this batch's part of the index, in place of what an earlier try has written."""
+    """The processed rows as this batch's part of the index, in place of what an earlier try has written.
+
+    Rows of a folder meet in one task, or in several if they are many, so a batch writes few files whatever the number of its tasks.
+    """
     done = staged.filter(F.col("status") == "processed").drop("error", "attempts", "status", "embed_seconds").withColumn("batch", F.lit(name))
-    done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant", "prefix", "batch").parquet(path, compression=PACKED)
+    done.hint("rebalance", "tenant", "prefix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant", "prefix", "batch").parquet(path, compression=PACKED)
 
 
 def write_failures(staged: DataFrame, name: str, paths: Paths) -> None:
@@ -204,11 +217,23 @@ def ingest_stream(
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
 
 
+def work_done(query: StreamingQuery) -> tuple[int, int]:
+    """The newest job of a query and how many tasks its running jobs have finished: it changes as long as the query gets on."""
+    tracker = SparkSession.active().sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(str(query.runId))]
+    stages = [tracker.getStageInfo(s) for j in jobs if j and j.status == "RUNNING" for s in j.stageIds]
+    return max((j.jobId for j in jobs if j), default=-1), sum(s.numCompletedTasks for s in stages if s)
+
+
 def run_to_end(query: StreamingQuery, seconds: int = 600) -> None:
-    """Wait for an ``availableNow`` query, with a time limit; re-raises its error."""
-    if not query.awaitTermination(seconds):
-        query.stop()
-        raise TimeoutError(f"stream still running after {seconds} s")
+    """Wait for an ``availableNow`` query however long it works; one that finishes no task for ``seconds`` is stopped. Re-raises its error."""
+    before = work_done(query)
+    while not query.awaitTermination(seconds):
+        now = work_done(query)
+        if now == before:
+            query.stop()
+            raise TimeoutError(f"stream without progress for {seconds} s")
+        before = now
 
 
 def progress_rows(query: StreamingQuery) -> list[dict]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import sys
+import time
 
 import pytest
 from pyspark import cloudpickle
@@ -53,6 +54,49 @@ def test_bad_rows_fail_alone_and_end_as_dead_letters(spark, tmp_path):
     assert status == {"processed": 1, "invalid": 1, "retried": 2, "failed": 1}
 
 
+class Notes(em.HashedCounts):
+    """Default embedder that leaves a line in a file for each text."""
+
+    def __init__(self, path: str):
+        super().__init__(8)
+        self.path = path
+
+    def __call__(self, texts):
+        with open(self.path, "a") as f:
+            f.writelines(f"{t}\n" for t in texts)
+        return super().__call__(texts)
+
+
+def test_a_batch_embeds_each_text_once(spark, tmp_path):
+    paths = folders(tmp_path)
+    fs.enqueue(messages(spark, [(f"text {i}", "s", "t") for i in range(40)] + [("text 1", "r", "t")]), paths.inbox)
+    si.run_to_end(si.ingest_stream(spark, paths, Notes(str(tmp_path / "notes"))), 300)
+    assert sorted((tmp_path / "notes").read_text().splitlines()) == sorted(f"text {i}" for i in range(40))
+    assert spark.read.parquet(paths.index).count() == 40
+
+
+def test_a_batch_writes_a_file_for_each_folder(spark, tmp_path, monkeypatch):
+    paths = folders(tmp_path)
+    rows = messages(spark, [(f"text {i}", "s", f"t{i % 2}") for i in range(400)])
+    staged = rows.select("tenant", F.col("text").alias("id"), "text", si.prefix_of("text").alias("prefix"), F.lit("processed").alias("status"))
+    staged = staged.select("*", *[F.lit(None).cast("string").alias(c) for c in ("error", "attempts", "embed_seconds")]).repartition(8)
+    for _ in range(2):  # again, as after a failure
+        si.commit_index(staged, "b", paths.index)
+        files = [x.parent for x in (tmp_path / "index").rglob("part-*.parquet")]
+        assert len(files) == len(set(files)) == 32 and spark.read.parquet(paths.index).count() == 400
+
+
+def test_a_stream_may_take_its_time(spark, tmp_path):
+    """The wait ends with a stream that does nothing, not with one whose work is long: in many batches, or in one of many tasks."""
+    for i in range(4):
+        spark.range(10).withColumn("i", F.lit(i)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    slow = F.udf(lambda x: time.sleep(1.2) or x, "long")
+    for files, label in ((1, "batches"), (4, "tasks")):
+        rows = spark.readStream.schema("id long, i int").option("maxFilesPerTrigger", files).parquet(str(tmp_path / "in"))
+        query = rows.filter("id = 0").repartition(1).writeStream.foreachBatch(lambda df, _, f=files: df.repartition(8, "i").coalesce(f).select(slow("id")).collect())
+        si.run_to_end(query.option("checkpointLocation", str(tmp_path / label)).trigger(availableNow=True).start(), 3)
+
+
 def test_messages_and_index_are_packed(spark, tmp_path):
     """Texts are written several times on their way: the inbox, the stage and the index hold them packed."""
     paths = folders(tmp_path)
